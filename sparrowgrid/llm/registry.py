@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, chat, ngramjoin, quality, tokencount, toxicity, warc
+from sparrowgrid.llm import bpe, chat, decontaminate, ngramjoin, quality, tokencount, toxicity, warc
 from sparrowgrid.llm.shared import shared_dir, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sparrowgrid/warc-{uuid.uuid4().hex}"
     warc.archive(table(spark, sf_dir, "pages"), path)
@@ -92,7 +96,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 
 
 def queries() -> dict[str, Run]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op7_warc_archive, op8_quality_rank, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op7_warc_archive, op8_quality_rank, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
