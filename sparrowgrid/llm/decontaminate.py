@@ -195,17 +195,22 @@ class Index:
         return self.__dict__ | {"memo": {}}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile`` of every contaminated pair."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, least: int, threshold: float, index_bytes: int) -> Iterator[Index]:
+    """The items' index in parts of a checked size, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-int(total) // index_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for k in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").toLocalIterator()], least, threshold))
+        yield Index([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").toLocalIterator()], least, threshold)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile`` of every contaminated pair."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for part in _indexes(benchmark, least, threshold, index_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(frames: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
@@ -219,3 +224,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
         one = rows.mapInArrow(run, "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item contaminates; columns and rows are otherwise as they were."""
+    place = docs.columns.index(text_col)
+    out = docs
+    for part in _indexes(benchmark, least, threshold, index_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(frames: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in frames:
+                good = np.ones(b.num_rows, bool)
+                for at, some in chunks(texts_of(b.column(place))):
+                    good[[at + d for d, _ in index.value.found(*word_hashes(some))]] = False
+                yield b.filter(pa.array(good))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

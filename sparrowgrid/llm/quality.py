@@ -104,6 +104,17 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, ranker: Ranker, at_least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``at_least``; columns and rows are otherwise as they were."""
+    place = docs.columns.index(text_col)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            yield b.filter(pa.array(ranker.score(features(texts_of(b.column(place)))) >= at_least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(remainder: int, modulus: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; an id of null is in no fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, brown, chat, decontaminate, ngramjoin, quality, tokencount, toxicity, warc
+from sparrowgrid.llm import bpe, brown, chat, decontaminate, ngramjoin, quality, tokencount, topk, toxicity, warc
 from sparrowgrid.llm.shared import shared_dir, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sparrowgrid/warc-{uuid.uuid4().hex}"
     warc.archive(table(spark, sf_dir, "pages"), path)
@@ -80,6 +84,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op6_topk_search": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_warc_archive": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
@@ -100,7 +110,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 
 
 def queries() -> dict[str, Run]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -262,3 +262,14 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, score double, n_matches long, n_words long").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, lexicon: Lexicon, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores under ``below``; columns and rows are otherwise as they were."""
+    place = docs.columns.index(text_col)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            yield b.filter(pa.array(lexicon.score(lexicon.sums(texts_of(b.column(place)))) < below))
+
+    return docs.mapInArrow(run, docs.schema)
