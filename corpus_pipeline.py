@@ -19,7 +19,7 @@ GOOD, TOXIC = 0.7, 0.5
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``decided``; a null id counts as an id."""
-    return docs.join(decided.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(decided.select(F.col("doc_id").alias("_sparrowgrid_kept")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_sparrowgrid_kept")), "left_semi")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
