@@ -30,18 +30,23 @@ def cosine_unclamped(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(EPS))
 
 
+def _spread(x: Column, like: Column) -> Column:
+    """A value as an array as long as another; a lambda would work the value out again for every component."""
+    return F.array_repeat(x, F.size(like))
+
+
 def normalise(a: Column) -> Column:
     """Unit length; a vector of length up to 1e-8 stays as it is."""
     n = norm(a)
-    return F.when(n > EPS, F.transform(a, lambda x: x / n)).otherwise(a)
+    return F.zip_with(a, _spread(F.when(n > EPS, n).otherwise(F.lit(1.0)), a), lambda x, m: x / m)
 
 
 def zscore(a: Column) -> Column:
     """Population z-score of the components; the deviation is floored at 1e-8."""
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return F.transform(a, lambda x: (x - mean) / F.greatest(sd, F.lit(EPS)))
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    off = F.zip_with(a, _spread(mean, a), lambda x, m: x - m)
+    sd = F.sqrt(F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x) / F.size(a))
+    return F.zip_with(off, _spread(F.greatest(sd, F.lit(EPS)), a), lambda x, m: x / m)
 
 
 def blend(a: Column, b: Column, alpha: float) -> Column:

@@ -81,3 +81,94 @@ def self_recovery(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> D
     return pick.groupBy(F.col("li").alias("label")).agg(
         F.count("*").alias("n"), F.sum(hit).cast("long").alias("recovered"), F.round(F.avg(hit.cast("double")), 6).alias("rate")
     )
+
+
+def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
+    """``i, j, s, rank``: the k most similar entries of each query; ties by smaller id. ``metric``: cosine or dot."""
+    a, b = blocks(queries, id_col, vec_col), blocks(entries, id_col, vec_col)
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, q = matrix(x.v), matrix(y.v)
+        s = np.clip(unit(p) @ unit(q).T, -1, 1) if metric == "cosine" else p @ q.T
+        s = np.round(s, 9)
+        if skip_self:
+            s[x.id.to_numpy()[:, None] == y.id.to_numpy()[None, :]] = -np.inf
+        some = np.argsort(-s, 1, kind="stable")[:, :k]  # ids ascend inside a block
+        best = np.take_along_axis(s, some, 1).reshape(-1)
+        out = pd.DataFrame({"i": np.repeat(x.id.to_numpy(), some.shape[1]), "j": y.id.to_numpy()[some.reshape(-1)], "s": best})
+        return out[np.isfinite(best)]
+
+    w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
+    found = against(a, b, kernel, "i long, j long, s double")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, strict: bool = True) -> DataFrame:
+    """``i, j, s`` with i < j and cosine over the threshold."""
+    b = blocks(df, id_col, vec_col)
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        s = np.round(np.clip(unit(matrix(x.v)) @ unit(matrix(y.v)).T, -1, 1), 9)
+        p, q = np.nonzero(((s > threshold) if strict else (s >= threshold)) & (x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :]))
+        return pd.DataFrame({"i": x.id.to_numpy()[p], "j": y.id.to_numpy()[q], "s": s[p, q]})
+
+    return against(b, b, kernel, "i long, j long, s double")
+
+
+def mutual(top: DataFrame) -> DataFrame:
+    """Pairs i < j that are in each other's lists."""
+    back = top.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("_s"))
+    return top.join(back, ["i", "j"]).where("i < j").select("i", "j", "s")
+
+
+def centroids(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
+    """``keys..., n, centroid``: component-wise means (not normalised), by position so that only sums are shuffled."""
+    long = df.where(F.col(vec_col).isNotNull()).select(*keys, F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
+    means = long.groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    vec = F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    return means.groupBy(*keys).agg(F.max("n").alias("n"), vec.alias("centroid"))
+
+
+def density(top5: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """``id, coherence``: mean of the five best similarities, floored at 0; 1 for a node alone."""
+    mean = top5.groupBy("i").agg(F.avg("s").alias("m"))
+    ids = nodes.select(F.col(id_col).cast("long").alias("i"))
+    return ids.join(mean, "i", "left").select(F.col("i").alias("id"), F.when(F.col("m").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("m"))).alias("coherence"))
+
+
+def earlier_top_k(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
+    """``i, j, s, rank`` among rows of a smaller id only: what was there when each row arrived."""
+    b = blocks(df, id_col, vec_col)
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        s = np.round(np.clip(unit(matrix(x.v)) @ unit(matrix(y.v)).T, -1, 1), 9)
+        s[y.id.to_numpy()[None, :] >= x.id.to_numpy()[:, None]] = -np.inf
+        some = np.argsort(-s, 1, kind="stable")[:, :k]
+        best = np.take_along_axis(s, some, 1).reshape(-1)
+        out = pd.DataFrame({"i": np.repeat(x.id.to_numpy(), some.shape[1]), "j": y.id.to_numpy()[some.reshape(-1)], "s": best})
+        return out[np.isfinite(best)]
+
+    w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
+    return against(b, b, kernel, "i long, j long, s double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def order_statistics(df: DataFrame, col: str, at: dict[str, float]) -> DataFrame:
+    """One row of nearest-rank statistics, sorted[floor(n * share)]: the values are counted, range by range, not gathered in one task."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count("*").alias("c"))
+    ranged = counts.repartitionByRange("x").sortWithinPartitions("x").withColumn("part", F.spark_partition_id()).persist()
+    totals = {r["part"]: r["c"] for r in ranged.groupBy("part").agg(F.sum("c").alias("c")).collect()}
+    n, start, starts = sum(totals.values()), 0, {}
+    for p in sorted(totals):
+        starts[p] = start
+        start += totals[p]
+    spark = df.sparkSession
+    out: dict[str, float | None] = {name: None for name in at}
+    for name, share in at.items():
+        k = min(int(n * share), n - 1)
+        p = next((p for p in sorted(totals, reverse=True) if starts[p] <= k), None)
+        if p is not None:
+            w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+            hit = ranged.where(F.col("part") == p).withColumn("upto", F.sum("c").over(w)).where(F.col("upto") > k - starts[p]).agg(F.min("x").alias("x")).first()
+            out[name] = float(hit["x"])
+    ranged.unpersist()
+    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{n} double" for n in out))
