@@ -212,12 +212,16 @@ def _verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batches({"u": [f[0] for f in found], "v": [f[1] for f in found]}, schema)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Suffix filter, then verification, of distinct pairs ``u, v`` with u < v."""
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Suffix filter, then verification, of distinct pairs ``u, v`` with u < v. Only texts that a pair left needs are moved."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
     apart = F.aggregate(F.zip_with("parts_u", "parts_v", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
     most = F.col("n_u") + F.col("n_v") - 2 * F.ceil(3 * (F.col("n_u") + F.col("n_v")) / 7)
-    left = pairs.join(side("v"), "v").join(side("u"), "u").where(apart <= most).select("u", "v")
+    left = written(pairs.join(side("v"), "v").join(side("u"), "u").where(apart <= most).select("u", "v"), "pairs")
+    met = left.select(F.col("u").alias("rep")).union(left.select("v")).distinct()
+    if met.count() <= BROADCAST_IDS:
+        met = F.broadcast(met)
+    texts = written(rows.join(met, rows["doc_id"] == met["rep"]).select("rep", "text"), "texts")
     whole = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
     both = left.join(whole("v"), "v").join(whole("u"), "u").select("u", "v", "text_u", "text_v")
     return both.mapInArrow(_verified, "u long, v long")
@@ -245,15 +249,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     shared = blocks.groupBy("block").applyInArrow(_shared, "token long, h1 long, n int, pos int")
     tokens = written(shared.join(classes.select("h1", "n", "rep"), ["h1", "n"]).select("token", "rep", "n", "pos"), "tokens")
 
-    met = tokens.select("rep").distinct()
-    if met.count() <= BROADCAST_IDS:
-        met = F.broadcast(met)
-    texts = written(rows.join(met, rows["doc_id"] == met["rep"]).select("rep", "text"), "texts")
-
     first = tokens.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("u"))
     stars = tokens.join(first, "token").where((F.col("rep") > F.col("u.rep")) & may_link(F.col("n"), F.col("pos"), F.col("u.n"), F.col("u.pos")))
     stars = stars.select(F.col("u.rep").alias("u"), F.col("rep").alias("v")).distinct()
-    links = written(_links(stars, classes, texts), "links")
+    links = written(_links(stars, classes, rows), "links")
     parts = components(links)
 
     # Tokens whose classes are in several components.
@@ -270,7 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         & may_link(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos"))
     )
     pairs = pairs.select(F.least("r1", "rep").alias("u"), F.greatest("r1", "rep").alias("v")).distinct()
-    more = written(_links(pairs, classes, texts), "links")
+    more = written(_links(pairs, classes, rows), "links")
     if more.limit(1).count():
         links = links.union(more)
         parts = components(links)
