@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches
+from sparrowgrid.llm.shared import batches, small_batches
 
 #: White space by the Unicode property.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -175,6 +175,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ids and texts are made, but only their digests leave the worker.
     """
     schema = DIGESTS if digests else OUT
+    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)

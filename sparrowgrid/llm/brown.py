@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, small_batches, texts_of, words, written
 
 CLASSES, CONTEXT, ROUNDS, SWEEPS = 32, 32_768, 3, 2
 BACKOFF = 5.0
@@ -377,6 +377,7 @@ def _scored(table: np.ndarray, n: int):
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text; texts that aren't held out train."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).alias("text"))
     train = rows.where(~F.col("held")).select("text")
     top = train.mapInArrow(_frequent(context), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, shingles, spans, span_hashes, texts_of
+from sparrowgrid.llm.shared import batches, chunks, shingles, small_batches, spans, span_hashes, texts_of
 
 LEAST, THRESHOLD = 4, 0.5
 INDEX_BYTES = 32 << 20
@@ -207,6 +207,7 @@ def _indexes(benchmark: DataFrame, least: int, threshold: float, index_bytes: in
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile`` of every contaminated pair."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for part in _indexes(benchmark, least, threshold, index_bytes):
@@ -228,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates; columns and rows are otherwise as they were."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     out = docs
     for part in _indexes(benchmark, least, threshold, index_bytes):

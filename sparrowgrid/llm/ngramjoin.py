@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.components import components
-from sparrowgrid.llm.shared import batches, chunks, mix, shingles, signed, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, mix, shingles, signed, small_batches, texts_of, words, written
 
 WIDTH = 5
 #: Bits of the table of counters; 4 MB at 20.
@@ -40,7 +40,7 @@ SKETCH = 20
 RANGES = 16
 SEGMENTS = 16
 #: Tokens of a block, and documents with a hot token that a block takes.
-BLOCK, HOT = 700_000, 50_000
+BLOCK, HOT = 400_000, 50_000
 #: Ids of documents that are broadcast at most (16 bytes each); beyond, the join is a shuffled one.
 BROADCAST_IDS = 2_000_000
 
@@ -231,6 +231,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """(members, links): ``doc_id, n_shingles, class_id, component_id`` of every document, and links ``u, v`` between
     classes, enough of them to span every component."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n int, h1 long, h2 long, parts array<int>, segment int, counts binary"
     found = written(rows.mapInArrow(_summaries(width), schema), "sets")

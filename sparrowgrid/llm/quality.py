@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.features import NAMES, features, logistic, sample_ids
-from sparrowgrid.llm.shared import batches, texts_of
+from sparrowgrid.llm.shared import batches, small_batches, texts_of
 
 #: Labelled documents that train at most, and preference pairs for each of them.
 MOST, PAIRS = 20_000, 20
@@ -79,6 +79,7 @@ def fit(f: np.ndarray, y: np.ndarray, cut: float = 0.7, pairs: int = PAIRS, seed
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str = "quality", cut: float = 0.7, most: int = MOST) -> Ranker:
     """Fit on a bounded sample of labelled documents; ``held_out`` is a condition on ``doc_id``. Features alone reach the driver."""
+    small_batches(docs.sparkSession)
     ids = sample_ids(labels, label_col, held_out, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("f", pa.list_(pa.float64()))])
@@ -100,12 +101,14 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
         for b in frames:
             yield batches({"id": b.column(0), "score": ranker.score(features(texts_of(b.column(1))))}, schema)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, ranker: Ranker, at_least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose whole text scores ``at_least``; columns and rows are otherwise as they were."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ LOWER = bytes(0x20 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in
 SPACES = bytes(0x20 if 9 <= i <= 13 else i for i in range(256))
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that a Python worker gets; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python by bytes rather than rows, so that long texts don't meet in one batch by the thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

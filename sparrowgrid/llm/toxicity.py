@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.features import logistic, sample_ids
-from sparrowgrid.llm.shared import batches, chunks, shingles, signed, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, shingles, signed, small_batches, texts_of, words, written
 
 #: Labelled documents that are learnt from at most.
 MOST = 20_000
@@ -191,6 +191,7 @@ def choose(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[s
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str = "toxic", most: int = MOST, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from a bounded sample of labelled documents; ``held_out`` is a condition on ``doc_id``."""
+    small_batches(docs.sparkSession)
     ids = sample_ids(labels, label_col, held_out, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     keyed = rows.select("doc_id", "label", "text").mapInArrow(_keyed, "doc_id long, label int, text string, key long")
@@ -260,12 +261,14 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             s = lexicon.sums(texts_of(b.column(1)))
             yield batches({"id": b.column(0), "score": lexicon.score(s), "n_matches": s[:, 1].astype(np.int64), "n_words": s[:, 2].astype(np.int64)}, schema)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, score double, n_matches long, n_words long").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, lexicon: Lexicon, below: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose whole text scores under ``below``; columns and rows are otherwise as they were."""
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
