@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +73,81 @@ def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, ov
     lexical = F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))
     neg, num = F.col("a_neg") != F.col("b_neg"), F.coalesce(F.col("a_dec") != F.col("b_dec"), F.lit(False))
     return n.where((lexical >= overlap) & (neg | num)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(lexical, 6).alias("lexical"), neg.alias("negation_clash"), num.alias("number_clash"))
+
+
+#: Lexicons of claim signatures (our own lists): words that affirm, words that deny, and negators that flip what follows within three tokens.
+AFFIRM = frozenset("increase increases improve improves rise rises support supports enable enables true succeed succeeds works".split())
+DENY = frozenset("decrease decreases worsen worsens fall falls prevent prevents block blocks false fail fails broken".split())
+NEGATORS = frozenset("not no never without cannot neither".split())
+
+
+def signature(statement: str | None) -> tuple[int, list[str]]:
+    """Polarity (-1, 0, 1) and sorted content of a claim; read left to right, a negator flips the next polar word within three tokens and both are consumed."""
+    tokens = [w for w in re.split(r"[\W_]+", (statement or "").lower()) if w]
+    polarity, content, reach = 0, set(), 0
+    for w in tokens:
+        if w in NEGATORS:
+            reach = 4
+        elif w in AFFIRM or w in DENY:
+            polarity += (1 if w in AFFIRM else -1) * (-1 if reach > 0 else 1)
+            reach = 0
+        elif len(w) >= 3 and w not in T.STOP:
+            content.add(w)
+        reach -= 1
+    return (polarity > 0) - (polarity < 0), sorted(content)
+
+
+def signatures(claims: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, polarity, content`` of each claim."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s = [signature(t) for t in f["text"]]
+            yield pd.DataFrame({"id": f["id"], "polarity": [x[0] for x in s], "content": [x[1] for x in s]})
+
+    return claims.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, polarity int, content array<string>")
+
+
+def opposed(sigs: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """``a, b, overlap`` of claims of opposite polarity whose content overlaps, by an inverted index."""
+    one = sigs.where("polarity <> 0").select("id", "polarity", F.size("content").alias("n"), F.explode("content").alias("term"))
+    side = lambda p: one.select("term", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "polarity", "n")])
+    n = side("a").join(side("b"), "term").where("a_id < b_id AND a_polarity <> b_polarity").groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("c"))
+    j = F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))
+    return n.where(j >= overlap).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(j, 6).alias("overlap"))
+
+
+DETERMINERS = frozenset("the a an this that these those its their our il lo la i gli le un uno una".split())
+
+
+def noun_phrases(text: str | None, most: int = 3) -> list[tuple[str, str]]:
+    """(phrase, head) after each determiner: words up to a stop word, a verb-like or a short one, joined by hyphens."""
+    tokens = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    out: list[tuple[str, str]] = []
+    at = 0
+    while at < len(tokens):
+        if tokens[at] not in DETERMINERS:
+            at += 1
+            continue
+        words = []
+        at += 1
+        while at < len(tokens) and len(words) < most:
+            w = tokens[at]
+            if w in DETERMINERS or w in T.STOP or len(w) < 3 or re.search(r"(ing|ed|ise|ize|are|ere|ire)$", w):
+                break
+            words.append(w)
+            at += 1
+        if words and ("-".join(words), words[-1]) not in out:
+            out.append(("-".join(words), words[-1]))
+    return out
+
+
+def phrases(docs: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
+    """``id, ord, phrase, head``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, k, p, h) for i, t in zip(f["id"], f["text"], strict=True) for k, (p, h) in enumerate(noun_phrases(t, most))]
+            yield pd.DataFrame(rows, columns=["id", "ord", "phrase", "head"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, ord int, phrase string, head string")
