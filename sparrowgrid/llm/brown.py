@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, lean, small_batches, texts_of, words, written
 
 CLASSES, CONTEXT, ROUNDS, SWEEPS = 32, 32_768, 3, 2
 BACKOFF = 5.0
@@ -380,7 +380,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).alias("text"))
     train = rows.where(~F.col("held")).select("text")
-    top = train.mapInArrow(_frequent(context), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = train.mapInArrow(lean(_frequent(context)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.col("n").desc(), "h").limit(context).toArrow()
     hashes = top.column("h").to_numpy().view(np.uint64)
     known = Words(hashes)
@@ -389,7 +389,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     ls, word_count = np.zeros(CLASSES), np.zeros(known.n, np.int64)
     for _ in range(rounds if known.n else 0):
         kept = spark.sparkContext.broadcast((known, classes))
-        got = summed(train.mapInArrow(lambda f, kept=kept: _contexts(*kept.value)(f), "segment int, counts binary"), 2 * known.n * KINDS).reshape(2, known.n, KINDS)
+        got = summed(train.mapInArrow(lean(lambda f, kept=kept: _contexts(*kept.value)(f)), "segment int, counts binary"), 2 * known.n * KINDS).reshape(2, known.n, KINDS)
         word_count = got[0].sum(1)
         classes, li, lo, ls = exchange(got[0].astype(float), got[1].astype(float), classes)
 
@@ -399,13 +399,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n_buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (tokens["b"] or 0) // 30 // BUCKET + 1))
     kept = spark.sparkContext.broadcast((known, classes))
     schema = "kind int, block long, bucket int, ids array<long>, held array<boolean>, counts binary, low binary, high binary, h binary, before binary, after binary"
-    coded = written(rows.mapInArrow(lambda f: _coded(*kept.value, n_buckets)(f), schema), "coded")
+    coded = written(rows.mapInArrow(lean(lambda f: _coded(*kept.value, n_buckets)(f)), schema), "coded")
     other = coded.where("kind = 1").select("block", "bucket", "counts", "h", "before", "after")
     answers = written(other.groupBy("bucket").applyInArrow(_answered(li, lo, ls), "block long, bucket int, counts binary, classes binary"), "answers")
 
     size = KINDS + 2
     sums = answers.where("block IS NULL").select(F.lit(0).alias("segment"), "counts")
-    sums = summed(sums.mapInArrow(_zipped, "segment int, counts binary"), size)
+    sums = summed(sums.mapInArrow(lean(_zipped), "segment int, counts binary"), size)
     class_size = np.bincount(classes, weights=word_count, minlength=KINDS) + sums[:KINDS]
     once = int(sums[-1] + (word_count == 1).sum())
     n = int(class_size[:CLASSES].sum()) + ends

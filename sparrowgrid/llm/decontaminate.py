@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, shingles, small_batches, spans, span_hashes, texts_of
+from sparrowgrid.llm.shared import batches, chunks, shingles, lean, small_batches, spans, span_hashes, texts_of
 
 LEAST, THRESHOLD = 4, 0.5
 INDEX_BYTES = 32 << 20
@@ -222,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
                         found.append((ids[at + d], ix.ids[k], n, covered, covered / n, count, longest))
                 yield batches({f.name: [r[i] for r in found] for i, f in enumerate(OUT)}, OUT)
 
-        one = rows.mapInArrow(run, "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
+        one = rows.mapInArrow(lean(run), "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -242,5 +242,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold:
                     good[[at + d for d, _ in index.value.found(*word_hashes(some))]] = False
                 yield b.filter(pa.array(good))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

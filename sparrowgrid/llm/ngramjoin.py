@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.components import components
-from sparrowgrid.llm.shared import batches, chunks, mix, shingles, signed, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, mix, shingles, signed, lean, small_batches, texts_of, words, written
 
 WIDTH = 5
 #: Bits of the table of counters; 4 MB at 20.
@@ -224,7 +224,7 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     texts = written(rows.join(met, rows["doc_id"] == met["rep"]).select("rep", "text"), "texts")
     whole = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
     both = left.join(whole("v"), "v").join(whole("u"), "u").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_verified, "u long, v long")
+    return both.mapInArrow(lean(_verified), "u long, v long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +234,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n int, h1 long, h2 long, parts array<int>, segment int, counts binary"
-    found = written(rows.mapInArrow(_summaries(width), schema), "sets")
+    found = written(rows.mapInArrow(lean(_summaries(width)), schema), "sets")
     summed = found.where("segment IS NOT NULL").select("segment", "counts").groupBy("segment").applyInArrow(_summed, "segment int, counts binary")
     counters = np.zeros(1 << SKETCH, np.int64)
     size = len(counters) // SEGMENTS
@@ -246,7 +246,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     n_blocks = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), counters.sum() * 0.26 // BLOCK + 1))
     sketch = spark.sparkContext.broadcast(counters)
-    blocks = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(sketch, n_blocks, width), "block int, token binary, doc binary, pos binary, h1 binary, n binary")
+    blocks = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(lean(_prefixes(sketch, n_blocks, width)), "block int, token binary, doc binary, pos binary, h1 binary, n binary")
     shared = blocks.groupBy("block").applyInArrow(_shared, "token long, h1 long, n int, pos int")
     tokens = written(shared.join(classes.select("h1", "n", "rep"), ["h1", "n"]).select("token", "rep", "n", "pos"), "tokens")
 

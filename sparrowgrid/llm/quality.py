@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.features import NAMES, features, logistic, sample_ids
-from sparrowgrid.llm.shared import batches, small_batches, texts_of
+from sparrowgrid.llm.shared import batches, lean, small_batches, texts_of
 
 #: Labelled documents that train at most, and preference pairs for each of them.
 MOST, PAIRS = 20_000, 20
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
         for b in frames:
             yield batches({"doc_id": b.column(0), "label": b.column(1), "f": list(features(texts_of(b.column(2))))}, schema)
 
-    got = rows.mapInArrow(run, "doc_id long, label int, f array<double>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(lean(run), "doc_id long, label int, f array<double>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     f = np.array(got.column("f").to_pylist(), float).reshape(-1, len(NAMES))
     return fit(f, np.array(got.column("label").to_pylist(), int), cut)
 
@@ -103,7 +103,7 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, ranker: Ranker, at_least: float, text_col: str = "text") -> DataFrame:
@@ -115,7 +115,7 @@ def keep(docs: DataFrame, ranker: Ranker, at_least: float, text_col: str = "text
         for b in frames:
             yield b.filter(pa.array(ranker.score(features(texts_of(b.column(place)))) >= at_least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fold(remainder: int, modulus: int) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, small_batches, span_hashes, texts_of
+from sparrowgrid.llm.shared import batches, chunks, lean, small_batches, span_hashes, texts_of
 
 MARK = "▁".encode()
 #: Distinct pre-tokens that a worker keeps with their counts.
@@ -119,5 +119,5 @@ def count(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = rows.mapInArrow(lean(run), "id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
     return out.withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.features import logistic, sample_ids
-from sparrowgrid.llm.shared import batches, chunks, shingles, signed, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, shingles, signed, lean, small_batches, texts_of, words, written
 
 #: Labelled documents that are learnt from at most.
 MOST = 20_000
@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
     small_batches(docs.sparkSession)
     ids = sample_ids(labels, label_col, held_out, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    keyed = rows.select("doc_id", "label", "text").mapInArrow(_keyed, "doc_id long, label int, text string, key long")
+    keyed = rows.select("doc_id", "label", "text").mapInArrow(lean(_keyed), "doc_id long, label int, text string, key long")
     one = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.label", "r.text")
     sample = written(one, "toxic-sample")
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -211,19 +211,22 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
                 for t in texts_of(b.column(0)):
                     found = candidates(t)
                     total.update(found if only is None else found & only)
+                    if len(total) > 50_000:
+                        yield batches({"term": list(total), "n": list(total.values())}, counted)
+                        total.clear()
             yield batches({"term": list(total), "n": list(total.values())}, counted)
 
         return run
 
     def tally(label: int, only: frozenset | None) -> Counter:
-        out = sample.where(F.col("label") == label).select("text").mapInArrow(count(only), "term string, n long")
+        out = sample.where(F.col("label") == label).select("text").mapInArrow(lean(count(only)), "term string, n long")
         out = out.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= (least if only is None else 1))
         return Counter(dict(zip(*out.toArrow().to_pydict().values(), strict=True)))
 
     toxic = tally(1, None)
     clean = tally(0, frozenset(toxic))
     lexicon = Lexicon(choose(toxic, clean, n_toxic, n_clean), exceptions)
-    got = sample.select("label", "text").mapInArrow(_summer(lexicon), "label long, weight double, matches double, words double").toArrow()
+    got = sample.select("label", "text").mapInArrow(lean(_summer(lexicon)), "label long, weight double, matches double, words double").toArrow()
     sums = np.stack([got.column(c).to_numpy() for c in ("weight", "matches", "words")], 1)
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((*sums.T, y))
@@ -263,7 +266,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double, n_matches long, n_words long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, score double, n_matches long, n_words long").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, lexicon: Lexicon, below: float, text_col: str = "text") -> DataFrame:
@@ -275,4 +278,4 @@ def keep(docs: DataFrame, lexicon: Lexicon, below: float, text_col: str = "text"
         for b in frames:
             yield b.filter(pa.array(lexicon.score(lexicon.sums(texts_of(b.column(place)))) < below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
