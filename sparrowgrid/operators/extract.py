@@ -67,7 +67,7 @@ def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, ov
     t = F.col(text_col)
     words = F.array_distinct(F.filter(T.terms(t), lambda x: F.octet_length(x) > 3))
     s = docs.select(F.col(id_col).alias("id"), F.col(cluster).alias("cluster"), T.negations(t).alias("neg"), T.leading_number(t, True).alias("dec"), words.alias("t"))
-    one = s.select("id", "cluster", "neg", "dec", F.size("t").alias("size"), F.explode("t").alias("term"))
+    one = s.withColumn("size", F.size("t")).select("id", "cluster", "neg", "dec", "size", F.explode("t").alias("term"))
     side = lambda p: one.select("cluster", "term", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "neg", "dec", "size")])
     n = side("a").join(side("b"), ["cluster", "term"]).where("a_id < b_id").groupBy("a_id", "b_id", "a_neg", "b_neg", "a_dec", "b_dec", "a_size", "b_size").agg(F.count("*").alias("n"))
     lexical = F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))
@@ -110,7 +110,7 @@ def signatures(claims: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def opposed(sigs: DataFrame, overlap: float = 0.5) -> DataFrame:
     """``a, b, overlap`` of claims of opposite polarity whose content overlaps, by an inverted index."""
-    one = sigs.where("polarity <> 0").select("id", "polarity", F.size("content").alias("n"), F.explode("content").alias("term"))
+    one = sigs.where("polarity <> 0").withColumn("n", F.size("content")).select("id", "polarity", "n", F.explode("content").alias("term"))
     side = lambda p: one.select("term", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "polarity", "n")])
     n = side("a").join(side("b"), "term").where("a_id < b_id AND a_polarity <> b_polarity").groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("c"))
     j = F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))

@@ -23,10 +23,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
 
     Only postings of query terms are joined: the queries' terms semi-filter the postings before document statistics meet them.
     """
-    tokens = docs.select(F.col(id_col).alias("doc"), T.terms(F.col(text_col)).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1e-6)).alias("avg_dl"))
+    # The length is made before the array is exploded, which then isn't carried along.
+    tokens = docs.select(F.col(id_col).alias("doc"), T.terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-6)).alias("avg_dl"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(T.terms(F.col(query_text)))).alias("term"))
-    tf = tokens.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = tokens.select("doc", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = tf.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # Statistics are one row.
@@ -83,7 +84,7 @@ def pack(candidates: DataFrame, budget: int, top_k: int, diversity: float = 0.0)
 def redundancy(docs: DataFrame, id_col: str, text_col: str, key: str, least: int = 3) -> DataFrame:
     """``key, n, redundancy``: mean over documents of the greatest term Jaccard with another of the same key, through an inverted index."""
     sets = docs.select(F.col(id_col).alias("doc"), F.col(key).alias("key"), F.array_distinct(F.filter(T.content_terms(F.col(text_col)), lambda x: F.length(x) >= least)).alias("t"))
-    one = sets.select("doc", "key", F.size("t").alias("n"), F.explode("t").alias("term"))
+    one = sets.withColumn("n", F.size("t")).select("doc", "key", "n", F.explode("t").alias("term"))
     other = one.select(F.col("doc").alias("doc2"), "key", F.col("n").alias("n2"), "term")
     both = one.join(other, ["key", "term"]).where("doc <> doc2").groupBy("key", "doc", "n", "doc2", "n2").agg(F.count("*").alias("c"))
     best = both.groupBy("doc").agg(F.max(F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))).alias("j"))

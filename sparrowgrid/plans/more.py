@@ -266,7 +266,7 @@ def shapes(spark, sf_dir):
 
 @query("shape_match", f"WITH {SHAPE_SQL}, o AS (SELECT page_id, host, len(t) AS n, unnest(t) AS k FROM s) SELECT a.page_id AS a, b.page_id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS score FROM o a JOIN o b ON a.host = b.host AND a.k = b.k AND a.page_id < b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5")
 def shape_match(spark, sf_dir):
-    o = shapes(spark, sf_dir).select("page_id", "host", F.size("t").alias("n"), F.explode("t").alias("k"))
+    o = shapes(spark, sf_dir).withColumn("n", F.size("t")).select("page_id", "host", "n", F.explode("t").alias("k"))
     side = lambda p: o.select("host", "k", F.col("page_id").alias(p), F.col("n").alias(f"n{p}"))
     c = side("a").join(side("b"), ["host", "k"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
