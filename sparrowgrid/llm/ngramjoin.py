@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles of ``WIDTH`` words. Two documents link when 100 * |A and B| >= 75 * |A or B|.
 
-1. One scan gives each document's set size, a 128-bit digest of its set, and a histogram of its shingles over 16 ranges;
+1. One scan gives each document's set size, a 128-bit digest of its set, and a histogram of its shingles over 64 ranges;
    and a table of fixed size (``SKETCH`` counters over all shingles of all documents) that tells which are frequent.
    Documents of equal sets are one class; its least doc_id stands for it.
 2. A second scan sorts each set rare-first (by the counters' level, then by hash: one order for all documents) and keeps
@@ -37,7 +37,8 @@ from sparrowgrid.llm.shared import batches, chunks, mix, shingles, signed, lean,
 WIDTH = 5
 #: Bits of the table of counters; 4 MB at 20.
 SKETCH = 20
-RANGES = 16
+#: Ranges of the histogram; its counts stop at 127, which keeps differences lower bounds.
+RANGES = 64
 SEGMENTS = 16
 #: Tokens of a block, and documents with a hot token that a block takes.
 BLOCK, HOT = 400_000, 50_000
@@ -45,7 +46,7 @@ BLOCK, HOT = 400_000, 50_000
 BROADCAST_IDS = 2_000_000
 
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("parts", pa.list_(pa.int32()))]
+    [("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("parts", pa.list_(pa.int8()))]
     + [("segment", pa.int32()), ("counts", pa.binary())]
 )
 BLOCKS = pa.schema([("block", pa.int32()), ("token", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("h1", pa.binary()), ("n", pa.binary())])
@@ -81,7 +82,7 @@ def _summaries(width: int):
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counters += np.bincount((flat >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
                 which = np.repeat(np.arange(len(sets)), n) * RANGES + ((flat >> np.uint64(20)) % np.uint64(RANGES)).astype(np.int64)
-                parts = np.bincount(which, minlength=len(sets) * RANGES).astype(np.int32).reshape(-1, RANGES)
+                parts = np.bincount(which, minlength=len(sets) * RANGES).clip(max=127).astype(np.int8).reshape(-1, RANGES)
                 rows = {"doc_id": ids[at : at + len(sets)], "n": n, "h1": signed(h1), "h2": signed(h2), "parts": list(parts)}
                 yield batches(rows | {"segment": [None] * len(sets), "counts": [None] * len(sets)}, SETS)
         if counters.any():
@@ -193,6 +194,12 @@ def may_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (1 + F.least(n1 - 1 - pos1, n2 - 1 - pos2) >= need)
 
 
+def may_overlap(n1: Column, parts1: Column, n2: Column, parts2: Column) -> Column:
+    """Suffix filter: sets differ by at least as much as their histograms do."""
+    apart = F.aggregate(F.zip_with(parts1, parts2, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, x: s + x)
+    return apart <= n1 + n2 - 2 * F.ceil(3 * (n1 + n2) / 7)
+
+
 def _verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among pairs ``u, v, text_u, text_v``; texts are whole. The set of u is kept while u stays the same."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -215,9 +222,8 @@ def _verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Suffix filter, then verification, of distinct pairs ``u, v`` with u < v. Only texts that a pair left needs are moved."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
-    apart = F.aggregate(F.zip_with("parts_u", "parts_v", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
-    most = F.col("n_u") + F.col("n_v") - 2 * F.ceil(3 * (F.col("n_u") + F.col("n_v")) / 7)
-    left = written(pairs.join(side("v"), "v").join(side("u"), "u").where(apart <= most).select("u", "v"), "pairs")
+    near = may_overlap(F.col("n_u"), F.col("parts_u"), F.col("n_v"), F.col("parts_v"))
+    left = written(pairs.join(side("v"), "v").join(side("u"), "u").where(near).select("u", "v"), "pairs")
     met = left.select(F.col("u").alias("rep")).union(left.select("v")).distinct()
     if met.count() <= BROADCAST_IDS:
         met = F.broadcast(met)
@@ -233,7 +239,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n int, h1 long, h2 long, parts array<int>, segment int, counts binary"
+    schema = "doc_id long, n int, h1 long, h2 long, parts array<byte>, segment int, counts binary"
     found = written(rows.mapInArrow(lean(_summaries(width)), schema), "sets")
     summed = found.where("segment IS NOT NULL").select("segment", "counts").groupBy("segment").applyInArrow(_summed, "segment int, counts binary")
     counters = np.zeros(1 << SKETCH, np.int64)
@@ -262,14 +268,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     placed = written(placed.join(several, "token"), "placed")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     major = sizes.groupBy("token").agg(F.max(F.struct("size", F.col("component").alias("major"))).alias("m")).select("token", "m.major")
+    # Both sides carry the histogram, so that unlike texts that share a passage don't become rows.
+    placed = placed.join(classes.groupBy("rep").agg(F.first("parts").alias("parts"), F.count("*").alias("of")), "rep")
     minor = placed.join(major, "token").where("component <> major")
-    minor = minor.select("token", "major", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("component").alias("c1"))
+    minor = minor.select("token", "major", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "component", "parts", "of")])
     pairs = minor.join(placed, "token").where(
-        (F.col("c1") != F.col("component"))
-        & ((F.col("component") == F.col("major")) | (F.col("r1") < F.col("rep")))
-        & may_link(F.col("n1"), F.col("p1"), F.col("n"), F.col("pos"))
+        (F.col("component1") != F.col("component"))
+        & ((F.col("component") == F.col("major")) | (F.col("rep1") < F.col("rep")))
+        & may_link(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos"))
+        # Rows that share an id have a class each; their histograms aren't told apart here.
+        & ((F.col("of") > 1) | (F.col("of1") > 1) | may_overlap(F.col("n1"), F.col("parts1"), F.col("n"), F.col("parts")))
     )
-    pairs = pairs.select(F.least("r1", "rep").alias("u"), F.greatest("r1", "rep").alias("v")).distinct()
+    pairs = pairs.select(F.least("rep1", "rep").alias("u"), F.greatest("rep1", "rep").alias("v")).distinct()
     more = written(_links(pairs, classes, rows), "links")
     if more.limit(1).count():
         links = links.union(more)

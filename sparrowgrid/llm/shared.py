@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,6 +44,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparrowgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of finished steps stay until the driver collects the plans that made them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
 
 
