@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FACETS = ("sub_domain", "sub_mode", "lifecycle", "agency", "scale", "abstraction")
-ENTRY = "name string, category string, domain string, mode string, axis_kind string, axis_name string, unit string, hints array<string>, facets struct<" + ", ".join(f"{f}: string" for f in FACETS) + ">"
-SCHEMA = f"kind string, domains array<struct<{ENTRY.replace(' string', ': string').replace('hints array', 'hints: array').replace('facets struct', 'facets: struct')}>>"
+TEXTS = ("name", "category", "domain", "mode", "axis_kind", "axis_name", "unit")
+ENTRY = ", ".join(f"{c}: string" for c in TEXTS) + ", hints: array<string>, facets: struct<" + ", ".join(f"{f}: string" for f in FACETS) + ">"
+SCHEMA = f"kind string, domains array<struct<{ENTRY}>>"
 #: Spellings of facet values that mean another (fixed values).
 ALIASES = {"FABRICATE": "BUILD", "MAINTAIN": "RETIRE", "SELFACTOR": "SELF"}
 #: Packs whose names need no prefix.
