@@ -44,11 +44,11 @@ for _name, _good in (("similar_cases_succeeded", True), ("similar_cases_failed",
 
 @query(
     "classify_soft_facets",
-    f"WITH {SCORES_SQL}, f AS (SELECT i, domain, mode, round(score * (0.5 + 0.5 * ((domain = 1)::INT + (mode = 0)::INT) / 2), 6) AS score FROM scores), rr AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, domain, mode)::INTEGER AS rank FROM f) SELECT i AS vec_id, domain, mode, score FROM rr WHERE rank = 1",
+    f"WITH {SCORES_SQL}, f AS (SELECT i, domain, mode, floor(score * (0.5 + 0.5 * ((domain = 1)::INT + (mode = 0)::INT) / 2) * 1e6 + 0.5001) / 1e6 AS score FROM scores), rr AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, domain, mode)::INTEGER AS rank FROM f) SELECT i AS vec_id, domain, mode, score FROM rr WHERE rank = 1",
 )
 def classify_soft_facets(spark, sf_dir):
     hits = (F.col("domain") == 1).cast("int") + (F.col("mode") == 0).cast("int")
-    f = cell_scores(spark, sf_dir).withColumn("score", F.round(F.col("score") * (0.5 + 0.5 * hits / 2), 6))
+    f = cell_scores(spark, sf_dir).withColumn("score", r6(F.col("score") * (0.5 + 0.5 * hits / 2)))
     w = Window.partitionBy("i").orderBy(F.col("score").desc(), "domain", "mode")
     return f.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(F.col("i").alias("vec_id"), "domain", "mode", "score")
 
