@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 
+#: Words that the rule of frequent terms leaves out (the reference's list).
+COMMON = tuple(
+    "the and that with from this then than into over under after before while when were was are its his her their they them "
+    "have has had been being which what each both some more most less very also still".split()
+)
+
 
 def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, min_df: int = 2, ids: bool = True, capitals: bool = True, frequent: bool = True) -> DataFrame:
-    """``doc, key, ord``: entities in order of first mention, by up to three rules: id-shaped words, capitals inside a sentence, frequent long terms."""
+    """``doc, key, ord``: entities in order of first mention, by up to three rules: id-shaped words, capitals inside a sentence, frequent content terms of ``min_length`` bytes."""
     w = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "w"))
     w = w.withColumn("before", F.lag("w").over(Window.partitionBy("doc").orderBy("pos"))).withColumn("key", T.entity_key(F.col("w"))).where("key <> ''")
     rules = []
@@ -24,7 +30,7 @@ def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, m
     if frequent:
         df = w.select("doc", "key").distinct().groupBy("key").agg(F.count("*").alias("df"))
         w = w.join(df, "key")
-        rules.append((F.length("key") >= min_length) & (F.col("df") >= min_df))
+        rules.append((F.octet_length("key") >= min_length) & ~F.col("key").isin(*COMMON) & (F.col("df") >= min_df))
     hit = F.lit(False)
     for r in rules:
         hit = hit | F.coalesce(r, F.lit(False))

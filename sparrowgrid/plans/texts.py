@@ -226,7 +226,7 @@ x AS (SELECT doc_id, key, min(pos) AS pos FROM k JOIN df USING (key) WHERE key <
 
 @query("entity_extract", f"WITH {ENT_SQL} SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos, key)::INTEGER AS ord FROM x")
 def entity_extract(spark, sf_dir):
-    return extract.entities(docs(spark, sf_dir), "doc_id", "text", min_length=8, min_df=20).withColumnRenamed("doc", "doc_id")
+    return extract.entities(docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 @query(
@@ -236,7 +236,7 @@ c AS (SELECT sum((a AND b)::INT) AS tp, sum((a AND NOT b)::INT) AS fp, sum((b AN
 SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM c""",
 )
 def entity_prf(spark, sf_dir):
-    found = extract.entities(docs(spark, sf_dir), "doc_id", "text", min_length=8, min_df=20)
+    found = extract.entities(docs(spark, sf_dir), "doc_id", "text")
     return extract.micro_prf(found.select("doc", "key"), found.where(F.contains("key", F.lit("-"))).select("doc", "key"))
 
 
