@@ -248,7 +248,7 @@ m AS (SELECT w, sum(n) AS nw FROM p GROUP BY w), tot AS (SELECT sum(n) AS z FROM
 SELECT p.w, p.c, p.n, round(ln(p.n::DOUBLE * z / (a.nw * b.nw)), 6) AS ppmi FROM p JOIN m a ON a.w = p.w JOIN m b ON b.w = p.c, tot WHERE p.n >= 20 AND ln(p.n::DOUBLE * z / (a.nw * b.nw)) > 0""",
 )
 def ppmi_table(spark, sf_dir):
-    return extract.ppmi(docs(spark, sf_dir), "doc_id", "text", 2).where("n >= 20").select("w", "c", "n", F.round("ppmi", 6).alias("ppmi"))
+    return extract.ppmi(docs(spark, sf_dir), "doc_id", "text", 2).select("w", "c", "n", F.round("ppmi", 6).alias("ppmi"))
 
 
 @query("code_identifiers", r"""WITH w AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(url, '[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)+'))) AS w FROM pages)

@@ -1,5 +1,6 @@
 """Queries do the whole job: small tables against brute force in plain Python."""
 
+import math
 import re
 from collections import Counter
 
@@ -32,3 +33,18 @@ def test_entities_of_four_letters_in_two_documents(spark, tmp_path):
     assert {(r.doc_id, r.key, r.ord) for r in QUERIES["entity_extract"](spark, d).collect()} == want
     r = QUERIES["entity_prf"](spark, d).first()
     assert (r.tp, r.fp, r.fn) == (1, len(want) - 1, 0)
+
+
+def test_ppmi_keeps_rare_pairs(spark, tmp_path):
+    texts = ["a b c a", "b c d e", "", "e a b b d"]
+    d = documents(spark, tmp_path, texts)
+    n = Counter()
+    for t in texts:
+        ws = t.split()
+        n.update((w, c) for i, w in enumerate(ws) for j, c in enumerate(ws) if 0 < abs(i - j) <= 2 and w != c)
+    side, z = Counter(), sum(n.values())
+    for (w, _), k in n.items():
+        side[w] += k
+    ppmi = {(w, c): (k, math.log(k * z / (side[w] * side[c]))) for (w, c), k in n.items()}
+    want = {(w, c, k, round(x, 6)) for (w, c), (k, x) in ppmi.items() if x > 0}
+    assert want and {(r.w, r.c, r.n, r.ppmi) for r in QUERIES["ppmi_table"](spark, d).collect()} == want
