@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
+from sparrowgrid.operators.graph import cut
 
 K1, B = 1.5, 0.75
 
@@ -54,7 +55,8 @@ def pack(candidates: DataFrame, budget: int, top_k: int, diversity: float = 0.0)
     """Token-budget MMR by query: ``query, pick, doc, score, tokens, truncated`` from ``query, doc, score, tokens, terms array<string>``.
 
     Again and again the best ``score * (1 - diversity * most similar picked)`` among candidates that still fit (term Jaccard
-    is the similarity). Picks depend on picks before them, so a query's candidates, of a bounded number, go to one call.
+    is the similarity). Picks depend on picks before them, so a query's candidates, of a bounded number, go to one call;
+    ``pack_ranked`` takes any number.
     """
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
@@ -81,6 +83,42 @@ def pack(candidates: DataFrame, budget: int, top_k: int, diversity: float = 0.0)
     return candidates.groupBy("query").applyInPandas(one, "query long, pick int, doc long, score double, tokens long, truncated boolean")
 
 
+def pack_ranked(scores: DataFrame, docs: DataFrame, budget: int, top_k: int, diversity: float = 0.0) -> DataFrame:
+    """The result of ``pack`` over all scored documents, from ``query, doc, score`` (none negative) and ``doc, tokens, text``.
+
+    A round is a few DataFrame steps that take one document of each query. What scores under ``1 - diversity`` times the best that
+    fits can't win, whatever the discounts, so only terms of the others are read.
+    """
+    left = cut(scores.join(docs.select("doc", "tokens"), "doc").select("query", "doc", "score", "tokens"))
+    scored = left.groupBy("query").agg(F.count("*").alias("scored"))
+    picks = None
+    for k in range(1, top_k + 1):
+        fit = left.where(F.col("tokens") <= budget)
+        if picks is not None:
+            used = picks.groupBy("query").agg(F.sum("tokens").alias("used"), F.max("pick").alias("last")).where(F.col("last") == k - 1)
+            fit = left.join(used, "query").where(F.col("tokens") <= budget - F.col("used")).drop("used", "last")
+            fit = fit.join(picks.select("query", "doc"), ["query", "doc"], "left_anti")
+        value = F.col("score")
+        if picks is not None and diversity > 0:
+            best = fit.groupBy("query").agg(F.max("score").alias("best"))
+            fit = cut(fit.join(best, "query").where(F.col("score") >= (1 - diversity) * F.col("best")).drop("best"))
+            ids = fit.select("doc").union(picks.select("doc")).distinct()
+            terms = docs.join(ids, "doc", "left_semi").select("doc", F.array_distinct(T.terms(F.col("text"))).alias("terms"))
+            taken = picks.select("query", "doc").join(terms, "doc").select("query", F.col("terms").alias("taken"))
+            near = fit.select("query", "doc").join(terms, "doc").join(taken, "query").groupBy("query", "doc").agg(F.max(T.jaccard(F.col("terms"), F.col("taken"))).alias("near"))
+            fit = fit.join(near, ["query", "doc"])
+            value = F.col("score") * (1 - diversity * F.col("near"))
+        # Equal values go to the higher score, then to the lower id.
+        won = fit.groupBy("query").agg(F.max(F.struct(value.alias("value"), "score", (-F.col("doc")).alias("minus"), "tokens")).alias("w"))
+        won = won.select("query", F.lit(k).alias("pick"), (-F.col("w.minus")).alias("doc"), "w.score", "w.tokens")
+        before = picks
+        picks = cut(won if before is None else before.unionByName(won))
+        if picks.where(F.col("pick") == k).isEmpty():
+            break
+    n = picks.groupBy("query").agg(F.count("*").alias("n")).join(scored, "query").select("query", (F.col("n") < F.col("scored")).alias("truncated"))
+    return picks.join(n, "query").select("query", "pick", "doc", "score", "tokens", "truncated")
+
+
 def redundancy(docs: DataFrame, id_col: str, text_col: str, key: str, least: int = 3) -> DataFrame:
     """``key, n, redundancy``: mean over documents of the greatest term Jaccard with another of the same key, through an inverted index."""
     sets = docs.select(F.col(id_col).alias("doc"), F.col(key).alias("key"), F.array_distinct(F.filter(T.content_terms(F.col(text_col)), lambda x: F.length(x) >= least)).alias("t"))

@@ -11,7 +11,7 @@ from sparrowgrid.operators import extract, graph, neighbours, ngram, retrieval,
 from sparrowgrid.plans import facts as P
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, r6
-from sparrowgrid.plans.texts import BM25_SQL, bm25_ranked
+from sparrowgrid.plans.texts import BM25_SQL, bm25_ranked, bm25_scored
 from sparrowgrid.plans.vectors import E_SQL, PAIRS_SQL, RANKED_SQL, SCORES_SQL, STRUCT_SQL, cell_scores, emb, structure_repeats
 from sparrowgrid.session import table
 
@@ -285,10 +285,9 @@ def shape_plan(spark, sf_dir):
 @query("compiled_context")
 def compiled_context(spark, sf_dir):
     """Budgeted against unbounded retrieval: tokens of both and the saving."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
-    top = bm25_ranked(spark, sf_dir).where("rank <= 12").select("query", "doc", F.round("score", 6).alias("score")).join(d, "doc").persist()
-    base = top.groupBy("query").agg(F.sum("tokens").alias("baseline"))
-    kept = retrieval.pack(top, 1500, 8, 0.0).groupBy("query").agg(F.sum("tokens").alias("packed"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), "text")
+    base = bm25_ranked(spark, sf_dir).where("rank <= 12").select("query", "doc").join(d.drop("text"), "doc").groupBy("query").agg(F.sum("tokens").alias("baseline"))
+    kept = retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 1500, 8, 0.0).groupBy("query").agg(F.sum("tokens").alias("packed"))
     saved = 1 - F.coalesce("packed", F.lit(0)) / F.col("baseline")
     return base.join(kept, "query", "left").select(F.col("query").alias("item_id"), "baseline", F.coalesce("packed", F.lit(0)).alias("packed"), F.round(F.greatest(F.lit(0.0), saved), 6).alias("saving"))
 

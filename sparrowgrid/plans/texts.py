@@ -57,6 +57,12 @@ s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)"""
 
 
+def bm25_scored(spark, sf_dir):
+    """Every document with a score, at the digits that packing compares."""
+    s = retrieval.bm25(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return s.withColumn("score", F.round(F.round("score", 9), 6))
+
+
 def bm25_ranked(spark, sf_dir):
     s = retrieval.bm25(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
     return retrieval.ranked(s.withColumn("score", F.round("score", 9)), "query", F.col("score"), "doc")
@@ -106,9 +112,8 @@ def hybrid_verdict(spark, sf_dir):
 
 @query("budgeted_context")
 def budgeted_context(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
-    top = bm25_ranked(spark, sf_dir).where("rank <= 24").select("query", "doc", F.round("score", 6).alias("score"))
-    return retrieval.pack(top.join(d, "doc"), 2000, 8, 0.3)
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), "text")
+    return retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 2000, 8, 0.3)
 
 
 @query(

@@ -2,10 +2,14 @@
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from sparrowgrid import registry
-from sparrowgrid.operators import extract
+from sparrowgrid.functions import text as T
+from sparrowgrid.operators import extract, retrieval
+from sparrowgrid.plans import texts as texts_plans
 
 QUERIES = registry.queries()
 
@@ -48,3 +52,20 @@ def test_ppmi_keeps_rare_pairs(spark, tmp_path):
     ppmi = {(w, c): (k, math.log(k * z / (side[w] * side[c]))) for (w, c), k in n.items()}
     want = {(w, c, k, round(x, 6)) for (w, c), (k, x) in ppmi.items() if x > 0}
     assert want and {(r.w, r.c, r.n, r.ppmi) for r in QUERIES["ppmi_table"](spark, d).collect()} == want
+
+
+def test_packing_goes_over_all_scored_documents(spark, tmp_path):
+    # Thirty long documents come first by BM25; short ones and near copies fit.
+    texts = [f"apple pear {'apple pear ' * 1200}x{i}" for i in range(30)] + [f"apple plum {'w ' * (5 * i)}" for i in range(12)] + ["apple lime kiwi fig"] * 3
+    d = documents(spark, tmp_path, texts)
+    spark.createDataFrame([(1, "apple pear"), (2, "plum fig"), (3, "nothing")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), F.array_distinct(T.terms(F.col("text"))).alias("terms"))
+    every = texts_plans.bm25_ranked(spark, d).select("query", "doc", F.round("score", 6).alias("score")).join(docs, "doc").cache()
+    take = lambda f: sorted((r.query, r.pick, r.doc, r.score, r.tokens, r.truncated) for r in f.collect())
+    got = take(QUERIES["budgeted_context"](spark, d))
+    assert got == take(retrieval.pack(every, 2000, 8, 0.3))
+    assert sum(r[0] == 1 for r in got) == 8 and {r[0] for r in got} == {1, 2}
+    packed = defaultdict(int)
+    for r in retrieval.pack(every, 1500, 8, 0.0).collect():
+        packed[r.query] += r.tokens
+    assert {r.item_id: r.packed for r in QUERIES["compiled_context"](spark, d).collect()} == packed
