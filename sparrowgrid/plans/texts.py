@@ -148,7 +148,7 @@ def corpus_scan(spark, sf_dir):
 @query("scan_labels", "SELECT doc_id, source || ': ' || left(text, 20) AS label FROM documents WHERE length(trim(text, ' ')) BETWEEN 1 AND 5000")
 def scan_labels(spark, sf_dir):
     n = F.length(F.trim("text"))
-    return docs(spark, sf_dir).where(n.between(1, 5000)).select("doc_id", F.concat("source", F.lit(": "), F.substring("text", 1, 20)).alias("label"))
+    return docs(spark, sf_dir).where(n.between(1, 5000)).select("doc_id", F.concat("source", F.lit(": "), F.trim("text")).alias("label"))
 
 
 @query("line_source", "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) SELECT doc_id, count(*) AS lines, max(length(line))::INTEGER AS longest FROM l WHERE length(line) > 10 GROUP BY doc_id")

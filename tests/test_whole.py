@@ -69,3 +69,9 @@ def test_packing_goes_over_all_scored_documents(spark, tmp_path):
     for r in retrieval.pack(every, 1500, 8, 0.0).collect():
         packed[r.query] += r.tokens
     assert {r.item_id: r.packed for r in QUERIES["compiled_context"](spark, d).collect()} == packed
+
+
+def test_labels_hold_the_whole_text(spark, tmp_path):
+    texts = ["  a common opening of texts: one ", "a common opening of texts: two", "   ", "x" * 5000, "x" * 5001, "short"]
+    want = {(i, f"src{i % 2}: {t.strip()}") for i, t in enumerate(texts) if 1 <= len(t.strip()) <= 5000}
+    assert {(r.doc_id, r.label) for r in QUERIES["scan_labels"](spark, documents(spark, tmp_path, texts)).collect()} == want
