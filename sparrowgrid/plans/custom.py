@@ -28,12 +28,12 @@ def trajectory_vector(spark, sf_dir):
 
 @query("random_projection_embed")
 def random_projection_embed(spark, sf_dir):
-    return embed.random_projection(table(spark, sf_dir, "conversations").select(F.col("conv_id"), "text"), "conv_id", "text", 16)
+    return embed.random_projection(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("word_vectors")
 def word_vectors(spark, sf_dir):
-    return embed.word_table(table(spark, sf_dir, "conversations"), "conv_id", "text")
+    return embed.word_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("claim_signature")

@@ -75,3 +75,10 @@ def test_labels_hold_the_whole_text(spark, tmp_path):
     texts = ["  a common opening of texts: one ", "a common opening of texts: two", "   ", "x" * 5000, "x" * 5001, "short"]
     want = {(i, f"src{i % 2}: {t.strip()}") for i, t in enumerate(texts) if 1 <= len(t.strip()) <= 5000}
     assert {(r.doc_id, r.label) for r in QUERIES["scan_labels"](spark, documents(spark, tmp_path, texts)).collect()} == want
+
+
+def test_embeddings_are_of_documents(spark, tmp_path):
+    d = documents(spark, tmp_path, ["ab cd ab", "cd ef gh", "ab cd ab"])
+    rows = {r.doc_id: r.embedding for r in QUERIES["random_projection_embed"](spark, d).collect()}
+    assert sorted(rows) == [0, 1, 2] and {len(v) for v in rows.values()} == {64} and rows[0] == rows[2] != rows[1]
+    assert {r.w for r in QUERIES["word_vectors"](spark, d).collect()} == {"ab", "cd", "ef", "gh"}
