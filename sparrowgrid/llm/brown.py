@@ -79,30 +79,34 @@ def with_ends(codes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndar
     return out, offsets + np.arange(len(n) + 1) + 1
 
 
-def _frequent(top: int):
+def _counted():
+    """Counts of all words of a task, by hash; a word can come in several rows, which are to be summed."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts = [], 0, 0
+        held, size = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             key, which = np.unique(h, return_inverse=True)
             return key, np.bincount(which, weights=n).astype(np.int64)
 
+        def rows(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(h), 100_000):
+                yield batches({"h": h[k : k + 100_000].view(np.int64), "n": n[k : k + 100_000]}, schema)
+
         for b in frames:
             for _, some in chunks(texts_of(b.column(0)), 4 << 20):
-                h = words(some)[3]
-                texts += len(some)
-                held.append(np.unique(h, return_counts=True))
+                held.append(np.unique(words(some)[3], return_counts=True))
                 size += len(held[-1][0])
                 if size > 3_000_000:
                     held = [merged()]
                     size = len(held[0][0])
+                    if size > 1_500_000:
+                        yield from rows(*held[0])
+                        held, size = [], 0
         if held:
-            h, n = merged()
-            order = np.lexsort((h, -n))[:top]
-            yield batches({"h": h[order].view(np.int64), "n": n[order]}, schema)
+            yield from rows(*merged())
 
     return run
 
@@ -380,7 +384,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).alias("text"))
     train = rows.where(~F.col("held")).select("text")
-    top = train.mapInArrow(lean(_frequent(context)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = train.mapInArrow(lean(_counted()), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.col("n").desc(), "h").limit(context).toArrow()
     hashes = top.column("h").to_numpy().view(np.uint64)
     known = Words(hashes)
