@@ -1,4 +1,4 @@
-"""Connected components of links, as frames only: local contraction in each task, then rounds of least-neighbour labels with pointer jumping."""
+"""Connected components of links: local contraction in each task, then rounds of large-star and small-star."""
 
 from __future__ import annotations
 
@@ -8,44 +8,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, written
+from sparrowgrid.llm.shared import batches, discard, written
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: Links that one task joins at once (some 200 bytes each); more go by rounds of joins.
+ONE_TASK = 500_000
 
 
-def _contract(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the links of each batch by a star of every part they join, with the least id in the middle."""
+def _stars(u: list[int], v: list[int]) -> pa.RecordBatch:
+    """The parts that links join, each as links from its nodes to its least id."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(u, v, strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    pairs = [(x, r) for x in parent if (r := root(x)) != x]
+    return batches({"u": [p[0] for p in pairs], "v": [p[1] for p in pairs]}, EDGES)
+
+
+def _by_batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in frames:
+        yield _stars(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+
+def _whole(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u: list[int] = []
+    v: list[int] = []
     for b in frames:
-        parent: dict[int, int] = {}
-
-        def root(x: int, parent=parent) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        yield batches({"u": [p[0] for p in pairs], "v": [p[1] for p in pairs]}, EDGES)
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component`` of every node that has a link in ``links(u, v)``: the least id that links reach. Each round is a table in the shared folder."""
-    edges = written(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "edges")
+        u += b.column(0).to_pylist()
+        v += b.column(1).to_pylist()
+    yield _stars(u, v)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every greater neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
-    label = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
-    for _ in range(rounds):
-        # The least label among a node's neighbours, then the label of that label.
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-        low = label.join(near, label["node"] == near["u"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        after = written(low.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("up", "low")).alias("component")), "labels")
-        moved = after.where("component <> old").limit(1).count()
-        label = after.select("node", "component")
-        if not moved:
-            return label
-    raise RuntimeError(f"components are not stable after {rounds} rounds")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links a node and its lesser neighbours to the least of these."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    moved = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return moved.union(low.select("u", "low")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` of every node that has a link in ``links(u, v)``: the least id that links reach.
+
+    Few links are joined by one task. Of many, each round (a table in the shared folder) shortens the longest path to the
+    least id by a constant factor, so rounds grow with the logarithm of that path. Nulls and links of a node to itself are left out.
+    """
+    clean = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
+    edges = written(clean.mapInArrow(_by_batch, "u long, v long").distinct(), "edges")
+    if edges.count() <= ONE_TASK:
+        stars = written(edges.coalesce(1).mapInArrow(_whole, "u long, v long"), "edges")
+        discard(edges)
+    else:
+        mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+        before = None
+        while True:
+            large = written(_large_star(edges), "edges")
+            stars = written(_small_star(large), "edges")
+            discard(edges, large)
+            edges, after = stars, tuple(stars.agg(mark.alias("m")).first()["m"])
+            if after == before:
+                break
+            before = after
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())

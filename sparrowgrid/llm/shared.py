@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in frames:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sparrowgrid/" in f:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches of texts for Python by bytes rather than rows, so that long texts don't meet in one batch by the thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
