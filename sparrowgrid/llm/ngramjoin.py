@@ -19,7 +19,8 @@ A document is the set of its distinct shingles of ``WIDTH`` words. Two documents
    shingles). These pairs too are verified once. Pairs inside a component need no look, so no link between components is lost.
 
 Nulls: a null text has no shingles, as an empty one: size 0, no link, its own component. A null doc_id keeps its row with
-a null component. Rows that share a doc_id count as one document. Long texts are taken whole; further columns are left
+a null component. Rows that share a doc_id join the components of their texts, but for a row without shingles, which
+links with nothing. Long texts are taken whole; further columns are left
 out. An empty table gives an empty table. Equality of shingles is that of their 64-bit hashes.
 """
 
