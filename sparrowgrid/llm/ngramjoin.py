@@ -10,9 +10,9 @@ A document is the set of its distinct shingles of ``WIDTH`` words. Two documents
 3. Back at the document, shingles are in rare-first order: those that are nowhere else, then by frequency, then by hash.
    The prefix is what any partner must share a shingle of. Shingles of one class can be in no partner, so a document with
    more of them than the prefix is long links with nothing and leaves; only shingles of several classes are kept of others.
-4. Stars: of the classes whose prefixes share a shingle, each is paired with the least one. Length and positional filters
-   drop pairs that can't link; a pair left is verified once. Components of these links cost as many pairs as there are
-   rows, however large a group of near copies is.
+4. Stars: of the classes whose prefixes share a shingle, each is paired with the one that has the fewest shingles of its
+   own. Length and positional filters drop pairs that can't link; a pair left is verified once. Components of these links
+   cost as many pairs as there are rows, however large a group of near copies is.
 5. What stars can't show: for prefix shingles whose classes are in several components, each class outside the shingle's
    largest component is paired with all classes of other components there, under length, positional and suffix filters (the
    suffix filter compares parities of shingle counts over ranges of the hash, twice as many or more as there are
@@ -59,7 +59,7 @@ DEALT = pa.schema([("range", pa.int64()), ("deal", pa.int64()), ("token", pa.bin
 COUNTED = pa.schema([("deal", pa.int64()), ("token", pa.binary()), ("doc", pa.binary()), ("level", pa.binary()), ("n", pa.binary())])
 #: ``tokens`` in rare-first order, of which the first ``k`` are in the prefix; ``rare`` is the number of shingles of this class alone.
 CANDIDATES = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("k", pa.int32()), ("tokens", pa.binary()), ("parity", pa.list_(pa.int64()))])
-TOKENS = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+TOKENS = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("rare", pa.int32())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -273,7 +273,7 @@ def _prefix_tokens(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         token = [np.frombuffer(t.as_py(), np.int64, int(m)) for t, m in zip(b.column(4), k, strict=True)]
         if len(token):
             pos = np.concatenate([np.arange(r, r + m, dtype=np.int32) for r, m in zip(rare, k, strict=True)])
-            yield batches({"token": np.concatenate(token), "class": np.repeat(cls, k), "n": np.repeat(n, k), "pos": pos}, TOKENS)
+            yield batches({"token": np.concatenate(token), "class": np.repeat(cls, k), "n": np.repeat(n, k), "pos": pos, "rare": np.repeat(rare, k)}, TOKENS)
 
 
 def may_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
@@ -352,9 +352,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     candidates = written(counted.groupBy("deal").applyInArrow(_candidates, ddl(CANDIDATES)), "candidates")
 
     tokens = candidates.select("class", "n", "rare", "k", "tokens").mapInArrow(_prefix_tokens, ddl(TOKENS))
-    first = tokens.groupBy("token").agg(F.min(F.struct("class", "n", "pos")).alias("u"))
-    stars = tokens.join(first, "token").where((F.col("class") > F.col("u.class")) & may_link(F.col("n"), F.col("pos"), F.col("u.n"), F.col("u.pos")))
-    stars = written(stars.select(F.col("u.class").alias("u"), F.col("class").alias("v")).distinct(), "stars")
+    # The text with the fewest shingles of its own is what the others of a group vary: few of them miss it.
+    first = tokens.groupBy("token").agg(F.min(F.struct("rare", "class", "n", "pos")).alias("u"))
+    stars = tokens.join(first, "token").where((F.col("class") != F.col("u.class")) & may_link(F.col("n"), F.col("pos"), F.col("u.n"), F.col("u.pos")))
+    stars = written(stars.select(F.least("u.class", "class").alias("u"), F.greatest("u.class", "class").alias("v")).distinct(), "stars")
     reps = written(candidates.select("class", "n").distinct().join(classes.select(F.col("h1").alias("class"), "n", "rep"), ["class", "n"]).select("class", "rep"), "reps")
 
     def by_rep(links: DataFrame) -> DataFrame:
@@ -372,7 +373,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     major = sizes.groupBy("token").agg(F.max(F.struct("size", F.col("component").alias("major"))).alias("m")).select("token", "m.major")
     # Both sides carry the grid, so that unlike texts that share a passage don't become rows.
-    placed = placed.join(candidates.select("class", "rare", "parity"), "class")
+    placed = placed.join(candidates.select("class", "parity"), "class")
     minor = placed.join(major, "token").where("component <> major")
     minor = minor.select("token", "major", *[F.col(c).alias(f"{c}1") for c in ("class", "n", "pos", "component", "rare", "parity")])
     pairs = minor.join(placed, "token").where(
