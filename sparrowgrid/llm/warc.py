@@ -5,11 +5,15 @@ record type and on header columns are pushed down; a task parses a record's head
 record that a predicate rejects (a seek in a plain archive, inflating without decoding in a compressed one). Option
 ``payload=false`` leaves every payload out. Option ``verify`` (default true) holds each payload against its digest.
 
-Writing: each task writes archives of its own under names that no other attempt uses; the driver's commit names the
-finished ones in a manifest, so a lost executor or a second attempt leaves no half archive in the result. Paths may be
-any URI that pyarrow.fs opens.
-
-Nulls: a null payload is the empty payload, a null url or id an absent header. Long payloads are written whole. Rows
+Writing: each task writes archives of its own under names that no other attempt uses; each commit of the driver adds a
+manifest of its own that names the finished ones, so a lost executor or a second attempt leaves no half archive in the
+result, and appending keeps what earlier commits wrote. Mode overwrite removes earlier manifests and their archives once
+the new manifest is there. Paths may be any URI that pyarrow.fs opens.
+
+Nulls: a null payload is the empty payload, a null url or id an absent header. A url is kept as it is, percent signs and
+inner spaces included; only control characters and spaces at its ends, which a header can't hold, are percent-encoded
+and read back so. A record without a type reads as null type; one without a length, or an archive that ends inside a
+record, raises. Long payloads are written whole. Rows
 that repeat a page stay as records of their own. An empty table gives an empty archive folder that reads as no rows.
 """
 
@@ -19,7 +23,7 @@ import base64
 import hashlib
 import io
 import json
-import urllib.parse
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,7 +47,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-MANIFEST = "_archives.json"
+MANIFEST = "_archives"
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary"
 ARROW = pa.schema(
     [("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string())]
@@ -56,6 +60,10 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: What a header's value can't hold as it is.
+UNFIT = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]|^ +| +$")
+
+
 def base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
@@ -68,7 +76,7 @@ def record(record_id: str | None, kind: str, url: str | None, digest: str, paylo
     if record_id is not None:
         head.append(f"WARC-Record-ID: <{ID}{record_id}>")
     if url is not None:
-        head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        head.append(f"WARC-Target-URI: {UNFIT.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)}")
     if refers_to is not None:
         head.append(f"WARC-Refers-To: <{ID}{refers_to}>")
     if kind == "revisit":
@@ -136,6 +144,14 @@ class Predicate:
         return None
 
 
+def manifests(fs, there: list[pafs.FileInfo]) -> Iterator[list[dict]]:
+    """The archives that each finished commit in a folder named."""
+    for i in there:
+        if i.base_name.startswith(MANIFEST) and i.base_name.endswith(".json"):
+            with fs.open_input_stream(i.path) as f:
+                yield json.loads(f.read())
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -155,12 +171,11 @@ class WarcReader(DataSourceReader):
         fs, root = pafs.FileSystem.from_uri(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [Archives([self.path])]
-        manifest = f"{root}/{MANIFEST}"
-        if fs.get_file_info(manifest).type == pafs.FileType.File:
-            with fs.open_input_stream(manifest) as f:
-                found = [(x["name"], x["bytes"]) for x in json.loads(f.read())]
-        else:
-            there = fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
+        there = fs.get_file_info(pafs.FileSelector(root, recursive=False, allow_not_found=True))
+        found = []
+        for m in manifests(fs, there):
+            found += [(x["name"], x["bytes"]) for x in m]
+        if not found:
             found = [(i.base_name, i.size) for i in there if i.type == pafs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
         out: list[InputPartition] = []
         size = self.pack
@@ -198,11 +213,14 @@ class WarcReader(DataSourceReader):
                 yield line
 
         def skip(n: int) -> None:
-            if seek:
-                stream.seek(n, 1)
-            else:
-                while n > 0 and (got := len(stream.read(min(n, 1 << 16)))):
-                    n -= got
+            if seek and n:
+                # The last byte is read, so that an archive that ends inside a record is noticed.
+                stream.seek(n - 1, 1)
+                n = 1
+            while n > 0 and (got := len(stream.read(min(n, 1 << 16)))):
+                n -= got
+            if n > 0:
+                raise ValueError("an archive ends inside a record")
 
         while True:
             version = stream.readline()
@@ -216,6 +234,8 @@ class WarcReader(DataSourceReader):
             for line in lines():
                 key, _, value = line.decode("utf-8", "replace").partition(":")
                 head[key.strip().lower()] = value.strip()
+            if not head.get("content-length", "").isdigit():
+                raise ValueError(f"record {head.get('warc-record-id')}: no Content-Length")
             length = int(head["content-length"])
             if not all(p.holds(self.value(head, p.column)) for p in self.predicates):
                 skip(length)
@@ -239,12 +259,14 @@ class WarcReader(DataSourceReader):
                 for line in http.split(b"\r\n")[1:]:
                     if line.lower().startswith(b"content-length:"):
                         http_length = int(line.split(b":")[1])
-                if self.payload and head["warc-type"] != "revisit":
+                if self.payload and head.get("warc-type") != "revisit":
                     payload = body
                     if self.verify and digest and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"record {head.get('warc-record-id')}: its payload has another digest")
             else:
                 payload = stream.read(length) if self.payload else skip(length)
+                if payload is not None and len(payload) < length:
+                    raise ValueError("an archive ends inside a record")
             yield *(self.value(head, c) for c in HEADERS), digest, http_length, payload
 
     @staticmethod
@@ -252,8 +274,6 @@ class WarcReader(DataSourceReader):
         found = head.get(HEADERS[column].lower())
         if found is not None and column in ("record_id", "refers_to"):
             found = found.strip("<>").removeprefix(ID)
-        elif found is not None and column == "target_uri":
-            found = urllib.parse.unquote(found)
         return found
 
 
@@ -265,8 +285,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows ``record_id, record_type, target_uri, refers_to, payload_digest, payload``."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.most = int(options.get("archivebytes", 64 << 20))
         self.level = int(options.get("level", 1))
 
@@ -296,8 +316,18 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        there = fs.get_file_info(pafs.FileSelector(root, recursive=False)) if self.overwrite else []
+        old = [x["name"] for m in manifests(fs, there) for x in m]
+        # A manifest counts under its final name only, which it gets when it is whole.
+        name = f"{root}/{MANIFEST}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.tmp", compression=None) as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        fs.move(f"{name}.tmp", f"{name}.json")
+        for i in there:
+            if i.base_name.startswith(MANIFEST):
+                fs.delete_file(i.path)
+        for x in old:
+            fs.delete_file(f"{root}/{x}")
 
     def abort(self, messages) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -317,7 +347,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -330,7 +360,7 @@ def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("warc").options(**options).load(path)
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000) -> None:
+def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 1000, mode: str = "append") -> None:
     """Write a record for each page. Of equal payloads of ``revisit_from`` bytes or more the one with the largest id is a
     response (each of them, where rows share that id) and the others are revisits of it; smaller ones are all responses.
 
@@ -353,4 +383,4 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.col("digest").alias("payload_digest"),
         F.col("payload"),
     )
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode(mode).save(path)
