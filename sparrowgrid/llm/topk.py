@@ -4,21 +4,23 @@ Components are floor(64 * x); inner products are integers, so results are exact
 
 1. The Gram matrix of all vectors (its size is the dimension's square) is summed over tasks; its eigenvectors are the
    right singular vectors of the table. They rotate vectors so that the first coordinates carry most of an inner product.
-2. Vectors are sorted by descending length into blocks by range partitioning, queries are dealt into blocks of their own,
-   and every block of queries meets every block of vectors: a stated query set against all rows, in blocks.
-3. The longest vectors (``HEAD`` rows, a fixed number) give every query a first k-th score. In a block of vectors, taken
-   in order of descending length, a query stops where |q| |x| can't reach its k-th score (Cauchy-Schwarz); of the rest, the
-   product of the first rotated coordinates plus the product of the lengths of the other coordinates bounds the score, and
+2. Vectors and queries are sorted by descending length into blocks of their own by range partitioning. The longest vectors
+   (``HEAD`` rows, a fixed number) give every query a first k-th score, and a block of queries a length that a vector must
+   have for any of its queries to reach that score (Cauchy-Schwarz): only blocks that hold such vectors are sent to meet it.
+3. In a block of vectors, taken in order of descending length, a query stops where |q| |x| can't reach its k-th score; of
+   the rest, the product of the first rotated coordinates plus the product of the lengths of the other coordinates bounds the score, and
    only vectors whose bound reaches the k-th score get their integer product. Bounds have slack for rounding.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as queries or candidates; nor do rows without an
 id. Vectors must have one dimension (others raise). Ties go to the smaller id; rows that repeat an id are candidates of
-their own, except a query's own id. Components must fit 31 bits after scaling. Further columns are left out. An empty
+their own, except a query's own id; of query rows that repeat an id, the least vector asks. Components must fit 31 bits after scaling. Further columns are left out. An empty
 table gives an empty table.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,12 @@ from sparrowgrid.llm.shared import batches, written
 
 K, SCALE = 20, 64.0
 #: Longest vectors that give first thresholds, queries of a block, and vectors of a block.
-HEAD, QUERIES, BLOCK = 2048, 1024, 8192
+HEAD, QUERIES, BLOCK = 2048, 4096, 8192
 #: Rotated coordinates of the partial sums, as a share of the dimension.
 LEADING = 0.25
 
-PACKED = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32())])
+PACKED = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("longest", pa.float64())])
+ASKED = pa.schema([*PACKED, ("bars", pa.binary()), ("x_blocks", pa.list_(pa.int64()))])
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -67,12 +70,10 @@ def _gram(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batches({"gram": [total.reshape(-1)]}, pa.schema([("gram", pa.list_(pa.float64()))]))
 
 
-def _packer(size: int, by_length: bool):
+def _packer(size: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         ids, rows, held = [], [], 0
-        for b in [*frames, None]:
+        for b in itertools.chain(frames, [None]):
             if b is not None and b.num_rows:
                 ids.append(b.column(0).to_numpy())
                 rows.append(_matrix(b.column(1)).astype(np.int32))
@@ -80,7 +81,7 @@ def _packer(size: int, by_length: bool):
             while held and (held >= size or b is None):
                 i, m = np.concatenate(ids), np.concatenate(rows)
                 out = {"block": [uuid.uuid4().int >> 65], "ids": [i[:size].tobytes()], "vectors": [m[:size].tobytes()], "dim": [m.shape[1]]}
-                yield batches(out, PACKED)
+                yield batches(out | {"longest": [np.sqrt((m[:size].astype(float) ** 2).sum(1).max())]}, PACKED)
                 ids, rows, held = [i[size:]], [m[size:]], max(0, held - size)
 
     return run
@@ -145,32 +146,48 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     kept = spark.sparkContext.broadcast((turn, head_ids, head_vectors))
 
     n = rows.count()
-    groups = int(max(1, min(-(-n // BLOCK), 4096)))
-    packed = "block long, ids binary, vectors binary, dim int"
-    long_first = rows.repartitionByRange(groups, F.col("square").desc(), "id").sortWithinPartitions(F.col("square").desc(), "id").select("id", "v")
-    blocks = written(long_first.mapInArrow(_packer(BLOCK, True), packed), "blocks").withColumnsRenamed({"ids": "x_ids", "vectors": "x", "block": "x_block"}).drop("dim")
-    # Repeated query rows would repeat results: one query for each id and vector.
-    asked = rows.where(is_query).dropDuplicates(["id"]).select("id", "v").repartition("id")
-    queries = written(asked.mapInArrow(_packer(QUERIES, False), packed), "queries")
-    # Every block of queries gets the number of every block of vectors (8 bytes for BLOCK rows), then the block itself.
-    met = queries.join(blocks.select("x_block")).join(blocks, "x_block").repartition(groups, "block", "x_block")
+    packed = "block long, ids binary, vectors binary, dim int, longest double"
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_length(some: DataFrame, groups: int) -> DataFrame:
+        return some.repartitionByRange(groups, F.col("square").desc(), "id").sortWithinPartitions(F.col("square").desc(), "id").select("id", "v")
+
+    groups = max(1, -(-n // BLOCK))
+    blocks = written(by_length(rows, groups).mapInArrow(_packer(BLOCK), packed), "blocks").withColumnRenamed("block", "x_block")
+    # The length of the longest vector of every block: 16 bytes for BLOCK rows.
+    longest = blocks.select("x_block", "longest").toArrow()
+    numbers, lengths = longest.column("x_block").to_numpy(), longest.column("longest").to_numpy()
+    asked = rows.where(is_query).groupBy("id").agg(F.min(F.struct("v", "square")).alias("q")).select("id", "q.v", "q.square")
+    n_asked = asked.count()
+
+    def meets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's first bar, and the blocks of vectors that hold one long enough for some query."""
         turn, head_ids, head_vectors = kept.value
         for b in frames:
-            for r in b.select(["ids", "vectors", "dim", "x_ids", "x"]).to_pylist():
-                ranker = Ranker(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int32).reshape(-1, r["dim"]), turn, k)
-                # The k-th score among the longest vectors is a bar that the final k-th score can't be under.
-                first = Ranker(ranker.ids, ranker.vectors, turn, k)
+            for r in b.to_pylist():
+                first = Ranker(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int32).reshape(-1, r["dim"]), turn, k)
                 first.meet(head_ids, head_vectors)
-                ranker.bar = first.bar
-                ranker.meet(np.frombuffer(r["x_ids"], np.int64), np.frombuffer(r["x"], np.int32).reshape(-1, r["dim"]))
-                size = [len(s) for s, _ in ranker.best]
-                yield batches(
-                    {"query_id": np.repeat(ranker.ids, size), "vec_id": np.concatenate([v for _, v in ranker.best]), "score": np.concatenate([s for s, _ in ranker.best])},
-                    FOUND,
-                )
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    reach = np.where(first.norm > 0, (first.bar - 1e-6) / (first.norm * (1 + 1e-9)), -np.inf).min()
+                yield batches({f.name: [r[f.name]] for f in PACKED} | {"bars": [first.bar.tobytes()], "x_blocks": [numbers[lengths >= reach]]}, ASKED)
+
+    queries = by_length(asked, max(1, -(-n_asked // QUERIES))).mapInArrow(_packer(QUERIES), packed)
+    queries = written(queries.mapInArrow(meets, packed + ", bars binary, x_blocks array<long>"), "queries")
+    met = queries.withColumn("x_block", F.explode("x_blocks"))
+    sent = blocks.join(met.select("block", "x_block"), "x_block").select("block", "x_block", "ids", "vectors", "dim", F.lit(None).cast("binary").alias("bars"))
+    both = met.select("block", "x_block", "ids", "vectors", "dim", "bars").union(sent)
+    tasks = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(part: pa.Table) -> pa.Table:
+        turn, _, _ = kept.value
+        q, x = sorted(part.to_pylist(), key=lambda r: r["bars"] is None)
+        ranker = Ranker(np.frombuffer(q["ids"], np.int64), np.frombuffer(q["vectors"], np.int32).reshape(-1, q["dim"]), turn, k)
+        # The k-th score among the longest vectors is a bar that the final k-th score can't be under.
+        ranker.bar = np.frombuffer(q["bars"], float).copy()
+        ranker.meet(np.frombuffer(x["ids"], np.int64), np.frombuffer(x["vectors"], np.int32).reshape(-1, x["dim"]))
+        size = [len(s) for s, _ in ranker.best]
+        out = {"query_id": np.repeat(ranker.ids, size), "vec_id": np.concatenate([v for _, v in ranker.best]), "score": np.concatenate([s for s, _ in ranker.best])}
+        return pa.Table.from_batches([batches(out, FOUND)])
+
+    found = both.repartition(tasks, "block", "x_block").groupBy("block", "x_block").applyInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
