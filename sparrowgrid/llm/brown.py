@@ -238,11 +238,10 @@ def _coded(known: Words, classes: np.ndarray, n_buckets: int):
             edge = np.searchsorted(bucket_of(mine, n_buckets), np.arange(n_buckets + 1))
             at = np.concatenate(([0], np.cumsum(count)))
             rows: dict[str, list] = {f.name: [] for f in CODED}
-            for k in range(n_buckets):
+            for k in np.flatnonzero(np.diff(edge)).tolist():
                 a, b = edge[k], edge[k + 1]
-                if a < b:
-                    for c, v in zip(rows, (1, number, k, None, None, _pack(count[a:b]), None, None, mine[a:b].tobytes(), before[at[a] : at[b]].tobytes(), after[at[a] : at[b]].tobytes()), strict=True):
-                        rows[c].append(v)
+                for c, v in zip(rows, (1, number, k, None, None, _pack(count[a:b]), None, None, mine[a:b].tobytes(), before[at[a] : at[b]].tobytes(), after[at[a] : at[b]].tobytes()), strict=True):
+                    rows[c].append(v)
             yield batches(rows, CODED)
 
         ids, held, texts, size = [], [], [], 0
