@@ -7,7 +7,7 @@ overlap marked words, and running Karp-Rabin finds them by rolling hashes at fal
 order, a reordered passage is covered too. A document is contaminated by an item of which tiles cover ``THRESHOLD``.
 
 A tile lies inside a run of shared seeds, so tiling only looks at those runs, from whole texts. The items' index is
-broadcast in parts of at most ``INDEX_BYTES`` of item text, each part with a scan of its own; a part's size is checked.
+broadcast in parts of ``INDEX_BYTES`` at most (a single longer item is a part), each part with a scan of its own.
 
 Nulls: null texts and items have no words and no result; a null id stays null. Ties: of equally long matches the first in
 the item, then in the document, is marked first. Repeated rows give repeated results; further columns are left out.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.llm.shared import batches, chunks, shingles, lean, small_batches, spans, span_hashes, texts_of
 
 LEAST, THRESHOLD = 4, 0.5
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 64 << 20
 PRIME = (1 << 61) - 1
 RADIX = 1_000_003
 #: ASCII by itself, in lower case; what is no word becomes a space. Bytes of other letters stay (punctuation beyond ASCII is found by str).
@@ -131,14 +131,14 @@ class Index:
         self.least, self.threshold = least, threshold
         self.ids = [i for i, _ in items]
         h, at = word_hashes([(t or "").encode() for _, t in items]) if items else (np.empty(0, np.uint64), np.zeros(1, np.int64))
-        self.words = [h[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.words = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by = defaultdict(list)
         for k, w in enumerate(self.words):
-            if w:
+            if len(w):
                 by[min(least, len(w))].append(k)
         for width, some in by.items():
-            own = np.concatenate([np.array(self.words[k], np.uint64) for k in some])
+            own = np.concatenate([self.words[k] for k in some])
             off = np.concatenate(([0], np.cumsum([len(self.words[k]) for k in some])))
             s, cut = shingles(own, off, width)
             which = np.repeat(np.array(some), np.diff(cut))
@@ -185,7 +185,7 @@ class Index:
                     if key not in self.memo:
                         if len(self.memo) > 20_000:
                             self.memo.clear()
-                        t = tiles(self.words[k], runs, width)
+                        t = tiles(self.words[k].tolist(), runs, width)
                         self.memo[key] = (k, len(self.words[k]), sum(x[2] for x in t), len(t), max((x[2] for x in t), default=0))
                     got = self.memo[key]
                     if got[2] >= self.threshold * got[1]:
@@ -196,13 +196,18 @@ class Index:
 
 
 def _indexes(benchmark: DataFrame, least: int, threshold: float, index_bytes: int) -> Iterator[Index]:
-    """The items' index in parts of a checked size, one at a time."""
+    """The items' index in parts, each of as many items as fit ``index_bytes`` when built: 8 bytes a word and 24 a seed."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-int(total) // index_bytes))
-    for k in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in mine.orderBy("item_id", "text").toLocalIterator()], least, threshold)
+    held: list[tuple[int | None, str]] = []
+    size = 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        built = 32 * len(_plain(r["text"].encode()).split()) + 64
+        if held and size + built > index_bytes:
+            yield Index(held, least, threshold)
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += built
+    yield Index(held, least, threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
