@@ -162,7 +162,8 @@ def inputs(sums: np.ndarray) -> np.ndarray:
 def candidates(text: bytes) -> set[str]:
     """Beginnings and whole words (with a space at the end) of a text, folded."""
     out = set()
-    for w in set(fold([text])[0].strip(b" \x01").decode("latin-1").split()):
+    # Split at spaces alone: bytes of other letters may look like white space.
+    for w in set(fold([text])[0].strip(b" \x01").decode("latin-1").split(" ")):
         if len(w) >= SHORTEST:
             out.update(w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
             out.add(w[:40] + " " if len(w) <= 40 else w[:LONGEST])
