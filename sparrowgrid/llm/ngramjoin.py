@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.components import components
-from sparrowgrid.llm.shared import batches, chunks, discard, lean, mix, shingles, signed, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, discard, gaps, lean, mix, packed, runs, shingles, signed, small_batches, texts_of, unpacked, words, written
 
 WIDTH = 5
 #: Shingles of a range of hashes, and of what a task deals at once.
@@ -86,28 +86,6 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return n, out[0], out[1]
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Bytes of an array by significance: high bytes of small numbers come together and compress away."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def unpacked(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
-
-
-def gaps(x: np.ndarray) -> np.ndarray:
-    """Differences of a sorted array; the first is the value itself."""
-    return np.diff(x, prepend=np.uint64(0))
-
-
-def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of equal values of a sorted array, and the run of each element."""
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def _summaries(width: int, sample: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampled: set[int] = set()
