@@ -7,6 +7,7 @@ that are counted alone: a run of spaces with what follows up to the next space o
 1. A scan deals texts in blocks. A block's row holds, for each document, its pre-tokens (by their place among the block's
    distinct ones, sorted by hash) with their frequencies; its distinct pre-tokens go by ranges of their 64-bit hash, spelt out.
 2. A range meets each distinct pre-token of the corpus once, counts its pieces with the library, and answers each block.
+   Blocks' rows pass through some range, so that one scan and no stored table serves both.
 3. Blocks join their answers and sum frequency times pieces by document.
 
 Nulls: a null text is the empty text (0 tokens). Long texts are counted whole; a text over a block's size is a block.
@@ -15,6 +16,7 @@ Repeated rows stay; further columns of the input are left out. An empty table gi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, gaps, lean, packed, runs, small_batches, span_hashes, texts_of, unpacked, written
+from sparrowgrid.llm.shared import batches, lean, mix, packed, runs, small_batches, span_hashes, texts_of, unpacked
 
 MARK = "▁".encode()
 #: Bytes of text of a block, and bytes of corpus for each range of hashes.
@@ -32,9 +34,10 @@ BLOCK_BYTES, RANGE_BYTES = 8 << 20, 64 << 20
 #: A block's documents (kind 0) and its distinct pre-tokens of a range (kind 1): ``lengths`` and ``spelt``, in the order of hashes.
 DEALT = pa.schema(
     [("kind", pa.int32()), ("block", pa.int64()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))]
-    + [("sizes", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("lengths", pa.binary()), ("spelt", pa.binary())]
+    + [("sizes", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary()), ("spelt", pa.binary())]
 )
-ANSWERS = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("pieces", pa.binary())])
+#: The blocks' documents, or (range is set) the pieces of a block's pre-tokens of a range.
+ANSWERS = pa.schema([("block", pa.int64()), ("range", pa.int64()), *list(DEALT)[3:8], ("pieces", pa.binary())])
 OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -99,6 +102,10 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
+def tight(x: np.ndarray) -> bytes:
+    return zlib.compress(packed(x), 1)
+
+
 def _deal(n_ranges: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -112,15 +119,15 @@ def _deal(n_ranges: int):
             step = np.diff(place, prepend=0)
             step[runs(doc)[0]] = place[runs(doc)[0]]
             rows: dict[str, list] = {f.name: [None] for f in DEALT}
-            own = {"kind": 0, "block": number, "ids": ids, "n_bytes": [len(t) for t in texts]}
-            own |= {"sizes": packed(np.bincount(doc, minlength=len(texts)).astype(np.uint32)), "places": packed(step.astype(np.uint32)), "counts": packed(count.astype(np.uint32))}
+            own = {"kind": 0, "block": number, "range": int(mix(np.array([number], np.uint64))[0] % np.uint64(n_ranges)), "ids": ids, "n_bytes": [len(t) for t in texts]}
+            own |= {"sizes": packed(np.bincount(doc, minlength=len(texts)).astype(np.uint32)), "places": tight(step.astype(np.uint32)), "counts": tight(count.astype(np.uint32))}
             for name, x in own.items():
                 rows[name] = [x]
             where = ((p.hashes >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
             cut = runs(where)[0].tolist()
             for a, b in zip(cut, [*cut[1:], n], strict=True):
                 spelt = [p.spelt(i) for i in range(a, b)]
-                mine = {"kind": 1, "block": number, "range": int(where[a]), "hashes": packed(gaps(p.hashes[a:b])), "lengths": packed(np.array([len(x) for x in spelt], np.uint32)), "spelt": b"".join(spelt)}
+                mine = {"kind": 1, "block": number, "range": int(where[a]), "lengths": packed(np.array([len(x) for x in spelt], np.uint32)), "spelt": zlib.compress(b"".join(spelt), 1)}
                 for f in DEALT:
                     rows[f.name].append(mine.get(f.name))
             yield batches(rows, DEALT)
@@ -143,15 +150,23 @@ def _deal(n_ranges: int):
 
 def _answered(model: str):
     def run(part: pa.Table) -> pa.Table:
-        """Pieces of each block's pre-tokens in a range; each distinct one is counted once."""
-        hashes = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in part.column("hashes")]
-        distinct, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        size = np.concatenate([unpacked(x.as_py(), np.uint32) for x in part.column("lengths")]).astype(np.int64)
-        data = b"".join(x.as_py() for x in part.column("spelt"))
-        end = np.cumsum(size)
-        pieces = counter(model).pieces([data[end[i] - size[i] : end[i]] for i in first])[which] if len(distinct) else np.empty(0, np.int64)
-        cut = np.cumsum([len(h) for h in hashes])[:-1]
-        rows = {"block": part.column("block").to_pylist(), "range": part.column("range").to_pylist(), "pieces": [packed(x.astype(np.uint32)) for x in np.split(pieces, cut)]}
+        """Pieces of each block's pre-tokens in a range; each distinct one is counted once. Rows of documents pass through."""
+        own = part.filter(pc.equal(part.column("kind"), 0))
+        rows = {c: own.column(c).to_pylist() for c in ("block", "ids", "n_bytes", "sizes", "places", "counts")} | {"range": [None] * len(own), "pieces": [None] * len(own)}
+        part = part.filter(pc.equal(part.column("kind"), 1))
+        if len(part):
+            size = [unpacked(x.as_py(), np.uint32).astype(np.int64) for x in part.column("lengths")]
+            data = b"".join(zlib.decompress(x.as_py()) for x in part.column("spelt"))
+            end = np.cumsum(np.concatenate(size))
+            start = np.concatenate(([0], end[:-1]))
+            _, first, which = np.unique(span_hashes(np.frombuffer(data, np.uint8), start, end), return_index=True, return_inverse=True)
+            pieces = counter(model).pieces([data[start[i] : end[i]] for i in first])[which]
+            cut = np.cumsum([len(x) for x in size])[:-1]
+            rows["block"] += part.column("block").to_pylist()
+            rows["range"] += part.column("range").to_pylist()
+            rows["pieces"] += [packed(x.astype(np.uint32)) for x in np.split(pieces, cut)]
+            for c in ("ids", "n_bytes", "sizes", "places", "counts"):
+                rows[c] += [None] * len(part)
         return pa.table({f.name: pa.array(rows[f.name], f.type) for f in ANSWERS})
 
     return run
@@ -164,7 +179,7 @@ def _summed(part: pa.Table) -> pa.Table:
     rows: dict[str, list] = {f.name: [] for f in OUT}
     for r in part.filter(pc.is_valid(part.column("sizes"))).select(["ids", "n_bytes", "sizes", "places", "counts"]).to_pylist():
         size = unpacked(r["sizes"], np.uint32).astype(np.int64)
-        step, count = unpacked(r["places"], np.uint32).astype(np.int64), unpacked(r["counts"], np.uint32).astype(np.int64)
+        step, count = (unpacked(zlib.decompress(r[c]), np.uint32).astype(np.int64) for c in ("places", "counts"))
         # Places are steps within each document.
         total = np.concatenate(([0], np.cumsum(step)))
         place = total[1:] - np.repeat(total[np.cumsum(size) - size], size)
@@ -182,10 +197,8 @@ def count(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // RANGE_BYTES + 1))
-    schema = "kind int, block long, range long, ids array<long>, n_bytes array<long>, sizes binary, places binary, counts binary, hashes binary, lengths binary, spelt binary"
-    dealt = written(rows.mapInArrow(lean(_deal(n_ranges)), schema), "dealt")
-    said = dealt.where("kind = 1").select("block", "range", "hashes", "lengths", "spelt").groupBy("range").applyInArrow(_answered(model), "block long, range long, pieces binary")
-    blocks = dealt.where("kind = 0").select("block", F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("pieces"), "ids", "n_bytes", "sizes", "places", "counts")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("n_bytes", "array<long>"), ("sizes", "binary"), ("places", "binary"), ("counts", "binary"))]
-    out = blocks.union(said.select("block", "range", "pieces", *none)).groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
+    docs_of = "ids array<long>, n_bytes array<long>, sizes binary, places binary, counts binary"
+    dealt = rows.mapInArrow(lean(_deal(n_ranges)), f"kind int, block long, range long, {docs_of}, lengths binary, spelt binary")
+    said = dealt.groupBy("range").applyInArrow(_answered(model), f"block long, range long, {docs_of}, pieces binary")
+    out = said.groupBy("block").applyInArrow(_summed, "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
