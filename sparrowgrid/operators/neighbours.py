@@ -1,20 +1,25 @@
 """All-pairs similarity by blocks of vectors, reduced inside the task that makes the pairs.
 
-A block holds up to ``block`` vectors in one binary row. Pairs of blocks meet on an explicit block number, a numpy kernel
-makes their similarities, and only a reduced result (best per label, top k, sums) leaves the task, never the pairs.
+A block is one row of packed bytes, up to ``BLOCK`` vectors. Blocks have numbers from 0 on, so a block's copies for every
+other block come from a sequence, without a join; one shuffle brings the two blocks of a pair together, on explicit
+numbers. A numpy kernel makes their similarities by strips, and only a reduced result (best per label, top k, pairs over a
+threshold) leaves the task, never the pairs. What is moved falls with the block's size: n * n / BLOCK vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-8
-BLOCK = 512
+#: Vectors of a block at most and at least, blocks that a small table is cut into, and rows of a strip.
+BLOCK, LEAST, BLOCKS, STRIP = 8192, 256, 4, 1024
+PACKED = "block long, n long, ids binary, vectors binary, labels binary"
 
 
 def matrix(rows) -> np.ndarray:
@@ -26,53 +31,110 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1)), EPS)[:, None]
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, extra: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """``block long, rows array<struct<id, v, extra...>>``: vectors dealt by id into blocks of about ``block`` rows.
+@dataclass
+class Block:
+    """Vectors with ascending ids; labels are NaN where there is none."""
 
-    Ids of a hot range don't matter: rows are dealt by a hash of the id, so blocks are even. Null vectors take no part.
-    """
-    rows = df.where(F.col(vec_col).isNotNull())
-    n = max(1, -(-rows.count() // block))
-    fields = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *[F.col(c) for c in extra or []]]
-    dealt = rows.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("block"), F.struct(*fields).alias("row"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-
-
-def against(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel(left block, right block)`` for every pair of blocks; one input row is one pair."""
-    n = left.select("block").distinct()
-    pairs = (
-        right.withColumnsRenamed({"block": "rblock", "rows": "rrows"})
-        .join(F.broadcast(n))
-        .join(left, "block")
-        .repartition(F.col("block"), F.col("rblock"))
-        .select("rows", "rrows")
-    )
+    id: np.ndarray
+    v: np.ndarray
+    label: np.ndarray
+
+    def __getitem__(self, rows: slice) -> Block:
+        return Block(self.id[rows], self.v[rows], self.label[rows])
+
+
+def _pack(part: pa.Table) -> pa.Table:
+    order = np.argsort(part.column("id").to_numpy(), kind="stable")
+    vectors = part.column("v").combine_chunks()
+    if len(np.unique(np.diff(vectors.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors have several dimensions")
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)[order]
+    label = part.column("label").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+    row = {"block": part.column("block")[:1], "n": [len(part)], "ids": [part.column("id").to_numpy()[order].tobytes()], "vectors": [v.tobytes()], "labels": [label.tobytes()]}
+    return pa.table(row)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for a, b in zip(f["rows"], f["rrows"], strict=True):
-                yield kernel(pd.DataFrame(list(a)), pd.DataFrame(list(b)))
 
-    return pairs.mapInPandas(run, schema)
+def blocks(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[DataFrame, int]:
+    """Packed blocks, numbered from 0, and how many numbers there are.
+
+    Rows are dealt by a hash of the id, so blocks are even whatever the ids are. Null ids and null vectors take no part.
+    """
+    label = F.col(label_col).cast("double") if label_col else F.lit(None).cast("double")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), label.alias("label"))
+    n = rows.count()
+    size = min(BLOCK, max(LEAST, -(-n // BLOCKS)))
+    count = max(1, -(-n // size))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
+    return dealt.groupBy("block").applyInArrow(_pack, PACKED), count
+
+
+def against(left: tuple[DataFrame, int], right: tuple[DataFrame, int], kernel: Callable[[Block, Block], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``kernel(strip of a left block, right block)`` for every pair of blocks."""
+    (a, n_a), (b, n_b) = left, right
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    x = a.select("block", numbers(n_b).alias("other"), F.lit(0).alias("side"), "n", "ids", "vectors", "labels")
+    y = b.select(numbers(n_a).alias("block"), F.col("block").alias("other"), F.lit(1).alias("side"), "n", "ids", "vectors", "labels")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    types = [kinds[c.split(" ")[1]] for c in schema.split(", ")]
+
+    def run(part: pa.Table) -> pa.Table:
+        two: dict[int, Block] = {}
+        for r in part.to_pylist():
+            two[r["side"]] = Block(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1), np.frombuffer(r["labels"], np.float64))
+        found = [kernel(two[0][k : k + STRIP], two[1]) for k in range(0, len(two[0].id), STRIP)] if len(two) == 2 else []
+        parts = [pa.table({c: pa.array(f[c], t) for c, t in zip(names, types, strict=True)}) for f in found]
+        return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
+
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_a * n_b // 8)
+    return x.union(y).repartition(tasks, "block", "other").groupBy("block", "other").applyInArrow(run, schema)
+
+
+def cosines(x: Block, y: Block) -> np.ndarray:
+    return np.clip(unit(x.v) @ unit(y.v).T, -1, 1)
+
+
+def best_of_each(x: Block, y: Block, s: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """The k greatest finite similarities of each row; ties go to the smaller id."""
+    if s.shape[1] > 4 * k:
+        # What is under the k-th value can't be among the first k; equal values stay for the sort.
+        bar = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        p, q = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
+    else:
+        p, q = np.nonzero(np.isfinite(s))
+    v = s[p, q]
+    order = np.lexsort((y.id[q], -v, p))
+    p, q, v = p[order], q[order], v[order]
+    place = np.arange(len(p)) - np.searchsorted(p, p)
+    keep = place < k
+    return {"i": x.id[p[keep]], "j": y.id[q[keep]], "s": v[keep]}
 
 
 def label_best(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataFrame:
     """``i, li, lj, s``: best cosine of each vector to each label, itself left out."""
-    b = blocks(df.select(F.col(id_col), F.col(label_col).cast("long").alias("label"), F.col(vec_col)), id_col, vec_col, ["label"])
-
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = np.clip(unit(matrix(x.v)) @ unit(matrix(y.v)).T, -1, 1)
-        s[x.id.to_numpy()[:, None] == y.id.to_numpy()[None, :]] = -np.inf
-        out = []
-        for lab in sorted(y.label.dropna().unique()):
-            best = s[:, (y.label == lab).to_numpy()].max(1)
-            out.append(pd.DataFrame({"i": x.id, "li": x.label, "lj": lab, "s": np.round(best, 9)})[np.isfinite(best)])
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "li": [], "lj": [], "s": []})
+    b = blocks(df, id_col, vec_col, label_col)
+
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = cosines(x, y)
+        s[x.id[:, None] == y.id[None, :]] = -np.inf
+        out = {c: [] for c in ("i", "li", "lj", "s")}
+        for lab in np.unique(y.label[~np.isnan(y.label)]):
+            best = s[:, y.label == lab].max(1)
+            good = np.isfinite(best)
+            out["i"].append(x.id[good])
+            out["li"].append(x.label[good])
+            out["lj"].append(np.full(good.sum(), lab))
+            out["s"].append(np.round(best[good], 9))
+        got = {c: np.concatenate(v) if v else np.empty(0) for c, v in out.items()}
+        return {"i": got["i"].astype(np.int64), "li": _labels(got["li"]), "lj": _labels(got["lj"]), "s": got["s"]}
 
     return against(b, b, kernel, "i long, li long, lj long, s double").groupBy("i", "li", "lj").agg(F.max("s").alias("s"))
 
 
+def _labels(x: np.ndarray) -> pa.Array:
+    return pa.array([None if np.isnan(v) else int(v) for v in x], pa.int64())
+
+
 def self_recovery(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataFrame:
     """Share of each label's vectors whose most similar other vector has the same label; ties go to the smaller label."""
     w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("lj"))
@@ -85,18 +147,14 @@ def self_recovery(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> D
 
 def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
     """``i, j, s, rank``: the k most similar entries of each query; ties by smaller id. ``metric``: cosine or dot."""
-    a, b = blocks(queries, id_col, vec_col), blocks(entries, id_col, vec_col)
+    a = blocks(queries, id_col, vec_col)
+    b = a if queries is entries else blocks(entries, id_col, vec_col)
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        p, q = matrix(x.v), matrix(y.v)
-        s = np.clip(unit(p) @ unit(q).T, -1, 1) if metric == "cosine" else p @ q.T
-        s = np.round(s, 9)
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y) if metric == "cosine" else x.v @ y.v.T, 9)
         if skip_self:
-            s[x.id.to_numpy()[:, None] == y.id.to_numpy()[None, :]] = -np.inf
-        some = np.argsort(-s, 1, kind="stable")[:, :k]  # ids ascend inside a block
-        best = np.take_along_axis(s, some, 1).reshape(-1)
-        out = pd.DataFrame({"i": np.repeat(x.id.to_numpy(), some.shape[1]), "j": y.id.to_numpy()[some.reshape(-1)], "s": best})
-        return out[np.isfinite(best)]
+            s[x.id[:, None] == y.id[None, :]] = -np.inf
+        return best_of_each(x, y, s, k)
 
     w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
     found = against(a, b, kernel, "i long, j long, s double")
@@ -107,10 +165,10 @@ def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, stri
     """``i, j, s`` with i < j and cosine over the threshold."""
     b = blocks(df, id_col, vec_col)
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(np.clip(unit(matrix(x.v)) @ unit(matrix(y.v)).T, -1, 1), 9)
-        p, q = np.nonzero(((s > threshold) if strict else (s >= threshold)) & (x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :]))
-        return pd.DataFrame({"i": x.id.to_numpy()[p], "j": y.id.to_numpy()[q], "s": s[p, q]})
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y), 9)
+        p, q = np.nonzero(((s > threshold) if strict else (s >= threshold)) & (x.id[:, None] < y.id[None, :]))
+        return {"i": x.id[p], "j": y.id[q], "s": s[p, q]}
 
     return against(b, b, kernel, "i long, j long, s double")
 
@@ -140,13 +198,10 @@ def earlier_top_k(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame
     """``i, j, s, rank`` among rows of a smaller id only: what was there when each row arrived."""
     b = blocks(df, id_col, vec_col)
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(np.clip(unit(matrix(x.v)) @ unit(matrix(y.v)).T, -1, 1), 9)
-        s[y.id.to_numpy()[None, :] >= x.id.to_numpy()[:, None]] = -np.inf
-        some = np.argsort(-s, 1, kind="stable")[:, :k]
-        best = np.take_along_axis(s, some, 1).reshape(-1)
-        out = pd.DataFrame({"i": np.repeat(x.id.to_numpy(), some.shape[1]), "j": y.id.to_numpy()[some.reshape(-1)], "s": best})
-        return out[np.isfinite(best)]
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y), 9)
+        s[y.id[None, :] >= x.id[:, None]] = -np.inf
+        return best_of_each(x, y, s, k)
 
     w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
     return against(b, b, kernel, "i long, j long, s double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
