@@ -17,7 +17,7 @@ NEGATIONS = ("not", "no", "never", "without", "cannot", "n't", "non", "mai", "se
 
 def terms(text: Column) -> Column:
     """Maximal runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def token_estimate(text: Column) -> Column:
@@ -29,9 +29,9 @@ def token_estimate(text: Column) -> Column:
 
 def content_terms(text: Column) -> Column:
     """Terms of over two bytes, apostrophes kept inside, without stop words."""
-    raw = F.split(text, r"[^\p{L}\p{N}']+")
-    low = F.transform(raw, lambda x: F.lower(F.regexp_replace(x, r"^'+|'+$", "")))
-    return F.filter(low, lambda x: (F.octet_length(x) > 2) & ~x.isin(*STOP))
+    # Apostrophes at the ends of words go first, so that one split gives the words.
+    words = F.split(F.regexp_replace(text, r"(?<![\p{L}\p{N}'])'+|'+(?![\p{L}\p{N}'])", " "), r"[^\p{L}\p{N}']+")
+    return F.filter(F.transform(words, F.lower), lambda x: (F.octet_length(x) > 2) & ~x.isin(*STOP))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
+from sparrowgrid.operators.overlap import jaccard, similar
 
-#: Words that the rule of frequent terms leaves out (the reference's list).
+#: Words that the rule of frequent terms leaves out (fixed values).
 COMMON = tuple(
     "the and that with from this then than into over under after before while when were was are its his her their they them "
     "have has had been being which what each both some more most less very also still".split()
@@ -68,17 +69,15 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     return j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.col("z") / (F.col("nw") * F.col("nc")))).where("ppmi > 0").select("w", "c", "n", "ppmi")
 
 
-def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, overlap: float = 0.5) -> DataFrame:
-    """``a, b, lexical, negation_clash, number_clash``: pairs of a cluster with shared words but other negations or decimals, by an inverted index."""
+def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, threshold: float = 0.5) -> DataFrame:
+    """``a, b, lexical, negation_clash, number_clash``: pairs of a cluster with shared words but other negations or decimals, by rare-first prefixes."""
     t = F.col(text_col)
     words = F.array_distinct(F.filter(T.terms(t), lambda x: F.octet_length(x) > 3))
-    s = docs.select(F.col(id_col).alias("id"), F.col(cluster).alias("cluster"), T.negations(t).alias("neg"), T.leading_number(t, True).alias("dec"), words.alias("t"))
-    one = s.withColumn("size", F.size("t")).select("id", "cluster", "neg", "dec", "size", F.explode("t").alias("term"))
-    side = lambda p: one.select("cluster", "term", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "neg", "dec", "size")])
-    n = side("a").join(side("b"), ["cluster", "term"]).where("a_id < b_id").groupBy("a_id", "b_id", "a_neg", "b_neg", "a_dec", "b_dec", "a_size", "b_size").agg(F.count("*").alias("n"))
-    lexical = F.col("n") / (F.col("a_size") + F.col("b_size") - F.col("n"))
-    neg, num = F.col("a_neg") != F.col("b_neg"), F.coalesce(F.col("a_dec") != F.col("b_dec"), F.lit(False))
-    return n.where((lexical >= overlap) & (neg | num)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(lexical, 6).alias("lexical"), neg.alias("negation_clash"), num.alias("number_clash"))
+    near = similar(docs.select(F.col(cluster).alias("grp"), F.col(id_col).alias("id"), words.alias("t")), None, threshold)
+    marks = lambda c: docs.select(F.col(id_col).alias(c), T.negations(t).alias(f"neg_{c}"), T.leading_number(t, True).alias(f"dec_{c}"))
+    neg, num = F.col("neg_a") != F.col("neg_b"), F.coalesce(F.col("dec_a") != F.col("dec_b"), F.lit(False))
+    both = near.join(marks("a"), "a").join(marks("b"), "b").where(neg | num)
+    return both.select("a", "b", F.round(jaccard(), 6).alias("lexical"), neg.alias("negation_clash"), num.alias("number_clash"))
 
 
 #: Lexicons of claim signatures (our own lists): words that affirm, words that deny, and negators that flip what follows within three tokens.
@@ -114,13 +113,10 @@ def signatures(claims: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return claims.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, polarity int, content array<string>")
 
 
-def opposed(sigs: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """``a, b, overlap`` of claims of opposite polarity whose content overlaps, by an inverted index."""
-    one = sigs.where("polarity <> 0").withColumn("n", F.size("content")).select("id", "polarity", "n", F.explode("content").alias("term"))
-    side = lambda p: one.select("term", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "polarity", "n")])
-    n = side("a").join(side("b"), "term").where("a_id < b_id AND a_polarity <> b_polarity").groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("c"))
-    j = F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))
-    return n.where(j >= overlap).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(j, 6).alias("overlap"))
+def opposed(sigs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``a, b, overlap`` of claims of opposite polarity whose content overlaps, by rare-first prefixes."""
+    side = lambda p: sigs.where(F.col("polarity") == p).select(F.lit(0).alias("grp"), "id", F.array_distinct("content").alias("t"))
+    return similar(side(1), side(-1), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(jaccard(), 6).alias("overlap"))
 
 
 DETERMINERS = frozenset("the a an this that these those its their our il lo la i gli le un uno una".split())

@@ -9,35 +9,50 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by checkpoint() in the cluster's shared folder (one of our own where none is set)."""
+    """The frame with its lineage cut by checkpoint() in the cluster's shared folder; a local session without one gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparrowgrid-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparrowgrid-"))
     return df.checkpoint()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component`` of every node with a link in ``links(u, v)``; a component is named by its least node."""
-    both = cut(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct())
-    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        up = label.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        after = cut(low.join(up, "low", "left").select("node", "old", F.least("low", F.coalesce("up", "low")).alias("component")))
-        if after.where("component <> old").isEmpty():
-            return after.select("node", "component")
-        label = after.select("node", "component")
-    raise RuntimeError(f"components are not stable after {rounds} rounds")
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` of every node with a link in ``links(u, v)``; a component is named by its least node.
+
+    A round links every node's greater neighbours to its least one (large star), then its lesser ones (small star); rounds
+    grow with the logarithm of the longest path, and end when the links are stars.
+    """
+    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        moved = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        edges = cut(moved.union(least.select("u", "low")).distinct())
+        # Links that a round leaves as they were are stars; their number and hash tell.
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        state = now
 
 
 def walk(seeds: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
-    """``seed, node, hop``: least number of edges (``source -> target``) to each node, up to ``hops``; cycles end by the least hop."""
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"))
-    front = seen
+    """``seed, node, hop``: least number of edges (``source -> target``) to each node, up to ``hops``; cycles end by the least hop.
+
+    Each front is a checkpoint, so that no hop makes those before it again; the walk ends where a front is empty.
+    """
+    step = edges.select(F.col("source").alias("node"), "target")
+    seen = front = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"))
     for h in range(1, hops + 1):
-        step = front.join(edges.select(F.col("source").alias("node"), "target"), "node").select("seed", F.col("target").alias("node")).distinct()
-        front = step.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(h))
+        reached = front.join(step, "node").select("seed", F.col("target").alias("node")).distinct()
+        front = cut(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(h)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -11,14 +11,16 @@ ALPHA, ADD_K = 0.4, 0.5
 def counts(sequences: DataFrame, tokens: str, order: int, keys: list[str] | None = None) -> DataFrame:
     """All n-grams of 1 to ``order`` tokens; partial counts are made before the shuffle."""
     keys = keys or []
-    out = None
-    for n in range(1, order + 1):
-        size = F.size(tokens)
+    size = F.size(tokens)
+
+    def of(n: int) -> Column:
         starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        g = sequences.select(*keys, tokens, F.explode(starts).alias("i"))
-        one = g.select(*keys, F.lit(n).alias("n"), F.array_join(F.slice(tokens, F.col("i"), n - 1), " ").alias("context"), F.element_at(tokens, F.col("i") + n - 1).alias("next"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys, "n", "context", "next").agg(F.count("*").alias("cnt"))
+        one = lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n - 1), " ").alias("context"), F.element_at(F.col(tokens), i + n - 1).alias("next"))
+        return F.transform(starts, one)
+
+    # The n-grams themselves are exploded: a sequence's tokens don't ride along with each of them.
+    grams = sequences.select(*keys, F.explode(F.concat(*[of(n) for n in range(1, order + 1)])).alias("g"))
+    return grams.select(*keys, "g.n", "g.context", "g.next").groupBy(*keys, "n", "context", "next").agg(F.count("*").alias("cnt"))
 
 
 def prune(table: DataFrame, least: int, vocabulary: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
+from sparrowgrid.operators import overlap
 from sparrowgrid.operators.graph import cut
 
 K1, B = 1.5, 0.75
@@ -120,13 +121,11 @@ def pack_ranked(scores: DataFrame, docs: DataFrame, budget: int, top_k: int, div
 
 
 def redundancy(docs: DataFrame, id_col: str, text_col: str, key: str, least: int = 3) -> DataFrame:
-    """``key, n, redundancy``: mean over documents of the greatest term Jaccard with another of the same key, through an inverted index."""
-    sets = docs.select(F.col(id_col).alias("doc"), F.col(key).alias("key"), F.array_distinct(F.filter(T.content_terms(F.col(text_col)), lambda x: F.length(x) >= least)).alias("t"))
-    one = sets.withColumn("n", F.size("t")).select("doc", "key", "n", F.explode("t").alias("term"))
-    other = one.select(F.col("doc").alias("doc2"), "key", F.col("n").alias("n2"), "term")
-    both = one.join(other, ["key", "term"]).where("doc <> doc2").groupBy("key", "doc", "n", "doc2", "n2").agg(F.count("*").alias("c"))
-    best = both.groupBy("doc").agg(F.max(F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))).alias("j"))
-    return sets.join(best, "doc", "left").groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("j", F.lit(0.0))), 6).alias("redundancy"))
+    """``key, n, redundancy``: mean over documents of the greatest term Jaccard with another of the same key (0 with none). A null key has no others."""
+    words = F.array_distinct(F.filter(T.content_terms(F.col(text_col)), lambda x: F.length(x) >= least))
+    sets = docs.select(F.col(id_col).alias("id"), F.col(key).alias("grp"), words.alias("t"))
+    best = overlap.nearest(sets)
+    return docs.select(F.col(id_col).alias("id"), F.col(key).alias("key")).join(best, "id", "left").groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("j", F.lit(0.0))), 6).alias("redundancy"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 10) -> DataFrame:

@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
-from sparrowgrid.operators import graph
+from sparrowgrid.operators import graph, overlap
 
 #: Grades of observations that certify (fixed values).
 CERTIFYING = ("proved", "verified", "measured", "replicated")
 
 
-def overlaps(docs: DataFrame, id_col: str, text_col: str, least_bytes: int = 4) -> DataFrame:
-    """``a, b, overlap``: term Jaccard of all pairs that share a term, by an inverted index."""
+def overlaps(docs: DataFrame, id_col: str, text_col: str, threshold: float, least_bytes: int = 4) -> DataFrame:
+    """``a, b, overlap``: term Jaccard of all pairs at or over the threshold, by rare-first prefixes."""
     words = F.array_distinct(F.filter(T.terms(F.col(text_col)), lambda x: F.octet_length(x) >= least_bytes))
-    one = docs.select(F.col(id_col).alias("id"), words.alias("t")).withColumn("n", F.size("t")).select("id", "n", F.explode("t").alias("term"))
-    side = lambda p: one.select("term", F.col("id").alias(p), F.col("n").alias(f"n{p}"))
-    c = side("a").join(side("b"), "term").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return c.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("overlap"))
+    near = overlap.similar(docs.select(F.lit(0).alias("grp"), F.col(id_col).alias("id"), words.alias("t")), None, threshold)
+    return near.select("a", "b", overlap.jaccard().alias("overlap"))
 
 
 def clusters(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """``node, component`` of texts that chains of overlaps at or over the threshold join."""
-    links = overlaps(docs, id_col, text_col).where(F.col("overlap") >= threshold)
+    links = overlaps(docs, id_col, text_col, threshold)
     return graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
