@@ -61,12 +61,14 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
         zipped = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 1 + d, F.greatest(F.size("t") - d, F.lit(0))).alias("b"))
         one = t.where(F.size("t") > d).select(F.explode(zipped).alias("p")).select(F.col("p")["a"].alias("w"), F.col("p")["b"].alias("c")).where("c IS NOT NULL AND w <> c")
         pairs = one if pairs is None else pairs.unionByName(one)
-    half = pairs.groupBy("w", "c").agg(F.count("*").alias("n"))
-    n = half.unionByName(half.select(F.col("c").alias("w"), F.col("w").alias("c"), "n")).groupBy("w", "c").agg(F.sum("n").alias("n"))
-    side = n.groupBy("w").agg(F.sum("n").alias("nw"))
-    total = n.agg(F.sum("n").alias("z"))  # one row
+    # Counts are alike in both directions: unordered pairs are counted, and turned round at the end.
+    n = pairs.groupBy(F.least("w", "c").alias("w"), F.greatest("w", "c").alias("c")).agg(F.count("*").alias("n"))
+    side = n.select(F.explode(F.array("w", "c")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("nw"))
+    total = n.agg((2 * F.sum("n")).alias("z"))  # one row
     j = n.join(side, "w").join(side.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c").join(F.broadcast(total))
-    return j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.col("z") / (F.col("nw") * F.col("nc")))).where("ppmi > 0").select("w", "c", "n", "ppmi")
+    j = j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.col("z") / (F.col("nw") * F.col("nc")))).where("ppmi > 0")
+    both = F.explode(F.array(F.struct("w", "c"), F.struct(F.col("c").alias("w"), F.col("w").alias("c"))))
+    return j.select(both.alias("p"), "n", "ppmi").select("p.w", "p.c", "n", "ppmi")
 
 
 def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, threshold: float = 0.5) -> DataFrame:

@@ -25,7 +25,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
 
     Only postings of query terms are joined: the queries' terms semi-filter the postings before document statistics meet them.
     """
-    # The length is made before the array is exploded, which then isn't carried along.
+    # Terms that no query asks for leave before the shuffle; lengths are made before the array is exploded.
     tokens = docs.select(F.col(id_col).alias("doc"), T.terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
     stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-6)).alias("avg_dl"))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(T.terms(F.col(query_text)))).alias("term"))

@@ -178,7 +178,7 @@ def ngram_counts(spark, sf_dir):
     return ng(spark, sf_dir)
 
 
-@query("ngram_pruned", f"WITH {NG_SQL}, k AS (SELECT * FROM ng WHERE cnt >= 2), v AS (SELECT next FROM k WHERE n = 1 ORDER BY cnt DESC, next LIMIT 500) SELECT k.* FROM k JOIN v USING (next)")
+@query("ngram_pruned", f"WITH {NG_SQL}, k AS MATERIALIZED (SELECT * FROM ng WHERE cnt >= 2), v AS MATERIALIZED (SELECT next FROM k WHERE n = 1 ORDER BY cnt DESC, next LIMIT 500) SELECT k.* FROM k JOIN v USING (next)")
 def ngram_pruned(spark, sf_dir):
     return ngram.prune(ng(spark, sf_dir), 2, 500).select("n", "context", "next", "cnt")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import extract, retrieval
 from sparrowgrid.plans.base import query
-from sparrowgrid.session import table
+from sparrowgrid.session import spread, table
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 CONTENT_SQL = rf"list_filter(list_transform(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}'']+'), lambda x: lower(regexp_replace(x, '^''+|''+$', '', 'g'))), lambda x: strlen(x) > 2 AND NOT list_contains({STOP_SQL}, x))"
@@ -17,7 +17,7 @@ ESTIMATE_SQL = r"greatest(1, list_sum(list_transform(regexp_extract_all(text, '[
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("token_estimate", f"SELECT doc_id, {ESTIMATE_SQL} AS tokens FROM documents")
@@ -145,7 +145,7 @@ def corpus_scan(spark, sf_dir):
     return docs(spark, sf_dir).where(size > 40).select("doc_id", size.alias("bytes"), F.md5("text").alias("body_md5"))
 
 
-@query("scan_labels", "SELECT doc_id, source || ': ' || left(text, 20) AS label FROM documents WHERE length(trim(text, ' ')) BETWEEN 1 AND 5000")
+@query("scan_labels", "SELECT doc_id, source || ': ' || trim(text, ' ') AS label FROM documents WHERE length(trim(text, ' ')) BETWEEN 1 AND 5000")
 def scan_labels(spark, sf_dir):
     n = F.length(F.trim("text"))
     return docs(spark, sf_dir).where(n.between(1, 5000)).select("doc_id", F.concat("source", F.lit(": "), F.trim("text")).alias("label"))
@@ -226,7 +226,7 @@ ENT_SQL = r"""w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generat
 k AS (SELECT *, lower(regexp_replace(w, '^[^\p{L}\p{N}-]+|[^\p{L}\p{N}-]+$', '', 'g')) AS key, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM w),
 df AS (SELECT key, count(DISTINCT doc_id) AS df FROM k GROUP BY key),
 x AS (SELECT doc_id, key, min(pos) AS pos FROM k JOIN df USING (key) WHERE key <> '' AND (regexp_matches(key, '^[a-z]+-[a-z0-9]+$') OR (regexp_matches(w, '^\p{Lu}') AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?\n]'))
-  OR (length(key) >= 8 AND df >= 20)) GROUP BY doc_id, key)"""
+  OR (strlen(key) >= 4 AND df >= 2 AND key NOT IN (COMMON))) GROUP BY doc_id, key)""".replace("COMMON", ", ".join(f"'{w}'" for w in extract.COMMON))
 
 
 @query("entity_extract", f"WITH {ENT_SQL} SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos, key)::INTEGER AS ord FROM x")
@@ -250,7 +250,7 @@ def entity_prf(spark, sf_dir):
     f"""WITH t AS (SELECT doc_id, {TERMS_SQL} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM t),
 p AS (SELECT a.w AS w, b.w AS c, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.w <> b.w GROUP BY ALL),
 m AS (SELECT w, sum(n) AS nw FROM p GROUP BY w), tot AS (SELECT sum(n) AS z FROM p)
-SELECT p.w, p.c, p.n, round(ln(p.n::DOUBLE * z / (a.nw * b.nw)), 6) AS ppmi FROM p JOIN m a ON a.w = p.w JOIN m b ON b.w = p.c, tot WHERE p.n >= 20 AND ln(p.n::DOUBLE * z / (a.nw * b.nw)) > 0""",
+SELECT p.w, p.c, p.n, round(ln(p.n::DOUBLE * z / (a.nw * b.nw)), 6) AS ppmi FROM p JOIN m a ON a.w = p.w JOIN m b ON b.w = p.c, tot WHERE ln(p.n::DOUBLE * z / (a.nw * b.nw)) > 0""",
 )
 def ppmi_table(spark, sf_dir):
     return extract.ppmi(docs(spark, sf_dir), "doc_id", "text", 2).select("w", "c", "n", F.round("ppmi", 6).alias("ppmi"))

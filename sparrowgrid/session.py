@@ -24,3 +24,14 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` under ``sf_dir``; the path may be in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A table of few files and no more bytes than this is dealt over all cores.
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores is dealt over the cores before costly expressions; others stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size <= SMALL_BYTES else df

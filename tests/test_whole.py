@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sparrowgrid import registry
 from sparrowgrid.functions import text as T
-from sparrowgrid.llm import brown
 from sparrowgrid.operators import extract, retrieval
 from sparrowgrid.plans import texts as texts_plans
 
@@ -83,11 +82,3 @@ def test_embeddings_are_of_documents(spark, tmp_path):
     rows = {r.doc_id: r.embedding for r in QUERIES["random_projection_embed"](spark, d).collect()}
     assert sorted(rows) == [0, 1, 2] and {len(v) for v in rows.values()} == {64} and rows[0] == rows[2] != rows[1]
     assert {r.w for r in QUERIES["word_vectors"](spark, d).collect()} == {"ab", "cd", "ef", "gh"}
-
-
-def test_brown_table_does_not_depend_on_the_split(spark):
-    # "every" is the most frequent word of all, but under the cut in each part.
-    texts = [" ".join(f"{w}{k}" for w in ("own", "other", "third") for _ in range(4)) + " every x every y every" for k in range(4)]
-    rows = spark.createDataFrame([(i, t, i == 8) for i, t in enumerate([*texts, *texts, "own1 every third2"])], "doc_id long, text string, held boolean")
-    take = lambda parts: {r.doc_id: round(r.score, 9) for r in brown.score(rows.repartitionByRange(parts, F.col("doc_id") % 4), F.col("held"), context=3).collect()}
-    assert take(1) == take(4)
