@@ -51,3 +51,8 @@ def zscore(a: Column) -> Column:
 
 def blend(a: Column, b: Column, alpha: float) -> Column:
     return normalise(F.zip_with(a, b, lambda x, y: x + F.lit(alpha) * (y - x)))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Cosine distance."""
+    return 1 - cosine(a, b)

@@ -81,3 +81,24 @@ def route(status: Column, delta: Column) -> Column:
 
 def rating(score: Column) -> Column:
     return F.when(score > 0.2, "success").when(score < -0.2, "failure").otherwise("inert")
+
+
+#: Empirical fit of a hypothesis that a failure gave rise to, and the neutral fit of what isn't known (fixed values).
+DREAMT, NEUTRAL = 0.2, 0.5
+
+
+def dream(failed: DataFrame) -> DataFrame:
+    """``id, status, semantic, empirical, fitness``: a candidate hypothesis for each failed node (``id, coherence``)."""
+    w = WEIGHTS
+    total = w["semantic"] * F.col("coherence") + (w["ontological"] + w["logical"] + w["predictive"]) * NEUTRAL + w["empirical"] * DREAMT
+    return failed.select("id", F.lit("candidate").alias("status"), F.col("coherence").alias("semantic"), F.lit(DREAMT).alias("empirical"), clamp(total).alias("fitness"))
+
+
+def resolve(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``prefix, state, n, id`` of prefixes (``prefix``) of ids (``id``): exact, unique, ambiguous or, with no id, unknown."""
+    size = prefixes.select(F.length("prefix").alias("size")).distinct()
+    # Ids meet prefixes by equality, once for each length of a prefix.
+    cut = ids.join(F.broadcast(size), F.length("id") >= F.col("size")).select("id", F.expr("substring(id, 1, size)").alias("prefix"))
+    found = prefixes.join(cut, "prefix", "left").groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("first"), F.max((F.col("id") == F.col("prefix")).cast("int")).alias("exact"))
+    state = F.when(F.col("exact") == 1, "exact").when(F.col("n") == 1, "unique").when(F.col("n") == 0, "unknown").otherwise("ambiguous")
+    return found.select("prefix", state.alias("state"), "n", F.when(F.col("exact") == 1, F.col("prefix")).when(F.col("n") == 1, F.col("first")).alias("id"))

@@ -60,3 +60,22 @@ def gains(live: DataFrame, sims: DataFrame, threshold: float) -> DataFrame:
     return j.groupBy("candidate").agg(
         F.sum(new.cast("long")).alias("newly_covered"), F.round(F.sum(F.greatest(F.lit(0.0), F.col("s") - F.col("now"))), 6).alias("lift")
     ).withColumn("useful", F.col("newly_covered") > 0)
+
+
+def majority(rows: DataFrame, group: str, axes: list[str]) -> DataFrame:
+    """``group, axis, value, n``: the most frequent value of each axis in each group; nulls don't count, ties go to the smaller value."""
+    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in axes])).alias("f"))
+    n = long.where("f.value IS NOT NULL").groupBy(group, "f.axis", "f.value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group, "axis").orderBy(F.col("n").desc(), "value")
+    return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def failures(nodes: DataFrame, id_col: str, verdict: str) -> DataFrame:
+    """``id_col, verdict, place, asserted_index``: nodes with a verdict under 0, worst first, beside the mean of all verdicts (null with none)."""
+    index = nodes.agg(F.avg(verdict).alias("asserted_index"))  # one row
+    bad = nodes.where(F.col(verdict) < 0).select(id_col, verdict)
+    # Places come from counts of equal verdicts, so that only rows of one verdict meet in a window.
+    counts = bad.groupBy(verdict).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(verdict).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    here = F.row_number().over(Window.partitionBy(verdict).orderBy(id_col))
+    return bad.join(before, verdict).withColumn("place", (F.col("before") + here).cast("int")).drop("before").join(F.broadcast(index))

@@ -131,6 +131,25 @@ def label_best(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> Data
     return against(b, b, kernel, "i long, li long, lj long, s double").groupBy("i", "li", "lj").agg(F.max("s").alias("s"))
 
 
+def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int) -> DataFrame:
+    """``i, lj, j, s, rank``: the k most similar vectors of each label to each vector, itself left out."""
+    b = blocks(df, id_col, vec_col, label_col)
+
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y), 9)
+        s[x.id[:, None] == y.id[None, :]] = -np.inf
+        parts = []
+        for lab in np.unique(y.label[~np.isnan(y.label)]):
+            mine = np.flatnonzero(y.label == lab)
+            best = best_of_each(x, Block(y.id[mine], y.v[mine], y.label[mine]), s[:, mine], k)
+            parts.append(best | {"lj": np.full(len(best["i"]), int(lab))})
+        empty = {c: np.empty(0, np.int64) for c in ("i", "j", "lj")} | {"s": np.empty(0)}
+        return {c: np.concatenate([p[c] for p in [*parts, empty]]) for c in ("i", "lj", "j", "s")}
+
+    w = Window.partitionBy("i", "lj").orderBy(F.col("s").desc(), "j")
+    return against(b, b, kernel, "i long, lj long, j long, s double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _labels(x: np.ndarray) -> pa.Array:
     return pa.array([None if np.isnan(v) else int(v) for v in x], pa.int64())
 
@@ -161,6 +180,16 @@ def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def all_scores(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``i, j, s``: cosine of each of a stated set of queries to every entry."""
+
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y), 9)
+        return {"i": np.repeat(x.id, len(y.id)), "j": np.tile(y.id, len(x.id)), "s": s.reshape(-1)}
+
+    return against(blocks(queries, id_col, vec_col), blocks(entries, id_col, vec_col), kernel, "i long, j long, s double")
+
+
 def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, strict: bool = True) -> DataFrame:
     """``i, j, s`` with i < j and cosine over the threshold."""
     b = blocks(df, id_col, vec_col)

@@ -52,6 +52,15 @@ def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return ranked(total, "query", F.col("score"), "doc")
 
 
+def ship(base: DataFrame, other: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row ``queries, gained, lost, verdict, ship``: queries whose target (``query, target``) is first by ``other`` and not by ``base``, and the other way round."""
+    first = lambda f, n: f.where("rank = 1").select("query", F.col("doc").alias(n))
+    j = targets.join(first(base, "b"), "query").join(first(other, "o"), "query")
+    v = (F.col("o") == F.col("target")).cast("int") - (F.col("b") == F.col("target")).cast("int")
+    n = j.select(v.alias("v")).agg(F.count("*").alias("queries"), F.count_if(F.col("v") == 1).alias("gained"), F.count_if(F.col("v") == -1).alias("lost"), F.coalesce(F.sum("v"), F.lit(0)).alias("verdict"))
+    return n.withColumn("ship", F.col("verdict") > 0)
+
+
 def pack(candidates: DataFrame, budget: int, top_k: int, diversity: float = 0.0) -> DataFrame:
     """Token-budget MMR by query: ``query, pick, doc, score, tokens, truncated`` from ``query, doc, score, tokens, terms array<string>``.
 

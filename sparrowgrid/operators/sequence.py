@@ -42,6 +42,34 @@ def transitions(mentions: DataFrame, gap: int = 6) -> DataFrame:
     return by.select("seq", "pos", F.when(F.col("new") == 1, "emerge").when(F.col("since") > gap, "recur").otherwise("persist").alias("label"))
 
 
+def transition_scores(derived: DataFrame, gold: DataFrame) -> DataFrame:
+    """``label, n, recall, accuracy, majority`` of labels ``seq, pos, label`` against gold ones; a place without a derived label is a miss."""
+    j = gold.withColumnRenamed("label", "gold").join(derived, ["seq", "pos"], "left").withColumn("hit", F.coalesce((F.col("gold") == F.col("label")).cast("int"), F.lit(0)))
+    by = j.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    total = by.agg(F.sum("n").alias("all"), F.sum("h").alias("hits"), F.max("n").alias("most"))  # one row
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return by.join(F.broadcast(total)).select("label", "n", r(F.col("h") / F.col("n"), "recall"), r(F.col("hits") / F.col("all"), "accuracy"), r(F.col("most") / F.col("all"), "majority"))
+
+
+def transition_null(mentions: DataFrame, gold: DataFrame, rounds: int, gap: int = 6, seed: int = 7) -> DataFrame:
+    """One row ``accuracy, null_mean, null_sd, z``: accuracy of derived labels, and of labels derived after each sequence's places are dealt anew ``rounds`` times.
+
+    A round orders a sequence's places by a hash of place and round; labels go back to the places they came from. All rounds run in one job.
+    """
+    places = mentions.select("seq", "pos").distinct().select("seq", "pos", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
+    w = Window.partitionBy("seq", "round")
+    by_pos = places.withColumn("k", F.row_number().over(w.orderBy("pos"))).select("seq", "round", "k", F.col("pos").alias("slot"))
+    # Round 0 leaves the order as it is.
+    dealt = places.withColumn("k", F.row_number().over(w.orderBy(F.when(F.col("round") > 0, F.xxhash64("seq", "pos", "round", F.lit(seed))).otherwise(F.lit(0)), "pos")))
+    slots = dealt.join(by_pos, ["seq", "round", "k"]).select("seq", "round", "pos", "slot")
+    moved = mentions.join(slots, ["seq", "pos"]).select(F.struct("seq", "round").alias("seq"), F.col("slot").alias("pos"), "entity")
+    back = transitions(moved, gap).select("seq.seq", "seq.round", F.col("pos").alias("slot"), "label").join(slots, ["seq", "round", "slot"])
+    hit = back.join(gold.withColumnRenamed("label", "gold"), ["seq", "pos"]).groupBy("round").agg(F.avg((F.col("label") == F.col("gold")).cast("int")).alias("a"))
+    null = F.when(F.col("round") > 0, F.col("a"))
+    s = hit.agg(F.max(F.when(F.col("round") == 0, F.col("a"))).alias("accuracy"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_sd"))
+    return s.withColumn("z", F.when(F.col("null_sd") > 1e-9, (F.col("accuracy") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0))
+
+
 def antecedents(mentions: DataFrame) -> DataFrame:
     """``seq, pos, antecedent``: nearest earlier place that shares an entity."""
     before = F.lag("pos").over(Window.partitionBy("seq", "entity").orderBy("pos"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when they are imported.
-MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures")]
+MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures", "wider")]
 
 _FOUND: dict[str, Query] = {}
 

@@ -94,20 +94,6 @@ def retraction_cascade(spark, sf_dir):
     return seen.select("node", "hop")
 
 
-@query(
-    "simulate_mutation",
-    f"""WITH {PAIRS_SQL}, sh AS (SELECT vec_id, list_transform(v, lambda x: -x) AS v FROM e WHERE vec_id % 10 = 0), d AS (SELECT e.vec_id, list_inner_product(e.v, sh.v) / greatest(sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(sh.v, sh.v)), 1e-8) AS c FROM e JOIN sh USING (vec_id))
-SELECT vec_id, round(c, 6) AS shift, CASE WHEN abs(c - 1) < 1e-6 THEN 'unchanged' WHEN c - 1 < -0.25 THEN 'invalidated' ELSE 'shifted' END AS verdict FROM d""",
-)
-def simulate_mutation(spark, sf_dir):
-    base = emb(spark, sf_dir).where("embedding IS NOT NULL").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
-    shadow = base.where("vec_id % 10 = 0").select("vec_id", F.transform("v", lambda x: -x).alias("new"))
-    c = V.cosine_unclamped(F.col("v"), F.col("new"))
-    d = base.join(shadow, "vec_id").select("vec_id", c.alias("c"))
-    verdict = F.when(F.abs(F.col("c") - 1) < 1e-6, "unchanged").when(F.col("c") - 1 < -0.25, "invalidated").otherwise("shifted")
-    return d.select("vec_id", F.round("c", 6).alias("shift"), verdict.alias("verdict"))
-
-
 @query("ngram_score", f"WITH {P.PROB_SQL}, tk AS (SELECT conv_id, turn, t, unnest(range(3, len(t) + 1)) AS i FROM t) SELECT conv_id, turn, round(avg(ln(p)), 6) AS score FROM tk JOIN p ON p.c2 = t[i - 2] || ' ' || t[i - 1] AND p.next = t[i] GROUP BY conv_id, turn")
 def ngram_score(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.terms(F.col("text")).alias("t")).where(F.size("t") >= 3)
@@ -160,13 +146,6 @@ def sequence_deviations(spark, sf_dir):
     return s.join(t, "label").where("s < t").select("vec_id", "label", F.round("s", 6).alias("sim"))
 
 
-@query("descriptors_structural", f"WITH {RANKED_SQL} SELECT i AS vec_id, array_to_string(list(round(s, 4)::VARCHAR ORDER BY rank), ' ') IS NOT NULL AS described, round(avg(s), 6) AS profile_mean, round(max(s) - min(s), 6) AS profile_range FROM ranked WHERE rank <= 12 GROUP BY i")
-def descriptors_structural(spark, sf_dir):
-    e = emb(spark, sf_dir)
-    t = neighbours.top_k(e, e, "vec_id", "embedding", 12)
-    return t.groupBy(F.col("i").alias("vec_id")).agg((F.count("*") > 0).alias("described"), F.round(F.avg("s"), 6).alias("profile_mean"), F.round(F.max("s") - F.min("s"), 6).alias("profile_range"))
-
-
 @query("arm_scores", f"WITH {RANKED_SQL} SELECT round(avg((rank = 1 AND lj = li)::INT), 6) * 3 AS top1, round(avg((lj = li)::INT), 6) AS top3_share FROM ranked WHERE rank <= 3")
 def arm_scores(spark, sf_dir):
     e = emb(spark, sf_dir)
@@ -184,22 +163,6 @@ def position_locality(spark, sf_dir):
     return d.join(n).select("distance", F.round((F.col("n") * F.col("n") - 1) / (3 * F.col("n")), 6).alias("null_distance"))
 
 
-@query(
-    "transition_accuracy",
-    f"""WITH {P.MENTION_SQL}, s AS (SELECT seq, pos, pos - lag(pos) OVER (PARTITION BY seq, entity ORDER BY pos) AS since FROM m), t AS (SELECT seq, pos, CASE WHEN bool_or(since IS NULL) THEN 'emerge' WHEN min(since) > 6 THEN 'recur' ELSE 'persist' END AS label FROM s GROUP BY seq, pos)
-SELECT label, count(*) AS n, round(avg((pos > 0)::INT), 6) AS after_first FROM t GROUP BY label""",
-)
-def transition_accuracy(spark, sf_dir):
-    t = sequence.transitions(P.mentions(spark, sf_dir))
-    return t.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pos") > 0).cast("int")), 6).alias("after_first"))
-
-
-@query("antecedent_scores", f"WITH {P.MENTION_SQL}, s AS (SELECT seq, pos, lag(pos) OVER (PARTITION BY seq, entity ORDER BY pos) AS b FROM m), a AS (SELECT seq, pos, max(b) AS b FROM s GROUP BY seq, pos) SELECT count(*) AS n, count(b) AS found, round(avg((b = pos - 1)::INT), 6) AS nearest FROM a")
-def antecedent_scores(spark, sf_dir):
-    a = sequence.antecedents(P.mentions(spark, sf_dir))
-    return a.agg(F.count("*").alias("n"), F.count("antecedent").alias("found"), F.round(F.avg((F.col("antecedent") == F.col("pos") - 1).cast("int")), 6).alias("nearest"))
-
-
 @query("claim_identity_sweep", f"""WITH {PAIRS_SQL}, c AS (SELECT s, li = lj AS same FROM pairs WHERE i < j AND s >= 0.3), t AS (SELECT x / 10.0::DOUBLE AS t FROM range(3, 10) r(x)), k AS (SELECT count(*) AS z FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label = b.label),
 g AS (SELECT t, sum((s >= t AND same)::INT) AS tp, sum((s >= t AND NOT same)::INT) AS fp FROM c, t GROUP BY t)
 SELECT round(t, 1) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(z, 1), 6) AS recall FROM g, k""")
