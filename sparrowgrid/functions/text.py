@@ -81,3 +81,25 @@ def shape_kind(path: Column) -> Column:
         .when(name.rlike(r"\.[a-z0-9]+$"), "other")
         .otherwise("directory")
     )
+
+
+def single_line(text: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def elide_middle(path: Column, most: int) -> Column:
+    """A path of at most ``most`` characters: what is too much goes from the middle, the name at its end stays (and alone, if it is that long)."""
+    name = F.element_at(F.split(path, "/"), -1)
+    room = F.lit(most) - F.length(name) - 2
+    return F.when(F.length(path) <= most, path).when(room <= 0, name).otherwise(F.concat(F.left(path, room), F.lit("…/"), name))
+
+
+def encode(text: Column, vocabulary: Column) -> Column:
+    """Ids of the terms of a text by a map from term to id; unknown terms are left out."""
+    return F.array_compact(F.transform(terms(text), lambda t: F.element_at(vocabulary, t)))
+
+
+def decode(ids: Column, vocabulary: Column) -> Column:
+    """Text of ids by a map from id to term, with single spaces; unknown ids are left out."""
+    return F.array_join(F.array_compact(F.transform(ids, lambda i: F.element_at(vocabulary, i))), " ")

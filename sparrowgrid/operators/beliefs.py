@@ -16,7 +16,8 @@ LIVE = ("candidate", "supported", "contradicted", "confirmed", "certified", "iso
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """The value inside its bounds; null stays null."""
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
 def tally(evidence: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from sparrowgrid.operators.neighbours import EPS, matrix, unit
 
 
 def leaders(rows: DataFrame, group: str, order: str, vec_col: str, threshold: float = 0.70, least: int = 2) -> DataFrame:
-    """``group, leader, size, members``: the first row without a cluster leads and takes later ones with a cosine over the threshold; small clusters are left out."""
+    """``group, leader, size, members``: the first row without a cluster leads and takes later ones with a cosine over the threshold; small clusters are left out.
+
+    For groups of a bounded size; ``discovery.leaders`` takes any.
+    """
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order).reset_index(drop=True)
@@ -29,13 +32,6 @@ def leaders(rows: DataFrame, group: str, order: str, vec_col: str, threshold: fl
     return rows.groupBy(group).applyInPandas(one, "group long, leader long, size long, members array<long>")
 
 
-def discovery_thresholds(best: pd.Series) -> list[float]:
-    """Thresholds to retry with where the default finds nothing: mean and deviation, lower tail, maximum; falling."""
-    k = 0.5 if len(best) <= 8 else 1.0
-    tail = np.sort(best)[int(len(best) * 0.2)]
-    return sorted({float(best.mean() + k * best.std(ddof=0)), float(tail), float(best.max())}, reverse=True)
-
-
 def two_means(rows: DataFrame, key: str, order: str, vec_col: str, rounds: int = 20) -> DataFrame:
     """``key, n, verdict, separation, z``: two clusters seeded by the least similar pair; the runs test tells becoming from split, little separation is stable."""
 
@@ -70,10 +66,15 @@ def two_means(rows: DataFrame, key: str, order: str, vec_col: str, rounds: int =
 
 
 def evidence(a_path, a_name, a_parent, a_kind, b_path, b_name, b_parent, b_kind):
-    """Correspondence of two nodes: path and name overlap, kind, parent (columns of arrays and text)."""
+    """Correspondence of two nodes from columns of path and name (arrays), parent and kind (text).
+
+    Weights are fixed values: path 0.25, kind 0.30, name 0.15, parent (of nodes of one kind) 0.30. Directories go by path and name alone.
+    """
     jac = lambda x, y: F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
-    same = lambda x, y: F.when(x == y, 1.0).otherwise(0.0)
-    return 0.25 * jac(a_path, b_path) + 0.30 * same(a_kind, b_kind) + 0.15 * jac(a_name, b_name) + 0.30 * same(a_parent, b_parent)
+    same = lambda c: F.when(c, 1.0).otherwise(0.0)
+    named = 0.25 * jac(a_path, b_path) + 0.15 * jac(a_name, b_name)
+    kind = a_kind == b_kind
+    return F.when(a_kind == "directory", named / 0.40).otherwise(named + 0.30 * same(kind) + 0.30 * same(kind & (a_parent == b_parent)))
 
 
 def assign(scored: DataFrame, group: str, floor: float = 0.5) -> DataFrame:

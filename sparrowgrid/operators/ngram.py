@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.graph import cut
+
 ALPHA, ADD_K = 0.4, 0.5
 
 
@@ -68,15 +70,38 @@ def probability(queries: DataFrame, table: DataFrame, order: int) -> DataFrame:
 
 
 def generate(table: DataFrame, start: list[str], steps: int, order: int) -> list[str]:
-    """Greedy decoding on the driver: one look-up for each token; it ends where nothing was observed."""
+    """Greedy decoding; it ends where nothing was observed. Each step asks all orders at once, and only the best row of each comes to the driver."""
+    best = cut(table.groupBy("n", "context").agg(F.min(F.struct((-F.col("cnt")).alias("c"), "next")).alias("b")).select("n", "context", "b.next"))
     out = list(start)
     for _ in range(steps):
-        for n in range(min(order, len(out) + 1), 0, -1):
-            context = " ".join(out[len(out) - n + 1 :])
-            best = table.where((F.col("n") == n) & (F.col("context") == context)).orderBy(F.col("cnt").desc(), "next").first()
-            if best:
-                out.append(best["next"])
-                break
-        else:
-            return out
+        contexts = {n: " ".join(out[len(out) - n + 1 :]) for n in range(1, min(order, len(out) + 1) + 1)}
+        asked = F.lit(False)
+        for n, c in contexts.items():
+            asked = asked | ((F.col("n") == n) & (F.col("context") == c))
+        found = best.where(asked).collect()  # at most one row for each order
+        if not found:
+            break
+        out.append(max(found, key=lambda r: r["n"])["next"])
     return out
+
+
+class TableModel:
+    """An n-gram table as a model: what it can do is said, and what it can't is refused."""
+
+    capabilities = frozenset({"generate", "score"})
+
+    def __init__(self, table: DataFrame, order: int):
+        self.table, self.order = table, order
+
+    def metadata(self) -> dict:
+        r = stats(self.table).first()
+        return {"kind": "ngram", "order": self.order, "entries": r["entries"], "vocabulary": r["vocabulary"]}
+
+    def generate(self, prompt: list[str], steps: int) -> list[str]:
+        return generate(self.table, prompt, steps, self.order)
+
+    def score(self, queries: DataFrame) -> DataFrame:
+        return probability(queries, self.table, self.order)
+
+    def embed(self, *_):
+        raise ValueError("an n-gram table has no embeddings")

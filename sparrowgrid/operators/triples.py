@@ -84,3 +84,29 @@ def causal_clashes(facts: DataFrame) -> DataFrame:
     """Pairs (s, o) that one fact joins causally and another contradicts."""
     cause = facts.where(F.col("p").isin("causes", "enables")).select("s", "o").distinct()
     return cause.join(facts.where("p = 'contradicts'").select("s", "o").distinct(), ["s", "o"], "left_semi")
+
+
+#: Composite that a transformation must reach (fixed value).
+ACCEPT = 0.5
+
+
+def gates(before: DataFrame, after: DataFrame, valid: bool = True, violated: int = 0) -> DataFrame:
+    """One row ``empirical, logical, temporal, causal, procedural, composite, accepted, facts`` of a transformation of facts.
+
+    Empirical: observed facts are kept. Logical: the operation is valid and no constraint is violated. Temporal: nothing
+    precedes itself. Causal: no pair is joined causally and contradicts. Accepted: the mean reaches ``ACCEPT``, with
+    nothing lost of the first two.
+    """
+    spo = ["s", "p", "o"]
+    lost = before.where("kind = 'observed'").select(spo).join(after.select(spo), spo, "left_anti").agg(F.count("*").alias("lost"))
+    clash = causal_clashes(after).agg(F.count("*").alias("clash"))
+    g = after.agg(F.count("*").alias("facts"), F.count_if((F.col("p") == "precedes") & (F.col("s") == F.col("o"))).alias("self"))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    out = g.join(lost).join(clash)  # single rows
+    out = out.select(
+        one(F.col("lost") == 0).alias("empirical"), F.lit(1.0 if valid and not violated else 0.0).alias("logical"), one(F.col("self") == 0).alias("temporal"),
+        one(F.col("clash") == 0).alias("causal"), F.lit(1.0 if valid else 0.0).alias("procedural"), "facts",
+    )
+    names = ("empirical", "logical", "temporal", "causal", "procedural")
+    out = out.withColumn("composite", sum((F.col(c) for c in names), F.lit(0.0)) / len(names))
+    return out.withColumn("accepted", (F.col("composite") >= ACCEPT) & (F.col("logical") == 1) & (F.col("empirical") == 1))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparrowgrid.operators import controls, embed, extract, greedy, neighbours
+from sparrowgrid.functions import text as T
+from sparrowgrid.operators import controls, discovery, embed, extract, greedy, neighbours
 from sparrowgrid.plans.base import query
 from sparrowgrid.session import table
 
@@ -16,9 +17,13 @@ def permutation_null(spark, sf_dir):
 
 @query("discover_gaps")
 def discover_gaps(spark, sf_dir):
+    """Leader clusters among vectors that no other covers."""
     e = table(spark, sf_dir, "embeddings")
-    open_ = neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s < 0.55").select(F.col("i").alias("vec_id"))
-    return greedy.leaders(e.join(open_, "vec_id").select("vec_id", F.col("label").cast("long").alias("label"), "embedding"), "label", "vec_id", "embedding", 0.30)
+    open_ = neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s < 0.55").select(F.col("i").alias("id"))
+    rows = e.select(F.col("vec_id").alias("id"), "embedding").join(open_, "id")
+    led = discovery.leaders(open_, neighbours.pairs_above(rows, "id", "embedding", 0.30))
+    sizes = led.groupBy("leader").agg(F.count("*").alias("size"))
+    return sizes.where("size >= 2")
 
 
 @query("trajectory_vector")
@@ -36,6 +41,29 @@ def word_vectors(spark, sf_dir):
     return embed.word_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("sentence_vectors")
+def sentence_vectors(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("turn_id"), "text")
+    words = embed.word_table(t, "turn_id", "text")
+    return embed.sentences(t, words, "turn_id", "text")
+
+
+@query("synthetic_embed")
+def synthetic_embed(spark, sf_dir):
+    return embed.synthetic(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("claim_identity")
+def claim_identity(spark, sf_dir):
+    """Claims are documents with a vector; those of one label and opposite polarity are what really contradicts."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    s = extract.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
+    claims = e.join(s, "id")
+    side = lambda p, n: claims.where(F.col("polarity") == p).select("label", F.col("id").alias(n))
+    truth = side(1, "a").join(side(-1, "b"), "label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return extract.identity_sweep(claims, truth)
+
+
 @query("claim_signature")
 def claim_signature(spark, sf_dir):
     return extract.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -51,9 +79,12 @@ def shape_assign(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+", ""), "[?#].*$", "")
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
     p = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("path"))
-    p = p.select("page_id", "host", "path", F.coalesce(F.get("path", F.lit(0)), F.lit("")).alias("kind"))
-    a = p.where("page_id % 2 = 0").select("host", F.col("page_id").alias("donor"), F.col("path").alias("ap"), F.col("kind").alias("ak"))
-    b = p.where("page_id % 2 = 1").select("host", F.col("page_id").alias("recipient"), F.col("path").alias("bp"), F.col("kind").alias("bk"))
-    score = greedy.evidence(F.col("ap"), F.col("ap"), F.col("ak"), F.col("ak"), F.col("bp"), F.col("bp"), F.col("bk"), F.col("bk"))
-    pairs = a.join(b, (F.col("ak") == F.col("bk")) & (a["host"] == b["host"])).select(a["host"].alias("group"), "donor", "recipient", F.round(score, 6).alias("score"))
-    return greedy.assign(pairs, "group")
+    name = T.name_tokens(F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")))
+    parent = F.array_join(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), "/")
+    p = p.select("page_id", "host", "path", name.alias("name"), parent.alias("parent"), T.shape_kind(F.array_join("path", "/")).alias("kind"))
+    side = lambda rest, one, who: p.where(F.col("page_id") % 2 == rest).select("host", F.col("page_id").alias(who), *[F.col(c).alias(f"{one}_{c}") for c in ("path", "name", "parent", "kind")])
+    cols = [F.col(f"{one}_{c}") for one in ("a", "b") for c in ("path", "name", "parent", "kind")]
+    # Pages meet where host and kind are the same: others can't reach the floor by path and name alone.
+    pairs = side(0, "a", "donor").join(side(1, "b", "recipient").withColumnRenamed("b_kind", "a_kind"), ["host", "a_kind"]).withColumn("b_kind", F.col("a_kind"))
+    scored = pairs.select(F.col("host").alias("group"), "donor", "recipient", F.round(greedy.evidence(*cols), 6).alias("score"))
+    return greedy.assign(scored.where("score >= 0.5"), "group")

@@ -151,17 +151,15 @@ def substitution_invariants(spark, sf_dir):
 
 @query(
     "transform_gates",
-    f"""WITH {FACT_SQL}, d AS (SELECT DISTINCT o AS s, 'produces' AS p, s AS o FROM facts WHERE p = 'requires'), u AS (SELECT s, p, o FROM facts UNION SELECT * FROM d)
-SELECT 1.0::DOUBLE AS empirical, CASE WHEN sum((s = o)::INT) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS temporal, count(*) AS facts FROM u""",
+    f"""WITH {FACT_SQL}, d AS (SELECT DISTINCT o AS s, 'produces' AS p, s AS o FROM facts WHERE p = 'requires'), u AS (SELECT s, p, o FROM facts UNION SELECT * FROM d),
+z AS (SELECT (SELECT count(*) FROM facts LEFT JOIN u USING (s, p, o) WHERE u.s IS NULL) AS lost, (SELECT count(*) FROM u WHERE p = 'precedes' AND s = o) AS self, (SELECT count(*) FROM u) AS facts,
+(SELECT count(*) FROM (SELECT DISTINCT s, o FROM u WHERE p IN ('causes', 'enables')) JOIN (SELECT DISTINCT s, o FROM u WHERE p = 'contradicts') USING (s, o)) AS clash),
+g AS (SELECT (lost = 0)::INT::DOUBLE AS empirical, 1.0::DOUBLE AS logical, (self = 0)::INT::DOUBLE AS temporal, (clash = 0)::INT::DOUBLE AS causal, 1.0::DOUBLE AS procedural, facts FROM z)
+SELECT *, (empirical + logical + temporal + causal + procedural) / 5 AS composite, empirical = 1 AND (empirical + logical + temporal + causal + procedural) / 5 >= 0.5 AS accepted FROM g""",
 )
 def transform_gates(spark, sf_dir):
     f = facts(spark, sf_dir)
-    u = triples.union_new(f, triples.invert(f, "requires"))
-    lost = f.select("s", "p", "o").join(u.select("s", "p", "o"), ["s", "p", "o"], "left_anti").agg(F.count("*").alias("lost"))
-    clash = triples.causal_clashes(u).agg(F.count("*").alias("clash"))
-    g = u.agg(F.count("*").alias("facts"), F.count_if(F.col("s") == F.col("o")).alias("self"))
-    one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(0.0)
-    return g.join(lost).join(clash).select(one("lost").alias("empirical"), one("self").alias("temporal"), "facts")
+    return triples.gates(f, triples.union_new(f, triples.invert(f, "requires")))
 
 
 NG_SQL = rf"""t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM conversations),

@@ -113,8 +113,7 @@ def ngram_cell_tables(spark, sf_dir):
 
 @query("ngram_generate")
 def ngram_generate(spark, sf_dir):
-    t = P.ng(spark, sf_dir).persist()
-    words = ngram.generate(t, ["the"], 8, 3)
+    words = ngram.generate(P.ng(spark, sf_dir), ["the"], 8, 3)
     return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "pos int, token string")
 
 
@@ -163,21 +162,21 @@ def position_locality(spark, sf_dir):
     return d.join(n).select("distance", F.round((F.col("n") * F.col("n") - 1) / (3 * F.col("n")), 6).alias("null_distance"))
 
 
-@query("claim_identity_sweep", f"""WITH {PAIRS_SQL}, c AS (SELECT s, li = lj AS same FROM pairs WHERE i < j AND s >= 0.3), t AS (SELECT x / 10.0::DOUBLE AS t FROM range(3, 10) r(x)), k AS (SELECT count(*) AS z FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label = b.label),
+@query("claim_identity_sweep", f"""WITH {PAIRS_SQL}, c AS (SELECT s, li = lj AS same FROM pairs WHERE i < j AND s >= 0.3), t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t), k AS (SELECT count(*) AS z FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label = b.label),
 g AS (SELECT t, sum((s >= t AND same)::INT) AS tp, sum((s >= t AND NOT same)::INT) AS fp FROM c, t GROUP BY t)
-SELECT round(t, 1) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(z, 1), 6) AS recall FROM g, k""")
+SELECT t AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(z, 1), 6) AS recall FROM g, k""")
 def claim_identity_sweep(spark, sf_dir):
     e = emb(spark, sf_dir)
     lab = lambda c, n: e.select(F.col("vec_id").alias(c), F.col("label").alias(n))
     c = neighbours.pairs_above(e, "vec_id", "embedding", 0.3, strict=False).join(lab("i", "li"), "i").join(lab("j", "lj"), "j").select("s", (F.col("li") == F.col("lj")).alias("same"))
     # Pairs of equal labels, from label counts.
     n = e.where("embedding IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("z"))
-    at = [k / 10.0 for k in range(3, 10)]
+    at = list(extract.SWEEP)
     t = c.select("same", F.explode(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x <= F.col("s"))).alias("t")).groupBy("t").agg(F.count_if("same").alias("tp"), F.count_if(~F.col("same")).alias("fp"))
     every = spark.createDataFrame([(x,) for x in at], "t double").join(t, "t", "left").join(n)
     tp, fp = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0))
     one = F.lit(1)
-    return every.select(F.round("t", 1).alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.round(tp / F.greatest(tp + fp, one), 6).alias("precision"), F.round(tp / F.greatest(F.col("z"), one), 6).alias("recall"))
+    return every.select(F.col("t").alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.round(tp / F.greatest(tp + fp, one), 6).alias("precision"), F.round(tp / F.greatest(F.col("z"), one), 6).alias("recall"))
 
 
 @query(

@@ -172,7 +172,7 @@ def retraction_fitness(spark, sf_dir):
     return fit(spark, sf_dir).select("h_id", r6("composite").alias("before")).join(after, "h_id").join(hit, "h_id")
 
 
-@query("asserted_failures", "WITH a AS (SELECT doc_id, 2.0 * quality - 1 - toxic AS v FROM labels), f AS (SELECT doc_id, greatest(-1, v) AS verdict FROM a WHERE v < 0) SELECT doc_id, verdict::DOUBLE AS verdict, row_number() OVER (ORDER BY verdict, doc_id)::INTEGER AS place, round((SELECT avg(greatest(-1, v)) FROM a), 6) AS asserted_index FROM f")
+@query("asserted_failures", "WITH a AS (SELECT doc_id, CASE WHEN 2.0 * quality - 1 - toxic IS NOT NULL THEN greatest(-1, 2.0 * quality - 1 - toxic) END AS v FROM labels), f AS (SELECT doc_id, v AS verdict FROM a WHERE v < 0) SELECT doc_id, verdict::DOUBLE AS verdict, row_number() OVER (ORDER BY verdict, doc_id)::INTEGER AS place, round((SELECT avg(v) FROM a), 6) AS asserted_index FROM f")
 def asserted_failures(spark, sf_dir):
     v = beliefs.clamp((2.0 * F.col("quality") - 1 - F.col("toxic")), -1.0)
     nodes = table(spark, sf_dir, "labels").select("doc_id", v.alias("verdict"))
