@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, lean, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, discard, lean, small_batches, texts_of, words, written
 
 CLASSES, CONTEXT, ROUNDS, SWEEPS = 32, 32_768, 3, 2
 BACKOFF = 5.0
@@ -418,6 +418,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     step = _classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once)
     kind = "block long, ids array<long>, held array<boolean>, n binary, known binary, base binary, emitted binary, classes binary, segment int, counts binary"
     classed = written(blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(step, kind), "classed")
+    discard(coded, answers)
     moves = summed(classed.select("segment", "counts"), 0)
     moves = moves.reshape(-1, 3, KINDS, KINDS).sum(0) if len(moves) else np.zeros((3, KINDS, KINDS), np.int64)
     out = classed.select("ids", "held", "n", "known", "base", "emitted", "classes").mapInArrow(

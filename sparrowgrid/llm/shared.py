@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where the session names none (tests), a folder of our own is set once."""
+    """The cluster's shared folder. Where a local session names none (tests), a folder of our own is set once; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("sparrowgrid.shared.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
             spark.conf.set("sparrowgrid.shared.dir", found)
     return found.rstrip("/")
