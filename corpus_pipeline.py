@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.llm import bpe, decontaminate, ngramjoin, quality, toxicity
 from sparrowgrid.llm.registry import vocabulary
-from sparrowgrid.llm.shared import table, written
+from sparrowgrid.llm.shared import discard, table, written
 
 #: Documents that score at least so much as good, and less than so much as toxic, stay.
 GOOD, TOXIC = 0.7, 0.5
@@ -79,6 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # What a stage read is not needed once its result is written; the input table stays.
+        if k:
+            discard(before)
     return docs

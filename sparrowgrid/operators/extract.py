@@ -21,21 +21,24 @@ COMMON = tuple(
 
 def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, min_df: int = 2, ids: bool = True, capitals: bool = True, frequent: bool = True) -> DataFrame:
     """``doc, key, ord``: entities in order of first mention, by up to three rules: id-shaped words, capitals inside a sentence, frequent content terms of ``min_length`` bytes."""
-    w = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "w"))
-    w = w.withColumn("before", F.lag("w").over(Window.partitionBy("doc").orderBy("pos"))).withColumn("key", T.entity_key(F.col("w"))).where("key <> ''")
-    rules = []
+    # The word before comes from the array shifted by one, not from a window over all words.
+    words = F.split(F.col(text_col), " ")
+    zipped = F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit(None).cast("string")), words).alias("before"))
+    w = docs.select(F.col(id_col).alias("doc"), F.posexplode(zipped).alias("pos", "z")).select("doc", "pos", "z.w", "z.before").where("w IS NOT NULL")
+    w = w.withColumn("key", T.entity_key(F.col("w"))).where("key <> ''")
+    sure = F.lit(False)
     if ids:
-        rules.append(F.col("key").rlike("^[a-z]+-[a-z0-9]+$"))
+        sure = sure | F.col("key").rlike("^[a-z]+-[a-z0-9]+$")
     if capitals:
-        rules.append(F.col("w").rlike(r"^\p{Lu}") & F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?\n]"))
+        sure = sure | F.coalesce(F.col("w").rlike(r"^\p{Lu}") & F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?\n]"), F.lit(False))
+    may = (F.octet_length("key") >= min_length) & ~F.col("key").isin(*COMMON) if frequent else F.lit(False)
+    # A row for each key of a document, with its first place and the first at which a rule of the word itself holds.
+    one = w.select("doc", "pos", "key", sure.alias("sure"), may.alias("may")).where("sure OR may")
+    one = one.groupBy("doc", "key", "may").agg(F.min("pos").alias("any"), F.min(F.when(F.col("sure"), F.col("pos"))).alias("pos"))
     if frequent:
-        df = w.select("doc", "key").distinct().groupBy("key").agg(F.count("*").alias("df"))
-        w = w.join(df, "key")
-        rules.append((F.octet_length("key") >= min_length) & ~F.col("key").isin(*COMMON) & (F.col("df") >= min_df))
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | F.coalesce(r, F.lit(False))
-    first = w.where(hit).groupBy("doc", "key").agg(F.min("pos").alias("pos"))
+        df = one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+        one = one.join(df, "key", "left").withColumn("pos", F.when(F.col("df").isNotNull(), F.col("any")).otherwise(F.col("pos")))
+    first = one.where("pos IS NOT NULL")
     return first.select("doc", "key", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "key")).alias("ord"))
 
 
