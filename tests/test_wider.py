@@ -172,3 +172,12 @@ def test_transition_null_leaves_the_order_of_round_0(spark):
     assert r.accuracy == 1.0 and 0 < r.null_mean < 1 and r.z > 0 and math.isfinite(r.z)
     scores = sequence.transition_scores(sequence.transitions(m, 2), gold).collect()
     assert sum(x.n for x in scores) == gold.count() and all(0 <= x.recall <= 1 for x in scores)
+
+
+def test_every_query_without_sql_gives_rows(spark):
+    from sparrowgrid import registry
+
+    queries, sql = registry.queries(), registry.oracle_sql()
+    empty = {n for n in set(queries) - set(sql) if not queries[n](spark, "/root/testdata/sf0.001").collect()}
+    # These find nothing in the smallest tables.
+    assert empty <= {"claims_opposed", "shape_assign", "discover_gaps", "discover_proposals"}
