@@ -56,3 +56,8 @@ def blend(a: Column, b: Column, alpha: float) -> Column:
 def distance(a: Column, b: Column) -> Column:
     """Cosine distance."""
     return 1 - cosine(a, b)
+
+
+def six(x: Column) -> Column:
+    """Six digits by the binary product, halves away from zero: ties of values that were rounded before fall as they do in SQL engines that multiply."""
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6 + 0.0

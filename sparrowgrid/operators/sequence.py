@@ -102,7 +102,7 @@ def bootstrap(values: DataFrame, value: str, id_col: str, rounds: int = 200, see
     u = F.pmod(F.xxhash64("id", "b", F.lit(seed)), F.lit(1_000_000)) / 1e6
     weight = sum((F.when(u >= p, 1).otherwise(0) for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)), F.lit(0))
     b = rows.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).select("b", "x", weight.alias("w"))
-    means = b.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+    means = b.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("m"))
     at = lambda q: F.col("m")[F.floor(F.size("m") * q).cast("int")]
     return ends.join(rows.agg(F.avg("x").alias("mean"))).select("mean", at(0.025).alias("low"), at(0.975).alias("high"))

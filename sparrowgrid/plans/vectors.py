@@ -55,7 +55,7 @@ def self_recovery(spark, sf_dir):
 @query("vec_cosine_pairs_topk", f"WITH {RANKED_SQL} SELECT i, j, round(s, 6) AS sim, rank FROM ranked WHERE rank <= 5")
 def vec_cosine_pairs_topk(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return neighbours.top_k(e, e, "vec_id", "embedding", 5).select("i", "j", F.round("s", 6).alias("sim"), "rank")
+    return neighbours.top_k(e, e, "vec_id", "embedding", 5).select("i", "j", V.six(F.col("s")).alias("sim"), "rank")
 
 
 @query(
@@ -65,7 +65,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j)::INTEGER A
 )
 def vec_dot_search(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return neighbours.top_k(e, e, "vec_id", "embedding", 10, "dot", False).select("i", "j", F.round("s", 6).alias("score"), "rank")
+    return neighbours.top_k(e, e, "vec_id", "embedding", 10, "dot", False).select("i", "j", V.six(F.col("s")).alias("score"), "rank")
 
 
 @query(
@@ -75,7 +75,7 @@ SELECT a.i, a.j, round(a.s, 6) AS sim FROM k a JOIN k b ON a.i = b.j AND a.j = b
 )
 def vec_mutual_knn(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return neighbours.mutual(neighbours.top_k(e, e, "vec_id", "embedding", 5)).select("i", "j", F.round("s", 6).alias("sim"))
+    return neighbours.mutual(neighbours.top_k(e, e, "vec_id", "embedding", 5)).select("i", "j", V.six(F.col("s")).alias("sim"))
 
 
 @query(
@@ -167,7 +167,7 @@ def propose_cells_distance(spark, sf_dir):
 def best_entry(spark, sf_dir):
     e = emb(spark, sf_dir)
     cells = e.select(F.col("vec_id").alias("j"), F.col("label").cast("long").alias("cell"))
-    return neighbours.top_k(e, e, "vec_id", "embedding", 1).join(cells, "j").select(F.col("i").alias("vec_id"), F.col("j").alias("entry"), "cell", F.round("s", 6).alias("sim"))
+    return neighbours.top_k(e, e, "vec_id", "embedding", 1).join(cells, "j").select(F.col("i").alias("vec_id"), F.col("j").alias("entry"), "cell", V.six(F.col("s")).alias("sim"))
 
 
 @query(
@@ -176,7 +176,7 @@ def best_entry(spark, sf_dir):
 )
 def coverage_uncovered(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s < 0.4").select(F.col("i").alias("vec_id"), F.round("s", 6).alias("best"))
+    return neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s < 0.4").select(F.col("i").alias("vec_id"), V.six(F.col("s")).alias("best"))
 
 
 @query(
@@ -241,7 +241,7 @@ def discover_stats(spark, sf_dir):
 )
 def consistency_conflicts(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s > 0.4").select(F.col("i").alias("vec_id"), F.col("j").alias("conflicts_with"), F.round(1 - F.col("s"), 6).alias("gap"))
+    return neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s > 0.4").select(F.col("i").alias("vec_id"), F.col("j").alias("conflicts_with"), V.six(1 - F.col("s")).alias("gap"))
 
 
 STRUCT_SQL = f"""{RANKED_SQL}, nn AS (SELECT i, s FROM ranked WHERE rank = 1), md AS (SELECT s AS m FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM nn) WHERE k = n // 2),
