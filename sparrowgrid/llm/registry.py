@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, brown, chat, decontaminate, ngramjoin, quality, tokencount, topk, toxicity, warc
+from sparrowgrid.llm import bpe, brown, chat, decontaminate, ngramjoin, periodic, quality, tokencount, topk, toxicity, warc
 from sparrowgrid.llm.shared import shared_dir, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_runs(turns.unionByName(extra), vocab), vocab)
 
 
+def tiled(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in which the words of a tenth of the documents repeat from some word on: h = crc32 of the id, g = h div 10;
+    where h % 10 = 0, each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.detect(tiled(table(spark, sf_dir, "documents")), texts=False)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 SQL = {
     "op6_topk_search": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -110,7 +127,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 
 
 def queries() -> dict[str, Run]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
