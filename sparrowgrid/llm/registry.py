@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, brown, chat, decontaminate, ngramjoin, periodic, quality, tokencount, topk, toxicity, warc
+from sparrowgrid.llm import bpe, brown, chat, decontaminate, langid, ngramjoin, periodic, quality, tokencount, topk, toxicity, warc
 from sparrowgrid.llm.shared import shared_dir, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_runs(turns.unionByName(extra), vocab), vocab)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold(1, 3)
+    found = langid.score(docs, langid.learn(docs, held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def tiled(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` in which the words of a tenth of the documents repeat from some word on: h = crc32 of the id, g = h div 10;
     where h % 10 = 0, each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8)."""
@@ -127,7 +133,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 
 
 def queries() -> dict[str, Run]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format, op12_language_id, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
