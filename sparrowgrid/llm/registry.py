@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm import bpe, brown, chat, decontaminate, langid, ngramjoin, periodic, quality, tokencount, topk, toxicity, warc
+from sparrowgrid.llm import bpe, brown, chat, decontaminate, langid, lexical, ngramjoin, periodic, quality, tokencount, topk, toxicity, warc
 from sparrowgrid.llm.shared import shared_dir, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_runs(turns.unionByName(extra), vocab), vocab)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), quality.fold(1, 3)
     found = langid.score(docs, langid.learn(docs, held_out))
@@ -93,12 +97,13 @@ def tiled(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` in which the words of a tenth of the documents repeat from some word on: h = crc32 of the id, g = h div 10;
     where h % 10 = 0, each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8)."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    words = F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')")
-    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
-    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
-    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
-    return rows.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+    # Lambdas bind words and numbers, which the optimiser would otherwise work out again for each word.
+    again = F.expr(
+        r"""transform(array(filter(split(text, '[ \\t-\\r]+'), w -> w <> '')), v -> transform(array(struct(g % size(v) AS a, size(v) AS n)),
+  s -> transform(array(1 + (s.n - s.a) div (3 + g % 8)), p -> array_join(transform(v, (x, i) -> if(i < s.a, x, v[cast(s.a + (i - s.a) % p AS int)])), ' '))[0])[0])[0]"""
+    )
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("chosen"))
+    return rows.select("doc_id", F.when(F.col("chosen") & F.col("text").rlike(r"[^ \t-\r]"), again).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +134,23 @@ g AS (SELECT conv_id, count(*) AS n_turns,
   sum(length(role) + length(replace(text, '<|', '<\\|')) + 24)::BIGINT AS formatted_chars
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op11_lexical_search": r"""WITH doc AS (SELECT row_number() OVER () AS row, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ask AS (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+size AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM doc WHERE len(w) > 0),
+post AS (SELECT row, doc_id, n_terms, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(w)::BIGINT AS n_terms, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM ask) GROUP BY row, doc_id, n_terms, term),
+weight AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM post, size GROUP BY term, n),
+impact AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n_terms * n) // l)))) AS x FROM post JOIN weight USING (term), size),
+score AS (SELECT item_id, row, doc_id, sum(c * x)::BIGINT AS score FROM impact JOIN ask USING (term) GROUP BY item_id, row, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
 
 
 def queries() -> dict[str, Run]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format, op12_language_id, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe_roundtrip, op4_token_counts, op5_decontaminate, op6_topk_search, op7_warc_archive, op8_quality_rank, op9_brown_score, op10_chat_format, op11_lexical_search, op12_language_id, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
