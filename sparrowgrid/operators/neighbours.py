@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators import graph
+
 EPS = 1e-8
 #: Vectors of a block at most and at least, blocks that a small table is cut into, and rows of a strip.
 BLOCK, LEAST, BLOCKS, STRIP = 8192, 256, 4, 1024
@@ -202,6 +204,44 @@ def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, stri
     return against(b, b, kernel, "i long, j long, s double")
 
 
+def spanning(p: np.ndarray, q: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the same connected ones of ``n + m`` nodes as all pairs of row p and column q (node n + q) give, few per node."""
+    if len(p) <= 2 * (n + m):
+        return p, n + q
+    label = np.arange(n + m)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, n + q, label[p])
+        np.minimum.at(label, p, label[n + q])
+        label = label[label]
+        if (label == before).all():
+            break
+    linked = np.union1d(p, n + q)
+    return linked, label[linked]
+
+
+def links_above(df: DataFrame, id_col: str, vec_col: str, threshold: float) -> DataFrame:
+    """``u, v``: links that join the same vectors as all pairs of a cosine at or over the threshold would, a few per vector and block
+    pair, so that a large group of like vectors makes no square of rows. For components; pairs themselves come from ``pairs_above``."""
+    b = blocks(df, id_col, vec_col)
+
+    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
+        s = np.round(cosines(x, y), 9)
+        p, q = np.nonzero((s >= threshold) & (x.id[:, None] < y.id[None, :]))
+        u, v = spanning(p, q, len(x.id), len(y.id))
+        ids = np.concatenate((x.id, y.id))
+        apart = ids[u] != ids[v]
+        return {"u": ids[u][apart], "v": ids[v][apart]}
+
+    return against(b, b, kernel, "u long, v long")
+
+
+def families(df: DataFrame, id_col: str, vec_col: str, nearest: DataFrame, slack: float = 0.02) -> tuple[DataFrame, float | None]:
+    """``node, component`` of vectors that chains of pairs join which are about as near as the median nearest neighbour (``nearest``: ``i, s``), and that median."""
+    median = order_statistics(nearest, "s", {"m": 0.5}).first()["m"]
+    return graph.components(links_above(df, id_col, vec_col, (2.0 if median is None else median) - slack)), median
+
+
 def mutual(top: DataFrame) -> DataFrame:
     """Pairs i < j that are in each other's lists."""
     back = top.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("_s"))

@@ -96,11 +96,19 @@ def pack(candidates: DataFrame, budget: int, top_k: int, diversity: float = 0.0)
 def pack_ranked(scores: DataFrame, docs: DataFrame, budget: int, top_k: int, diversity: float = 0.0) -> DataFrame:
     """The result of ``pack`` over all scored documents, from ``query, doc, score`` (none negative) and ``doc, tokens, text``.
 
-    A round is a few DataFrame steps that take one document of each query. What scores under ``1 - diversity`` times the best that
-    fits can't win, whatever the discounts, so only terms of the others are read.
+    A round is a few DataFrame steps that take one document of each query. Of documents with the same number of tokens, one that
+    scores under ``1 - diversity`` times the ``top_k``-th can't be picked, and in a round, what scores under that share of the best
+    that fits can't win, whatever the discounts: only the others are kept, and their terms read.
     """
-    left = cut(scores.join(docs.select("doc", "tokens"), "doc").select("query", "doc", "score", "tokens"))
-    scored = left.groupBy("query").agg(F.count("*").alias("scored"))
+    sized = scores.join(docs.select("doc", "tokens"), "doc").select("query", "doc", "score", "tokens")
+    # What is over the budget is only counted, in parts.
+    size = F.when(F.col("tokens") <= budget, F.col("tokens")).otherwise(-1 - F.pmod(F.xxhash64("doc"), F.lit(64)))
+    same = Window.partitionBy("query", "_size")
+    kth = F.nth_value("score", top_k).over(same.orderBy(F.col("score").desc(), "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = sized.withColumn("_size", size).withColumn("_n", F.count("*").over(same)).withColumn("_kth", kth)
+    left = cut(counted.where(F.col("_kth").isNull() | (F.col("score") >= (1 - diversity) * F.col("_kth"))).drop("_kth"))
+    scored = left.groupBy("query", "_size").agg(F.max("_n").alias("n")).groupBy("query").agg(F.sum("n").alias("scored"))
+    left = left.drop("_size", "_n")
     picks = None
     for k in range(1, top_k + 1):
         fit = left.where(F.col("tokens") <= budget)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.functions import vector as V
-from sparrowgrid.operators import extract, graph, neighbours, ngram, retrieval, sequence
+from sparrowgrid.operators import context, extract, graph, neighbours, ngram, retrieval, sequence
 from sparrowgrid.plans import facts as P
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, r6
@@ -246,12 +246,12 @@ def shape_plan(spark, sf_dir):
 
 @query("compiled_context")
 def compiled_context(spark, sf_dir):
-    """Budgeted against unbounded retrieval: tokens of both and the saving."""
+    """Contexts without repeats of a family (of like embeddings) under a budget, against the best 12 documents without one."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), "text")
-    base = bm25_ranked(spark, sf_dir).where("rank <= 12").select("query", "doc").join(d.drop("text"), "doc").groupBy("query").agg(F.sum("tokens").alias("baseline"))
-    kept = retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 1500, 8, 0.0).groupBy("query").agg(F.sum("tokens").alias("packed"))
-    saved = 1 - F.coalesce("packed", F.lit(0)) / F.col("baseline")
-    return base.join(kept, "query", "left").select(F.col("query").alias("item_id"), "baseline", F.coalesce("packed", F.lit(0)).alias("packed"), F.round(F.greatest(F.lit(0.0), saved), 6).alias("saving"))
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    alike, _ = neighbours.families(e, "vec_id", "embedding", neighbours.top_k(e, e, "vec_id", "embedding", 1).select("i", "s"))
+    found = context.compiled(bm25_scored(spark, sf_dir), d, alike, 1500, 8)
+    return found.select(F.col("query").alias("item_id"), "baseline_tokens", "compiled_tokens", "saving", "picks", "removed", "truncated", F.sha2("context", 256).alias("context_sha256"))
 
 
 @query("claims_opposed")

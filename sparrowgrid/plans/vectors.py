@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import vector as V
-from sparrowgrid.operators import classify, graph, neighbours
+from sparrowgrid.operators import classify, neighbours
 from sparrowgrid.plans.base import query
 from sparrowgrid.session import table
 
@@ -252,9 +252,7 @@ cc AS (WITH RECURSIVE w(node, label) AS (SELECT vec_id, vec_id FROM e UNION SELE
 @query("structure_repeats", f"WITH {STRUCT_SQL}, z AS (SELECT root, count(*) AS size FROM cc GROUP BY root HAVING count(*) >= 2) SELECT node AS vec_id, root AS family, size FROM cc JOIN z USING (root)")
 def structure_repeats(spark, sf_dir):
     e = emb(spark, sf_dir)
-    median = neighbours.order_statistics(neighbours.top_k(e, e, "vec_id", "embedding", 1), "s", {"m": 0.5}).first()
-    links = neighbours.pairs_above(e, "vec_id", "embedding", (median["m"] if median and median["m"] is not None else 2.0) - 0.02, strict=False)
-    parts = graph.components(links.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    parts, _ = neighbours.families(e, "vec_id", "embedding", neighbours.top_k(e, e, "vec_id", "embedding", 1).select("i", "s"))
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     return parts.join(sizes, "component").select(F.col("node").alias("vec_id"), F.col("component").alias("family"), "size")
 

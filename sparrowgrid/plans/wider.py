@@ -280,10 +280,8 @@ def structural_map(spark, sf_dir):
     """Families of alike texts with name and hints, and texts apart from all with their nearest cell, in one frame."""
     e = emb(spark, sf_dir).where("embedding IS NOT NULL")
     nn = graph.cut(neighbours.top_k(e, e, "vec_id", "embedding", 1).select("i", "s"))
-    median = neighbours.order_statistics(nn, "s", {"m": 0.5}).first()["m"]
+    parts, median = neighbours.families(e, "vec_id", "embedding", nn)
     m = 2.0 if median is None else median
-    links = neighbours.pairs_above(e, "vec_id", "embedding", m - 0.02, strict=False)
-    parts = graph.components(links.select(F.col("i").alias("u"), F.col("j").alias("v")))
     text = docs(spark, sf_dir).select(F.col("doc_id").alias("node"), "text")
     terms = parts.join(text, "node").select("component", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).where(F.length("term") > 3)
     shared = retrieval.ranked(terms.groupBy("component", "term").agg(F.count("*").alias("n")).where("n >= 2"), "component", F.col("n"), "term").where("rank <= 6")
