@@ -37,6 +37,8 @@ from sparrowgrid.llm.shared import batches, chunks, discard, gaps, lean, packed,
 TERM = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 #: Bytes of text of an index block, rows of (item, term) or terms of a part, and (document, item) cells that are scored at once.
 BLOCK_BYTES, PART_ROWS, CELLS = 4 << 20, 1 << 17, 1 << 22
+#: Bytes of packed parts up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 INDEX = pa.schema(
     [("block", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary())]
     + [(c, pa.binary()) for c in ("terms", "df", "places", "counts")]
@@ -261,10 +263,15 @@ def _scored(k: int, n_docs: int, n_terms: int):
 
 
 def _meeting(index: DataFrame, parts: DataFrame, n_parts: int) -> DataFrame:
-    """Every block beside every part, by number. Parts are copied for each of ``salts``, so that a part's blocks are not one group where Spark shuffles."""
-    salts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-    return blocks.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["part", "salt"]).drop("salt")
+    """Every block beside every part, by number. Parts of a checked size are broadcast; larger ones are copied for each of
+    ``salts`` and shuffled, so that a part's blocks are not one group."""
+    blocks = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    binary = [F.octet_length(c) for c, kind in parts.dtypes if kind == "binary"]
+    if (parts.agg(F.sum(sum(binary, F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES:
+        return blocks.join(F.broadcast(parts), "part")
+    salts = F.lit(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("long")
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return blocks.withColumn("salt", F.pmod(F.xxhash64("block"), salts)).join(parts, ["part", "salt"]).drop("salt")
 
 
 def _first(rows: DataFrame, k: int, by: list[str], order: list) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sparrowgrid.session import sound
+
 #: ASCII upper case to lower case and the white space 0x09-0x0D to a space; nothing else changes.
 LOWER = bytes(0x20 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: The white space alone.
@@ -25,6 +27,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: it cuts lineage and any executor can read it again."""
-    spark = df.sparkSession
+    spark = sound(df.sparkSession)
     path = f"{shared_dir(spark)}/sparrowgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # Shuffle files of finished steps stay until the driver collects the plans that made them.

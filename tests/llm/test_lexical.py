@@ -52,7 +52,7 @@ def test_search_equals_brute_force(spark, monkeypatch, block, part, cells, parti
     docs, items = tables(block)
     docs += [(7, None), (None, "w1 w2 w50"), (None, None), (11, docs[11][1]), (11, docs[11][1]), (500, "W1\x00w2,W50"), (501, "")]
     items += [(None, "w3"), (None, "w4 Öl"), (93, None), (94, "")]
-    for name, x in (("BLOCK_BYTES", block), ("PART_ROWS", part), ("CELLS", cells)):
+    for name, x in (("BLOCK_BYTES", block), ("PART_ROWS", part), ("CELLS", cells), ("BROADCAST_BYTES", 32 << 20 if block > 1000 else 0)):
         monkeypatch.setattr(lexical, name, x)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
     q = spark.createDataFrame(items, "item_id long, text string").repartition(partitions)
