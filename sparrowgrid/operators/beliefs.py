@@ -30,8 +30,12 @@ def tally(evidence: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def fitness(hypotheses: DataFrame, evidence: DataFrame, predictions: DataFrame) -> DataFrame:
     """Hypotheses with ``empirical, predictive, contradiction_penalty, miss_penalty, composite, sup, con``."""
+    return scored(hypotheses.join(tally(evidence, predictions), "h_id", "left")).drop("n", "net", "resolved", "hits")
+
+
+def scored(h: DataFrame) -> DataFrame:
+    """``fitness`` from rows that have their tally."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    h = hypotheses.join(tally(evidence, predictions), "h_id", "left")
     empirical = F.when(zero("n") == 0, 0.5).otherwise(clamp(0.5 + 0.5 * F.col("net") / F.col("n")))
     predictive = F.when(zero("resolved") == 0, 0.5).otherwise(F.col("hits") / F.col("resolved"))
     h = h.withColumns(
@@ -44,7 +48,7 @@ def fitness(hypotheses: DataFrame, evidence: DataFrame, predictions: DataFrame)
     w = WEIGHTS
     total = w["semantic"] * F.col("semantic_fit") + w["ontological"] * F.col("ontological_fit") + w["logical"] * F.col("logical_consistency")
     total = total + w["empirical"] * F.col("empirical") + w["predictive"] * F.col("predictive") - F.col("contradiction_penalty") - F.col("miss_penalty")
-    return h.withColumn("composite", clamp(total)).drop("n", "net", "resolved", "hits")
+    return h.withColumn("composite", clamp(total))
 
 
 def fitness_terms(fit: DataFrame) -> DataFrame:

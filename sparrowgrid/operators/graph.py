@@ -7,10 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowgrid.session import sound
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by checkpoint() in the cluster's shared folder; a local session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+    sc = sound(df.sparkSession).sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):

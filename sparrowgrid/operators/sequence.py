@@ -42,6 +42,40 @@ def transitions(mentions: DataFrame, gap: int = 6) -> DataFrame:
     return by.select("seq", "pos", F.when(F.col("new") == 1, "emerge").when(F.col("since") > gap, "recur").otherwise("persist").alias("label"))
 
 
+#: What says that something is gone (fixed values), and the gap after which a mention recurs.
+GONE = ("no longer", "is removed", "was removed", "is drained", "stops", "stands idle")
+GAP = 6
+
+
+def states(places: DataFrame, mentions: DataFrame, facts: DataFrame, gap: int = GAP, cues: tuple[str, ...] = GONE) -> DataFrame:
+    """``seq, pos, label`` of every place (``seq, pos, text``): what its entities and its fact do to the state that the places before it left.
+
+    A cue in the text: disappear. Else a new entity: emerge. Else, with a fact: persist where the same fact was stated before (recur,
+    if the latest mention of any of its entities is more than ``gap`` places back), change where the pair's last predicate was another
+    or the pair is new (recur, if it isn't another and the mention is as old). Without a fact: recur, none (no entity) or persist.
+
+    ``mentions`` has ``seq, pos, entity``; ``facts`` ``seq, pos, s, p, o``, of which a place uses the least. The state is what
+    windows look back on: the entity's, the fact's and the pair's row before. Places without mentions stay; a null text has no cue.
+    """
+    back = F.col("pos") - F.lag("pos").over(Window.partitionBy("seq", "entity").orderBy("pos"))
+    m = mentions.select("seq", "pos", "entity").distinct().withColumn("since", back)
+    m = m.groupBy("seq", "pos").agg(F.max(F.col("since").isNull().cast("int")).alias("new"), F.min("since").alias("since"))
+    f = facts.groupBy("seq", "pos").agg(F.min(F.struct("s", "p", "o")).alias("f")).select("seq", "pos", "f.s", "f.p", "f.o")
+    same, pair = Window.partitionBy("seq", "s", "p", "o").orderBy("pos"), Window.partitionBy("seq", "s", "o").orderBy("pos")
+    f = f.select("seq", "pos", "p", F.lag("pos").over(same).isNotNull().alias("again"), F.lag("p").over(pair).alias("before"))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    gone = F.lit(False)
+    for c in cues:
+        gone = gone | F.contains(low, F.lit(c))
+    rows = places.select("seq", "pos", gone.alias("gone")).join(m, ["seq", "pos"], "left").join(f, ["seq", "pos"], "left")
+    stale = F.coalesce(F.col("since") > gap, F.lit(False))
+    changed = F.coalesce(F.col("before") != F.col("p"), F.lit(False))
+    fact = F.when(F.col("again"), F.when(stale, "recur").otherwise("persist")).when(changed, "change").when(stale, "recur").otherwise("change")
+    bare = F.when(stale, "recur").when(F.col("new").isNull(), "none").otherwise("persist")
+    label = F.when(F.col("gone"), "disappear").when(F.col("new") == 1, "emerge").when(F.col("p").isNotNull(), fact).otherwise(bare)
+    return rows.select("seq", "pos", label.alias("label"))
+
+
 def transition_scores(derived: DataFrame, gold: DataFrame) -> DataFrame:
     """``label, n, recall, accuracy, majority`` of labels ``seq, pos, label`` against gold ones; a place without a derived label is a miss."""
     j = gold.withColumnRenamed("label", "gold").join(derived, ["seq", "pos"], "left").withColumn("hit", F.coalesce((F.col("gold") == F.col("label")).cast("int"), F.lit(0)))

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparrowgrid.session import sound
+
 #: Modules that register queries when they are imported.
-MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures", "wider")]
+MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures", "wider", "evolving")]
 
 _FOUND: dict[str, Query] = {}
 
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None):
     def keep(f):
         if name in _FOUND:
             raise ValueError(f"query {name} is registered twice")
-        _FOUND[name] = Query(f, sql)
+        _FOUND[name] = Query(lambda spark, sf_dir: f(sound(spark), sf_dir), sql)
         return f
 
     return keep
