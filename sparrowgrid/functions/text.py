@@ -68,19 +68,26 @@ def segments(text: Column, least_words: int = 3) -> Column:
     return F.filter(parts, lambda x: F.size(F.split(x, r"\s+")) >= least_words)
 
 
+#: Names of manifests and extensions of each kind of file (fixed values).
+MANIFESTS = ("Cargo.toml", "package.json", "pom.xml", "build.gradle", "build.gradle.kts", "AndroidManifest.xml", "pyproject.toml", "go.mod", "Gemfile")
+KINDS = {
+    "doc": ("md", "rst", "adoc"),
+    "asset": ("png", "jpg", "jpeg", "gif", "svg", "ico", "webp"),
+    "config": ("toml", "yaml", "yml", "json", "ini", "conf", "properties", "xml"),
+    "source": ("rs", "ts", "tsx", "js", "jsx", "java", "kt", "py", "go", "rb", "c", "h", "cpp", "hpp", "swift", "php", "cs"),
+}
+
+
 def shape_kind(path: Column) -> Column:
-    """What a path in a project is, by name and extension."""
-    name = F.element_at(F.split(F.lower(path), "/"), -1)
-    return (
-        F.when(name.isin("cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "makefile"), "manifest")
-        .when(F.lower(path).rlike(r"(^|/)tests?(/|$)|_test\.|\.test\."), "test")
-        .when(name.rlike(r"\.(rs|py|js|ts|go|java|c|cpp|h)$"), "source")
-        .when(name.rlike(r"\.(md|rst|txt|html?)$"), "doc")
-        .when(name.rlike(r"\.(json|toml|ya?ml|ini|cfg)$"), "config")
-        .when(name.rlike(r"\.(png|jpe?g|svg|gif|css)$"), "asset")
-        .when(name.rlike(r"\.[a-z0-9]+$"), "other")
-        .otherwise("directory")
-    )
+    """What a file of a project is, by its relative path: a manifest by name, a test by its place or stem, else by extension."""
+    name = F.element_at(F.split(path, "/"), -1)
+    low, stem = F.lower(path), F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
+    test = F.contains(low, F.lit("/test")) | F.startswith(low, F.lit("test")) | F.endswith(stem, F.lit("_test")) | F.endswith(stem, F.lit(".test"))
+    kind = F.when(name.isin(*MANIFESTS), "manifest").when(test, "test")
+    extension = F.regexp_extract(F.lower(name), r"\.([^.]*)$", 1)
+    for k, some in KINDS.items():
+        kind = kind.when(extension.isin(*some), k)
+    return kind.otherwise("other")
 
 
 def single_line(text: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
@@ -154,37 +154,42 @@ def identity_sweep(claims: DataFrame, truth: DataFrame) -> DataFrame:
     return j.select("method", "threshold", "tp", "fp", "precision", "recall", "f1", first.alias("best"), "unresolved")
 
 
-DETERMINERS = frozenset("the a an this that these those its their our il lo la i gli le un uno una".split())
+#: What a phrase follows, and endings that mark a verb (fixed values).
+DETERMINERS = ("the", "a", "an", "this", "that", "its")
+VERBISH = ("ing", "ed")
 
 
-def noun_phrases(text: str | None, most: int = 3) -> list[tuple[str, str]]:
-    """(phrase, head) after each determiner: words up to a stop word, a verb-like or a short one, joined by hyphens."""
-    tokens = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    out: list[tuple[str, str]] = []
-    at = 0
-    while at < len(tokens):
-        if tokens[at] not in DETERMINERS:
-            at += 1
-            continue
-        words = []
-        at += 1
-        while at < len(tokens) and len(words) < most:
-            w = tokens[at]
-            if w in DETERMINERS or w in T.STOP or len(w) < 3 or re.search(r"(ing|ed|ise|ize|are|ere|ire)$", w):
-                break
-            words.append(w)
-            at += 1
-        if words and ("-".join(words), words[-1]) not in out:
-            out.append(("-".join(words), words[-1]))
-    return out
+def _phrases(t: Column, most: int) -> Column:
+    """Of an array of words: a struct (ord, words) for each determiner that a phrase follows."""
 
+    def plain(w: Column) -> Column:
+        verb = F.endswith(w, F.lit(VERBISH[0])) | F.endswith(w, F.lit(VERBISH[1]))
+        return ~(w.isin(*DETERMINERS) | w.isin(*COMMON) | (F.octet_length(w) < 3) | (verb & (F.octet_length(w) >= 4)))
 
-def phrases(docs: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
-    """``id, ord, phrase, head``."""
+    def step(so_far: Column, w: Column) -> Column:
+        # After the first word, an ending in -s (not -ss) is a verb's.
+        head = (F.size(so_far["words"]) > 0) & F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss"))
+        on = so_far["on"] & plain(w) & ~head
+        return F.struct(F.when(on, F.array_append(so_far["words"], w)).otherwise(so_far["words"]).alias("words"), on.alias("on"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, k, p, h) for i, t in zip(f["id"], f["text"], strict=True) for k, (p, h) in enumerate(noun_phrases(t, most))]
-            yield pd.DataFrame(rows, columns=["id", "ord", "phrase", "head"])
+    def after(w: Column, i: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(True).alias("on"))
+        words = F.aggregate(F.transform(F.slice(t, i + 2, most), F.lower), start, step, lambda s: s["words"])
+        # A capital inside a text is a name's.
+        return F.when(F.lower(w).isin(*DETERMINERS) & ((i == 0) | (F.lower(w) == w)), F.struct(i.alias("ord"), words.alias("words")))
+
+    return F.filter(F.transform(t, after), lambda p: p.isNotNull() & (F.size(p["words"]) > 0))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, ord int, phrase string, head string")
+
+def words_of(text: Column) -> Column:
+    """Words between white space, without the signs around them; hyphens stay."""
+    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}-]+|[^\p{L}\p{N}-]+$", "")), lambda w: w != "")
+
+
+def phrases(docs: DataFrame, id_col: str, text_col: str, most: int = 3) -> DataFrame:
+    """``id, ord, phrase, head``: for each determiner, at word ``ord``, the up to ``most`` words that follow it, ended by a determiner, a stop
+    word, a verb-like or a short word; joined by hyphens, and the last of them."""
+    # The lambda binds the words: they are cut once for each text.
+    found = F.transform(F.array(words_of(F.col(text_col))), lambda t: _phrases(t, most))[0]
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("p"))
+    return rows.select("id", "p.ord", F.array_join("p.words", "-").alias("phrase"), F.element_at("p.words", -1).alias("head"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.graph import cut
+
 
 def deviations(measurements: DataFrame, constraints: DataFrame) -> DataFrame:
     """``id, constraint_id, expected, actual, severity`` of measurements outside a band of their metric; either bound may be missing.
@@ -35,8 +37,8 @@ def concurrent(observations: DataFrame, bucket: int = 3600) -> DataFrame:
 
 def numbered(new: DataFrame, last: int, order: list[str]) -> DataFrame:
     """New log rows with rising numbers after ``last``, from per-partition offsets of a range sort; one global order, no single task."""
-    s = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    s = s.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).persist()
+    s = cut(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    s = s.withColumn("_i", F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
     sizes = s.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("off", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("off", F.lit(0)).alias("off"))
     return s.join(F.broadcast(before), "_p").withColumn("seq", F.col("off") + F.col("_i") + last + 1).drop("_p", "_i", "off")

@@ -69,7 +69,20 @@ def claim_signature(spark, sf_dir):
     return extract.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("noun_phrases")
+def _in(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PLAIN = f"coalesce(NOT list_contains({_in(extract.DETERMINERS)}, {{0}}) AND NOT list_contains({_in(extract.COMMON)}, {{0}}) AND strlen({{0}}) >= 3 AND NOT (strlen({{0}}) >= 4 AND ({{0}} LIKE '%ing' OR {{0}} LIKE '%ed')), false)"
+_NO_VERB = "NOT ({0} LIKE '%s' AND {0} NOT LIKE '%ss')"
+PHRASE_SQL = rf"""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}-]+|[^\p{{L}}\p{{N}}-]+$', '', 'g')), lambda x: x <> '') AS t FROM documents),
+d AS (SELECT doc_id, t, unnest(list_filter(range(1, len(t) + 1), lambda i: list_contains({_in(extract.DETERMINERS)}, lower(t[i])) AND (i = 1 OR t[i] = lower(t[i])))) AS i FROM w),
+p AS (SELECT doc_id, i, lower(t[i + 1]) AS a, lower(t[i + 2]) AS b, lower(t[i + 3]) AS c FROM d),
+n AS (SELECT *, CASE WHEN NOT {_PLAIN.format("a")} THEN 0 WHEN NOT ({_PLAIN.format("b")} AND {_NO_VERB.format("b")}) THEN 1 WHEN NOT ({_PLAIN.format("c")} AND {_NO_VERB.format("c")}) THEN 2 ELSE 3 END AS n FROM p)
+SELECT doc_id AS id, (i - 1)::INTEGER AS ord, CASE n WHEN 1 THEN a WHEN 2 THEN a || '-' || b ELSE a || '-' || b || '-' || c END AS phrase, CASE n WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS head FROM n WHERE n > 0"""
+
+
+@query("noun_phrases", PHRASE_SQL)
 def noun_phrases(spark, sf_dir):
     return extract.phrases(table(spark, sf_dir, "documents"), "doc_id", "text")
 

@@ -1,4 +1,4 @@
-"""What lies where: the state folder, run settings, project trees, local models, and look-ups over loaded packs."""
+"""What lies where: the state folder, run settings, local models, and look-ups over loaded packs."""
 
 from __future__ import annotations
 
@@ -11,12 +11,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowgrid.functions import text as T
-
-#: Folders and files of a project that a scan leaves out (fixed values).
-SKIPPED_FOLDERS = ("target", "node_modules", ".git", "dist", "build", "__pycache__", ".venv", "vendor")
-SKIPPED_FILES = ("Cargo.lock", "package-lock.json", "yarn.lock")
-
 
 def domains(entries: DataFrame, later: DataFrame | None = None) -> DataFrame:
     """``name, domain, mode, category`` by name; entries of ``later`` replace those of the same name."""
@@ -79,24 +73,6 @@ def example_settings() -> str:
     return json.dumps(asdict(Run()), indent=2)
 
 
-def project(spark: SparkSession, root: str) -> DataFrame:
-    """``path, kind, tokens, depth`` of a project's files and folders, in order of path; builds, version data and lock files are left out.
-
-    Spark lists the tree (paths only, on any store); folders are the parents of what is listed, so empty folders don't show.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(base).toUri().getPath().rstrip("/")
-    rel = files.select(F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^" + "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in base) + "/", "").alias("path"))
-    parts = rel.withColumn("parts", F.split("path", "/"))
-    skip = F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])
-    kept = parts.where(~F.arrays_overlap(F.slice("parts", 1, F.size("parts") - 1), skip) & ~F.element_at("parts", -1).isin(*SKIPPED_FILES))
-    above = F.when(F.size("parts") > 1, F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.array_join(F.slice("parts", 1, k), "/"))).otherwise(F.array().cast("array<string>"))
-    folders = kept.select(F.explode(above).alias("path")).distinct().withColumn("kind", F.lit("directory"))
-    nodes = kept.select("path", T.shape_kind(F.col("path")).alias("kind")).unionByName(folders)
-    return nodes.select("path", "kind", T.name_tokens(F.element_at(F.split("path", "/"), -1)).alias("tokens"), (F.size(F.split("path", "/")) - 1).alias("depth")).orderBy("path")
-
-
 def model_files(spark: SparkSession, folder: str) -> DataFrame:
     """``name, bytes, sha256`` of a local model's files."""
     f = spark.read.format("binaryFile").load(folder)

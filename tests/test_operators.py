@@ -91,10 +91,18 @@ def test_leaders_and_assignment(spark):
     assert sorted((r.donor, r.recipient) for r in greedy.assign(s, "group").collect()) == [(1, 10), (2, 11)]
 
 
-def test_claims_and_phrases():
+def test_claims_and_phrases(spark):
     assert extract.signature("Caching does not improve latency")[0] == -1 and extract.signature("Caching improves latency")[0] == 1
     assert extract.signature(None) == (0, [])
-    assert extract.noun_phrases("the quick brown fox jumped over a lazy dog") [:1] == [("quick-brown-fox", "fox")]
+    texts = [
+        "the quick brown fox jumped over a lazy dog", "the coolant pump feeds the line", "The parts, this (Big) glass-cover; is its end", "it is The Big one, an", "the press was thing a ox", None,
+    ]
+    got = extract.phrases(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").orderBy("id", "ord").collect()
+    want = [
+        (0, 0, "quick-brown-fox", "fox"), (0, 6, "lazy-dog", "dog"), (1, 0, "coolant-pump", "pump"), (1, 4, "line", "line"), (2, 0, "parts", "parts"), (2, 2, "big-glass-cover", "glass-cover"),
+        (2, 6, "end", "end"), (4, 0, "press", "press"),
+    ]
+    assert [tuple(r) for r in got] == want
 
 
 def test_triples_refuse_cartesian(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import ask, embed, extract, journal, machines, ngram, triples
-from sparrowgrid.sources import catalog
+from sparrowgrid.sources import catalog, tree
 
 
 def test_records_are_completed(spark):
@@ -132,7 +132,7 @@ def test_catalog(spark, tmp_path, monkeypatch):
     for f in ("Cargo.toml", "src/mainFile.rs", "tests/a_test.py", "target/x.rs", ".git/y", "Cargo.lock", "docs/deep/readme.md"):
         (root / f).parent.mkdir(parents=True, exist_ok=True)
         (root / f).write_text("x")
-    got = {r.path: (r.kind, r.depth) for r in catalog.project(spark, str(root)).collect()}
+    got = {r.path: (r.kind, r.depth) for r in tree.project(spark, str(root)).collect()}
     assert got == {"Cargo.toml": ("manifest", 0), "src": ("directory", 0), "src/mainFile.rs": ("source", 1), "tests": ("directory", 0), "tests/a_test.py": ("test", 1), "docs": ("directory", 0), "docs/deep": ("directory", 1), "docs/deep/readme.md": ("doc", 2)}
     monkeypatch.setenv("SPARROWGRID_DIR", "/somewhere")
     assert catalog.state_dir() == "/somewhere"
