@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import vector as V
+from sparrowgrid.operators import sequence
+from sparrowgrid.operators.graph import cut
 
 FLOOR = 1e-8
 
@@ -82,3 +84,23 @@ def random_candidates(ids: DataFrame, top: int, seed: int = 7) -> DataFrame:
     start = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n))
     draws = places.select(F.col("id").alias("i"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(top, n) - 1)), lambda k: F.pmod(start + k, F.lit(n)))).alias("rank", "at"))
     return draws.join(places.select("at", F.col("id").alias("j")), "at").select("i", "j", (F.col("rank") + 1).alias("rank"))
+
+
+def arm_score(found: DataFrame, left: DataFrame, right: DataFrame, rounds: int = 200) -> DataFrame:
+    """One row ``n, top1, top3, preservation, low, high`` of an arm's ranked candidates ``i, j, rank``, where i's true match is i itself.
+
+    ``preservation``: the share of edges ``i, j`` of the left graph whose ends' first candidates are joined by an edge of the right one (either
+    way round; 0 without edges). ``low, high``: the 95 % bootstrap interval of top1, over nodes.
+    """
+    hits = cut(found.groupBy("i").agg(F.max(((F.col("rank") == 1) & (F.col("j") == F.col("i"))).cast("double")).alias("top1"), F.max(((F.col("rank") <= 3) & (F.col("j") == F.col("i"))).cast("double")).alias("top3")))
+    first = found.where("rank = 1").select("i", F.col("j").alias("to"))
+    edges = left.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    known = right.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().withColumn("there", F.lit(1))
+    mapped = edges.join(first, "i", "left").join(first.select(F.col("i").alias("j"), F.col("to").alias("to_j")), "j", "left")
+    # A node without candidates maps to itself.
+    a, b = F.coalesce("to", "i"), F.coalesce("to_j", "j")
+    kept = mapped.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).join(known, ["a", "b"], "left")
+    share = kept.agg(F.coalesce(F.count("there") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("preservation"))
+    interval = sequence.bootstrap(hits, "top1", "i", rounds).select("low", "high")
+    means = hits.agg(F.count("*").alias("n"), F.coalesce(F.avg("top1"), F.lit(0.0)).alias("top1"), F.coalesce(F.avg("top3"), F.lit(0.0)).alias("top3"))
+    return means.join(share).join(interval)  # three single rows

@@ -44,6 +44,42 @@ def top_next(table: DataFrame, k: int) -> DataFrame:
     return table.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cell_tables(steps: DataFrame, seq: str, pos: str, symbol: str, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, flat, support) of ordered symbols: ``cell, n, context, next, cnt``, ``n, context, next, cnt`` and ``cell, support``.
+
+    A step is evidence of the cell that it is at: its window holds up to ``order`` symbols before it, itself and the one after; the
+    n-grams of all windows of a cell are its table. Windows overlap, so a step's symbols count in several. A window of one symbol counts
+    for the support alone. The flat table has each n-gram once. Windows come from the rows around a step: no sequence is one array.
+    """
+    w = Window.partitionBy(seq).orderBy(pos)
+    around = [*[F.lag(symbol, k).over(w) for k in range(order, 0, -1)], F.col(symbol), F.lead(symbol, 1).over(w)]
+    rows = steps.where(F.col(symbol).isNotNull()).select(F.col(symbol).alias("cell"), F.array_compact(F.array(*around)).alias("w"), F.array_compact(F.array(*around[1:-1])).alias("h"))
+    cells = counts(rows.where(F.size("w") >= 2), "w", order, ["cell"])
+    # Each n-gram that ends at a step.
+    ends = F.transform(F.sequence(F.lit(1), F.size("h")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("h", F.size("h") - n + 1, n - 1), " ").alias("context")))
+    flat = rows.select("cell", F.explode(ends).alias("g")).groupBy("g.n", "g.context", F.col("cell").alias("next")).agg(F.count("*").alias("cnt"))
+    return cells, flat, rows.groupBy("cell").agg(F.count("*").alias("support"))
+
+
+def cell_next(contexts: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], order: int, k: int, least: int) -> DataFrame:
+    """``id, next, p, rank, source``: the k likeliest symbols after each ``id, context array<string>``, from the longest seen end of the context.
+
+    The table of the context's last symbol is asked where its support is at least ``least``, else (and for an empty context) the flat one.
+    """
+    cells, flat, support = tables
+    c = contexts.withColumn("cell", F.try_element_at("context", F.lit(-1))).join(support.where(F.col("support") >= least), "cell", "left")
+    source = F.when(F.col("support").isNotNull(), "cell").otherwise("flat")
+    size = F.size("context")
+    levels = F.transform(F.sequence(F.lit(1), F.least(size + 1, F.lit(order))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("context", size - n + 2, n - 1), " ").alias("context")))
+    asked = c.select("id", "cell", source.alias("source"), F.explode(levels).alias("l")).select("id", "cell", "source", "l.n", "l.context")
+    found = asked.where("source = 'cell'").join(cells, ["cell", "n", "context"]).select("id", "source", "n", "next", "cnt")
+    found = found.unionByName(asked.where("source = 'flat'").join(flat, ["n", "context"]).select("id", "source", "n", "next", "cnt"))
+    longest = found.withColumn("_m", F.max("n").over(Window.partitionBy("id"))).where(F.col("n") == F.col("_m"))
+    w = Window.partitionBy("id")
+    ranked = longest.withColumns({"p": F.col("cnt") / F.sum("cnt").over(w), "rank": F.row_number().over(w.orderBy(F.col("cnt").desc(), "next"))})
+    return ranked.where(F.col("rank") <= k).select("id", "next", "p", "rank", "source")
+
+
 def probability(queries: DataFrame, table: DataFrame, order: int) -> DataFrame:
     """``query columns, p``: back-off probability of ``next`` after ``context array<string>``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,35 @@ def antecedents(mentions: DataFrame) -> DataFrame:
     return mentions.select("seq", "pos", before.alias("b")).groupBy("seq", "pos").agg(F.max("b").alias("antecedent"))
 
 
+def deviations(rows: DataFrame, key: str, order: str, vec_col: str, id_col: str) -> DataFrame:
+    """``id, key, sim, kind`` of rows under their key's bar, the mean similarity to the centroid less a deviation: a variation if some later
+    row of the key is nearer to it than that row is to the centroid, else a mistake. Keys of under three rows have none.
+
+    Keys and orders are numbers. Whether there is such a later row is looked for block by block (each block pair gives at most one
+    witness a row), so pairs are never rows.
+    """
+    from sparrowgrid.functions import vector as V
+    from sparrowgrid.operators import neighbours
+    from sparrowgrid.operators.graph import cut
+
+    u = rows.where(F.col(vec_col).isNotNull() & F.col(key).isNotNull()).select(F.col(id_col).alias("id"), F.col(key).cast("double").alias("key"), F.col(order).cast("double").alias("at"), V.normalise(V.as_double(F.col(vec_col))).alias("v"))
+    c = neighbours.centroids(u, ["key"], "v").where("n >= 3").select("key", V.normalise(F.col("centroid")).alias("c"))
+    s = u.join(c, "key").select("id", "key", "at", "v", F.round(V.dot(F.col("v"), F.col("c")), 9).alias("sim"))
+    bar = s.groupBy("key").agg((F.avg("sim") - F.stddev_pop("sim")).alias("bar"))
+    # Place and similarity ride at the end of the vector.
+    s = cut(s.join(bar, "key").select("id", "key", "sim", (F.col("sim") < F.col("bar")).alias("out"), F.concat("v", F.array("at", "sim")).alias("v")))
+
+    def witness(x, y) -> dict:
+        near = np.round(np.clip(x.v[:, :-2] @ y.v[:, :-2].T, -1, 1), 9)
+        later = (x.label[:, None] == y.label[None, :]) & (y.v[None, :, -2] > x.v[:, None, -2])
+        return {"i": x.id[(later & (near > y.v[None, :, -1])).any(1)]}
+
+    left, right = neighbours.blocks(s.where("out"), "id", "v", "key"), neighbours.blocks(s, "id", "v", "key")
+    taken = neighbours.against(left, right, witness, "i long").distinct().withColumnRenamed("i", "id")
+    out = s.where("out").join(taken.withColumn("taken", F.lit(True)), "id", "left")
+    return out.select("id", F.col("key").cast("long").alias("key"), "sim", F.when(F.col("taken"), "variation").otherwise("mistake").alias("kind"))
+
+
 def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``n, ari`` of two partitions, from counts alone; 0 where it is degenerate."""
     cells = rows.groupBy(a, b).agg(F.count("*").alias("c"))
@@ -138,5 +168,5 @@ def bootstrap(values: DataFrame, value: str, id_col: str, rounds: int = 200, see
     b = rows.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).select("b", "x", weight.alias("w"))
     means = b.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("m"))
-    at = lambda q: F.col("m")[F.floor(F.size("m") * q).cast("int")]
+    at = lambda q: F.get("m", F.floor(F.size("m") * q).cast("int"))  # noqa: E731  null without values
     return ends.join(rows.agg(F.avg("x").alias("mean"))).select("mean", at(0.025).alias("low"), at(0.975).alias("high"))
