@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from sparrowgrid.llm.shared import batches, discard, written
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-#: Links that one task joins at once (some 200 bytes each); more go by rounds of joins.
-ONE_TASK = 500_000
 
 
 def _stars(u: list[int], v: list[int]) -> pa.RecordBatch:
@@ -39,15 +37,6 @@ def _by_batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _stars(b.column(0).to_pylist(), b.column(1).to_pylist())
 
 
-def _whole(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    u: list[int] = []
-    v: list[int] = []
-    for b in frames:
-        u += b.column(0).to_pylist()
-        v += b.column(1).to_pylist()
-    yield _stars(u, v)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every greater neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
@@ -65,23 +54,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node that has a link in ``links(u, v)``: the least id that links reach.
 
-    Few links are joined by one task. Of many, each round (a table in the shared folder) shortens the longest path to the
-    least id by a constant factor, so rounds grow with the logarithm of that path. Nulls and links of a node to itself are left out.
+    Each batch of links is joined inside its task first; then each round (a table in the shared folder) shortens the longest path to
+    the least id by a constant factor, so rounds grow with the logarithm of that path, and no task ever has all links. Nulls and links
+    of a node to itself are left out.
     """
     clean = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    edges = written(clean.mapInArrow(_by_batch, "u long, v long").distinct(), "edges")
-    if edges.count() <= ONE_TASK:
-        stars = written(edges.coalesce(1).mapInArrow(_whole, "u long, v long"), "edges")
+    stars = written(clean.mapInArrow(_by_batch, "u long, v long").distinct(), "edges")
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+    before = None
+    while (after := tuple(stars.agg(mark.alias("m")).first()["m"])) != before and after[0]:
+        edges, before = stars, after
+        stars = written(_small_star(_large_star(edges)), "edges")
         discard(edges)
-    else:
-        mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
-        before = None
-        while True:
-            large = written(_large_star(edges), "edges")
-            stars = written(_small_star(large), "edges")
-            discard(edges, large)
-            edges, after = stars, tuple(stars.agg(mark.alias("m")).first()["m"])
-            if after == before:
-                break
-            before = after
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())

@@ -40,14 +40,15 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def _features(texts: list[bytes]) -> np.ndarray:
+    texts = [*texts, b""]  # so that every text is followed by a space, wherever it lies
     buf, start, end, h, at = words(texts, SPACES)
     n = np.diff(at)
     size = np.array([len(t) for t in texts])
     edges = np.concatenate(([1], 1 + np.cumsum(size + 1)))
-    edges[-1] = min(edges[-1], len(buf))
+    edges[-1] = len(buf)
     doc = np.repeat(np.arange(len(texts)), n)
     by = lambda lut: _sums(lut[buf], edges)
-    letters, used = by(LETTER), size - by(_class((32, 32))) + 1
+    letters, used = by(LETTER), size - by(_class((32, 32))) + 1  # the space after it isn't the text's
     same = np.zeros(len(h), bool)
     if len(h):
         same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
@@ -81,7 +82,7 @@ def _features(texts: list[bytes]) -> np.ndarray:
             _share(distinct, n), _share(top, n), lines[:, 0], lines[:, 1], _share(word_sum(marked), n), _share(word_sum(loud), n),
         ],
         1,
-    )
+    )[:-1]
 
 
 def sample_ids(labels, label_col: str, held_out, most: int):

@@ -5,7 +5,8 @@ of a score that ranks documents. The threshold is a quantile of the training sco
 poor documents below it, moved inside the labels' gap to where the fewest training documents fall on the wrong side.
 Scores in [0, 1] are the logistic function of the distance to it, so that the threshold is at ``cut``.
 
-Only a bounded sample of labelled documents (``most``) trains; every document is scored from its whole text. Nulls: a
+Only a bounded sample of labelled documents (``most``) trains; every document is scored from its whole text. Of rows that share a
+labelled id the one of the least features trains, so that the model doesn't depend on where rows lie. Nulls: a
 null text is the empty text, and gets the score of its features (all zero); a label of null, or for no document, isn't
 used. Where the sample holds one class or nothing, the score is the share of label 1 in it (0.5 for none). Ties get
 equal scores; repeated rows stay; further columns are left out. An empty table gives an empty table.
@@ -88,7 +89,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
         for b in frames:
             yield batches({"doc_id": b.column(0), "label": b.column(1), "f": list(features(texts_of(b.column(2))))}, schema)
 
-    got = rows.mapInArrow(lean(run), "doc_id long, label int, f array<double>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # Of rows that share an id, the one of the least features trains, wherever the rows lie.
+    one = rows.mapInArrow(lean(run), "doc_id long, label int, f array<double>").groupBy("doc_id").agg(F.min(F.struct("f", "label")).alias("r"))
+    got = one.select("doc_id", "r.label", "r.f").toArrow().sort_by("doc_id")
     f = np.array(got.column("f").to_pylist(), float).reshape(-1, len(NAMES))
     return fit(f, np.array(got.column("label").to_pylist(), int), cut)
 

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm import quality, registry, toxicity
+from sparrowgrid.llm.features import NAMES, features
 from sparrowgrid.llm.shared import table
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +49,65 @@ def test_held_out_accuracy(spark):
     assert accuracy(toxicity.score(docs, toxicity.learn(docs, labels, held)), labels, held, "toxic", 0.5) > 0.9
 
 
+def test_held_out_toxic_documents_are_found(spark):
+    """Recall and false alarms, not accuracy alone: most documents are clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.fold(0, 5)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, held)).join(labels.where("toxic IS NOT NULL"), "doc_id").where(held)
+    n = {(r.toxic, r.said): r["count"] for r in scored.groupBy("toxic", (F.col("score") >= 0.5).alias("said")).count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) >= 0.9 and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_quality_model_is_the_same_on_any_layout(spark):
+    """Rows that share a labelled id have unlike texts: the model doesn't depend on which comes first."""
+    rng = random.Random(3)
+    rows = [(i % 30, " ".join(rng.choice(["word", "###", "A$$$", "1234", "plain", "LOUD!!"][: 3 + i % 4]) for _ in range(rng.randint(3, 40)))) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    got = []
+    for n, order in ((1, 1), (3, -1), (5, 1)):
+        df = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(n)
+        got.append(quality.train(df, labels, F.lit(False)))
+    assert all((g.weights == got[0].weights).all() and g.threshold == got[0].threshold for g in got)
+
+
+def test_quality_fit_equals_a_minimiser_over_all_pairs():
+    """Sampled pairs give the weights that plain gradient steps over every pair come to; the threshold has the fewest errors of any cut."""
+    rng = np.random.default_rng(2)
+    f = np.abs(rng.normal(size=(60, len(NAMES))))
+    truth = rng.normal(size=len(NAMES))
+    y = (f @ truth + rng.normal(size=60) > np.median(f @ truth)).astype(int)
+    ranker = quality.fit(f, y, pairs=400)
+    x = quality.expand(f)
+    scale = np.maximum(x.std(0), 1e-6)
+    d = np.array([(x[a] - x[b]) / scale for a in np.flatnonzero(y == 1) for b in np.flatnonzero(y == 0)])
+    w = np.zeros(d.shape[1])
+    for _ in range(30_000):
+        w -= 0.2 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 1e-3 * w)
+    s, t = x @ ranker.weights, x @ (w / scale)
+    assert np.corrcoef(s, t)[0, 1] > 0.99
+    wrong = lambda cut: (s[y == 1] < cut).mean() + (s[y == 0] >= cut).mean()
+    assert wrong(ranker.threshold) == min(wrong(c) for c in [*s, np.inf])
+    assert np.allclose(ranker.score(f), 1 / (1 + np.exp(-(s - ranker.threshold + np.log(0.7 / 0.3)))))
+
+
+def test_features_equal_plain_counts():
+    texts = ["Hello WORLD!! ### 12 12 12", "", "a a b\nline\nline", "x" * 50, "é ü!", "p|q p|q\tz"]
+    got = features([t.encode() for t in texts])
+    assert all((features([t.encode()])[0] == row).all() for t, row in zip(texts, got, strict=True))
+    for t, row in zip(texts, got, strict=True):
+        b, words = t.encode(), t.encode().split()
+        used = len(b) - sum(c in b" \t\n\r\x0b\x0c" for c in b)
+        letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c > 127 for c in b)
+        want = {
+            "log_words": np.log1p(len(words)), "word_bytes": min(len(b) / max(len(words), 1), 30), "upper": sum(65 <= c <= 90 for c in b) / max(letters, 1), "exclaim": b.count(b"!") / max(used, 1),
+            "pipes": b.count(b"|") / max(used, 1), "digits": sum(48 <= c <= 57 for c in b) / max(used, 1), "high_bytes": sum(c > 127 for c in b) / max(used, 1),
+            "repeats": sum(x == y for x, y in zip(words, words[1:])) / max(len(words), 1), "distinct": len(set(words)) / max(len(words), 1),
+            "top_word": max((words.count(x) for x in words), default=0) / max(len(words), 1),
+        }
+        for name, value in want.items():
+            assert row[NAMES.index(name)] == pytest.approx(value), (t, name)
+
+
 def test_models_on_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a"), (1, None), (1, None), (2, ""), (3, "word " * 200_000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")

@@ -50,7 +50,6 @@ def test_no_link_of_real_documents_is_lost(spark, monkeypatch, how):
         monkeypatch.setattr(ngramjoin, "HOT", 6)
     if how == "shuffled":
         monkeypatch.setattr(ngramjoin, "BROADCAST_IDS", 0)
-        monkeypatch.setattr(components, "ONE_TASK", 0)
     if how != "as set":
         monkeypatch.setattr(ngramjoin, "RANGE", 20_000)
         monkeypatch.setattr(ngramjoin, "DEAL", 30_000)
@@ -85,14 +84,13 @@ def test_long_text_and_repeats(spark):
     assert got == sorted([(5, 59_996, 5), (6, 59_997, 5), (7, 1, 5), (7, 59_996, 5), (8, 0, 8), (8, 1, 5), (None, 59_996, None)], key=str)
 
 
-@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
-def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+@pytest.mark.parametrize("partitions", [1, 20])
+def test_components_of_chains_and_stars(spark, partitions):
     rng = random.Random(8)
     ids = list(range(400))
     rng.shuffle(ids)
     links = [(ids[k], ids[k + 1]) for k in range(199)] + [(ids[200], ids[k]) for k in range(201, 300)] + [(ids[300], ids[300]), (ids[301], ids[302]), (ids[302], ids[301])]
-    got = components.components(spark.createDataFrame([*links, (None, 3), (4, None)], "u long, v long").repartition(20))
+    got = components.components(spark.createDataFrame([*links, (None, 3), (4, None)], "u long, v long").repartition(partitions))
     want = least_reachable(ids, links)
     assert {r.node: r.component for r in got.collect()} == {i: want[i] for p in links if p[0] != p[1] for i in p}
     assert components.components(got.limit(0).select(F.col("node").alias("u"), F.col("component").alias("v"))).count() == 0
