@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
+from sparrowgrid.operators.graph import cut
 from sparrowgrid.operators.overlap import jaccard, similar
 
+#: Rows of words up to which they are broadcast.
+FEW = 1_000_000
 #: Words that the rule of frequent terms leaves out (fixed values).
 COMMON = tuple(
     "the and that with from this then than into over under after before while when were was are its his her their they them "
@@ -36,8 +39,8 @@ def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, m
     one = w.select("doc", "pos", "key", sure.alias("sure"), may.alias("may")).where("sure OR may")
     one = one.groupBy("doc", "key", "may").agg(F.min("pos").alias("any"), F.min(F.when(F.col("sure"), F.col("pos"))).alias("pos"))
     if frequent:
-        df = one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-        one = one.join(df, "key", "left").withColumn("pos", F.when(F.col("df").isNotNull(), F.col("any")).otherwise(F.col("pos")))
+        df = cut(one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
+        one = one.join(F.broadcast(df) if df.count() <= FEW else df, "key", "left").withColumn("pos", F.when(F.col("df").isNotNull(), F.col("any")).otherwise(F.col("pos")))
     first = one.where("pos IS NOT NULL")
     return first.select("doc", "key", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "key")).alias("ord"))
 
@@ -59,6 +62,20 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     Neighbours come from shifted copies of the term array, so words are paired without a join.
     """
     t = docs.select(T.terms(F.col(text_col)).alias("t"))
+
+    def others(t: Column) -> Column:
+        """Each word of an array with its neighbours that are other words."""
+
+        def one(w: Column, i: Column) -> Column:
+            there = [F.get(t, i + d) for d in range(-window, window + 1) if d]
+            return F.struct(w.alias("w"), sum((F.coalesce((x != w).cast("long"), F.lit(0).cast("long")) for x in there), F.lit(0).cast("long")).alias("n"))
+
+        return F.transform(t, one)
+
+    # How often a word is in a pair comes from the words themselves: one row for each word of the corpus.
+    side = t.select(F.explode(F.transform(F.array("t"), others)[0]).alias("x")).groupBy(F.col("x.w").alias("w")).agg(F.sum("x.n").alias("nw")).where("nw > 0")
+    side = cut(side)
+    words, total = side.agg(F.count("*"), F.sum("nw")).first()
     pairs = None
     for d in range(1, window + 1):
         zipped = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 1 + d, F.greatest(F.size("t") - d, F.lit(0))).alias("b"))
@@ -66,10 +83,9 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
         pairs = one if pairs is None else pairs.unionByName(one)
     # Counts are alike in both directions: unordered pairs are counted, and turned round at the end.
     n = pairs.groupBy(F.least("w", "c").alias("w"), F.greatest("w", "c").alias("c")).agg(F.count("*").alias("n"))
-    side = n.select(F.explode(F.array("w", "c")).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("nw"))
-    total = n.agg((2 * F.sum("n")).alias("z"))  # one row
-    j = n.join(side, "w").join(side.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c").join(F.broadcast(total))
-    j = j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.col("z") / (F.col("nw") * F.col("nc")))).where("ppmi > 0")
+    side = F.broadcast(side) if words <= FEW else side
+    j = n.join(side, "w").join(side.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c")
+    j = j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.lit(float(total or 0)) / (F.col("nw") * F.col("nc")))).where("ppmi > 0")
     both = F.explode(F.array(F.struct("w", "c"), F.struct(F.col("c").alias("w"), F.col("w").alias("c"))))
     return j.select(both.alias("p"), "n", "ppmi").select("p.w", "p.c", "n", "ppmi")
 

@@ -27,23 +27,20 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
 
     Only postings of query terms are joined: the queries' terms semi-filter the postings before document statistics meet them.
     """
-    # Texts are cut once: terms that no query asks for leave before the shuffle, and an empty term, one for each document, carries its length.
+    # Terms that no query asks for leave before the shuffle; lengths are made before the array is exploded.
     tokens = docs.select(F.col(id_col).alias("doc"), T.terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+    n, avg_dl = tokens.agg(F.count("*"), F.greatest(F.avg("dl"), F.lit(1e-6))).first()
     asked = cut(queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(T.terms(F.col(query_text)))).alias("term")))
-    wanted = asked.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
-    tf = tokens.select("doc", "dl", F.explode(F.array_append("t", F.lit(""))).alias("term")).join(wanted, "term", "left_semi")
+    few = asked.count() <= FEW
+    wanted = asked.select("term").distinct()
+    tf = tokens.select("doc", "dl", F.explode("t").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     tf = tf.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = tf.where("term = ''").agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1e-6)).alias("avg_dl"))
-    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # Statistics are one row.
-    idf = df.join(F.broadcast(stats)).select("term", "avg_dl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    weights = asked.join(idf, "term")
-    if asked.count() <= FEW:
-        weights = F.broadcast(weights)
-        # A document's postings lie together, so that its scores are summed where they are.
-        tf = tf.repartition("doc")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    weights = asked.join(df.select("term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), "term")
+    if few:
+        # A document's postings come together, so that its scores are summed where they are.
+        weights, tf = F.broadcast(weights), tf.repartition("doc")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl or 1e-6)))
     return tf.join(weights, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 

@@ -68,7 +68,10 @@ def test_packing_goes_over_all_scored_documents(spark, tmp_path):
     packed = defaultdict(int)
     for r in retrieval.pack(every, 1500, 8, 0.0).collect():
         packed[r.query] += r.tokens
-    assert {r.item_id: r.packed for r in QUERIES["compiled_context"](spark, d).collect()} == packed
+    picks = Counter(r.query for r in retrieval.pack(every, 1500, 8, 0.0).collect())
+    # No document has a vector, so none repeats another; three tokens part the texts of a context.
+    spark.createDataFrame([(1000, 0, [1.0, 0.0]), (1001, 0, [0.0, 1.0])], "vec_id long, label int, embedding array<double>").write.parquet(f"{d}/embeddings.parquet")
+    assert {r.item_id: r.compiled_tokens for r in QUERIES["compiled_context"](spark, d).collect()} == {q: n + 3 * (picks[q] - 1) for q, n in packed.items()}
 
 
 def test_labels_hold_the_whole_text(spark, tmp_path):
