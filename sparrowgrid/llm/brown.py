@@ -2,14 +2,19 @@
 
     p(text) = product over tokens of p(class | class before) * p(word | class),  a text's end being a token and a class
 
-1. The ``CONTEXT`` most frequent training words (a table of fixed size) start in classes dealt by rank. Each of
-   ``ROUNDS`` scans counts, for each of them, the classes of the words before and after it, over all training texts;
-   exchange sweeps then move one word after another to the class that raises the class bigram likelihood most.
+1. Seeds: the ``CONTEXT`` most frequent training words start in classes dealt by rank. Each of ``ROUNDS`` scans counts, for each of
+   them, the classes of the words before and after it, over all training texts; exchange sweeps then move one seed after another to
+   the class that raises the class bigram likelihood most.
 2. One scan codes every text by blocks of documents. Every other word goes, with its training count and the classes
-   around its training occurrences in the block, to the bucket of its hash. A bucket sums them over all blocks, moves each
-   word to its best class by the same criterion, and answers each block with counts and classes. So every word of the
-   corpus has its exact count and a class, and no table of all words is ever in one place.
-3. Blocks turn into class sequences; class bigrams are summed over training texts; the scores are read off.
+   around its training occurrences in the block, to the bucket of its hash. A bucket sums them over all blocks, puts each
+   word into its best class by the same criterion, and answers each block with counts and classes.
+3. Exchange over all words, ``EXCHANGES`` times: blocks know the classes of all their words by now, and send the classes around each
+   word anew. Seeds, whose counts are a table of fixed size, are moved one after another; every other word is moved in its bucket,
+   against the class tables that this leaves, without its own counts where it is. So every word of the corpus has its exact
+   count and is exchanged as often as any other, no table of all words is ever in one place, and a frequent word is no hot key.
+4. Blocks turn into class sequences; class bigrams are summed over training texts; the scores are read off.
+
+Counts of a fixed size that many tasks have are summed in a tree, ``FAN`` at a time, until a few rows are left for the driver.
 
 Smoothing: p(class | before) backs off to the class's share with weight ``BACKOFF``. Words not in training are a class of
 their own: its probability after a class is the share of words there that occur once in training, spread over as many
@@ -28,16 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.shared import batches, chunks, discard, lean, small_batches, texts_of, words, written
 
-CLASSES, CONTEXT, ROUNDS, SWEEPS = 32, 32_768, 3, 2
+CLASSES, CONTEXT, ROUNDS, EXCHANGES, SWEEPS = 32, 32_768, 2, 2, 2
 BACKOFF = 5.0
 #: Documents and bytes of text that make a block, whichever comes first; words of a bucket.
 BLOCK_DOCS, BLOCK_BYTES, BUCKET = 1000, 8 << 20, 700_000
-SEGMENTS = 8
+#: Packed counts that one task sums, and parts that a large array of counts is packed in.
+FAN, SEGMENTS = 32, 8
 #: Classes after the words' own: the end (and start) of a text; as context in clustering, any other word; when scoring, words not in training.
 END, OTHER = CLASSES, CLASSES + 1
 KINDS = CLASSES + 2
@@ -114,7 +122,6 @@ def _counted():
 def _contexts(known: Words, classes: np.ndarray):
     """Counts of (word, class before) and (word, class after) over a task's texts, packed in segments."""
     size = known.n * KINDS
-    schema = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
@@ -133,37 +140,53 @@ def _contexts(known: Words, classes: np.ndarray):
                 total[1] += np.bincount(base + kind[word + 1], minlength=size)
                 any_text = True
         if any_text:
-            parts = np.array_split(total.reshape(-1).astype(np.int32 if total.max(initial=0) < 2**31 else np.int64), SEGMENTS)
-            yield batches({"segment": range(SEGMENTS), "counts": [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts]}, schema)
+            yield packed_counts(total.reshape(-1), SEGMENTS)
 
     return run
 
 
+COUNTS = pa.schema([("k", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
+COUNTS_DDL = "k long, segment int, counts binary"
+
+
+def packed_counts(total: np.ndarray, segments: int = 1) -> pa.RecordBatch:
+    """Counts of a task in parts; ``k`` is the task's number."""
+    parts = np.array_split(total.astype(np.int64), segments)
+    return batches({"k": [TaskContext.get().partitionId()] * segments, "segment": range(segments), "counts": [_pack(p) for p in parts]}, COUNTS)
+
+
 def _sum(part: pa.Table) -> pa.Table:
     total = None
     for c in part.column("counts"):
-        x = np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+        x = _unpack(c.as_py(), np.int64)
         total = x.copy() if total is None else total + x
-    return pa.table({"segment": part.column("segment")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """Element-wise sum of packed counts; the driver gets one sum, of a fixed size."""
-    parts = {r["segment"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows.groupBy("segment").applyInArrow(_sum, "segment int, counts binary").collect()}
+    return pa.table({"k": part.column("to")[:1], "segment": part.column("segment")[:1], "counts": pa.array([_pack(total)], pa.binary())})
+
+
+def summed(rows: DataFrame, many: int, size: int) -> np.ndarray:
+    """Element-wise sum of packed counts of rows ``k, segment, counts`` with at most ``many`` numbers k: a tree of sums of ``FAN``, then the driver's."""
+    while many > FAN:
+        many = -(-many // FAN)
+        rows = rows.withColumn("to", F.pmod(F.col("k"), F.lit(many))).groupBy("to", "segment").applyInArrow(_sum, COUNTS_DDL)
+    parts: dict[int, np.ndarray] = {}
+    for r in rows.collect():
+        x = _unpack(r["counts"], np.int64)
+        parts[r["segment"]] = parts[r["segment"]] + x if r["segment"] in parts else x
     return np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(size, np.int64)
 
 
-def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, rest_into=0.0, rest_out=0.0, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Move each word to its best class, one after another, most frequent first.
 
-    Returns classes, and for words that come later: log weights by (class before, class), (class after, class), and class size.
+    ``rest_into, rest_out``: what words that aren't moved here add to the class tables. Returns classes and the tables
+    that they give: counts by (class before, class) and by (class after, class).
     """
     classes = classes.copy()
-    into, out = np.zeros((KINDS, CLASSES)), np.zeros((KINDS, CLASSES))
+    into, out = np.zeros((KINDS, CLASSES)) + rest_into, np.zeros((KINDS, CLASSES)) + rest_out
     for k in range(CLASSES):
-        into[:, k], out[:, k] = before[classes == k].sum(0), after[classes == k].sum(0)
+        into[:, k] += before[classes == k].sum(0)
+        out[:, k] += after[classes == k].sum(0)
     size = into.sum(0)
-    log = lambda x: np.log(x + 0.5)
     li, lo, ls = log(into), log(out), log(size)
     for _ in range(sweeps):
         moved = 0
@@ -186,7 +209,11 @@ def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, sweeps:
                 moved += 1
         if not moved:
             break
-    return classes, li, lo, ls
+    return classes, into, out
+
+
+def log(x: np.ndarray) -> np.ndarray:
+    return np.log(x + 0.5)
 
 
 CODED = pa.schema(
@@ -260,12 +287,20 @@ def _coded(known: Words, classes: np.ndarray, n_buckets: int):
     return run
 
 
-ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary()), ("places", pa.binary()), ("sums", pa.binary())])
+ANSWERS_DDL = "block long, bucket int, counts binary, classes binary, places binary, sums binary"
+
 
+def _rows_of(total: np.ndarray, best: np.ndarray, bucket: int) -> dict[str, list]:
+    """Answers of a bucket that begin with its own row: the classes of its words and sums by class."""
+    sums = np.concatenate((np.bincount(best, weights=total, minlength=KINDS), [(total > 0).sum(), (total == 1).sum()])).astype(np.int64)
+    return {"block": [None], "bucket": [bucket], "counts": [None], "classes": [_pack(best)], "places": [None], "sums": [_pack(sums)]}
 
-def _answered(li: np.ndarray, lo: np.ndarray, ls: np.ndarray):
-    """A bucket's words over all blocks: counts, classes; a row without block holds its sums by class."""
-    li, lo = (li - ls).astype(np.float32), (lo - ls).astype(np.float32)
+
+def _answered(into: np.ndarray, out: np.ndarray):
+    """A bucket's words over all blocks: exact training counts, and the best class for each word that has none yet."""
+    size = log(into.sum(0))
+    li, lo = (log(into) - size).astype(np.float32), (log(out) - size).astype(np.float32)
 
     def run(part: pa.Table) -> pa.Table:
         get = lambda c: part.column(c).to_pylist()
@@ -286,22 +321,124 @@ def _answered(li: np.ndarray, lo: np.ndarray, ls: np.ndarray):
             stop = edge[i + step] if i + step < len(edge) else len(owner)
             gain = li[before[some[0] : stop]] + lo[after[some[0] : stop]]
             best[owner[some]] = np.argmax(np.add.reduceat(gain, some - some[0], axis=0), 1)
-        sums = np.concatenate((np.bincount(best, weights=total, minlength=KINDS), [(total > 0).sum(), (total == 1).sum()])).astype(np.int64)
-        rows: dict[str, list] = {"block": [None], "bucket": [None], "counts": [sums.tobytes()], "classes": [None]}
+        rows = _rows_of(total, best, get("bucket")[0])
         at = 0
         for block, bucket, h in zip(get("block"), get("bucket"), hs, strict=True):
             mine = which[at : at + len(h)]
             at += len(h)
-            for c, v in zip(rows, (block, bucket, _pack(total[mine]), _pack(best[mine])), strict=True):
+            # Hashes of a block are sorted, so places among the bucket's words rise.
+            for c, v in zip(rows, (block, bucket, _pack(total[mine]), _pack(best[mine]), _pack(np.diff(mine, prepend=0).astype(np.uint32)), None), strict=True):
                 rows[c].append(v)
         return pa.table(rows, schema=ANSWERS)
 
     return run
 
 
+def moved(before: np.ndarray, after: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Best class of each word (rows of counts by class before and after it) against fixed tables, its own counts left out of its old class."""
+    size = into.sum(0)
+    n = before.sum(1)
+    gain = before @ log(into) + after @ log(out) - 2 * n[:, None] * log(size)
+    own = (before * log(into.T[old] - before)).sum(1) + (after * log(out.T[old] - after)).sum(1) - 2 * n * log(size[old] - n)
+    gain[np.arange(len(old)), old] = own
+    return np.argmax(gain, 1)
+
+
+def _exchanged(into: np.ndarray, out: np.ndarray):
+    """A bucket's words moved to their best classes; its own row (no block) has the classes so far."""
+
+    def run(part: pa.Table) -> pa.Table:
+        state = part.filter(pc.is_null(part.column("block")))
+        part = part.filter(pc.is_valid(part.column("block")))
+        get = lambda c: part.column(c).to_pylist()
+        best = _unpack(state.column("classes")[0].as_py(), np.uint8).copy()
+        places = [np.cumsum(_unpack(x, np.uint32).astype(np.int64)) for x in get("places")]
+        counts = np.concatenate([np.empty(0, np.int64), *[_unpack(x, np.int32).astype(np.int64) for x in get("counts")]])
+        which = np.concatenate([np.empty(0, np.int64), *places])
+        total = np.bincount(which, weights=counts, minlength=len(best)).astype(np.int64)
+        owner = np.repeat(which, counts)
+        before, after = (np.concatenate([np.empty(0, np.uint8), *[_unpack(x, np.uint8) for x in get(c)]]).astype(np.int64) for c in ("before", "after"))
+        order = np.argsort(owner, kind="stable")
+        owner, before, after = owner[order], before[order], after[order]
+        words_ = np.flatnonzero(total)
+        for i in range(0, len(words_), 20_000):
+            some = words_[i : i + 20_000]
+            a, b = np.searchsorted(owner, some[0]), np.searchsorted(owner, some[-1], side="right")
+            row = np.searchsorted(some, owner[a:b]) * KINDS
+            table = lambda kind: np.bincount(row + kind[a:b], minlength=len(some) * KINDS).reshape(-1, KINDS).astype(float)  # noqa: B023, E731
+            best[some] = moved(table(before), table(after), best[some].astype(np.int64), into, out)
+        rows = _rows_of(total, best, state.column("bucket")[0].as_py())
+        for block, bucket, mine, kept in zip(get("block"), get("bucket"), places, get("places"), strict=True):
+            for c, v in zip(rows, (block, bucket, _pack(total[mine]), _pack(best[mine]), kept, None), strict=True):
+                rows[c].append(v)
+        return pa.table(rows, schema=ANSWERS)
+
+    return run
+
+
+AGAIN = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("places", "counts", "before", "after", "moves")])
+AGAIN_DDL = "kind int, block long, bucket int, places binary, counts binary, before binary, after binary, moves binary"
+
+
+def _sparse(x: np.ndarray) -> tuple[bytes, bytes]:
+    key, n = np.unique(x, return_counts=True)
+    return _pack(np.diff(key, prepend=0).astype(np.uint32)), _pack(n.astype(np.uint32))
+
+
+def _recontexts(n_known: int, word_class: np.ndarray):
+    """Blocks with their answers to the classes around each training occurrence: other words by bucket (kind 1), seeds and class bigrams (kind 2)."""
+
+    def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {f.name: [] for f in AGAIN}
+        said = answers.sort_by("bucket").to_pylist()
+        others = [_unpack(r["classes"], np.uint8) for r in said]
+        classes = np.concatenate([word_class, [END], *others]).astype(np.int64)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in others]))).astype(np.int64)
+        for r in coded.to_pylist():
+            size = _unpack(r["counts"], np.int64)
+            codes = _unpack(r["low"], np.uint16).astype(np.int64) | _unpack(r["high"], np.uint16).astype(np.int64) << 16
+            seq, _ = with_ends(codes, np.concatenate(([0], np.cumsum(size))), n_known)
+            kind = classes[seq]
+            train = np.flatnonzero(np.concatenate(([False], np.repeat(~np.array(r["held"], bool), size + 1))))
+            moves = np.bincount(kind[train - 1] * KINDS + kind[train], minlength=KINDS * KINDS)
+            seed = train[seq[train] < n_known]
+            one, two = _sparse(seq[seed] * KINDS + kind[seed - 1]), _sparse(seq[seed] * KINDS + kind[seed + 1])
+            for c, v in zip(rows, (2, r["block"], None, one[0], one[1], two[0], two[1], _pack(moves)), strict=True):
+                rows[c].append(v)
+            use = train[seq[train] > n_known]
+            which = seq[use] - n_known - 1
+            use = use[np.argsort(which, kind="stable")]
+            count = np.bincount(which, minlength=int(edge[-1])).astype(np.int32)
+            before, after = kind[use - 1].astype(np.uint8), kind[use + 1].astype(np.uint8)
+            at = np.concatenate(([0], np.cumsum(count)))
+            for x, a, b in zip(said, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                mine = slice(at[a], at[b])
+                for c, v in zip(rows, (1, r["block"], x["bucket"], x["places"], _pack(count[a:b]), _pack(before[mine]), _pack(after[mine]), None), strict=True):
+                    rows[c].append(v)
+        return pa.table(rows, schema=AGAIN)
+
+    return run
+
+
+def _seed_sums(n_known: int):
+    """Seeds' counts by class before and after, and class bigrams, of a task's blocks."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = n_known * KINDS
+        total = np.zeros(2 * size + KINDS * KINDS, np.int64)
+        for b in frames:
+            for r in b.to_pylist():
+                for at, key, n in ((0, "places", "counts"), (size, "before", "after")):
+                    total[at + np.cumsum(_unpack(r[key], np.uint32).astype(np.int64))] += _unpack(r[n], np.uint32)
+                total[2 * size :] += _unpack(r["moves"], np.int64)
+        yield packed_counts(total, SEGMENTS)
+
+    return run
+
+
 CLASSED = pa.schema(
     [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.binary()), ("known", pa.binary())]
-    + [("base", pa.binary()), ("emitted", pa.binary()), ("classes", pa.binary()), ("segment", pa.int32()), ("counts", pa.binary())]
+    + [("base", pa.binary()), ("emitted", pa.binary()), ("classes", pa.binary()), ("k", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())]
 )
 
 
@@ -336,7 +473,7 @@ def _classed(n_known: int, word_count: np.ndarray, word_class: np.ndarray, ends:
             new = to[single[to - 1]]
             np.add.at(moves[2], (k[new - 1], k[new]), 1)
             row = (r["block"], r["ids"], r["held"], _pack(size + 1), _pack(per((c > 0).astype(np.int64))), _pack(per(np.log10(c + 0.1) - rest)), _pack(per(emitted)))
-            for name, x in zip(rows, (*row, _pack(k.astype(np.uint8)), int(r["block"] % 16), zlib.compress(moves.tobytes(), 1)), strict=True):
+            for name, x in zip(rows, (*row, _pack(k.astype(np.uint8)), r["block"], 0, _pack(moves)), strict=True):
                 rows[name].append(x)
         return pa.table(rows, schema=CLASSED)
 
@@ -377,57 +514,76 @@ def _scored(table: np.ndarray, n: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text; texts that aren't held out train."""
+def score(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, rounds: int = ROUNDS, exchanges: int = EXCHANGES, seen: list | None = None
+) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text; texts that aren't held out train.
+
+    ``context`` words are seeds; ``exchanges`` is how often every word, seeds and others, is exchanged. ``seen``, where given, gets
+    the seeds' hashes and classes.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_col).alias("text"))
     train = rows.where(~F.col("held")).select("text")
     top = train.mapInArrow(lean(_counted()), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.col("n").desc(), "h").limit(context).toArrow()
-    hashes = top.column("h").to_numpy().view(np.uint64)
-    known = Words(hashes)
+    known = Words(top.column("h").to_numpy().view(np.uint64))
     classes = (np.arange(known.n) % CLASSES).astype(np.int64)
-    li = lo = np.zeros((KINDS, CLASSES))
-    ls, word_count = np.zeros(CLASSES), np.zeros(known.n, np.int64)
+    into = out = np.zeros((KINDS, CLASSES))
+    word_count = top.column("n").to_numpy().astype(np.int64)
+    size, tasks = known.n * KINDS, train.rdd.getNumPartitions()
     for _ in range(rounds if known.n else 0):
         kept = spark.sparkContext.broadcast((known, classes))
-        got = summed(train.mapInArrow(lean(lambda f, kept=kept: _contexts(*kept.value)(f)), "segment int, counts binary"), 2 * known.n * KINDS).reshape(2, known.n, KINDS)
-        word_count = got[0].sum(1)
-        classes, li, lo, ls = exchange(got[0].astype(float), got[1].astype(float), classes)
+        got = summed(train.mapInArrow(lean(lambda f, kept=kept: _contexts(*kept.value)(f)), COUNTS_DDL), tasks, 2 * size).reshape(2, known.n, KINDS)
+        classes, into, out = exchange(got[0].astype(float), got[1].astype(float), classes)
+        kept.unpersist()
 
     tokens = rows.select(F.sum(F.octet_length("text")).alias("b"), F.sum((~F.col("held")).cast("long")).alias("d")).first()
     ends = int(tokens["d"] or 0)
-    # Words outside the context table are a part of all tokens; a token has 2 bytes at least, usually 6.
+    # Other words are a part of all tokens; a token has 2 bytes at least, usually 6.
     n_buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (tokens["b"] or 0) // 30 // BUCKET + 1))
     kept = spark.sparkContext.broadcast((known, classes))
     schema = "kind int, block long, bucket int, ids array<long>, held array<boolean>, counts binary, low binary, high binary, h binary, before binary, after binary"
     coded = written(rows.mapInArrow(lean(lambda f: _coded(*kept.value, n_buckets)(f)), schema), "coded")
     other = coded.where("kind = 1").select("block", "bucket", "counts", "h", "before", "after")
-    answers = written(other.groupBy("bucket").applyInArrow(_answered(li, lo, ls), "block long, bucket int, counts binary, classes binary"), "answers")
-
-    size = KINDS + 2
-    sums = answers.where("block IS NULL").select(F.lit(0).alias("segment"), "counts")
-    sums = summed(sums.mapInArrow(lean(_zipped), "segment int, counts binary"), size)
+    answers = written(other.groupBy("bucket").applyInArrow(_answered(into, out), ANSWERS_DDL), "answers")
+    kept.unpersist()
+    blocks = coded.where("kind = 0").select("block", "ids", "held", "counts", "low", "high")
+    n_blocks = blocks.count()
+    for _ in range(exchanges if known.n else 0):
+        to_blocks = answers.where("block IS NOT NULL").select("block", "bucket", "classes", "places")
+        step = _recontexts(known.n, classes.astype(np.uint8))
+        again = written(blocks.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInArrow(step, AGAIN_DDL), "contexts")
+        seeds = again.where("kind = 2").select("places", "counts", "before", "after", "moves")
+        got = summed(seeds.mapInArrow(lean(_seed_sums(known.n)), COUNTS_DDL), seeds.rdd.getNumPartitions(), 2 * size + KINDS * KINDS).astype(float)
+        before, after, moves = got[:size].reshape(-1, KINDS), got[size : 2 * size].reshape(-1, KINDS), got[2 * size :].reshape(KINDS, KINDS)
+        of = np.eye(CLASSES)[classes]
+        classes, into, out = exchange(before, after, classes, moves[:, :CLASSES] - before.T @ of, moves[:CLASSES].T - after.T @ of)
+        parts = again.where("kind = 1").select("block", "bucket", "places", "counts", "before", "after", F.lit(None).cast("binary").alias("classes"))
+        none = F.lit(None).cast("binary")
+        parts = parts.unionByName(answers.where("block IS NULL").select("block", "bucket", none.alias("places"), none.alias("counts"), none.alias("before"), none.alias("after"), "classes"))
+        new = written(parts.groupBy("bucket").applyInArrow(_exchanged(into, out), ANSWERS_DDL), "answers")
+        discard(again, answers)
+        answers = new
+    if seen is not None:
+        seen += [known, classes]
+
+    own = answers.where("block IS NULL").select(F.col("bucket").cast("long").alias("k"), F.lit(0).alias("segment"), F.col("sums").alias("counts"))
+    sums = summed(own, n_buckets, KINDS + 2)
     class_size = np.bincount(classes, weights=word_count, minlength=KINDS) + sums[:KINDS]
     once = int(sums[-1] + (word_count == 1).sum())
     n = int(class_size[:CLASSES].sum()) + ends
     v = int(sums[-2] + (word_count > 0).sum() + (ends > 0))
     class_size = np.maximum(class_size, 1)
-    blocks = coded.where("kind = 0").select("block", "ids", "held", "counts", "low", "high")
     step = _classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once)
-    kind = "block long, ids array<long>, held array<boolean>, n binary, known binary, base binary, emitted binary, classes binary, segment int, counts binary"
-    classed = written(blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(step, kind), "classed")
+    kind = "block long, ids array<long>, held array<boolean>, n binary, known binary, base binary, emitted binary, classes binary, k long, segment int, counts binary"
+    said = answers.where("block IS NOT NULL").select("block", "bucket", "counts", "classes")
+    classed = written(blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(step, kind), "classed")
     discard(coded, answers)
-    moves = summed(classed.select("segment", "counts"), 0)
-    moves = moves.reshape(-1, 3, KINDS, KINDS).sum(0) if len(moves) else np.zeros((3, KINDS, KINDS), np.int64)
-    out = classed.select("ids", "held", "n", "known", "base", "emitted", "classes").mapInArrow(
+    moves = summed(classed.select("k", "segment", "counts"), n_blocks, 3 * KINDS * KINDS).reshape(3, KINDS, KINDS)
+    result = classed.select("ids", "held", "n", "known", "base", "emitted", "classes").mapInArrow(
         _scored(transitions(moves), n),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-    return out.withColumnRenamed("doc_id", id_col)
-
-
-def _zipped(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in frames:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x.as_py(), 1) for x in b.column(1)], pa.binary())], names=["segment", "counts"])
+    return result.withColumnRenamed("doc_id", id_col)

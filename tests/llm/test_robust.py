@@ -1,5 +1,7 @@
 """Appended archives, urls and damage of WARC; repeated queries of the search; results that must not depend on partitions."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,43 +68,87 @@ def test_search_sends_few_blocks(spark, monkeypatch):
 
 def test_brown_is_the_same_on_any_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = [{r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in brown.score(docs.repartition(n), quality.fold(0, 10), context=200, rounds=1).collect()} for n in (1, 7, 60)]
+    got = [{r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in brown.score(docs.repartition(n), quality.fold(0, 10), context=200, rounds=1).collect()} for n in (1, 7, 200)]
     assert got[0] == got[1] == got[2]
 
 
-def test_brown_score_is_that_of_its_classes(spark):
-    """With every word in the context table, scores follow from classes, transitions and counts computed here."""
-    rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12))) for _ in range(60)]
-    seen = {}
-    real = brown.exchange
-
-    def spy(*args, **kw):
-        seen["classes"] = real(*args, **kw)
-        return seen["classes"]
-
-    brown.exchange = spy
-    try:
-        got = {r.doc_id: r.score for r in brown.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False)).collect()}
-    finally:
-        brown.exchange = real
-    counts = {}
-    for t in texts:
-        for w in t.split():
-            counts[w] = counts.get(w, 0) + 1
-    h = {w: int(np.uint64(brown.words([w.encode()])[3][0])) for w in counts}
-    order = sorted(counts, key=lambda w: (-counts[w], int(np.uint64(h[w]).view(np.int64))))
-    of = dict(zip(order, seen["classes"][0].tolist(), strict=True))
+def plain_brown(rows, context, rounds, exchanges):
+    """Scores by the definition, with every word in one dictionary: seeds by the library's exchange, other words by a loop over classes."""
+    train = [t.split() for _, t, held in rows if not held]
+    counts = Counter(w for t in train for w in t)
+    code = {w: int(np.uint64(brown.words([w.encode()])[3][0]).view(np.int64)) for w in counts}
+    order = sorted(counts, key=lambda w: (-counts[w], code[w]))
+    seeds, others = order[:context], order[context:]
+    of = {w: k % brown.CLASSES for k, w in enumerate(seeds)}
+    kind = lambda w: of.get(w, brown.OTHER)
+
+    def contexts():
+        before, after = ({w: np.zeros(brown.KINDS) for w in counts} for _ in range(2))
+        moves = np.zeros((brown.KINDS, brown.KINDS))
+        for t in train:
+            k = [brown.END, *map(kind, t), brown.END]
+            for i, w in enumerate(t, 1):
+                before[w][k[i - 1]] += 1
+                after[w][k[i + 1]] += 1
+            np.add.at(moves, (k[:-1], k[1:]), 1)
+        return before, after, moves
+
+    def exchange(before, after, into=0.0, out=0.0):
+        got = brown.exchange(*(np.array([x[w] for w in seeds]) for x in (before, after)), np.array([of[w] for w in seeds]), into, out)
+        of.update(zip(seeds, got[0].tolist(), strict=True))
+        return got[1:]
+
+    for _ in range(rounds):
+        into, out = exchange(*contexts()[:2])
+    before, after, _ = contexts()
+    size = np.log(into.sum(0) + 0.5)
+    gain = {w: before[w] @ (np.log(into + 0.5) - size) + after[w] @ (np.log(out + 0.5) - size) for w in others}
+    of.update({w: int(np.argmax(g)) for w, g in gain.items()})
+    for _ in range(exchanges):
+        before, after, moves = contexts()
+        rest = lambda x, base: base - sum(np.outer(x[w], np.eye(brown.CLASSES)[of[w]]) for w in seeds)
+        into, out = exchange(before, after, rest(before, moves[:, : brown.CLASSES]), rest(after, moves[: brown.CLASSES].T))
+        new = {}
+        for w in others:
+            a, b, n = before[w], after[w], counts[w]
+            gains = []
+            for k in range(brown.CLASSES):
+                own = k == of[w]
+                x, y = into[:, k] - own * a, out[:, k] - own * b
+                gains.append(a @ np.log(x + 0.5) + b @ np.log(y + 0.5) - 2 * n * np.log(into[:, k].sum() - own * n + 0.5))
+            new[w] = int(np.argmax(gains))
+        of.update(new)
     moves = np.zeros((3, brown.KINDS, brown.KINDS), np.int64)
-    for t in texts:
-        k = [brown.END, *[of[w] for w in t.split()], brown.END]
-        np.add.at(moves[0], (k[:-1], k[1:]), 1)
-    table = brown.transitions(moves)
-    size = {c: sum(n for w, n in counts.items() if of[w] == c) for c in of.values()}
-    for i, t in enumerate(texts):
-        k = [brown.END, *[of[w] for w in t.split()], brown.END]
-        want = sum(table[a, b] for a, b in zip(k, k[1:])) + sum(np.log10(counts[w] / size[of[w]]) for w in t.split())
-        assert abs(got[i] - want) < 1e-6
+    for t in train:
+        k, once = [brown.END, *map(kind, t), brown.END], [False, *[counts[w] == 1 for w in t], False]
+        for i in range(1, len(k)):
+            moves[0][k[i - 1], k[i]] += 1
+            moves[1][k[i - 1], k[i]] += once[i]
+            moves[2][k[i - 1], k[i]] += once[i - 1]
+    table, size = brown.transitions(moves), Counter()
+    for w, n in counts.items():
+        size[of[w]] += n
+    fresh = -np.log10(sum(n == 1 for n in counts.values()) + 1)
+    out = {}
+    for i, t, _ in rows:
+        k = [brown.END, *map(kind, t.split()), brown.END]
+        out[i] = sum(table[a, b] for a, b in zip(k, k[1:])) + sum(np.log10(counts[w] / size[of[w]]) if w in counts else fresh for w in t.split())
+    return out, of
+
+
+@pytest.mark.parametrize("context, exchanges", [(100, 2), (4, 2), (1, 3), (6, 0)])
+def test_brown_score_is_that_of_its_classes(spark, context, exchanges):
+    """Words outside the seeds are many times more than those inside, and more than any bucket's; every word is exchanged."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(40)]
+    chance = 1 / np.arange(1, 41)
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 12), p=chance / chance.sum())) + (f" rare{i}" if i % 9 == 0 else ""), i % 10 == 0) for i in range(120)]
+    want, of = plain_brown(rows, context, 2, exchanges)
+    seen = []
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(5)
+    got = {r.doc_id: r.score for r in brown.score(df, F.col("held"), context=context, rounds=2, exchanges=exchanges, seen=seen).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(set(of.values())) > 1
+    assert len(seen[1]) == min(context, len(of))
 
 
 def naive_tiles(a, b, least):
