@@ -102,6 +102,11 @@ def elide_middle(path: Column, most: int) -> Column:
     return F.when(F.length(path) <= most, path).when(room <= 0, name).otherwise(F.concat(F.left(path, room), F.lit("…/"), name))
 
 
+def structural(text: Column) -> Column:
+    """Symbols between white space, as they are: a text that is a sequence of symbols is neither folded nor cut at signs."""
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
 def encode(text: Column, vocabulary: Column) -> Column:
     """Ids of the terms of a text by a map from term to id; unknown terms are left out."""
     return F.array_compact(F.transform(terms(text), lambda t: F.element_at(vocabulary, t)))

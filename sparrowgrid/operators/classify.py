@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,49 @@ from pyspark.sql import functions as F
 DOMAIN_SHARE, DOMAIN_CELLS = 0.4, 2
 
 
+@dataclass(frozen=True)
+class Allowed:
+    """What metadata a text must have: the first speaker and the first context named (where any are), and all tags."""
+
+    speakers: tuple[str, ...] = ()
+    contexts: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+
+    def column(self, speaker: Column, context: Column, tags: Column) -> Column:
+        """Whether a row's metadata is allowed; metadata that is asked for and missing isn't."""
+        one = lambda want, have: F.coalesce(have == want[0], F.lit(False)) if want else F.lit(True)
+        every = F.lit(True)
+        for t in self.tags:
+            every = every & F.coalesce(F.array_contains(tags, t), F.lit(False))
+        return one(self.speakers, speaker) & one(self.contexts, context) & every
+
+
+def snapshot(nodes: DataFrame, coherence: str, verdict: str) -> DataFrame:
+    """One row ``nodes, coherence_index, high, mid, low, success, failure, inert, asserted_index``: bands over 0.7, over 0.3 and the rest; without nodes the index is 1."""
+    from sparrowgrid.operators.beliefs import rating
+
+    c, r = F.col(coherence), rating(F.col(verdict))
+    said = F.col(verdict).isNotNull()
+    return nodes.agg(
+        F.count("*").alias("nodes"), F.coalesce(F.avg(c), F.lit(1.0)).alias("coherence_index"), F.count_if(c > 0.7).alias("high"), F.count_if((c > 0.3) & (c <= 0.7)).alias("mid"), F.count_if(c <= 0.3).alias("low"),
+        *[F.count_if(said & (r == x)).alias(x) for x in ("success", "failure", "inert")], F.avg(verdict).alias("asserted_index"),
+    )
+
+
+#: Stability of a certified branch, and coherence over which nodes make it and under which a node is alone (fixed values).
+STABLE, DENSE, APART = 0.85, 0.7, 0.3
+
+
+def branches(nodes: DataFrame, id_col: str, coherence: str) -> DataFrame:
+    """``branch, kind, node, score``: the certified branch of all dense nodes, named by the least of them, with its stability; and a branch of one for each
+    node that is apart, with its coherence. Members are rows, so a branch may be of any size."""
+    dense = nodes.where(F.col(coherence) > DENSE)
+    name = dense.agg(F.min(id_col).alias("branch"))  # one row
+    certified = dense.join(F.broadcast(name)).select("branch", F.lit("certified").alias("kind"), F.col(id_col).alias("node"), F.lit(STABLE).alias("score"))
+    apart = nodes.where(F.col(coherence) < APART)
+    return certified.unionByName(apart.select(F.col(id_col).alias("branch"), F.lit("isolated").alias("kind"), F.col(id_col).alias("node"), F.col(coherence).alias("score")))
+
+
 def adaptive_k(n: Column) -> Column:
     """Entries that a cell's score averages, by its size."""
     return F.when(n.between(1, 3), 1).when(n.between(4, 10), 2).when(n.between(11, 30), 3).otherwise(4)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.functions import text as T
+from sparrowgrid.operators import neighbours
 from sparrowgrid.operators.graph import cut
 
 #: What is put between the texts of a context (fixed value), and the tokens that it counts.
@@ -97,3 +99,17 @@ def compiled(scores: DataFrame, docs: DataFrame, families: DataFrame, budget: in
         "query", "baseline_tokens", tokens.alias("compiled_tokens"), F.round(saving, 6).alias("saving"), F.transform("picks", lambda p: p["doc"]).alias("picks"),
         F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"), "truncated", F.coalesce("context", F.lit("")).alias("context"),
     )
+
+
+def node_search(nodes: DataFrame, queries: DataFrame, budget: int = 600, most: int = 12) -> DataFrame:
+    """``query, pick, node, score, tokens, truncated``: labelled nodes (``id, v, label``) nearest to each query (``id, v``) whose labels fit a budget of tokens.
+
+    Nodes without a label take no part. Again and again the nearest node that fits is picked, so of nodes whose labels have as
+    many tokens only the ``most`` nearest can be: similarities are made by blocks, and just these leave the tasks.
+    """
+    tokens = T.token_estimate(F.col("label"))
+    sized = cut(nodes.where(F.trim("label") != "").select("id", "v", tokens.alias("tokens")).withColumn("size", F.least(F.col("tokens"), F.lit(budget + 1))))
+    near = neighbours.label_top(sized, "id", "size", "v", 2 * most + 1, queries)
+    scored = near.join(sized.select(F.col("id").alias("j"), "tokens"), "j").select(F.col("i").alias("query"), F.col("j").alias("doc"), F.col("s").alias("score"), "tokens", F.col("j").cast("string").alias("family"))
+    found = greedy(scored, budget, most).select("query", "truncated", F.posexplode("picks").alias("at", "p"))
+    return found.select("query", (F.col("at") + 1).alias("pick"), F.col("p.doc").alias("node"), F.col("p.score").alias("score"), F.col("p.tokens").alias("tokens"), "truncated")

@@ -49,6 +49,13 @@ def append(log: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     return log.unionByName(complete(rows, kind), allowMissingColumns=True)
 
 
+def add_evidence(hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Hypotheses with the status that new evidence (``h_id, supports``) gives: any against it contradicts; else support makes a candidate supported. Evidence for what isn't there does nothing."""
+    e = evidence.groupBy("h_id").agg(F.count_if(~F.coalesce("supports", F.lit(True))).alias("_against"), F.count("*").alias("_n"))
+    status = F.when(F.col("_against") > 0, "contradicted").when((F.col("_n") > 0) & (F.col("status") == "candidate"), "supported").otherwise(F.col("status"))
+    return hypotheses.join(e, "h_id", "left").withColumn("status", status).drop("_against", "_n")
+
+
 def transition(hypotheses: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hypotheses, events) after ``changes(h_id, status, at, reason)``: of several for one hypothesis the latest counts for its status.
 

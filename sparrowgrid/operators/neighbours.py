@@ -133,9 +133,10 @@ def label_best(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> Data
     return against(b, b, kernel, "i long, li long, lj long, s double").groupBy("i", "li", "lj").agg(F.max("s").alias("s"))
 
 
-def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int) -> DataFrame:
-    """``i, lj, j, s, rank``: the k most similar vectors of each label to each vector, itself left out."""
+def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """``i, lj, j, s, rank``: the k most similar vectors of each label to each vector (of ``queries``, where given), itself left out."""
     b = blocks(df, id_col, vec_col, label_col)
+    a = b if queries is None else blocks(queries, id_col, vec_col)
 
     def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
         s = np.round(cosines(x, y), 9)
@@ -149,7 +150,7 @@ def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int)
         return {c: np.concatenate([p[c] for p in [*parts, empty]]) for c in ("i", "lj", "j", "s")}
 
     w = Window.partitionBy("i", "lj").orderBy(F.col("s").desc(), "j")
-    return against(b, b, kernel, "i long, lj long, j long, s double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return against(a, b, kernel, "i long, lj long, j long, s double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _labels(x: np.ndarray) -> pa.Array:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparrowgrid.session import sound
 
 #: Modules that register queries when they are imported.
-MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures", "wider", "evolving")]
+MODULES: list[str] = [f"sparrowgrid.plans.{m}" for m in ("vectors", "texts", "beliefs", "facts", "custom", "more", "fixtures", "wider", "evolving", "records")]
 
 _FOUND: dict[str, Query] = {}
 

@@ -14,6 +14,7 @@ from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import evidence, hypotheses, predictions, r6
 from sparrowgrid.plans.texts import TERMS_SQL
 from sparrowgrid.plans.vectors import E_SQL, emb
+from sparrowgrid.plans.wider import scored_texts
 from sparrowgrid.session import table
 
 #: Labels by their state, from places ``pl(seq, pos, text)``, mentions ``m(seq, pos, entity)`` and facts ``f(seq, pos, s, p, o)``.
@@ -213,6 +214,15 @@ def entry_fields(spark, sf_dir):
     return e.select("id", "domain", "mode", "v", F.array_join(F.slice("w", 1, 2), " ").alias("name"), F.slice("w", 3, 6).alias("hints"))
 
 
+@query("chain_placements")
+def chain_placements(spark, sf_dir):
+    """For each group of texts that no cell of another label covers: its name, and three cells to look at first, by words and vectors."""
+    found = cut(discovery.clusters(cut(scored_texts(spark, sf_dir)), discovery.Config().covered, discovery.Config(alike=0.30)))
+    s = discovery.shortlist(found.select(F.col("leader").alias("id"), F.col("centroid").alias("v"), "name", "hints"), entry_fields(spark, sf_dir), 3)
+    s = s.join(found.select(F.col("leader").alias("id"), "name", "size"), "id")
+    return s.select(F.col("id").alias("leader"), "name", "size", F.concat_ws("/", F.col("domain").cast("string"), F.col("mode").cast("string")).alias("cell"), "rank", F.round("score", 6).alias("score"))
+
+
 @query("placement_shortlist")
 def placement_shortlist(spark, sf_dir):
     """Three cells to look at first for every entry that its own label's words and vectors don't decide: all entries, as groups of one."""

@@ -1,4 +1,4 @@
-"""Queries over fixtures of our own: a corpus with a known truth, graded observations, an ontology pack."""
+"""Queries that hold what is found against a truth: families of copies, graded observations, entries by facets."""
 
 from __future__ import annotations
 
@@ -6,28 +6,41 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.operators import structure
 from sparrowgrid.plans.base import query
+from sparrowgrid.plans.texts import TERMS_SQL, docs
+from sparrowgrid.session import table
 
 
-@query("benchmark_metrics", "SELECT 3::BIGINT AS families, 3::BIGINT AS recovered")
+@query(
+    "benchmark_metrics",
+    f"""WITH t AS (SELECT text, len(list_filter({TERMS_SQL}, lambda x: strlen(x) >= 4)) > 0 AS named FROM documents WHERE text IS NOT NULL), f AS (SELECT text, bool_or(named) AS named FROM t GROUP BY text HAVING count(*) > 1)
+SELECT count(*) AS families, count(*) FILTER (named) AS recovered FROM f""",
+)
 def benchmark_metrics(spark, sf_dir):
-    c = structure.truth_corpus(spark)
-    return structure.family_recovery(structure.clusters(c, "node", "body", 0.5), c.where("family IS NOT NULL").select("node", "family"))
+    """Documents with the same text are a family; clusters of like texts recover it where it has words at all."""
+    d = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.md5("text").alias("family"))
+    copies = d.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family")
+    truth = d.join(copies, "family", "left_semi").select("node", "family")
+    return structure.family_recovery(structure.clusters(d, "node", "text", 0.95), truth)
 
 
-GRADES = [("m1", "proved", "a"), ("m1", "guessed", "b"), ("m2", "measured", "c"), ("m2", "refused", "d"), ("m3", "replicated", "e")]
+#: Grades of events by their type.
+GRADES = {"purchase": "proved", "signup": "measured", "click": "guessed", "view": "refused", "error": "replicated"}
 
 
-@query("certified_observations", "SELECT * FROM (VALUES ('m1', 'proved', 'a'), ('m2', 'measured', 'c'), ('m3', 'replicated', 'e')) t(machine, grade, statement)")
+@query("certified_observations", "SELECT 'm' || user_id AS machine, CASE event_type WHEN 'purchase' THEN 'proved' WHEN 'signup' THEN 'measured' ELSE 'replicated' END AS grade, event_id::VARCHAR AS statement FROM events WHERE event_type IN ('purchase', 'signup', 'error')")
 def certified_observations(spark, sf_dir):
-    return structure.certified(spark.createDataFrame(GRADES, "machine string, grade string, statement string"))
+    grade = F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv])[F.col("event_type")]
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("user_id")).alias("machine"), grade.alias("grade"), F.col("event_id").cast("string").alias("statement"))
+    return structure.certified(rows)
 
 
-@query("facet_query", "SELECT * FROM (VALUES ('bolt', 'BUILD'), ('weld', 'BUILD')) t(name, lifecycle)")
+@query("facet_query", "SELECT p_name AS name, 'BUILD' AS lifecycle, p_partkey AS part FROM part WHERE p_size % 4 IN (0, 1) AND lower(p_brand) = 'brand#17'")
 def facet_query(spark, sf_dir):
+    """Parts as entries: sizes stand for a phase of life under several spellings; brands are domains, asked for in any case."""
     from sparrowgrid.sources import packs
 
-    entry = lambda n, life: ("human", n, "D", "M", {**dict.fromkeys(packs.FACETS), "lifecycle": life})
-    kind = "kind string, name string, domain string, mode string, facets struct<" + ", ".join(f"{f}: string" for f in packs.FACETS) + ">"
-    e = spark.createDataFrame([entry("bolt", "FABRICATE"), entry("weld", "BUILD"), entry("scrap", "RETIRE"), entry("void", None)], kind)
-    e = e.withColumn("facets", F.struct(*[packs.canonical(F.col(f"facets.{f}")).alias(f) for f in packs.FACETS]))
-    return packs.by_facets(e, lifecycle="build").select("name", "facets.lifecycle")
+    size = F.col("p_size") % 4
+    life = F.when(size == 0, "fabricate").when(size == 1, "BUILD").when(size == 2, "Maintain")
+    facets = F.struct(*[packs.canonical(life if f == "lifecycle" else F.lit(None).cast("string")).alias(f) for f in packs.FACETS])
+    e = table(spark, sf_dir, "part").select("p_partkey", F.lit("human").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("domain"), F.col("p_type").alias("mode"), facets.alias("facets"))
+    return packs.by_facets(e, kind="human", domain="BRAND#17", lifecycle="build").select("name", "facets.lifecycle", F.col("p_partkey").alias("part"))

@@ -242,7 +242,7 @@ def direction_check(spark, sf_dir):
     return d.select("conv_id", "turn", "moved", r("retention").alias("retention"), r("null_retention").alias("null_retention"), "holds")
 
 
-def _scored(spark, sf_dir):
+def scored_texts(spark, sf_dir):
     """Texts (documents with a vector) with their best entry of another label: what an ontology of the other labels covers."""
     e = emb(spark, sf_dir)
     best = neighbours.label_best(e, "vec_id", "label", "embedding").where("li <> lj")
@@ -255,13 +255,13 @@ def _scored(spark, sf_dir):
 
 @query("discover_proposals")
 def discover_proposals(spark, sf_dir):
-    _, found = discovery.discover(_scored(spark, sf_dir), discovery.Config(alike=0.30))
+    _, found = discovery.discover(scored_texts(spark, sf_dir))
     return found.select("leader", "size", r("coverage").alias("coverage"), "name", "domain", "mode", "hints", F.size("samples").alias("samples"))
 
 
 @query("discover_report")
 def discover_report(spark, sf_dir):
-    report, found = discovery.discover(_scored(spark, sf_dir), discovery.Config(alike=0.30))
+    report, found = discovery.discover(scored_texts(spark, sf_dir))
     return report.crossJoin(found.agg(F.count("*").alias("proposals")))
 
 
@@ -304,7 +304,7 @@ def structural_map(spark, sf_dir):
 @query("chain_report")
 def chain_report(spark, sf_dir):
     """One row: what the map finds, what the context costs, what stays uncovered, and whether discovery's groups gain more than the same groups dealt by hash."""
-    scored = graph.cut(_scored(spark, sf_dir))
+    scored = graph.cut(scored_texts(spark, sf_dir))
     cfg = discovery.Config(alike=0.30)
     found = structural_map(spark, sf_dir).groupBy().agg(F.count_if(F.col("kind") == "repeat").alias("repeats"), F.count_if(F.col("kind") == "difference").alias("differences"))
     clash = extract.contradictions(docs(spark, sf_dir), "doc_id", "source", "text").agg(F.count("*").alias("contradictions"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +32,17 @@ def sound(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``); a local session without one gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparrowgrid.shared.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
+        spark.conf.set("sparrowgrid.shared.dir", found)
+    return f"{found.rstrip('/')}/sparrowgrid/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` under ``sf_dir``; the path may be in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

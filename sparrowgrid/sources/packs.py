@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparrowgrid.operators.graph import cut
+
 FACETS = ("sub_domain", "sub_mode", "lifecycle", "agency", "scale", "abstraction")
 TEXTS = ("name", "category", "domain", "mode", "axis_kind", "axis_name", "unit")
 ENTRY = ", ".join(f"{c}: string" for c in TEXTS) + ", hints: array<string>, facets: struct<" + ", ".join(f"{f}: string" for f in FACETS) + ">"
@@ -24,7 +26,19 @@ def canonical(facet):
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all packs under ``path``; a pack that doesn't parse fails the load."""
-    packs = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return entries(spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def load_sound(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, warnings): entries of the packs that parse, and ``path, why`` of those that don't, which are passed over."""
+    read = spark.read.schema(f"{SCHEMA}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("path", F.input_file_name())
+    read = cut(read)
+    bad = read.where(F.col("_bad").isNotNull() | F.col("domains").isNull())
+    return entries(read.where("_bad IS NULL AND domains IS NOT NULL")), bad.select("path", F.when(F.col("_bad").isNotNull(), "it doesn't parse").otherwise("it has no domains").alias("why"))
+
+
+def entries(packs: DataFrame) -> DataFrame:
+    """Entries with their key: the name alone for built-in kinds, else ``kind:name``; facets under one spelling."""
     e = packs.select("kind", F.explode("domains").alias("d")).select("kind", "d.*")
     key = F.when(F.col("kind").isin(*BUILT_IN), F.col("name")).otherwise(F.concat_ws(":", "kind", "name"))
     return e.withColumn("key", key).withColumn("facets", F.struct(*[canonical(F.col(f"facets.{f}")).alias(f) for f in FACETS]))

@@ -92,3 +92,16 @@ def test_ranked_packing_drops_no_possible_pick(spark, diversity):
 def test_compiled_context_query(spark):
     got = registry.queries()["compiled_context"](spark, DATA).collect()
     assert got and all(r.compiled_tokens <= 1500 + 3 * 7 and len(set(r.picks)) == len(r.picks) <= 8 and not set(r.picks) & set(r.removed) for r in got)
+
+
+def test_node_search_packs_labels(spark):
+    rng = np.random.default_rng(12)
+    nodes = [(i, [float(x) for x in rng.normal(size=5)], " ".join(["word"] * int(rng.integers(1, 9))) if i % 7 else [" ", None][i % 2]) for i in range(200)]
+    queries = [(i, nodes[i][1]) for i in (3, 50, 51)]
+    f = spark.createDataFrame
+    got = context.node_search(f(nodes, "id long, v array<double>, label string"), f(queries, "id long, v array<double>"), 20, 6).collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    scored = [(q, i, round(float(unit(v) @ unit(w)), 9), len(label.split()), str(i)) for q, v in queries for i, w, label in nodes if label and label.strip() and i != q]
+    want = plain(scored, 20, 6)
+    picks = {q: [r.node for r in sorted(got, key=lambda r: r.pick) if r["query"] == q] for q, _ in queries}
+    assert {q: (picks[q], True) for q in picks} == want and all(r.truncated for r in got)

@@ -120,3 +120,26 @@ def test_deviations_are_taken_up_or_not(spark):
             want[mine[i][0]] = "variation" if any(u[i] @ u[j] > s[j] for j in range(i + 1, len(mine))) else "mistake"
     got = sequence.deviations(spark.createDataFrame(rows, "id long, key long, at long, v array<double>"), "key", "at", "v", "id")
     assert {r.id: r.kind for r in got.collect()} == want and set(want.values()) == {"variation", "mistake"}
+
+
+@pytest.mark.parametrize("block", [7, 100, 10_000])
+def test_leaders_of_chains_and_random_pairs(spark, block, monkeypatch):
+    rng = random.Random(block)
+    rounds = []
+    real = discovery.cut
+    monkeypatch.setattr(discovery, "cut", lambda df: rounds.append(1) or real(df))
+    n = 2000 if block >= 100 else 40
+    chain = [(10 * k, 10 * k + 10) for k in range(n)]
+    some = [tuple(sorted(rng.sample(range(10 * n + 1000, 10 * n + 1300, 3), 2))) for _ in range(300)]
+    ids = sorted({x for p in chain + some for x in p} | {10 * n + 5000})
+    by = defaultdict(set)
+    for i, j in chain + some:
+        by[j].add(i)
+    want = {}
+    for j in ids:
+        want[j] = next((i for i in sorted(by[j]) if want[i] == i), j)
+    f = spark.createDataFrame
+    got = discovery.leaders(f([(i,) for i in ids], "id long"), f(chain + some, "i long, j long").repartition(3), block)
+    assert {r.id: r.leader for r in got.collect()} == want
+    # A round for each block that a chain runs through, at most.
+    assert len(rounds) <= 6 + 2 * (-(-len(ids) // block))

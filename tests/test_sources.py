@@ -203,3 +203,17 @@ def test_stream_writes_each_batch_once(spark, tmp_path):
     drain(tmp_path / "c2")
     assert sorted((r.seq, r.source) for r in log.read().collect()) == [(1, log.read(1).orderBy("seq").first().source), (2, log.read(2).first().source)]
     assert {r.batch for r in log.commits().collect()} == {"q-0", "q-1"}
+
+
+def test_packs_that_do_not_parse_are_passed_over(spark, tmp_path):
+    from sparrowgrid.sources import packs
+
+    good = {"kind": "human", "domains": [{"name": "bolt", "domain": "D", "mode": "M"}]}
+    (tmp_path / "a.json").write_text(json.dumps(good))
+    (tmp_path / "b.json").write_text('{"kind": "human", "domains": [')
+    (tmp_path / "c.json").write_text('{"kind": "tools"}')
+    entries, warnings = packs.load_sound(spark, f"file://{tmp_path}")
+    assert [r.key for r in entries.collect()] == ["bolt"]
+    assert sorted((r.path.rsplit("/", 1)[-1], r.why) for r in warnings.collect()) == [("b.json", "it doesn't parse"), ("c.json", "it has no domains")]
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        packs.load(spark, f"file://{tmp_path}").collect()
