@@ -111,6 +111,64 @@ def antecedents(mentions: DataFrame) -> DataFrame:
     return mentions.select("seq", "pos", before.alias("b")).groupBy("seq", "pos").agg(F.max("b").alias("antecedent"))
 
 
+def two_means(rows: DataFrame, key: str, order: str, vec_col: str, rounds: int = 20) -> DataFrame:
+    """``key, n, verdict, separation, z``: two clusters of a key's vectors, seeded by the least similar pair; the runs test of their order
+    tells becoming from split, little separation is stable, under six rows are too few.
+
+    Keys and orders are numbers, an order is distinct within its key. The pair comes from block kernels, and a round's new
+    centres from sums, so a key of any size is no one task's. A key ends where a round moves nothing, or would leave one cluster.
+    """
+    from sparrowgrid.functions import vector as V
+    from sparrowgrid.operators import neighbours
+    from sparrowgrid.operators.graph import cut
+
+    u = rows.where(F.col(vec_col).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("at"), V.normalise(V.as_double(F.col(vec_col))).alias("v"))
+    n = cut(u.groupBy("key").agg(F.count("*").alias("n")))
+    u = cut(u.join(n.where("n >= 6").select("key"), "key", "left_semi").withColumn("id", F.row_number().over(Window.partitionBy("key").orderBy("at"))))
+    # Ids of blocks are distinct over keys: they tell rows, the place in the key breaks ties.
+    coded = u.select(F.xxhash64("key", "at").alias("id"), "key", F.concat("v", F.array(F.col("id").cast("double"))).alias("v"))
+
+    def least(x, y) -> dict:
+        s = np.round(x.v[:, :-1] @ y.v[:, :-1].T, 9)
+        s[~((x.label[:, None] == y.label[None, :]) & (x.v[:, -1:] < y.v[:, -1:].T))] = np.inf
+        out = {c: [] for c in ("key", "a", "b", "s")}
+        for lab in np.unique(x.label):
+            mine = np.flatnonzero(x.label == lab)
+            some = s[mine]
+            if (low := some.min(initial=np.inf)) < np.inf:
+                p, q = np.nonzero(some == low)
+                first = np.lexsort((y.v[q, -1], x.v[mine[p], -1]))[0]
+                for c, v in zip(out, (int(lab), int(x.v[mine[p[first]], -1]), int(y.v[q[first], -1]), low), strict=True):
+                    out[c].append(v)
+        return {"key": np.array(out["key"], np.int64), "a": np.array(out["a"], np.int64), "b": np.array(out["b"], np.int64), "s": np.array(out["s"], float)}
+
+    b = neighbours.blocks(coded, "id", "v", "key")
+    seeds = neighbours.against(b, b, least, "key long, a long, b long, s double").groupBy("key").agg(F.min(F.struct("s", "a", "b")).alias("m")).select("key", "m.a", "m.b")
+    at = lambda c: u.select("key", F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    centres = cut(seeds.join(at("a"), ["key", "a"]).join(at("b"), ["key", "b"]).select("key", "va", "vb"))
+    sides = cut(u.select("key", "id", F.lit(False).alias("side")))
+    going = centres.select("key")
+    for _ in range(rounds):
+        moved = u.join(centres.join(going, "key", "left_semi"), "key").select("key", "id", "v", (V.dot(F.col("v"), F.col("vb")) > V.dot(F.col("v"), F.col("va"))).alias("new")).join(sides, ["key", "id"])
+        moved = cut(moved)
+        said = moved.groupBy("key").agg(F.count_if(F.col("new") != F.col("side")).alias("moves"), F.count_if("new").alias("ones"), F.count("*").alias("all"))
+        going = cut(said.where((F.col("moves") > 0) & (F.col("ones") > 0) & (F.col("ones") < F.col("all"))).select("key"))
+        if going.isEmpty():
+            break
+        moved = moved.join(going, "key", "left_semi")
+        sides = cut(moved.select("key", "id", F.col("new").alias("side")).unionByName(sides.join(going, "key", "left_anti")))
+        c = neighbours.centroids(moved, ["key", "new"], "v").select("key", "new", V.normalise(F.col("centroid")).alias("c"))
+        pair = c.groupBy("key").agg(F.max(F.when(~F.col("new"), F.col("c"))).alias("va"), F.max(F.when(F.col("new"), F.col("c"))).alias("vb"))
+        centres = cut(pair.unionByName(centres.join(going, "key", "left_anti")))
+    turn = (F.col("side") != F.lag("side").over(Window.partitionBy("key").orderBy("id"))).cast("int")
+    runs = sides.withColumn("turn", turn).groupBy("key").agg(F.count_if(~F.col("side")).alias("n1"), F.count_if("side").alias("n2"), (F.sum(F.coalesce("turn", F.lit(0))) + 1).alias("runs"))
+    z = F.round(runs_z(F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("runs")), 6)
+    found = runs.join(centres, "key").select("key", "n1", "n2", F.round(1 - V.dot(F.col("va"), F.col("vb")), 6).alias("apart"), z.alias("z"))
+    j = n.join(found, "key", "left")
+    verdict = F.when(F.col("n") < 6, "too-few").when((F.col("apart") < 0.15) | (F.col("n1") == 0) | (F.col("n2") == 0), "stable").when(F.col("z") <= -1.96, "becoming").otherwise("split")
+    return j.select("key", "n", verdict.alias("verdict"), F.coalesce("apart", F.lit(0.0)).alias("separation"), F.coalesce("z", F.lit(0.0)).alias("z"))
+
+
 def deviations(rows: DataFrame, key: str, order: str, vec_col: str, id_col: str) -> DataFrame:
     """``id, key, sim, kind`` of rows under their key's bar, the mean similarity to the centroid less a deviation: a variation if some later
     row of the key is nearer to it than that row is to the centroid, else a mistake. Keys of under three rows have none.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
-from sparrowgrid.operators import controls, discovery, embed, extract, greedy, neighbours
+from sparrowgrid.operators import controls, discovery, embed, extract, greedy, neighbours, sequence
 from sparrowgrid.plans.base import query
 from sparrowgrid.session import table
 
@@ -28,7 +28,7 @@ def discover_gaps(spark, sf_dir):
 
 @query("trajectory_vector")
 def trajectory_vector(spark, sf_dir):
-    return greedy.two_means(table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return sequence.two_means(table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL"), "label", "vec_id", "embedding")
 
 
 @query("random_projection_embed")

@@ -143,3 +143,33 @@ def test_leaders_of_chains_and_random_pairs(spark, block, monkeypatch):
     assert {r.id: r.leader for r in got.collect()} == want
     # A round for each block that a chain runs through, at most.
     assert len(rounds) <= 6 + 2 * (-(-len(ids) // block))
+
+
+def test_two_means_by_sums_equal_those_of_one_task(spark):
+    from sparrowgrid.operators import greedy
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in range(8):
+        centres = rng.normal(size=(2, 5))
+        n = [3, 6, 40, 40, 60, 25, 30, 12][key]
+        for i in range(n):
+            which = [0, i % 2, i >= n // 2, i % 2, i % 7 == 0, 0, (i // 5) % 2, 0][key]
+            rows.append((key, 100 - i, [float(x) for x in (centres[int(which)] + rng.normal(size=5) * 0.2 if key != 7 else np.ones(5))]))
+    df = spark.createDataFrame(rows, "key long, at long, v array<double>")
+    take = lambda f: sorted((r.key, r.n, r.verdict, round(r.separation, 5), round(r.z, 5)) for r in f.collect())
+    got = take(sequence.two_means(df.repartition(3), "key", "at", "v"))
+    assert got == take(greedy.two_means(df, "key", "at", "v")) and {r[2] for r in got} == {"too-few", "stable", "becoming", "split"}
+
+
+def test_permutation_null_tells_groups_from_noise(spark):
+    from sparrowgrid.operators import controls
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(4, 6))
+    grouped = [(i, i % 4, [float(x) for x in centres[i % 4] + rng.normal(size=6) * 0.1]) for i in range(120)]
+    noise = [(i, int(rng.integers(0, 4)), [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    a, b = (controls.permutation_null(spark.createDataFrame(r, "id long, label long, v array<double>"), "id", "label", "v", 20).first() for r in (grouped, noise))
+    assert a.fitness == 1.0 and a.above_null and a.z > 5 and 0.1 < a.null_mean < 0.4
+    # Nearest others of noise have its label by chance; each permutation deals every label as often as it is there.
+    assert abs(b.z) < 4 and b.fitness < 0.5
