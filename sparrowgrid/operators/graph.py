@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.session import sound
@@ -43,6 +43,22 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+#: Relations of edges by family (fixed values).
+FAMILIES = {
+    "epistemic": ("SUPPORTS", "CONTRADICTS", "EXPLAINS", "PREDICTS", "INVALIDATES", "DERIVED_FROM"),
+    "causal": ("CAUSES", "INFLUENCES"),
+    "procedural": ("PRECEDES", "FOLLOWS", "DEPENDS_ON", "REQUIRES", "PRODUCES", "MEASURES", "OBSERVES"),
+}
+
+
+def family(relation: Column) -> Column:
+    """The family of a relation; null for another one."""
+    out = F.lit(None).cast("string")
+    for name, some in FAMILIES.items():
+        out = F.when(F.upper(relation).isin(*some), name).otherwise(out)
+    return out
+
+
 def walk(seeds: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
     """``seed, node, hop``: least number of edges (``source -> target``) to each node, up to ``hops``; cycles end by the least hop.
 

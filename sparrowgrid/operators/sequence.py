@@ -111,6 +111,25 @@ def antecedents(mentions: DataFrame) -> DataFrame:
     return mentions.select("seq", "pos", before.alias("b")).groupBy("seq", "pos").agg(F.max("b").alias("antecedent"))
 
 
+def antecedent_scores(ranking: DataFrame, gold: DataFrame, rounds: int = 200) -> DataFrame:
+    """One row ``queries, top1, top3, low, high``: how often a ranking (``seq, pos, candidate, rank``) has the true antecedent (``seq, pos, antecedent``, those
+    without one aren't asked) first or among the first three, with the bootstrap interval of top1."""
+    asked = gold.where("antecedent IS NOT NULL")
+    at = ranking.select("seq", "pos", F.col("candidate").alias("antecedent"), "rank")
+    hit = asked.join(at, ["seq", "pos", "antecedent"], "left").groupBy("seq", "pos").agg(F.min("rank").alias("rank"))
+    hit = hit.select(F.xxhash64("seq", "pos").alias("id"), F.coalesce((F.col("rank") == 1).cast("double"), F.lit(0.0)).alias("top1"), F.coalesce((F.col("rank") <= 3).cast("double"), F.lit(0.0)).alias("top3"))
+    means = hit.agg(F.count("*").alias("queries"), F.coalesce(F.avg("top1"), F.lit(0.0)).alias("top1"), F.coalesce(F.avg("top3"), F.lit(0.0)).alias("top3"))
+    return means.join(bootstrap(hit, "top1", "id", rounds).select("low", "high"))  # two single rows
+
+
+def by_shared(mentions: DataFrame, most: int = 3) -> DataFrame:
+    """``seq, pos, candidate, rank``: earlier places by how many entities they share (``seq, pos, entity``), the nearer first of equals, up to ``most``."""
+    m = mentions.select("seq", "pos", "entity").distinct()
+    shared = m.join(m.withColumnRenamed("pos", "candidate"), ["seq", "entity"]).where("candidate < pos").groupBy("seq", "pos", "candidate").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("seq", "pos").orderBy(F.col("n").desc(), F.col("candidate").desc())
+    return shared.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("seq", "pos", "candidate", "rank")
+
+
 def two_means(rows: DataFrame, key: str, order: str, vec_col: str, rounds: int = 20) -> DataFrame:
     """``key, n, verdict, separation, z``: two clusters of a key's vectors, seeded by the least similar pair; the runs test of their order
     tells becoming from split, little separation is stable, under six rows are too few.

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import graph, overlap
 
-#: Grades of observations that certify (fixed values).
-CERTIFYING = ("proved", "verified", "measured", "replicated")
+#: Grades of observations, strongest first; the first four certify (fixed values).
+GRADES = ("Established", "Derived", "EstablishedFinite", "Numerical", "Heuristic", "Conjectural", "Contradicted", "InsufficientData")
+CERTIFYING = GRADES[:4]
+REPORT = "machine_reports array<struct<machine: string, observations: array<struct<machine: string, target: string, claim: string, quantity: double, status: string>>>>, verdict string"
 
 
 def overlaps(docs: DataFrame, id_col: str, text_col: str, threshold: float, least_bytes: int = 4) -> DataFrame:
@@ -39,8 +41,27 @@ def pair_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def certified(observations: DataFrame) -> DataFrame:
-    """Observations (``machine, grade, statement``) whose grade certifies."""
-    return observations.where(F.col("grade").isin(*CERTIFYING))
+    """Observations with a ``status`` that certifies."""
+    return observations.where(F.col("status").isin(*CERTIFYING))
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """``machine, target, claim, quantity, status`` of all machines of the reports under a path. A report that doesn't parse, or an unknown grade, fails the load."""
+    rows = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = rows.select(F.explode("machine_reports").alias("m")).select(F.inline("m.observations"))
+    known = F.col("status").isin(*GRADES)
+    return rows.withColumn("status", F.when(known, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no such grade: "), F.coalesce("status", F.lit("null"))))))
+
+
+def determined(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """One row ``hash, again, deterministic``: hashes of the clusters of the same texts, as they lie and dealt anew."""
+    def hashed(d: DataFrame, name: str) -> DataFrame:
+        c = clusters(d, id_col, text_col, threshold)
+        # A hash of each row, summed: no row order, no single task that gathers the clusters.
+        return c.agg(F.coalesce(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)")), F.lit(0)).alias(name))
+
+    both = hashed(docs, "hash").join(hashed(docs.repartition(F.xxhash64(id_col)), "again"))  # two single rows
+    return both.withColumn("deterministic", F.col("hash") == F.col("again"))
 
 
 def truth_corpus(spark) -> DataFrame:

@@ -176,7 +176,14 @@ def ngram_counts(spark, sf_dir):
     return ng(spark, sf_dir)
 
 
-@query("ngram_pruned", f"WITH {NG_SQL}, k AS MATERIALIZED (SELECT * FROM ng WHERE cnt >= 2), v AS MATERIALIZED (SELECT next FROM k WHERE n = 1 ORDER BY cnt DESC, next LIMIT 500) SELECT k.* FROM k JOIN v USING (next)")
+#: Grams by unnested places of each length alone, so that no list of lengths is crossed with texts.
+PRUNED_SQL = rf"""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM conversations), w AS (SELECT unnest(t) AS a, unnest(list_concat(t[2:], [NULL])) AS b, unnest(list_concat(t[3:], [NULL, NULL])) AS c FROM t),
+g AS (SELECT 1 AS n, '' AS context, a AS next FROM w WHERE a IS NOT NULL UNION ALL SELECT 2, a, b FROM w WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT 3, a || ' ' || b, c FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+k AS (SELECT n::INTEGER AS n, context, next, count(*) AS cnt FROM g GROUP BY ALL HAVING count(*) >= 2), v AS (SELECT next, row_number() OVER (ORDER BY cnt DESC, next) AS r FROM k WHERE n = 1)
+SELECT k.n, k.context, k.next, k.cnt FROM k JOIN v ON v.next = k.next WHERE r <= 500"""
+
+
+@query("ngram_pruned", PRUNED_SQL)
 def ngram_pruned(spark, sf_dir):
     return ngram.prune(ng(spark, sf_dir), 2, 500).select("n", "context", "next", "cnt")
 

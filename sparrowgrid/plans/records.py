@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.functions import vector as V
-from sparrowgrid.operators import ask, classify, context, journal, neighbours
+from sparrowgrid.operators import ask, classify, context, graph, journal, neighbours, nodes, sequence
 from sparrowgrid.operators.graph import cut
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, hypotheses, predictions, r6
+from sparrowgrid.plans.facts import MENTION_SQL, mentions
 from sparrowgrid.plans.texts import TERMS_SQL
 from sparrowgrid.plans.vectors import PAIRS_SQL, RANKED_SQL, emb
 from sparrowgrid.session import folder, table
@@ -45,8 +46,8 @@ def node_snapshot(spark, sf_dir):
 def branches(spark, sf_dir):
     """Branches with their members; vectors of these tables are sparse, so coherence is stretched until some are dense."""
     c = F.col("coherence")
-    nodes = cut(coherent(spark, sf_dir)).withColumn("stretched", F.when(c > 0.4, 0.3 + c).when(c >= 0.3, 0.5).otherwise(c))
-    return classify.branches(nodes, "id", "stretched").select("branch", "kind", "node", "score")
+    rows = cut(coherent(spark, sf_dir)).withColumn("stretched", F.when(c > 0.4, 0.3 + c).when(c >= 0.3, 0.5).otherwise(c))
+    return classify.branches(rows, "id", "stretched").select("branch", "kind", "node", "score")
 
 
 @query("insufficient_concepts", f"WITH {COHERENCE_SQL} SELECT id, c AS coherence FROM c WHERE c < 0.3")
@@ -285,3 +286,69 @@ def deviations_recorded(spark, sf_dir):
     d = process.deviations(e, band)
     log = journal.append(journal.complete(e.select("metric", "value"), "measurement"), d.select(F.col("constraint_id").alias("metric"), "expected", "actual", "severity"), "deviation")
     return log.groupBy("metric").agg(F.count("severity").alias("deviations"), F.count("value").alias("measurements"))
+
+
+@query(
+    "relation_families",
+    "WITH e AS (SELECT ['supports', 'CAUSES', 'requires', 'explains', 'observes', 'influences', 'likes'][l_linenumber] AS relation FROM lineitem) SELECT CASE WHEN relation IN ('supports', 'explains') THEN 'epistemic' WHEN relation IN ('CAUSES', 'influences') THEN 'causal' WHEN relation IN ('requires', 'observes') THEN 'procedural' END AS family, count(*) AS edges FROM e GROUP BY 1",
+)
+def relation_families(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("supports", "CAUSES", "requires", "explains", "observes", "influences", "likes")])
+    e = table(spark, sf_dir, "lineitem").select(F.try_element_at(names, F.col("l_linenumber").cast("int")).alias("relation"))
+    return e.groupBy(graph.family(F.col("relation")).alias("family")).agg(F.count("*").alias("edges"))
+
+
+NODE_SQL = "nd AS (SELECT vec_id AS id, md5(text) AS label, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id WHERE embedding IS NOT NULL)"
+COSINE_SQL = "greatest(-1.0, least(1.0, list_inner_product({0}, {1}) / (greatest(sqrt(list_inner_product({0}, {0})), 1e-8) * greatest(sqrt(list_inner_product({1}, {1})), 1e-8))))"
+
+
+def labelled(spark, sf_dir):
+    e = emb(spark, sf_dir).where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), V.as_double(F.col("embedding")).alias("v"))
+    return e.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("label")), "id").select("id", "label", "v")
+
+
+@query(
+    "nodes_registered",
+    f"""WITH {NODE_SQL}, o AS (SELECT * FROM nd WHERE id % 2 = 0), n AS (SELECT * FROM nd WHERE id % 2 = 1), ol AS (SELECT label, min(id) AS old FROM o GROUP BY label),
+r AS (SELECT n.id, n.label, n.v, coalesce(old, min(n.id) OVER (PARTITION BY n.label)) AS node, old FROM n LEFT JOIN ol USING (label)), f AS (SELECT id, v FROM r WHERE node = id AND old IS NULL),
+a AS (SELECT id, v FROM o UNION ALL SELECT * FROM f), s AS (SELECT f.id, round({COSINE_SQL.format("f.v", "a.v")}, 9) AS s, row_number() OVER (PARTITION BY f.id ORDER BY round({COSINE_SQL.format("f.v", "a.v")}, 9) DESC, a.id) AS k FROM f JOIN a ON a.id <> f.id),
+c AS (SELECT id, round(greatest(0, avg(s)), 6) AS coherence FROM s WHERE k <= 5 GROUP BY id) SELECT r.id, r.label, node, node = r.id AND old IS NULL AS fresh, coherence FROM r LEFT JOIN c ON c.id = r.id""",
+)
+def nodes_registered(spark, sf_dir):
+    """Odd vectors registered after the even ones, by the hash of their text: copies find the node that is there."""
+    n = cut(labelled(spark, sf_dir))
+    return nodes.register(n.where("id % 2 = 0"), n.where("id % 2 = 1")).withColumn("coherence", F.round("coherence", 6))
+
+
+@query(
+    "nodes_edited",
+    f"""WITH {NODE_SQL}, x AS (SELECT a.id, 'edited' AS label, list_transform(a.v, lambda y: -y) AS v FROM nd a WHERE a.id % 40 = 0), e AS (SELECT nd.id, coalesce(x.label, nd.label) AS label, coalesce(x.v, nd.v) AS v, x.id IS NOT NULL AS hit FROM nd LEFT JOIN x USING (id)),
+s AS (SELECT a.id, round({COSINE_SQL.format("a.v", "b.v")}, 9) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round({COSINE_SQL.format("a.v", "b.v")}, 9) DESC, b.id) AS k FROM e a JOIN e b ON a.hit AND a.id <> b.id),
+c AS (SELECT id, round(greatest(0, avg(s)), 6) AS coherence FROM s WHERE k <= 5 GROUP BY id) SELECT e.id, label, coherence FROM e LEFT JOIN c USING (id)""",
+)
+def nodes_edited(spark, sf_dir):
+    """Every fortieth node turned round and renamed, over a base that stays; its coherence among the nodes as they are then."""
+    n = cut(labelled(spark, sf_dir))
+    edits = n.where("id % 40 = 0").select("id", F.lit("edited").alias("label"), F.transform("v", lambda y: -y).alias("v"))
+    now, changed = nodes.edit(n, edits)
+    return now.read().select("id", "label").join(changed.select("id", F.round("coherence", 6).alias("coherence")), "id", "left")
+
+
+@query("nodes_deleted", "SELECT doc_id AS id, lang || CASE WHEN doc_id % 3 = 0 THEN ' → ' || doc_id ELSE '' END AS label FROM documents WHERE lang <> 'de'")
+def nodes_deleted(spark, sf_dir):
+    label = F.concat("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(nodes.PART), F.col("doc_id").cast("string"))).otherwise(""))
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), label.alias("label"))
+    return nodes.delete(d, "de").read()
+
+
+@query(
+    "antecedent_arms",
+    f"""WITH {MENTION_SQL}, s AS (SELECT seq, pos, lag(pos) OVER (PARTITION BY seq, entity ORDER BY pos) AS b FROM m), g AS (SELECT seq, pos, max(b) AS b FROM s GROUP BY seq, pos HAVING max(b) IS NOT NULL),
+sh AS (SELECT a.seq, a.pos, b.pos AS c, count(*) AS n FROM m a JOIN m b ON a.seq = b.seq AND a.entity = b.entity AND b.pos < a.pos GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seq, pos ORDER BY n DESC, c DESC) AS r FROM sh),
+h AS (SELECT g.seq, g.pos, min(r) AS r FROM g LEFT JOIN r ON r.seq = g.seq AND r.pos = g.pos AND r.c = g.b AND r.r <= 3 GROUP BY ALL) SELECT count(*) AS queries, round(avg((coalesce(r, 9) = 1)::INT), 6) AS top1, round(avg((coalesce(r, 9) <= 3)::INT), 6) AS top3 FROM h""",
+)
+def antecedent_arms(spark, sf_dir):
+    """How often the earlier turn that shares most entities is the nearest one that shares any."""
+    m = mentions(spark, sf_dir)
+    s = sequence.antecedent_scores(sequence.by_shared(m), sequence.antecedents(m))
+    return s.select("queries", F.round("top1", 6).alias("top1"), F.round("top3", 6).alias("top3"))

@@ -179,3 +179,26 @@ def test_longest_chains_end(spark):
     touched, lost = cascade.retract(hyps, ev, preds, f([(0, 0)], "h_id long, node long"), chain, f([(6, "s")], "node long, source string"), f([("s",)], "source string"))
     assert {r.node: r.hop for r in lost.collect()} == {k: k + 1 for k in range(7)}
     assert [tuple(r)[1:5] for r in touched.collect()] == [(0, 1, "supported", "candidate")]
+
+
+def test_nodes_are_registered_edited_and_deleted(spark):
+    from sparrowgrid.operators import nodes
+
+    f, schema = spark.createDataFrame, "id long, label string, v array<double>"
+    old = f([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "b → x", [1.0, 1.0]), (4, None, [1.0, 0.0])], schema)
+    new = f([(10, "a", [0.0, 1.0]), (11, "c", [1.0, 0.0]), (12, "c", [0.0, 1.0]), (13, None, [0.0, -1.0])], schema)
+    got = {r.id: (r.node, r.fresh, r.coherence if r.coherence is None else round(r.coherence, 6)) for r in nodes.register(old, new).collect()}
+    # 11 is near 1, 4 (1), 3 (0.707107), 2 and 13 (0); 13 has nothing near it.
+    assert got == {10: (1, False, None), 11: (11, True, round((1 + 1 + 0.5**0.5) / 5, 6)), 12: (11, False, None), 13: (13, True, 0.0)}
+    now, changed = nodes.edit(old, f([(2, "z", [1.0, 0.0]), (99, "no", None)], schema))
+    assert {r.id: (r.label, r.v) for r in now.read().collect()}[2] == ("z", [1.0, 0.0]) and [(r.id, round(r.coherence, 6)) for r in changed.collect()] == [(2, round((1 + 1 + 0.5**0.5) / 3, 6))]
+    assert sorted(r.id for r in nodes.delete(old, "b").read().collect()) == [1, 4]
+
+
+def test_antecedent_scores_have_their_interval(spark):
+    m = spark.createDataFrame([(s, p, e) for s in range(30) for p, es in enumerate(["ab", "c", "ab", "ac", "abc"]) for e in es], "seq long, pos long, entity string")
+    r = sequence.antecedent_scores(sequence.by_shared(m), sequence.antecedents(m)).first()
+    # Place 2 shares a, b with 0; 3 is nearest to 2 (a) as to 1 (c): equal, the nearer first; 4 shares two with 3 and with 2: the nearer first.
+    assert (r.queries, r.top1, r.top3) == (90, 1.0, 1.0) and r.low == r.high == 1.0
+    none = sequence.antecedent_scores(sequence.by_shared(m.limit(0)), sequence.antecedents(m.limit(0))).first()
+    assert (none.queries, none.top1) == (0, 0.0)

@@ -217,3 +217,15 @@ def test_packs_that_do_not_parse_are_passed_over(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[-1], r.why) for r in warnings.collect()) == [("b.json", "it doesn't parse"), ("c.json", "it has no domains")]
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         packs.load(spark, f"file://{tmp_path}").collect()
+
+
+def test_reports_with_unknown_grades_fail(spark, tmp_path):
+    from sparrowgrid.operators import structure
+
+    o = lambda status: {"machine": "m", "target": "t", "claim": "c", "quantity": 1.5, "status": status}
+    (tmp_path / "a.json").write_text(json.dumps({"machine_reports": [{"machine": "m", "observations": [o(g) for g in structure.GRADES]}, {"machine": "n", "observations": []}], "verdict": "open"}))
+    rows = structure.reports(spark, f"file://{tmp_path}/a.json")
+    assert rows.count() == 8 and [r.status for r in structure.certified(rows).collect()] == ["Established", "Derived", "EstablishedFinite", "Numerical"]
+    (tmp_path / "b.json").write_text(json.dumps({"machine_reports": [{"machine": "m", "observations": [o("Proved")]}]}))
+    with pytest.raises(Exception, match="no such grade: Proved"):
+        structure.reports(spark, f"file://{tmp_path}").collect()
