@@ -1,8 +1,7 @@
-"""What lies where: the state folder, run settings, local models, and look-ups over loaded packs."""
+"""What lies where: the state folder, run settings, and look-ups over loaded packs."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass, field, fields
@@ -71,46 +70,3 @@ def run_settings(path: str) -> Run:
 
 def example_settings() -> str:
     return json.dumps(asdict(Run()), indent=2)
-
-
-def model_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, bytes, sha256`` of a local model's files."""
-    f = spark.read.format("binaryFile").load(folder)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("name")
-
-
-def install_model(root: str, name: str, files: list[str]) -> dict:
-    """Copies a model's local files into the registry folder with a manifest of their digests. Anything but local files is refused."""
-    if any("://" in f for f in files):
-        raise ValueError("models are installed from local files only")
-    to = Path(root) / name
-    to.mkdir(parents=True, exist_ok=True)
-    digests = {}
-    for f in files:
-        data = Path(f).read_bytes()
-        (to / Path(f).name).write_bytes(data)
-        digests[Path(f).name] = hashlib.sha256(data).hexdigest()
-    manifest = {"name": name, "files": digests}
-    (to / "manifest.json").write_text(json.dumps(manifest))
-    return manifest
-
-
-def models(root: str) -> list[str]:
-    return sorted(p.parent.name for p in Path(root).glob("*/manifest.json"))
-
-
-def model_info(root: str, name: str) -> dict:
-    """The manifest of an installed model; a file that is gone or changed is an error."""
-    m = json.loads((Path(root) / name / "manifest.json").read_text())
-    for f, digest in m["files"].items():
-        p = Path(root) / name / f
-        if not p.is_file() or hashlib.sha256(p.read_bytes()).hexdigest() != digest:
-            raise ValueError(f"{name}: {f} isn't the file that was installed")
-    return m
-
-
-def remove_model(root: str, name: str) -> None:
-    folder = Path(root) / name
-    for f in [*json.loads((folder / "manifest.json").read_text())["files"], "manifest.json"]:
-        (folder / f).unlink(missing_ok=True)
-    folder.rmdir()

@@ -146,16 +146,6 @@ def test_catalog(spark, tmp_path, monkeypatch):
         catalog.run_settings(str(tmp_path / "bad.json"))
     with pytest.raises(FileNotFoundError):
         catalog.run_settings(str(tmp_path / "none.json"))
-    catalog.install_model(str(tmp_path / "models"), "m", [str(root / "Cargo.toml")])
-    assert catalog.models(str(tmp_path / "models")) == ["m"] and list(catalog.model_info(str(tmp_path / "models"), "m")["files"]) == ["Cargo.toml"]
-    assert {r.name for r in catalog.model_files(spark, str(tmp_path / "models" / "m")).collect()} == {"Cargo.toml", "manifest.json"}
-    (tmp_path / "models" / "m" / "Cargo.toml").write_text("changed")
-    with pytest.raises(ValueError):
-        catalog.model_info(str(tmp_path / "models"), "m")
-    catalog.remove_model(str(tmp_path / "models"), "m")
-    assert catalog.models(str(tmp_path / "models")) == []
-    with pytest.raises(ValueError):
-        catalog.install_model(str(tmp_path / "models"), "m", ["http://a/b"])
     e = spark.createDataFrame([("x", "d1", "m", "c1"), ("y", "d2", "m", None)], "name string, domain string, mode string, category string")
     later = spark.createDataFrame([("x", "d9", "m", "c0")], e.schema)
     assert {(r.name, r.domain) for r in catalog.domains(e, later).collect()} == {("x", "d9"), ("y", "d2")}

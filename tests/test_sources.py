@@ -229,3 +229,29 @@ def test_reports_with_unknown_grades_fail(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"machine_reports": [{"machine": "m", "observations": [o("Proved")]}]}))
     with pytest.raises(Exception, match="no such grade: Proved"):
         structure.reports(spark, f"file://{tmp_path}").collect()
+
+
+def test_models_are_copied_and_checked(spark, tmp_path):
+    from sparrowgrid.sources import models
+
+    folder, root = tmp_path / "m", f"file://{tmp_path}/registry"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "weights.bin").write_bytes(b"w" * 100_000)
+    (folder / "deep/vocab.txt").write_text("a\nb")
+    assert models.install(spark, root, "mini", f"file://{folder}", kind="onnx") == 1
+    (row,) = models.models(spark, root).collect()
+    assert (row.name, row.version) == ("mini", 1) and json.loads(row.facts)["kind"] == "onnx"
+    states = lambda: {r.file: r.state for r in models.check(spark, root, "mini").collect()}
+    assert states() == {"weights.bin": "as installed", "deep/vocab.txt": "as installed"}
+    (folder / "weights.bin").write_text("the source may go")
+    here = models.path(spark, root, "mini").removeprefix("file://")
+    assert states()["weights.bin"] == "as installed"
+    (tmp_path / here / "weights.bin").write_text("changed")
+    (tmp_path / here / "deep/vocab.txt").unlink()
+    (tmp_path / here / "new.txt").write_text("?")
+    assert states() == {"weights.bin": "changed", "deep/vocab.txt": "gone", "new.txt": "strange"}
+    models.remove(spark, root, "mini")
+    assert models.models(spark, root).count() == 0 and not (tmp_path / here).exists()
+    for bad in (lambda: models.path(spark, root, "mini"), lambda: models.install(spark, root, "x", "http://a/b")):
+        with pytest.raises(ValueError):
+            bad()
