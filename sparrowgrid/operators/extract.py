@@ -144,24 +144,33 @@ def opposed(sigs: DataFrame, threshold: float = 0.5) -> DataFrame:
 SWEEP = (0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.95)
 
 
-def identity_sweep(claims: DataFrame, truth: DataFrame) -> DataFrame:
+def identity_sweep(claims: DataFrame, truth: DataFrame | str) -> DataFrame:
     """``method, threshold, tp, fp, precision, recall, f1, best, unresolved``: two ways to tell that claims contradict, at each threshold of ``SWEEP``.
 
     ``claims(id, v, polarity, content)``, ``truth(a, b)`` with a < b. Embedding flags pairs whose cosine reaches the threshold;
     structural those of opposite polarity whose content does. ``best`` marks a method's greatest F1 (the highest threshold of
     equals), ``unresolved`` counts true pairs with a claim of no polarity. Pairs under the least threshold are never made.
+    ``truth`` can name a column of the claims: claims of one value there and of opposite polarity are true pairs, which are counted
+    by value and never made.
     """
     from sparrowgrid.operators import neighbours
 
-    known = truth.select("a", "b").distinct()
     near = neighbours.pairs_above(claims, "id", "v", SWEEP[0], strict=False).select(F.lit("embedding").alias("method"), F.col("i").alias("a"), F.col("j").alias("b"), "s")
     alike = opposed(claims, SWEEP[0]).select(F.lit("structural").alias("method"), "a", "b", F.col("overlap").alias("s"))
-    pairs = near.unionByName(alike).join(known.withColumn("true", F.lit(True)), ["a", "b"], "left")
+    pairs = near.unionByName(alike)
+    if isinstance(truth, str):
+        side = lambda c: claims.select(F.col("id").alias(c), F.col(truth).alias(f"t_{c}"), F.col("polarity").alias(f"p_{c}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("true", (F.col("t_a") == F.col("t_b")) & (F.col("p_a") * F.col("p_b") == -1))
+        by = claims.where(F.col(truth).isNotNull()).groupBy(truth).agg((F.count_if(F.col("polarity") == 1) * F.count_if(F.col("polarity") == -1)).alias("n"))
+        size = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("known"), F.lit(0).cast("long").alias("unresolved"))  # one row
+    else:
+        known = truth.select("a", "b").distinct()
+        pairs = pairs.join(known.withColumn("true", F.lit(True)), ["a", "b"], "left")
+        polar = lambda c: claims.select(F.col("id").alias(c), (F.col("polarity") == 0).alias(f"none_{c}"))
+        size = known.join(polar("a"), "a").join(polar("b"), "b").agg(F.count("*").alias("known"), F.count_if(F.col("none_a") | F.col("none_b")).alias("unresolved"))  # one row
     at = F.explode(F.filter(F.array(*[F.lit(t) for t in SWEEP]), lambda t: t <= F.col("s")))
     hits = pairs.select("method", at.alias("threshold"), F.coalesce("true", F.lit(False)).alias("true")).groupBy("method", "threshold").agg(F.count_if("true").alias("tp"), F.count_if(~F.col("true")).alias("fp"))
     grid = claims.sparkSession.createDataFrame([(m, t) for m in ("embedding", "structural") for t in SWEEP], "method string, threshold double")
-    polar = lambda c: claims.select(F.col("id").alias(c), (F.col("polarity") == 0).alias(f"none_{c}"))
-    size = known.join(polar("a"), "a").join(polar("b"), "b").agg(F.count("*").alias("known"), F.count_if(F.col("none_a") | F.col("none_b")).alias("unresolved"))  # one row
     j = grid.join(hits, ["method", "threshold"], "left").fillna(0, ["tp", "fp"]).join(F.broadcast(size))
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     j = j.withColumns({"precision": precision, "recall": F.col("tp") / F.greatest("known", F.lit(1))})

@@ -59,9 +59,7 @@ def claim_identity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
     s = extract.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
     claims = e.join(s, "id")
-    side = lambda p, n: claims.where(F.col("polarity") == p).select("label", F.col("id").alias(n))
-    truth = side(1, "a").join(side(-1, "b"), "label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return extract.identity_sweep(claims, truth)
+    return extract.identity_sweep(claims, "label")
 
 
 @query("claim_signature")

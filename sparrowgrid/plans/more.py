@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.functions import vector as V
-from sparrowgrid.operators import context, extract, graph, neighbours, ngram, retrieval, sequence
+from sparrowgrid.operators import context, extract, graph, neighbours, ngram, overlap, retrieval, sequence
 from sparrowgrid.plans import facts as P
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, r6
@@ -228,11 +228,8 @@ def shapes(spark, sf_dir):
 
 @query("shape_match", f"WITH {SHAPE_SQL}, o AS (SELECT page_id, host, len(t) AS n, unnest(t) AS k FROM s) SELECT a.page_id AS a, b.page_id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS score FROM o a JOIN o b ON a.host = b.host AND a.k = b.k AND a.page_id < b.page_id GROUP BY a.page_id, b.page_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5")
 def shape_match(spark, sf_dir):
-    o = shapes(spark, sf_dir).withColumn("n", F.size("t")).select("page_id", "host", "n", F.explode("t").alias("k"))
-    side = lambda p: o.select("host", "k", F.col("page_id").alias(p), F.col("n").alias(f"n{p}"))
-    c = side("a").join(side("b"), ["host", "k"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return c.where(j >= 0.5).select("a", "b", F.round(j, 6).alias("score"))
+    sets = shapes(spark, sf_dir).select(F.col("host").alias("grp"), F.col("page_id").alias("id"), "t")
+    return overlap.similar(sets, None, 0.5).select("a", "b", F.round(overlap.jaccard(), 6).alias("score"))
 
 
 @query("shape_plan", f"WITH {SHAPE_SQL}, d AS (SELECT DISTINCT host, unnest(t) AS k FROM s WHERE page_id % 2 = 0), r AS (SELECT DISTINCT host, unnest(t) AS k FROM s WHERE page_id % 2 = 1) SELECT host, count(*) FILTER (r.k IS NOT NULL) AS keep, count(*) FILTER (r.k IS NULL) AS \"create\" FROM d LEFT JOIN r USING (host, k) GROUP BY host")

@@ -101,18 +101,24 @@ COS_SQL = f"""{E_SQL}, cs AS (SELECT b.item_id, d.doc_id, round(greatest(-1.0, l
 cr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM cs)"""
 
 
-def cosine_ranked(spark, sf_dir):
-    """Every document by cosine to each item; the vector of a document or item is that of its id."""
+def cosine_sides(spark, sf_dir):
+    """Vectors of items and of documents; the vector of a document or item is that of its id."""
     e = emb(spark, sf_dir)
     q = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    d = e.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return q, e.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+
+
+def cosine_ranked(spark, sf_dir):
+    """Every document by cosine to each item: rank fusion takes all ranks."""
+    q, d = cosine_sides(spark, sf_dir)
     s = neighbours.all_scores(q, d, "vec_id", "embedding").select(F.col("i").alias("query"), F.col("j").alias("doc"), F.col("s").alias("score"))
     return retrieval.ranked(s, "query", F.col("score"), "doc")
 
 
 @query("cosine_ranking", f"WITH {COS_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM cr WHERE rank <= 10")
 def cosine_ranking(spark, sf_dir):
-    return cosine_ranked(spark, sf_dir).where("rank <= 10").select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), r("score").alias("score"), "rank")
+    top = neighbours.top_k(*cosine_sides(spark, sf_dir), "vec_id", "embedding", 10, skip_self=False)
+    return top.select(F.col("i").alias("item_id"), F.col("j").alias("doc_id"), r("s").alias("score"), "rank")
 
 
 HYBRID_SQL = f"""{BM25_SQL}, {COS_SQL}, hf AS (SELECT item_id, doc_id, round(sum(w), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS w FROM r UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM cr) GROUP BY ALL),

@@ -105,6 +105,11 @@ def test_identity_sweep_is_brute_force(spark):
                     flagged.add((i, j))
         assert (r.tp, r.fp) == (len(flagged & set(truth)), len(flagged - set(truth)))
         assert r.unresolved == sum(claims[i][2] == 0 or claims[j][2] == 0 for i, j in truth)
+    # A column of groups gives the same as the pairs that it stands for.
+    grouped = spark.createDataFrame([(*c, c[0] % 4) for c in claims], "id long, v array<double>, polarity int, content array<string>, label int")
+    pairs = [(i, j) for i in range(25) for j in range(i + 1, 25) if i % 4 == j % 4 and claims[i][2] * claims[j][2] == -1]
+    a, b = (sorted(map(tuple, extract.identity_sweep(grouped, t).collect())) for t in ("label", spark.createDataFrame(pairs, "a long, b long")))
+    assert a == b and len(pairs) > 5
 
 
 def test_embedders(spark):
