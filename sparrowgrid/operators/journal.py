@@ -69,6 +69,20 @@ def transition(hypotheses: DataFrame, changes: DataFrame) -> tuple[DataFrame, Da
     return out, events
 
 
+def resolve_predictions(predictions: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions, refused) after ``outcomes(h_id, idx, correct, at)``: an open prediction takes its first outcome; ``refused`` has
+    the others with ``why``: no such prediction, already resolved, or no outcome."""
+    w = Window.partitionBy("h_id", "idx").orderBy(F.col("correct").isNull(), "at", F.col("correct").cast("int"))
+    asked = outcomes.withColumn("_n", F.row_number().over(w))
+    known = predictions.select("h_id", "idx", F.lit(True).alias("_known"), F.col("correct").alias("_was"))
+    j = asked.join(known, ["h_id", "idx"], "left")
+    why = F.when(F.col("_known").isNull(), "no such prediction").when(F.col("correct").isNull(), "no outcome").when(F.col("_was").isNotNull() | (F.col("_n") > 1), "already resolved")
+    j = j.withColumn("why", why)
+    taken = j.where("why IS NULL").select("h_id", "idx", F.col("correct").alias("_correct"), F.col("at").alias("observed_at"))
+    out = predictions.join(taken, ["h_id", "idx"], "left").withColumn("correct", F.coalesce("correct", "_correct")).drop("_correct")
+    return out, j.where("why IS NOT NULL").select("h_id", "idx", "at", "why")
+
+
 def verdict(name: Column) -> Column:
     """The number of a verdict's name; another name gives null."""
     m = F.create_map(*[F.lit(x) for kv in VERDICTS.items() for x in kv])

@@ -352,3 +352,48 @@ def antecedent_arms(spark, sf_dir):
     m = mentions(spark, sf_dir)
     s = sequence.antecedent_scores(sequence.by_shared(m), sequence.antecedents(m))
     return s.select("queries", F.round("top1", 6).alias("top1"), F.round("top3", 6).alias("top3"))
+
+
+#: A prediction for each order, of which some are resolved; outcomes for every second one, some of them empty or for a prediction that isn't there.
+OUTCOME_SQL = """pd AS (SELECT o_orderkey AS h_id, 0 AS idx, CASE WHEN o_orderstatus = 'F' THEN o_totalprice > 100000 END AS correct FROM orders),
+oc AS (SELECT o_orderkey AS h_id, 0 AS idx, o_custkey % 3 = 0 AS correct FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 0, NULL FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 7, true FROM orders WHERE o_orderkey % 7 = 0)"""
+
+
+def resolved(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("h_id"), "o_orderstatus", "o_totalprice", "o_custkey")
+    made = o.select("h_id", F.lit(0).alias("idx"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000).alias("correct"))
+    said = lambda every, idx, correct, at: o.where(F.col("h_id") % every == 0).select("h_id", F.lit(idx).alias("idx"), correct.alias("correct"), F.lit(at).alias("at"))
+    outcomes = said(2, 0, F.col("o_custkey") % 3 == 0, 1).unionByName(said(5, 0, F.lit(None).cast("boolean"), 0)).unionByName(said(7, 7, F.lit(True), 1))
+    return journal.resolve_predictions(made, outcomes)
+
+
+@query("predictions_resolved", f"WITH {OUTCOME_SQL} SELECT pd.h_id, pd.idx, coalesce(pd.correct, oc.correct) AS correct FROM pd LEFT JOIN oc ON oc.h_id = pd.h_id AND oc.idx = pd.idx AND oc.correct IS NOT NULL")
+def predictions_resolved(spark, sf_dir):
+    return resolved(spark, sf_dir)[0].select("h_id", "idx", "correct")
+
+
+@query(
+    "predictions_refused",
+    f"WITH {OUTCOME_SQL} SELECT oc.h_id, oc.idx, CASE WHEN pd.h_id IS NULL THEN 'no such prediction' WHEN oc.correct IS NULL THEN 'no outcome' ELSE 'already resolved' END AS why FROM oc LEFT JOIN pd ON pd.h_id = oc.h_id AND pd.idx = oc.idx WHERE pd.h_id IS NULL OR oc.correct IS NULL OR pd.correct IS NOT NULL",
+)
+def predictions_refused(spark, sf_dir):
+    return resolved(spark, sf_dir)[1].select("h_id", "idx", "why")
+
+
+@query(
+    "why_believed_with_precedents",
+    f"""WITH {HYP_SQL}, {PAIRS_SQL}, p AS (SELECT i AS h_id, count(*) AS precedents, sum((quality = 1)::INT)::BIGINT AS good, max(round(s, 6)) AS nearest FROM pairs JOIN labels ON doc_id = j WHERE s > 0.4 AND quality IS NOT NULL GROUP BY i),
+s AS (SELECT h_id, count(*) FILTER (supports) AS supporting, count(*) FILTER (NOT supports) AS against FROM ev GROUP BY h_id)
+SELECT fit.h_id, status, floor(composite * 1e6 + 0.5001) / 1e6 AS composite, coalesce(supporting, 0) AS supporting, coalesce(against, 0) AS against, coalesce(precedents, 0) AS precedents, coalesce(good, 0) AS good, nearest FROM fit JOIN e ON vec_id = fit.h_id LEFT JOIN s ON s.h_id = fit.h_id LEFT JOIN p ON p.h_id = fit.h_id""",
+)
+def why_believed_with_precedents(spark, sf_dir):
+    """What each hypothesis with a vector rests on: evidence on both sides, fitness, and the judged cases that are like it, in one answer."""
+    e = emb(spark, sf_dir).where("embedding IS NOT NULL")
+    near = neighbours.pairs_above(e, "vec_id", "embedding", 0.4)
+    both = near.select(F.col("i").alias("h_id"), F.col("j").alias("doc_id"), "s").unionByName(near.select(F.col("j").alias("h_id"), F.col("i").alias("doc_id"), "s"))
+    judged = both.join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
+    p = judged.groupBy("h_id").agg(F.count("*").alias("precedents"), F.count_if(F.col("quality") == 1).alias("good"), F.max(F.round("s", 6)).alias("nearest"))
+    s = evidence(spark, sf_dir).groupBy("h_id").agg(F.count_if("supports").alias("supporting"), F.count_if(~F.col("supports")).alias("against"))
+    f = fit(spark, sf_dir).join(e.select(F.col("vec_id").alias("h_id")), "h_id", "left_semi").join(s, "h_id", "left").join(p, "h_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return f.select("h_id", "status", r6("composite").alias("composite"), zero("supporting"), zero("against"), zero("precedents"), zero("good"), "nearest")

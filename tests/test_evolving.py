@@ -202,3 +202,14 @@ def test_antecedent_scores_have_their_interval(spark):
     assert (r.queries, r.top1, r.top3) == (90, 1.0, 1.0) and r.low == r.high == 1.0
     none = sequence.antecedent_scores(sequence.by_shared(m.limit(0)), sequence.antecedents(m.limit(0))).first()
     assert (none.queries, none.top1) == (0, 0.0)
+
+
+def test_predictions_take_their_first_outcome(spark):
+    from sparrowgrid.operators import journal
+
+    p = spark.createDataFrame([("a", 0, None), ("a", 1, True), ("b", 0, None)], "h_id string, idx int, correct boolean")
+    o = spark.createDataFrame([("a", 0, False, 2), ("a", 0, True, 5), ("a", 0, None, 1), ("a", 1, False, 1), ("a", 7, True, 1), ("z", 0, True, 1)], "h_id string, idx int, correct boolean, at int")
+    now, refused = journal.resolve_predictions(p, o)
+    assert sorted((r.h_id, r.idx, r.correct, r.observed_at) for r in now.collect()) == [("a", 0, False, 2), ("a", 1, True, None), ("b", 0, None, None)]
+    why = "already resolved", "no such prediction", "no outcome"
+    assert sorted((r.h_id, r.idx, r.at, r.why) for r in refused.collect()) == [("a", 0, 1, why[2]), ("a", 0, 5, why[0]), ("a", 1, 1, why[0]), ("a", 7, 1, why[1]), ("z", 0, 1, why[1])]
