@@ -14,7 +14,7 @@
    count and is exchanged as often as any other, no table of all words is ever in one place, and a frequent word is no hot key.
 4. Blocks turn into class sequences; class bigrams are summed over training texts; the scores are read off.
 
-Counts of a fixed size that many tasks have are summed in a tree, ``FAN`` at a time, until a few rows are left for the driver.
+Counts of a fixed size that many tasks have are summed in a tree, ``FAN`` at a time; the driver gets its root.
 
 Smoothing: p(class | before) backs off to the class's share with weight ``BACKOFF``. Words not in training are a class of
 their own: its probability after a class is the share of words there that occur once in training, spread over as many
@@ -164,8 +164,8 @@ def _sum(part: pa.Table) -> pa.Table:
 
 
 def summed(rows: DataFrame, many: int, size: int) -> np.ndarray:
-    """Element-wise sum of packed counts of rows ``k, segment, counts`` with at most ``many`` numbers k: a tree of sums of ``FAN``, then the driver's."""
-    while many > FAN:
+    """Element-wise sum of packed counts of rows ``k, segment, counts`` with at most ``many`` numbers k: a tree of sums of ``FAN``, of which the driver gets the root."""
+    while many > 1:
         many = -(-many // FAN)
         rows = rows.withColumn("to", F.pmod(F.col("k"), F.lit(many))).groupBy("to", "segment").applyInArrow(_sum, COUNTS_DDL)
     parts: dict[int, np.ndarray] = {}
