@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
-from sparrowgrid.operators.graph import cut
+from sparrowgrid.operators.graph import freed
 from sparrowgrid.operators.overlap import jaccard, similar
 
 #: Rows of words up to which they are broadcast.
@@ -39,7 +42,7 @@ def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, m
     one = w.select("doc", "pos", "key", sure.alias("sure"), may.alias("may")).where("sure OR may")
     one = one.groupBy("doc", "key", "may").agg(F.min("pos").alias("any"), F.min(F.when(F.col("sure"), F.col("pos"))).alias("pos"))
     if frequent:
-        df = cut(one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
+        df = freed(one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
         one = one.join(F.broadcast(df) if df.count() <= FEW else df, "key", "left").withColumn("pos", F.when(F.col("df").isNotNull(), F.col("any")).otherwise(F.col("pos")))
     first = one.where("pos IS NOT NULL")
     return first.select("doc", "key", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "key")).alias("ord"))
@@ -74,22 +77,83 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
 
     # How often a word is in a pair comes from the words themselves: one row for each word of the corpus.
     side = t.select(F.explode(F.transform(F.array("t"), others)[0]).alias("x")).groupBy(F.col("x.w").alias("w")).agg(F.sum("x.n").alias("nw")).where("nw > 0")
-    side = cut(side)
+    side = freed(side)
     words, total = side.agg(F.count("*"), F.sum("nw")).first()
-    pairs = None
-    for d in range(1, window + 1):
-        zipped = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 1 + d, F.greatest(F.size("t") - d, F.lit(0))).alias("b"))
-        one = t.where(F.size("t") > d).select(F.explode(zipped).alias("p")).select(F.col("p")["a"].alias("w"), F.col("p")["b"].alias("c")).where("c IS NOT NULL AND w <> c")
-        pairs = one if pairs is None else pairs.unionByName(one)
-    # Counts are alike in both directions: unordered pairs are counted, and turned round at the end.
-    n = pairs.groupBy(F.least("w", "c").alias("w"), F.greatest("w", "c").alias("c")).agg(F.count("*").alias("n"))
-    side = F.broadcast(side) if words <= FEW else side
-    j = n.join(side, "w").join(side.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c")
-    j = j.withColumn("ppmi", F.log(F.col("n").cast("double") * F.lit(float(total or 0)) / (F.col("nw") * F.col("nc")))).where("ppmi > 0")
+    if words <= FEW:
+        n = _numbered_pairs(t, side, window)
+    else:
+        pairs = None
+        for d in range(1, window + 1):
+            zipped = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 1 + d, F.greatest(F.size("t") - d, F.lit(0))).alias("b"))
+            one = t.where(F.size("t") > d).select(F.explode(zipped).alias("p")).select(F.col("p")["a"].alias("w"), F.col("p")["b"].alias("c")).where("c IS NOT NULL AND w <> c")
+            pairs = one if pairs is None else pairs.unionByName(one)
+        # Counts are alike in both directions: unordered pairs are counted, and turned round at the end.
+        n = pairs.groupBy(F.least("w", "c").alias("w"), F.greatest("w", "c").alias("c")).agg(F.count("*").alias("n"))
+        n = n.join(side, "w").join(side.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c")
+    j = n.withColumn("ppmi", F.log(F.col("n").cast("double") * F.lit(float(total or 0)) / (F.col("nw") * F.col("nc")))).where("ppmi > 0")
     both = F.explode(F.array(F.struct("w", "c"), F.struct(F.col("c").alias("w"), F.col("w").alias("c"))))
     return j.select(both.alias("p"), "n", "ppmi").select("p.w", "p.c", "n", "ppmi")
 
 
+#: Pairs that a task counts before it lets go of them.
+PAIRS = 4_000_000
+
+
+def _numbered_pairs(t: DataFrame, side: DataFrame, window: int) -> DataFrame:
+    """``w, c, n, nw, nc`` of unordered pairs: words of a bounded vocabulary (``side``: ``w, nw``) are numbered by frequency, and a task counts its
+    pairs as numbers before the shuffle, which moves no word."""
+    spark = t.sparkSession
+    table = side.orderBy(F.col("nw").desc(), "w").toArrow()
+    vocabulary = spark.sparkContext.broadcast(table.column("w").combine_chunks())
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key[first], np.add.reduceat(n, first)
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, size = vocabulary.value, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = merged(parts)
+            for k in range(0, len(key), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)])], schema=schema)
+
+        for b in frames:
+            lists = b.column(0)
+            words = lists.flatten().dictionary_encode()
+            # Words that are in no pair have no number.
+            number = pc.fill_null(pc.index_in(words.dictionary, value_set=known), -1).to_numpy().astype(np.int64)
+            code = number[words.indices.to_numpy()]
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            doc = np.repeat(np.arange(len(n)), n)
+            for d in range(1, window + 1):
+                x, y = code[:-d], code[d:]
+                use = (doc[:-d] == doc[d:]) & (x != y)
+                x, y = x[use], y[use]
+                key, many = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y), return_counts=True)
+                if len(key):
+                    parts.append((key, many.astype(np.int64)))
+                    size += len(key)
+            if size > PAIRS:
+                parts = [merged(parts)]
+                size = len(parts[0][0])
+                if size > PAIRS // 2:
+                    yield from out()
+                    parts, size = [], 0
+        if parts:
+            yield from out()
+
+    n = t.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    numbers = pa.table({"id": pa.array(range(len(table)), pa.int64()), "w": table.column("w"), "nw": table.column("nw")})
+    ids = F.broadcast(spark.createDataFrame(numbers)) if len(table) else spark.createDataFrame([], "id long, w string, nw long")
+    n = n.select(F.shiftright("key", 32).alias("id"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("other"), "n")
+    return n.join(ids, "id").join(ids.select(F.col("id").alias("other"), F.col("w").alias("c"), F.col("nw").alias("nc")), "other").select("w", "c", "n", "nw", "nc")
+
+
 def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, threshold: float = 0.5) -> DataFrame:
     """``a, b, lexical, negation_clash, number_clash``: pairs of a cluster with shared words but other negations or decimals, by rare-first prefixes."""
     t = F.col(text_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``cut``, after which shuffle files of the steps before are given up: they stay until the driver collects the plans that made them."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node with a link in ``links(u, v)``; a component is named by its least node.
 

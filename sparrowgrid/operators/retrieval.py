@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import overlap
-from sparrowgrid.operators.graph import cut
+from sparrowgrid.operators.graph import cut, freed
 
 K1, B = 1.5, 0.75
 #: Rows of (query, term) up to which they are broadcast.
@@ -35,7 +35,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     wanted = asked.select("term").distinct()
     tf = tokens.select("doc", "dl", F.explode("t").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     tf = tf.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Documents of a term are counted where they lie, without the shuffle that frequencies take.
+    held = tokens.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df.select("term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), "term")
     if few:
         # A document's postings come together, so that its scores are summed where they are.
@@ -112,7 +114,7 @@ def pack_ranked(scores: DataFrame, docs: DataFrame, budget: int, top_k: int, div
     same = Window.partitionBy("query", "_size")
     kth = F.nth_value("score", top_k).over(same.orderBy(F.col("score").desc(), "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     counted = sized.withColumn("_size", size).withColumn("_n", F.count("*").over(same)).withColumn("_kth", kth)
-    left = cut(counted.where(F.col("_kth").isNull() | (F.col("score") >= (1 - diversity) * F.col("_kth"))).drop("_kth"))
+    left = freed(counted.where(F.col("_kth").isNull() | (F.col("score") >= (1 - diversity) * F.col("_kth"))).drop("_kth"))
     scored = left.groupBy("query", "_size").agg(F.max("_n").alias("n")).groupBy("query").agg(F.sum("n").alias("scored"))
     left = left.drop("_size", "_n")
     picks = None
