@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.shared import batches, chunks, discard, lean, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, discard, lean, release, small_batches, texts_of, words, written
 
 CLASSES, CONTEXT, ROUNDS, EXCHANGES, SWEEPS = 32, 32_768, 2, 2, 2
 BACKOFF = 5.0
@@ -145,6 +145,17 @@ def _contexts(known: Words, classes: np.ndarray):
     return run
 
 
+def light(f):
+    """A function of groups that gives freed memory back after each: workers live on beside an executor that needs the room."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        release()
+        return out
+
+    return run
+
+
 COUNTS = pa.schema([("k", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
 COUNTS_DDL = "k long, segment int, counts binary"
 
@@ -167,7 +178,7 @@ def summed(rows: DataFrame, many: int, size: int) -> np.ndarray:
     """Element-wise sum of packed counts of rows ``k, segment, counts`` with at most ``many`` numbers k: a tree of sums of ``FAN``, of which the driver gets the root."""
     while many > 1:
         many = -(-many // FAN)
-        rows = rows.withColumn("to", F.pmod(F.col("k"), F.lit(many))).groupBy("to", "segment").applyInArrow(_sum, COUNTS_DDL)
+        rows = rows.withColumn("to", F.pmod(F.col("k"), F.lit(many))).groupBy("to", "segment").applyInArrow(light(_sum), COUNTS_DDL)
     parts: dict[int, np.ndarray] = {}
     for r in rows.collect():
         x = _unpack(r["counts"], np.int64)
@@ -392,25 +403,27 @@ def _recontexts(n_known: int, word_class: np.ndarray):
         rows: dict[str, list] = {f.name: [] for f in AGAIN}
         said = answers.sort_by("bucket").to_pylist()
         others = [_unpack(r["classes"], np.uint8) for r in said]
-        classes = np.concatenate([word_class, [END], *others]).astype(np.int64)
+        classes = np.concatenate([word_class, [END], *others]).astype(np.uint8)
         edge = np.concatenate(([0], np.cumsum([len(x) for x in others]))).astype(np.int64)
         for r in coded.to_pylist():
             size = _unpack(r["counts"], np.int64)
-            codes = _unpack(r["low"], np.uint16).astype(np.int64) | _unpack(r["high"], np.uint16).astype(np.int64) << 16
+            codes = _unpack(r["low"], np.uint16).astype(np.int32) | _unpack(r["high"], np.uint16).astype(np.int32) << 16
             seq, _ = with_ends(codes, np.concatenate(([0], np.cumsum(size))), n_known)
+            del codes
             kind = classes[seq]
-            train = np.flatnonzero(np.concatenate(([False], np.repeat(~np.array(r["held"], bool), size + 1))))
-            moves = np.bincount(kind[train - 1] * KINDS + kind[train], minlength=KINDS * KINDS)
+            train = np.flatnonzero(np.concatenate(([False], np.repeat(~np.array(r["held"], bool), size + 1)))).astype(np.int32)
+            moves = np.bincount(kind[train - 1].astype(np.int16) * KINDS + kind[train], minlength=KINDS * KINDS)
             seed = train[seq[train] < n_known]
             one, two = _sparse(seq[seed] * KINDS + kind[seed - 1]), _sparse(seq[seed] * KINDS + kind[seed + 1])
+            del seed
             for c, v in zip(rows, (2, r["block"], None, one[0], one[1], two[0], two[1], _pack(moves)), strict=True):
                 rows[c].append(v)
             use = train[seq[train] > n_known]
             which = seq[use] - n_known - 1
             use = use[np.argsort(which, kind="stable")]
             count = np.bincount(which, minlength=int(edge[-1])).astype(np.int32)
-            before, after = kind[use - 1].astype(np.uint8), kind[use + 1].astype(np.uint8)
-            at = np.concatenate(([0], np.cumsum(count)))
+            before, after = kind[use - 1], kind[use + 1]
+            at = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
             for x, a, b in zip(said, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 mine = slice(at[a], at[b])
                 for c, v in zip(rows, (1, r["block"], x["bucket"], x["places"], _pack(count[a:b]), _pack(before[mine]), _pack(after[mine]), None), strict=True):
@@ -547,13 +560,13 @@ def score(
     schema = "kind int, block long, bucket int, ids array<long>, held array<boolean>, counts binary, low binary, high binary, h binary, before binary, after binary"
     coded = written(rows.mapInArrow(lean(lambda f: _coded(*kept.value, n_buckets)(f)), schema), "coded")
     other = coded.where("kind = 1").select("block", "bucket", "counts", "h", "before", "after")
-    answers = written(other.groupBy("bucket").applyInArrow(_answered(into, out), ANSWERS_DDL), "answers")
+    answers = written(other.groupBy("bucket").applyInArrow(light(_answered(into, out)), ANSWERS_DDL), "answers")
     kept.unpersist()
     blocks = coded.where("kind = 0").select("block", "ids", "held", "counts", "low", "high")
     n_blocks = blocks.count()
     for _ in range(exchanges if known.n else 0):
         to_blocks = answers.where("block IS NOT NULL").select("block", "bucket", "classes", "places")
-        step = _recontexts(known.n, classes.astype(np.uint8))
+        step = light(_recontexts(known.n, classes.astype(np.uint8)))
         again = written(blocks.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInArrow(step, AGAIN_DDL), "contexts")
         seeds = again.where("kind = 2").select("places", "counts", "before", "after", "moves")
         got = summed(seeds.mapInArrow(lean(_seed_sums(known.n)), COUNTS_DDL), seeds.rdd.getNumPartitions(), 2 * size + KINDS * KINDS).astype(float)
@@ -563,7 +576,7 @@ def score(
         parts = again.where("kind = 1").select("block", "bucket", "places", "counts", "before", "after", F.lit(None).cast("binary").alias("classes"))
         none = F.lit(None).cast("binary")
         parts = parts.unionByName(answers.where("block IS NULL").select("block", "bucket", none.alias("places"), none.alias("counts"), none.alias("before"), none.alias("after"), "classes"))
-        new = written(parts.groupBy("bucket").applyInArrow(_exchanged(into, out), ANSWERS_DDL), "answers")
+        new = written(parts.groupBy("bucket").applyInArrow(light(_exchanged(into, out)), ANSWERS_DDL), "answers")
         discard(again, answers)
         answers = new
     if seen is not None:
@@ -576,7 +589,7 @@ def score(
     n = int(class_size[:CLASSES].sum()) + ends
     v = int(sums[-2] + (word_count > 0).sum() + (ends > 0))
     class_size = np.maximum(class_size, 1)
-    step = _classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once)
+    step = light(_classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once))
     kind = "block long, ids array<long>, held array<boolean>, n binary, known binary, base binary, emitted binary, classes binary, k long, segment int, counts binary"
     said = answers.where("block IS NOT NULL").select("block", "bucket", "counts", "classes")
     classed = written(blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(step, kind), "classed")
