@@ -145,15 +145,20 @@ def _contexts(known: Words, classes: np.ndarray):
     return run
 
 
-def light(f):
-    """A function of groups that gives freed memory back after each: workers live on beside an executor that needs the room."""
+def light(f, two: bool = False):
+    """A function of groups (of two frames: ``two``) that gives freed memory back after each: workers live on beside an executor that needs the room."""
 
-    def run(*tables: pa.Table) -> pa.Table:
-        out = f(*tables)
+    def one_frame(part: pa.Table) -> pa.Table:
+        out = f(part)
         release()
         return out
 
-    return run
+    def two_frames(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return two_frames if two else one_frame
 
 
 COUNTS = pa.schema([("k", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
@@ -566,7 +571,7 @@ def score(
     n_blocks = blocks.count()
     for _ in range(exchanges if known.n else 0):
         to_blocks = answers.where("block IS NOT NULL").select("block", "bucket", "classes", "places")
-        step = light(_recontexts(known.n, classes.astype(np.uint8)))
+        step = light(_recontexts(known.n, classes.astype(np.uint8)), two=True)
         again = written(blocks.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInArrow(step, AGAIN_DDL), "contexts")
         seeds = again.where("kind = 2").select("places", "counts", "before", "after", "moves")
         got = summed(seeds.mapInArrow(lean(_seed_sums(known.n)), COUNTS_DDL), seeds.rdd.getNumPartitions(), 2 * size + KINDS * KINDS).astype(float)
@@ -589,7 +594,7 @@ def score(
     n = int(class_size[:CLASSES].sum()) + ends
     v = int(sums[-2] + (word_count > 0).sum() + (ends > 0))
     class_size = np.maximum(class_size, 1)
-    step = light(_classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once))
+    step = light(_classed(known.n, word_count, classes.astype(np.uint8), ends, n, v, class_size, once), two=True)
     kind = "block long, ids array<long>, held array<boolean>, n binary, known binary, base binary, emitted binary, classes binary, k long, segment int, counts binary"
     said = answers.where("block IS NOT NULL").select("block", "bucket", "counts", "classes")
     classed = written(blocks.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(step, kind), "classed")
