@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import neighbours
-from sparrowgrid.operators.graph import cut, freed
+from sparrowgrid.operators.graph import cut, free
 
 #: What is put between the texts of a context (fixed value), and the tokens that it counts.
 SEPARATOR, SEPARATOR_TOKENS = "\n\n---\n\n", 3
@@ -45,7 +45,8 @@ def greedy(scored: DataFrame, budget: int, top_k: int) -> DataFrame:
     ``scored`` has ``query, doc, score, tokens, family``; equal scores go to the lower id. ``picks`` are structs ``doc, score,
     tokens`` in the order of picking. ``truncated``: a scored document was left out.
     """
-    rows = freed(able(scored, budget, top_k))
+    rows = cut(able(scored, budget, top_k))
+    free(scored.sparkSession)
     none = F.array().cast("array<struct<doc:bigint,score:double,tokens:bigint>>")
     state = rows.groupBy("query").agg(F.count("*").alias("n")).select("query", "n", F.lit(budget).cast("long").alias("room"), none.alias("picks"), F.array().cast("array<string>").alias("families"))
     able_rows = rows.where(F.col("tokens") <= budget)
@@ -81,7 +82,8 @@ def compiled(scores: DataFrame, docs: DataFrame, families: DataFrame, budget: in
     sized = scores.join(docs.select("doc", "tokens"), "doc").join(families.select(F.col("node").alias("doc"), "component"), "doc", "left")
     scored = sized.select("query", "doc", "score", F.col("tokens").cast("long").alias("tokens"), family().alias("family"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
-    base = freed(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= baseline_k))
+    base = cut(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= baseline_k))
+    free(docs.sparkSession)
     chosen = greedy(scored, max(budget, 64), top_k)
     left = base.join(chosen.select("query", "families", F.transform("picks", lambda p: p["doc"]).alias("ids")), "query")
     left = left.where(F.array_contains("families", F.col("family")) & ~F.array_contains("ids", F.col("doc")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
-from sparrowgrid.operators.graph import freed
+from sparrowgrid.operators.graph import cut, free
 from sparrowgrid.operators.overlap import jaccard, similar
 
 #: Rows of words up to which they are broadcast.
@@ -42,7 +42,8 @@ def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, m
     one = w.select("doc", "pos", "key", sure.alias("sure"), may.alias("may")).where("sure OR may")
     one = one.groupBy("doc", "key", "may").agg(F.min("pos").alias("any"), F.min(F.when(F.col("sure"), F.col("pos"))).alias("pos"))
     if frequent:
-        df = freed(one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
+        df = cut(one.where("may").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= min_df))
+        free(docs.sparkSession)
         one = one.join(F.broadcast(df) if df.count() <= FEW else df, "key", "left").withColumn("pos", F.when(F.col("df").isNotNull(), F.col("any")).otherwise(F.col("pos")))
     first = one.where("pos IS NOT NULL")
     return first.select("doc", "key", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "key")).alias("ord"))
@@ -77,7 +78,8 @@ def ppmi(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
 
     # How often a word is in a pair comes from the words themselves: one row for each word of the corpus.
     side = t.select(F.explode(F.transform(F.array("t"), others)[0]).alias("x")).groupBy(F.col("x.w").alias("w")).agg(F.sum("x.n").alias("nw")).where("nw > 0")
-    side = freed(side)
+    side = cut(side)
+    free(docs.sparkSession)
     words, total = side.agg(F.count("*"), F.sum("nw")).first()
     if words <= FEW:
         n = _numbered_pairs(t, side, window)
@@ -147,11 +149,18 @@ def _numbered_pairs(t: DataFrame, side: DataFrame, window: int) -> DataFrame:
         if parts:
             yield from out()
 
+    counted = pa.schema([("w", pa.string()), ("c", pa.string()), ("n", pa.int64()), ("nw", pa.int64()), ("nc", pa.int64())])
+    often = spark.sparkContext.broadcast(table.column("nw").combine_chunks())
+
+    def spelt(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            key = b.column(0).to_numpy()
+            low, high = pa.array(key >> 32), pa.array(key & ((1 << 32) - 1))
+            words, nw = vocabulary.value, often.value
+            yield pa.RecordBatch.from_arrays([words.take(low), words.take(high), b.column(1), nw.take(low), nw.take(high)], schema=counted)
+
     n = t.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    numbers = pa.table({"id": pa.array(range(len(table)), pa.int64()), "w": table.column("w"), "nw": table.column("nw")})
-    ids = F.broadcast(spark.createDataFrame(numbers)) if len(table) else spark.createDataFrame([], "id long, w string, nw long")
-    n = n.select(F.shiftright("key", 32).alias("id"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("other"), "n")
-    return n.join(ids, "id").join(ids.select(F.col("id").alias("other"), F.col("w").alias("c"), F.col("nw").alias("nc")), "other").select("w", "c", "n", "nw", "nc")
+    return n.mapInArrow(spelt, "w string, c string, n long, nw long, nc long")
 
 
 def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, threshold: float = 0.5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowgrid.session import sound
@@ -22,12 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def freed(df: DataFrame) -> DataFrame:
-    """``cut``, after which shuffle files of the steps before are given up: they stay until the driver collects the plans that made them."""
-    out = cut(df)
+def free(spark: SparkSession) -> None:
+    """Gives up shuffle files of steps that nothing refers to any more: they stay until the driver collects the plans that made them."""
     gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+    spark._jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:

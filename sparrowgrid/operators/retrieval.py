@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
 from sparrowgrid.operators import overlap
-from sparrowgrid.operators.graph import cut, freed
+from sparrowgrid.operators.graph import cut, free
 
 K1, B = 1.5, 0.75
 #: Rows of (query, term) up to which they are broadcast.
@@ -114,7 +114,8 @@ def pack_ranked(scores: DataFrame, docs: DataFrame, budget: int, top_k: int, div
     same = Window.partitionBy("query", "_size")
     kth = F.nth_value("score", top_k).over(same.orderBy(F.col("score").desc(), "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     counted = sized.withColumn("_size", size).withColumn("_n", F.count("*").over(same)).withColumn("_kth", kth)
-    left = freed(counted.where(F.col("_kth").isNull() | (F.col("score") >= (1 - diversity) * F.col("_kth"))).drop("_kth"))
+    left = cut(counted.where(F.col("_kth").isNull() | (F.col("score") >= (1 - diversity) * F.col("_kth"))).drop("_kth"))
+    free(docs.sparkSession)
     scored = left.groupBy("query", "_size").agg(F.max("_n").alias("n")).groupBy("query").agg(F.sum("n").alias("scored"))
     left = left.drop("_size", "_n")
     picks = None
