@@ -81,28 +81,29 @@ def cell_next(contexts: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame
 
 
 def probability(queries: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """``query columns, p``: back-off probability of ``next`` after ``context array<string>``.
+    """``query columns, p``: back-off probability of ``next`` after ``context array<string>``, a row for each query.
 
     From the longest context down: a seen context with the token gives penalty * count / total, one without the token costs
-    a factor alpha, an unseen context costs nothing; single tokens are smoothed by adding k.
+    a factor alpha, an unseen context costs nothing; single tokens are smoothed by adding k. Only queries that no longer
+    context answers go down a level. Joins sort: a small file can hold more n-grams than any estimate of its size says.
     """
-    totals = table.groupBy("n", "context").agg(F.sum("cnt").alias("total"))
-    q = queries.withColumn("_q", F.xxhash64(*queries.columns))
-    levels = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("context", F.size("context") - n + 2, n - 1), " ").alias("c"), (F.size("context") >= n - 1).alias("ok")) for n in range(1, order + 1)])
-    asked = q.select(*queries.columns, F.explode(levels).alias("l")).where("l.ok").select(*queries.columns, F.col("l.n").alias("n"), F.col("l.c").alias("c"))
-    t = totals.select("n", F.col("context").alias("c"), "total")
-    c = table.select("n", F.col("context").alias("c"), "next", "cnt")
-    found = asked.join(t, ["n", "c"], "left").join(c, ["n", "c", "next"], "left")
-    entries = table.agg(F.sum("cnt").alias("entries"))
-    size = lambda n: F.max(F.when(F.col("n") == n, F.col("total")))
-    cnt = lambda n: F.max(F.when(F.col("n") == n, F.col("cnt")))
-    wide = found.groupBy(*queries.columns).agg(*[size(n).alias(f"t{n}") for n in range(1, order + 1)], *[cnt(n).alias(f"c{n}") for n in range(1, order + 1)]).join(F.broadcast(entries))
-    missed = sum((F.when(F.col(f"t{n}").isNotNull() & F.col(f"c{n}").isNull(), 1).otherwise(0) for n in range(2, order + 1)), F.lit(0))
-    out: Column = F.pow(F.lit(ALPHA), missed) * (F.coalesce("c1", F.lit(0)) + ADD_K) / (F.coalesce("t1", F.lit(0)) + ADD_K * F.col("entries"))
-    for n in range(2, order + 1):
-        above = sum((F.when(F.col(f"t{m}").isNotNull() & F.col(f"c{m}").isNull(), 1).otherwise(0) for m in range(n + 1, order + 1)), F.lit(0))
-        out = F.when(F.col(f"c{n}").isNotNull(), F.pow(F.lit(ALPHA), above) * F.col(f"c{n}") / F.col(f"t{n}")).otherwise(out)
-    return wide.select(*queries.columns, out.alias("p"))
+    cols, done, left = queries.columns, None, queries.withColumn("_f", F.lit(1.0))
+    for n in range(order, 1, -1):
+        level = table.where(F.col("n") == n)
+        seen = level.select(F.col("context").alias("_c"), "next", "cnt", F.sum("cnt").over(Window.partitionBy("context")).alias("_t"))
+        suffix = F.when(F.size("context") >= n - 1, F.array_join(F.slice("context", F.size("context") - n + 2, n - 1), " "))
+        met = cut(left.withColumn("_c", suffix).join(seen.hint("merge"), ["_c", "next"], "left"))
+        one = met.where("cnt IS NOT NULL").select(*cols, (F.col("_f") * F.col("cnt") / F.col("_t")).alias("p"))
+        done = one if done is None else done.unionByName(one)
+        missed = met.where("cnt IS NULL")
+        if missed.isEmpty():
+            return done
+        contexts = level.select(F.col("context").alias("_c")).distinct().withColumn("_seen", F.lit(True))
+        left = missed.drop("cnt", "_t").join(contexts.hint("merge"), "_c", "left").withColumn("_f", F.when(F.col("_seen"), F.col("_f") * ALPHA).otherwise(F.col("_f"))).drop("_c", "_seen")
+    entries = table.agg(F.sum("cnt").alias("entries"), F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("cnt"))), F.lit(0)).alias("t1"))
+    single = left.join(table.where("n = 1").select("next", F.col("cnt").alias("c1")).hint("merge"), "next", "left").join(F.broadcast(entries))
+    last = single.select(*cols, (F.col("_f") * (F.coalesce("c1", F.lit(0)) + ADD_K) / (F.col("t1") + ADD_K * F.col("entries"))).alias("p"))
+    return last if done is None else done.unionByName(last)
 
 
 def generate(table: DataFrame, start: list[str], steps: int, order: int) -> list[str]:
