@@ -99,8 +99,7 @@ def ngram_score(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.terms(F.col("text")).alias("t")).where(F.size("t") >= 3)
     i = t.select("conv_id", "turn", "t", F.explode(F.sequence(F.lit(3), F.size("t"))).alias("i"))
     q = i.select("conv_id", "turn", F.slice("t", F.col("i") - 2, 2).alias("context"), F.element_at("t", F.col("i")).alias("next"))
-    p = ngram.probability(q.select("context", "next").distinct(), P.ng(spark, sf_dir), 3)
-    return q.join(p, ["context", "next"]).groupBy("conv_id", "turn").agg(F.round(F.avg(F.log("p")), 6).alias("score"))
+    return ngram.probability(q, P.ng(spark, sf_dir), 3).groupBy("conv_id", "turn").agg(F.round(F.avg(F.log("p")), 6).alias("score"))
 
 
 @query("ngram_cell_tables", "WITH w AS (SELECT event_type AS cell, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS context, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events) SELECT cell, next, count(*) AS cnt, sum(count(*)) OVER (PARTITION BY cell)::BIGINT AS support FROM w WHERE next IS NOT NULL GROUP BY cell, next")

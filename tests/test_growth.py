@@ -54,3 +54,9 @@ def test_ngram_probability_broadcasts_no_table(spark):
     # The table of n-grams is many times what the file's size says: only rows of a fixed number may go to the driver.
     with setting(spark, "spark.sql.maxBroadcastTableSize", "10k"):
         assert len(QUERIES["ngram_probability"](spark, str(DATA)).collect()) > 1000
+
+
+@with_tables
+def test_ngram_score_broadcasts_no_table(spark):
+    with setting(spark, "spark.sql.maxBroadcastTableSize", "10k"):
+        assert len(QUERIES["ngram_score"](spark, str(DATA)).collect()) > 10
