@@ -164,14 +164,28 @@ def _numbered_pairs(t: DataFrame, side: DataFrame, window: int) -> DataFrame:
 
 
 def contradictions(docs: DataFrame, id_col: str, cluster: str, text_col: str, threshold: float = 0.5) -> DataFrame:
-    """``a, b, lexical, negation_clash, number_clash``: pairs of a cluster with shared words but other negations or decimals, by rare-first prefixes."""
+    """``a, b, lexical, negation_clash, number_clash``: pairs of a cluster with shared words but other negations or decimals, by rare-first prefixes.
+
+    Texts of the same words, negations and decimals don't clash with each other and clash with the same others: one of them is
+    compared, and its pairs are told for all at the end.
+    """
     t = F.col(text_col)
-    words = F.array_distinct(F.filter(T.terms(t), lambda x: F.octet_length(x) > 3))
-    near = similar(docs.select(F.col(cluster).alias("grp"), F.col(id_col).alias("id"), words.alias("t")), None, threshold)
-    marks = lambda c: docs.select(F.col(id_col).alias(c), T.negations(t).alias(f"neg_{c}"), T.leading_number(t, True).alias(f"dec_{c}"))
+    words = F.array_sort(F.array_distinct(F.filter(T.terms(t), lambda x: F.octet_length(x) > 3)))
+    like = docs.select(F.col(id_col).alias("id"), F.col(cluster).alias("grp"), words.alias("t"), T.negations(t).alias("neg"), T.leading_number(t, True).alias("dec")).where(F.size("t") > 0)
+    kept = like.withColumns({"k": F.xxhash64("t"), "l": F.xxhash64(F.lit(1), "t")})
+    same = ["grp", "k", "l", "neg", "dec"]
+    first = kept.groupBy(*same).agg(F.min(F.struct("id", "t")).alias("f")).select(*same, F.col("f.id").alias("rep"), F.col("f.t").alias("t"))
+    first = cut(first)
+    on = [kept[c].eqNullSafe(first[c]) for c in same]
+    member = cut(kept.drop("t").join(first.drop("t").hint("merge"), on).select(kept["id"], "rep"))
+    free(docs.sparkSession)
+    near = similar(first.select("grp", F.col("rep").alias("id"), "t"), None, threshold)
+    marks = lambda c: first.select(F.col("rep").alias(c), F.col("neg").alias(f"neg_{c}"), F.col("dec").alias(f"dec_{c}"))
     neg, num = F.col("neg_a") != F.col("neg_b"), F.coalesce(F.col("dec_a") != F.col("dec_b"), F.lit(False))
     both = near.join(marks("a"), "a").join(marks("b"), "b").where(neg | num)
-    return both.select("a", "b", F.round(jaccard(), 6).alias("lexical"), neg.alias("negation_clash"), num.alias("number_clash"))
+    each = lambda c: member.select(F.col("rep").alias(c), F.col("id").alias(f"id_{c}"))
+    told = both.join(each("a"), "a").join(each("b"), "b")
+    return told.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.round(jaccard(), 6).alias("lexical"), neg.alias("negation_clash"), num.alias("number_clash"))
 
 
 #: Lexicons of claim signatures (our own lists): words that affirm, words that deny, and negators that flip what follows within three tokens.

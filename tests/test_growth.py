@@ -1,5 +1,6 @@
 """Queries stay whole and bounded as tables grow: what is moved, broadcast or made is held against small limits."""
 
+import random
 from collections import Counter
 from contextlib import contextmanager
 from pathlib import Path
@@ -7,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from sparrowgrid import registry
-from sparrowgrid.operators import ngram
+from sparrowgrid.operators import extract, ngram, overlap
 
 QUERIES = registry.queries()
 DATA = Path("/root/testdata/sf0.001")
@@ -60,3 +61,41 @@ def test_ngram_probability_broadcasts_no_table(spark):
 def test_ngram_score_broadcasts_no_table(spark):
     with setting(spark, "spark.sql.maxBroadcastTableSize", "10k"):
         assert len(QUERIES["ngram_score"](spark, str(DATA)).collect()) > 10
+
+
+def test_sets_of_many_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SKETCHES", 16)
+    rng = random.Random(5)
+    sets = {i: (i % 2, sorted({f"w{rng.randrange(40 if i % 3 else 400)}" for _ in range(rng.randrange(0, 60))})) for i in range(140)}
+    for i in range(140, 160):
+        sets[i] = (sets[i - 140][0], sets[i - 140][1][: max(1, len(sets[i - 140][1]) * 2 // 3)])
+    for i in range(160, 200):
+        sets[i] = (sets[i - 160][0], sets[i - 160][1][1:])
+    df = spark.createDataFrame([(g, i, t) for i, (g, t) in sets.items()], "grp int, id int, t array<string>").repartition(3)
+    for threshold in (0.3, 0.5, 0.9):
+        want = set()
+        for i, (g, x) in sets.items():
+            for j, (h, y) in sets.items():
+                n = len(set(x) & set(y))
+                if i < j and g == h and x and y and n / (len(x) + len(y) - n) >= threshold:
+                    want.add((i, j, n, len(x), len(y)))
+        got = overlap.similar(df, None, threshold).select("a", "b", "n", "na", "nb").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 10
+    got = overlap.similar(df.where("id >= 80"), df.where("id < 80"), 0.3).collect()
+    assert {(r.b, r.a) for r in got} == {p[:2] for p in overlap.similar(df, None, 0.3).select("a", "b").collect() if p[0] < 80 <= p[1]}
+
+
+def test_copies_are_compared_once_for_contradictions(spark, monkeypatch):
+    seen, texts = [], ["pump valve motor works fine today"] * 60 + ["pump valve motor works not fine today"] * 40 + ["nothing alike here"] * 5
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    real = extract.similar
+
+    def watched(left, right, threshold):
+        seen.append(left.count())
+        return real(left, right, threshold)
+
+    monkeypatch.setattr(extract, "similar", watched)
+    got = extract.contradictions(docs, "doc_id", "source", "text").collect()
+    assert seen == [3]
+    assert {(r.a, r.b) for r in got} == {(i, j) for i in range(60) for j in range(60, 100)} and len(got) == 2400
+    assert all(r.negation_clash and not r.number_clash for r in got)
