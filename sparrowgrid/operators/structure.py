@@ -22,9 +22,13 @@ def overlaps(docs: DataFrame, id_col: str, text_col: str, threshold: float, leas
 
 
 def clusters(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """``node, component`` of texts that chains of overlaps at or over the threshold join."""
-    links = overlaps(docs, id_col, text_col, threshold)
-    return graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    """``node, component`` of texts that chains of overlaps at or over the threshold join. Texts of the same terms are linked to one of them, which alone meets others."""
+    words = F.array_sort(F.array_distinct(F.filter(T.terms(F.col(text_col)), lambda x: F.octet_length(x) >= 4)))
+    sets = docs.select(F.col(id_col).alias("id"), words.alias("t")).where(F.size("t") > 0).select("id", "t", F.xxhash64("t").alias("k"), F.xxhash64(F.lit(1), "t").alias("l"))
+    first = graph.cut(sets.groupBy("k", "l").agg(F.min(F.struct("id", "t")).alias("f")).select("k", "l", F.col("f.id").alias("rep"), F.col("f.t").alias("t")))
+    copies = sets.select("id", "k", "l").join(first.select("k", "l", "rep").hint("merge"), ["k", "l"]).where("id <> rep")
+    near = overlap.similar(first.select(F.lit(0).alias("grp"), F.col("rep").alias("id"), "t"), None, threshold)
+    return graph.components(near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies.select(F.col("rep").alias("u"), F.col("id").alias("v"))))
 
 
 def family_recovery(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -53,14 +57,14 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("status", F.when(known, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no such grade: "), F.coalesce("status", F.lit("null"))))))
 
 
-def determined(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """One row ``hash, again, deterministic``: hashes of the clusters of the same texts, as they lie and dealt anew."""
-    def hashed(d: DataFrame, name: str) -> DataFrame:
-        c = clusters(d, id_col, text_col, threshold)
+def determined(docs: DataFrame, id_col: str, text_col: str, threshold: float, found: DataFrame | None = None) -> DataFrame:
+    """One row ``hash, again, deterministic``: hashes of the clusters of the same texts, as they lie (``found``, where they are made already) and dealt anew."""
+    def hashed(d: DataFrame, name: str, made: DataFrame | None = None) -> DataFrame:
+        c = clusters(d, id_col, text_col, threshold) if made is None else made
         # A hash of each row, summed: no row order, no single task that gathers the clusters.
         return c.agg(F.coalesce(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)")), F.lit(0)).alias(name))
 
-    both = hashed(docs, "hash").join(hashed(docs.repartition(F.xxhash64(id_col)), "again"))  # two single rows
+    both = hashed(docs, "hash", found).join(hashed(docs.repartition(F.xxhash64(id_col)), "again"))  # two single rows
     return both.withColumn("deterministic", F.col("hash") == F.col("again"))
 
 

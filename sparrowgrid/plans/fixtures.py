@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowgrid.operators import structure
+from sparrowgrid.operators.graph import cut, free
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.texts import TERMS_SQL, docs
 from sparrowgrid.session import folder, table
@@ -17,10 +18,15 @@ SELECT count(*) AS families, count(*) FILTER (named) AS recovered FROM f""",
 )
 def benchmark_metrics(spark, sf_dir):
     """Documents with the same text are a family; clusters of like texts recover it where it has words at all."""
-    d = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.md5("text").alias("family"))
+    d = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
+    return recovery(d, structure.clusters(d, "node", "text", 0.95))
+
+
+def recovery(d, found):
+    """How many families of equal texts ``found`` holds together."""
+    d = d.select("node", F.md5("text").alias("family"))
     copies = d.groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family")
-    truth = d.join(copies, "family", "left_semi").select("node", "family")
-    return structure.family_recovery(structure.clusters(d, "node", "text", 0.95), truth)
+    return structure.family_recovery(found, d.join(copies, "family", "left_semi"))
 
 
 @query(
@@ -31,8 +37,10 @@ SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, cou
 def benchmark_run(spark, sf_dir):
     """The recovery of known families, and whether the clusters are the same when the documents lie otherwise."""
     d = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    same = structure.determined(d, "node", "text", 0.95).select("deterministic")
-    return d.agg(F.count("*").alias("documents")).join(benchmark_metrics(spark, sf_dir)).join(same)  # single rows
+    found = cut(structure.clusters(d, "node", "text", 0.95))
+    free(spark)
+    same = structure.determined(d, "node", "text", 0.95, found).select("deterministic")
+    return d.agg(F.count("*").alias("documents")).join(recovery(d, found)).join(same)  # single rows
 
 
 #: Grades of events by their type.

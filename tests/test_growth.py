@@ -99,3 +99,19 @@ def test_copies_are_compared_once_for_contradictions(spark, monkeypatch):
     assert seen == [3]
     assert {(r.a, r.b) for r in got} == {(i, j) for i in range(60) for j in range(60, 100)} and len(got) == 2400
     assert all(r.negation_clash and not r.number_clash for r in got)
+
+
+def test_benchmark_clusters_twice_and_compares_copies_once(spark, tmp_path, monkeypatch):
+    texts = ["pump valve motor works fine today"] * 30 + ["night shift records parcel counts"] * 20 + ["garden crew plants maple seedlings", "a b", "a b", None]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], overlap.similar
+
+    def watched(left, right, threshold):
+        seen.append(left.count())
+        return real(left, right, threshold)
+
+    monkeypatch.setattr(overlap, "similar", watched)
+    r = QUERIES["benchmark_run"](spark, str(tmp_path)).first()
+    assert (r.documents, r.families, r.recovered, r.deterministic) == (53, 3, 2, True)
+    assert seen == [3, 3]
