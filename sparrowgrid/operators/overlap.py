@@ -37,15 +37,15 @@ def similar(left: DataFrame, right: DataFrame | None, threshold: float) -> DataF
         whole = hashed(left, F.struct(F.lit(0).alias("side"), F.col("id").alias("id"))).unionByName(hashed(right, F.struct(F.lit(1).alias("side"), F.col("id").alias("id"))))
     whole = cut(whole.where("grp IS NOT NULL"))
     near = (_near_prefixes if threshold >= SHORT else _near_blocks)(whole, right is not None, threshold)
-    sets = lambda c: whole.select(F.col("id").alias(c), F.col("t").alias(f"t_{c}")).hint("merge")
-    met = near.join(sets("a"), "a").join(sets("b"), "b")
+    sets = lambda c: whole.select("grp", F.col("id").alias(c), F.col("t").alias(f"t_{c}")).hint("merge")
+    met = near.join(sets("a"), ["grp", "a"]).join(sets("b"), ["grp", "b"])
     found = met.select("a", "b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("n"), F.size("t_a").alias("na"), F.size("t_b").alias("nb"))
     found = found.where(jaccard() >= threshold)
     return found if right is None else found.withColumns({"a": F.col("a.id"), "b": F.col("b.id")})
 
 
 def _near_prefixes(whole: DataFrame, sides: bool, threshold: float) -> DataFrame:
-    """``a, b`` whose prefixes meet and whose parities don't part them."""
+    """``grp, a, b`` whose prefixes meet and whose parities don't part them."""
     spark = whole.sparkSession
     kinds = dict(whole.dtypes)
     prefix = whole.mapInArrow(_prefixes(spark.sparkContext.broadcast(_bucket_counts(whole)), threshold), f"grp {kinds['grp']}, term long, id {kinds['id']}, n int, pos int")
@@ -57,15 +57,15 @@ def _near_prefixes(whole: DataFrame, sides: bool, threshold: float) -> DataFrame
     size = (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - 1e-9)
     # What can still be shared from this term on (positional filter).
     rest = 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = x.join(y, ["grp", "term"]).where(order & size & rest).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    marks = whole.mapInArrow(_parities, f"id {kinds['id']}, n int, " + ", ".join(f"p{k} long" for k in range(WORDS)))
-    mark = lambda c: marks.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(WORDS)])
+    pairs = x.join(y, ["grp", "term"]).where(order & size & rest).select("grp", F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    marks = whole.mapInArrow(_parities, f"grp {kinds['grp']}, id {kinds['id']}, n int, " + ", ".join(f"p{k} long" for k in range(WORDS)))
+    mark = lambda c: marks.select("grp", F.col("id").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(WORDS)])
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    return pairs.join(mark("a").hint("merge"), "a").join(mark("b").hint("merge"), "b").where(apart <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b")
+    return pairs.join(mark("a").hint("merge"), ["grp", "a"]).join(mark("b").hint("merge"), ["grp", "b"]).where(apart <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("grp", "a", "b")
 
 
 def _near_blocks(whole: DataFrame, sides: bool, threshold: float) -> DataFrame:
-    """``a, b`` that parities don't part: every two blocks of a group meet in a task, which compares sketches of three to six bits a term."""
+    """``grp, a, b`` that parities don't part: every two blocks of a group meet in a task, which compares sketches of three to six bits a term."""
     kinds = dict(whole.dtypes)
     key = F.col("id.id") if sides else F.col("id")
     flat = whole.select("grp", key.cast("long").alias("id"), (F.col("id.side") if sides else F.lit(0)).alias("side"), "t")
@@ -79,11 +79,11 @@ def _near_blocks(whole: DataFrame, sides: bool, threshold: float) -> DataFrame:
     x = packed.select("grp", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.lit(0).alias("part"), *cols)
     y = packed.where("block > 0").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("at"), F.col("block").alias("other"), F.lit(1).alias("part"), *cols)
     tasks = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), met // 2)
-    both = x.union(y).repartition(tasks, "grp", "block", "other").groupBy("grp", "block", "other").applyInArrow(_close(sides, threshold), "a long, b long")
+    both = x.union(y).repartition(tasks, "grp", "block", "other").groupBy("grp", "block", "other").applyInArrow(_close(sides, threshold), f"grp {kinds['grp']}, a long, b long")
     if not sides:
-        return both.select(F.col("a").cast(kinds["id"]).alias("a"), F.col("b").cast(kinds["id"]).alias("b"))
+        return both.select("grp", F.col("a").cast(kinds["id"]).alias("a"), F.col("b").cast(kinds["id"]).alias("b"))
     of = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("id")).cast(kinds["id"]).alias(c)
-    return both.select(of(0, "a"), of(1, "b"))
+    return both.select("grp", of(0, "a"), of(1, "b"))
 
 
 def _sketches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,8 @@ def _close(sides: bool, threshold: float):
                     turn = (a_side[p] > b_side[q]) if sides else (a_id[p] > b_id[q])
                     found_a.append(np.where(turn, b_id[q], a_id[p]))
                     found_b.append(np.where(turn, a_id[p], b_id[q]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        return pa.table({"grp": part.column("grp").take(pa.array(np.zeros(len(a), np.int64))), "a": a, "b": b})
 
     return run
 
@@ -186,7 +187,7 @@ def _parities(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(n), WORDS), np.uint64)
         place = np.mod(term >> 20, 64 * WORDS)
         np.bitwise_xor.at(out, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(WORDS)]], names=["id", "n", *[f"p{k}" for k in range(WORDS)]])
+        yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("id"), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(WORDS)]], names=["grp", "id", "n", *[f"p{k}" for k in range(WORDS)]])
 
 
 def jaccard() -> Column:

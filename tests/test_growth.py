@@ -85,6 +85,13 @@ def test_sets_of_many_blocks_lose_no_pair(spark, monkeypatch):
     assert {(r.b, r.a) for r in got} == {p[:2] for p in overlap.similar(df, None, 0.3).select("a", "b").collect() if p[0] < 80 <= p[1]}
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_an_id_of_several_groups_meets_in_each(spark, threshold):
+    rows = [("x", 1, ["a", "b"]), ("y", 1, ["c", "d"]), ("x", 2, ["a", "b"]), ("y", 2, ["e", "f"]), ("z", 1, ["a", "b"])]
+    got = overlap.similar(spark.createDataFrame(rows, "grp string, id long, t array<string>"), None, threshold).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 2, 2, 2)]
+
+
 def test_copies_are_compared_once_for_contradictions(spark, monkeypatch):
     seen, texts = [], ["pump valve motor works fine today"] * 60 + ["pump valve motor works not fine today"] * 40 + ["nothing alike here"] * 5
     docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
