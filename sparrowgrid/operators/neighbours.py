@@ -2,14 +2,16 @@
 
 A block is one row of packed bytes, up to ``BLOCK`` vectors. Blocks have numbers from 0 on, so a block's copies for every
 other block come from a sequence, without a join; one shuffle brings the two blocks of a pair together, on explicit
-numbers. A numpy kernel makes their similarities by strips, and only a reduced result (best per label, top k, pairs over a
-threshold) leaves the task, never the pairs. What is moved falls with the block's size: n * n / BLOCK vectors.
+numbers, once for both directions where a table meets itself. A numpy kernel makes their similarities by strips, and only a
+reduced result (best per label, top k, pairs over a threshold) leaves the task, never the pairs. What is moved is the table
+times the number of its blocks, so these are few and large; vectors that are floats move as such.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import math
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,13 @@ from pyspark.sql import functions as F
 from sparrowgrid.operators import graph
 
 EPS = 1e-8
-#: Vectors of a block at most and at least, blocks that a small table is cut into, and rows of a strip.
-BLOCK, LEAST, BLOCKS, STRIP = 8192, 256, 4, 1024
-PACKED = "block long, n long, ids binary, vectors binary, labels binary"
+#: Vectors of a block at most and at least, bytes of its vectors as floats at most, and blocks that a table is cut into at least.
+BLOCK, LEAST, BYTES, BLOCKS = 98_304, 256, 25 << 20, 6
+#: Rows and columns whose similarities are made at once, and their number where a strip meets a whole block.
+STRIP, TILE, CELLS = 512, 4096, 1 << 21
+#: More than what rounding to nine places can move a similarity.
+NEAR = 1e-9
+PACKED = "block long, n long, kind string, ids binary, vectors binary, labels binary"
 
 
 def matrix(rows) -> np.ndarray:
@@ -33,16 +39,32 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1)), EPS)[:, None]
 
 
-@dataclass
 class Block:
-    """Vectors with ascending ids; labels are NaN where there is none."""
+    """Vectors with ascending ids; labels are NaN where there is none. ``v`` are the vectors in doubles, ``u`` those of unit length."""
 
-    id: np.ndarray
-    v: np.ndarray
-    label: np.ndarray
+    def __init__(self, id: np.ndarray, raw: np.ndarray, label: np.ndarray):
+        self.id, self.raw, self.label = id, raw, label
 
-    def __getitem__(self, rows: slice) -> Block:
-        return Block(self.id[rows], self.v[rows], self.label[rows])
+    @cached_property
+    def v(self) -> np.ndarray:
+        return self.raw.astype(np.float64)
+
+    @cached_property
+    def u(self) -> np.ndarray:
+        return unit(self.raw.astype(np.float64))
+
+    @cached_property
+    def by_label(self) -> Block:
+        """Its labelled vectors, those of a label side by side."""
+        order = np.argsort(self.label, kind="stable")
+        return self[order[~np.isnan(self.label[order])]]
+
+    def __getitem__(self, rows: slice | np.ndarray) -> Block:
+        out = Block(self.id[rows], self.raw[rows], self.label[rows])
+        for c in ("v", "u"):
+            if c in self.__dict__:
+                out.__dict__[c] = self.__dict__[c][rows]
+        return out
 
 
 def _pack(part: pa.Table) -> pa.Table:
@@ -52,48 +74,138 @@ def _pack(part: pa.Table) -> pa.Table:
         raise ValueError("vectors have several dimensions")
     v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)[order]
     label = part.column("label").to_numpy(zero_copy_only=False).astype(np.float64)[order]
-    row = {"block": part.column("block")[:1], "n": [len(part)], "ids": [part.column("id").to_numpy()[order].tobytes()], "vectors": [v.tobytes()], "labels": [label.tobytes()]}
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    if np.array_equal(short, v, equal_nan=True):
+        v = short
+    row = {"block": part.column("block")[:1], "n": [len(part)], "kind": [v.dtype.str], "ids": [part.column("id").to_numpy()[order].tobytes()], "vectors": [v.tobytes()], "labels": [label.tobytes()]}
     return pa.table(row)
 
 
+def _rows(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[DataFrame, int, int]:
+    """``id, v, label`` without null ids and vectors, their number, and how many of them a block holds at most."""
+    label = F.col(label_col).cast("double") if label_col else F.lit(None).cast("double")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), label.alias("label"))
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return rows, n, max(1, min(BLOCK, BYTES // (4 * max(width or 1, 1))))
+
+
+def _blocks(rows: DataFrame, n: int, most: int, count: int) -> tuple[DataFrame, int]:
+    count = max(1, min(count, -(-n // LEAST)), -(-n // most))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
+    return dealt.groupBy("block").applyInArrow(_pack, PACKED), count
+
+
 def blocks(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[DataFrame, int]:
     """Packed blocks, numbered from 0, and how many numbers there are.
 
     Rows are dealt by a hash of the id, so blocks are even whatever the ids are. Null ids and null vectors take no part.
     """
-    label = F.col(label_col).cast("double") if label_col else F.lit(None).cast("double")
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), label.alias("label"))
-    n = rows.count()
-    size = min(BLOCK, max(LEAST, -(-n // BLOCKS)))
-    count = max(1, -(-n // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    return dealt.groupBy("block").applyInArrow(_pack, PACKED), count
+    return _blocks(*_rows(df, id_col, vec_col, label_col), _least_blocks(df))
+
+
+def _least_blocks(df: DataFrame) -> int:
+    """As many blocks as give every core four pairs of them."""
+    return max(BLOCKS, math.ceil(math.sqrt(4 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def two_sides(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int]]:
+    """Packed blocks of queries and of (labelled) entries. Of a few queries there are few blocks, so that what is moved stays near the size of the entries."""
+    (a, n_a, most_a), (b, n_b, most_b) = _rows(queries, id_col, vec_col), _rows(entries, id_col, vec_col, label_col)
+    pairs = _least_blocks(entries) ** 2
+    left = _blocks(a, n_a, most_a, min(pairs, max(1, round(math.sqrt(pairs * n_a / max(n_b, 1))))))
+    return left, _blocks(b, n_b, most_b, -(-pairs // left[1]))
 
 
-def against(left: tuple[DataFrame, int], right: tuple[DataFrame, int], kernel: Callable[[Block, Block], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``kernel(strip of a left block, right block)`` for every pair of blocks."""
+def against(left: tuple[DataFrame, int], right: tuple[DataFrame, int], kernel: Callable, schema: str, whole: bool = False) -> DataFrame:
+    """``kernel(strip of a left block, right block)`` for every pair of blocks.
+
+    Where ``left is right``, two blocks meet once, and the kernel gets them both ways. A ``whole`` kernel gets two whole blocks and
+    whether a block meets itself (else, of a table with itself, only one of the two ways) and gives several results.
+    """
     (a, n_a), (b, n_b) = left, right
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    x = a.select("block", numbers(n_b).alias("other"), F.lit(0).alias("side"), "n", "ids", "vectors", "labels")
-    y = b.select(numbers(n_a).alias("block"), F.col("block").alias("other"), F.lit(1).alias("side"), "n", "ids", "vectors", "labels")
+    alone = left is right
+    first = lambda lo, hi: F.explode(F.sequence(F.lit(lo).cast("long") if isinstance(lo, int) else lo, F.lit(hi).cast("long") if isinstance(hi, int) else hi))
+    cols = ["n", "kind", "ids", "vectors", "labels"]
+    x = a.select("block", first(F.col("block") if alone else 0, n_b - 1).alias("other"), F.lit(0).alias("side"), *cols)
+    y = (b.where("block > 0") if alone else b).select(first(0, F.col("block") - 1 if alone else n_a - 1).alias("at"), F.col("block").alias("other"), F.lit(1).alias("side"), *cols)
     names = [c.split(" ")[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64()}
     types = [kinds[c.split(" ")[1]] for c in schema.split(", ")]
 
+    def strips(x: Block, y: Block) -> list[dict]:
+        step = max(1, min(STRIP, CELLS // max(len(y.id), 1)))
+        return [kernel(x[k : k + step], y) for k in range(0, len(x.id), step)]
+
     def run(part: pa.Table) -> pa.Table:
         two: dict[int, Block] = {}
-        for r in part.to_pylist():
-            two[r["side"]] = Block(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1), np.frombuffer(r["labels"], np.float64))
-        found = [kernel(two[0][k : k + STRIP], two[1]) for k in range(0, len(two[0].id), STRIP)] if len(two) == 2 else []
+        for k in range(len(part)):
+            r = {c: part.column(c)[k] for c in ("n", "kind", "side", "ids", "vectors", "labels")}
+            two[r["side"].as_py()] = block = Block(np.frombuffer(r["ids"].as_buffer(), np.int64), np.frombuffer(r["vectors"].as_buffer(), r["kind"].as_py()).reshape(r["n"].as_py(), -1), np.frombuffer(r["labels"].as_buffer(), np.float64))
+            block.u  # once, not for each strip  # noqa: B018
+        itself = alone and part.column("block")[0] == part.column("other")[0]
+        if itself:
+            two[1] = two[0]
+        found = []
+        if len(two) == 2:
+            found = kernel(two[0], two[1], itself) if whole else strips(two[0], two[1]) + (strips(two[1], two[0]) if alone and not itself else [])
         parts = [pa.table({c: pa.array(f[c], t) for c, t in zip(names, types, strict=True)}) for f in found]
         return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
 
-    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_a * n_b // 8)
+    pairs = n_a * n_b
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * pairs, 1000), pairs // 8)
     return x.union(y).repartition(tasks, "block", "other").groupBy("block", "other").applyInArrow(run, schema)
 
 
 def cosines(x: Block, y: Block) -> np.ndarray:
-    return np.clip(unit(x.v) @ unit(y.v).T, -1, 1)
+    return np.clip(x.u @ y.u.T, -1, 1)
+
+
+def hide(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """A row's similarity to itself counts as none; ``y`` is ascending."""
+    low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    for r in np.flatnonzero(high > low):
+        s[r, low[r] : high[r]] = -np.inf
+
+
+class Best:
+    """The k greatest similarities of each row so far, rounded; equal ones go to the smaller place. Places come in ascending tiles."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.s, self.at = k, np.full((n, k), -np.inf), np.full((n, k), -1)
+
+    def take(self, s: np.ndarray, rows: int, places: int, axis: int, limit: float) -> None:
+        """Similarities of rows (along ``axis``) from ``rows`` on to places from ``places`` on, cut at ``limit`` either way."""
+        n, m = s.shape[axis], s.shape[1 - axis]
+        last = self.s[rows : rows + n, -1]
+        # An equal similarity of a later place doesn't count; what rounding may lift does.
+        bar = last + 0.4 * NEAR
+        fresh = np.flatnonzero(np.isinf(last))
+        if len(fresh) and m > 4 * self.k:
+            t = s[fresh] if axis == 0 else s.T[fresh]
+            low = -np.partition(-t, self.k - 1, axis=1)[:, self.k - 1]
+            bar[fresh] = np.where(np.isnan(low), -np.inf, low - 2 * NEAR)
+        if axis == 0:
+            p, q = np.divmod(np.flatnonzero(s > bar[:, None]), m)
+        else:
+            q, p = np.divmod(np.flatnonzero(s > bar[None, :]), n)
+        v = s[p, q] if axis == 0 else s[q, p]
+        good = np.isfinite(v)
+        if not good.any():
+            return
+        p, q, v = p[good] + rows, q[good] + places, np.round(np.clip(v[good], -limit, limit), 9)
+        had = np.unique(p)
+        p = np.concatenate((p, np.repeat(had, self.k)))
+        q, v = np.concatenate((q, self.at[had].reshape(-1))), np.concatenate((v, self.s[had].reshape(-1)))
+        order = np.lexsort((q, -v, p))
+        p, q, v = p[order], q[order], v[order]
+        place = np.arange(len(p)) - np.searchsorted(p, p)
+        keep = place < self.k
+        self.s[p[keep], place[keep]], self.at[p[keep], place[keep]] = v[keep], q[keep]
+
+    def found(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, k = np.nonzero(np.isfinite(self.s))
+        return {"i": x[p], "j": y[self.at[p, k]], "s": self.s[p, k]}
 
 
 def best_of_each(x: Block, y: Block, s: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -117,16 +229,22 @@ def label_best(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> Data
     b = blocks(df, id_col, vec_col, label_col)
 
     def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
-        s = cosines(x, y)
-        s[x.id[:, None] == y.id[None, :]] = -np.inf
+        y = y.by_label
+        s = x.u @ y.u.T
+        order = np.argsort(y.id, kind="stable")
+        ids = y.id[order]
+        low, high = np.searchsorted(ids, x.id, "left"), np.searchsorted(ids, x.id, "right")
+        for row in np.flatnonzero(high > low):
+            s[row, order[low[row] : high[row]]] = -np.inf
         out = {c: [] for c in ("i", "li", "lj", "s")}
-        for lab in np.unique(y.label[~np.isnan(y.label)]):
-            best = s[:, y.label == lab].max(1)
+        values, starts = np.unique(y.label, return_index=True)
+        for lab, start, stop in zip(values, starts, [*starts[1:], len(y.label)], strict=True):
+            best = s[:, start:stop].max(1)
             good = np.isfinite(best)
             out["i"].append(x.id[good])
             out["li"].append(x.label[good])
             out["lj"].append(np.full(good.sum(), lab))
-            out["s"].append(np.round(best[good], 9))
+            out["s"].append(np.round(np.clip(best[good], -1, 1), 9))
         got = {c: np.concatenate(v) if v else np.empty(0) for c, v in out.items()}
         return {"i": got["i"].astype(np.int64), "li": _labels(got["li"]), "lj": _labels(got["lj"]), "s": got["s"]}
 
@@ -135,8 +253,10 @@ def label_best(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> Data
 
 def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int, queries: DataFrame | None = None) -> DataFrame:
     """``i, lj, j, s, rank``: the k most similar vectors of each label to each vector (of ``queries``, where given), itself left out."""
-    b = blocks(df, id_col, vec_col, label_col)
-    a = b if queries is None else blocks(queries, id_col, vec_col)
+    if queries is None:
+        a = b = blocks(df, id_col, vec_col, label_col)
+    else:
+        a, b = two_sides(queries, df, id_col, vec_col, label_col)
 
     def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
         s = np.round(cosines(x, y), 9)
@@ -144,7 +264,7 @@ def label_top(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int,
         parts = []
         for lab in np.unique(y.label[~np.isnan(y.label)]):
             mine = np.flatnonzero(y.label == lab)
-            best = best_of_each(x, Block(y.id[mine], y.v[mine], y.label[mine]), s[:, mine], k)
+            best = best_of_each(x, y[mine], s[:, mine], k)
             parts.append(best | {"lj": np.full(len(best["i"]), int(lab))})
         empty = {c: np.empty(0, np.int64) for c in ("i", "j", "lj")} | {"s": np.empty(0)}
         return {c: np.concatenate([p[c] for p in [*parts, empty]]) for c in ("i", "lj", "j", "s")}
@@ -169,18 +289,33 @@ def self_recovery(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> D
 
 def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
     """``i, j, s, rank``: the k most similar entries of each query; ties by smaller id. ``metric``: cosine or dot."""
-    a = blocks(queries, id_col, vec_col)
-    b = a if queries is entries else blocks(entries, id_col, vec_col)
-
-    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
-        s = np.round(cosines(x, y) if metric == "cosine" else x.v @ y.v.T, 9)
-        if skip_self:
-            s[x.id[:, None] == y.id[None, :]] = -np.inf
-        return best_of_each(x, y, s, k)
+    if queries is entries:
+        a = b = blocks(queries, id_col, vec_col)
+    else:
+        a, b = two_sides(queries, entries, id_col, vec_col)
+    alone = a is b
+
+    def kernel(x: Block, y: Block, itself: bool) -> list[dict[str, np.ndarray]]:
+        cosine = metric == "cosine"
+        (left, right), limit = ((x.u, y.u), 1.0) if cosine else ((x.v, y.v), np.inf)
+        rows, cols = Best(len(x.id), k), Best(len(y.id), k)
+        for at in range(0, len(x.id), STRIP):
+            for to in range(0, len(y.id), TILE):
+                s = left[at : at + STRIP] @ right[to : to + TILE].T
+                if skip_self:
+                    hide(s, x.id[at : at + STRIP], y.id[to : to + TILE])
+                rows.take(s, at, to, 0, limit)
+                if alone and not itself:
+                    cols.take(s, to, at, 1, limit)
+        return [rows.found(x.id, y.id), cols.found(y.id, x.id)]
 
     w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
-    found = against(a, b, kernel, "i long, j long, s double")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = against(a, b, kernel, "i long, j long, s double", whole=True)
+    # Made once, whatever is joined to it; what was moved for it is given up.
+    out = graph.cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    del found, a, b
+    graph.free(out.sparkSession)
+    return out
 
 
 def all_scores(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -190,35 +325,47 @@ def all_scores(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str
         s = np.round(cosines(x, y), 9)
         return {"i": np.repeat(x.id, len(y.id)), "j": np.tile(y.id, len(x.id)), "s": s.reshape(-1)}
 
-    return against(blocks(queries, id_col, vec_col), blocks(entries, id_col, vec_col), kernel, "i long, j long, s double")
+    return against(*two_sides(queries, entries, id_col, vec_col), kernel, "i long, j long, s double")
 
 
 def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, strict: bool = True) -> DataFrame:
     """``i, j, s`` with i < j and cosine over the threshold."""
     b = blocks(df, id_col, vec_col)
 
-    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
-        s = np.round(cosines(x, y), 9)
-        p, q = np.nonzero(((s > threshold) if strict else (s >= threshold)) & (x.id[:, None] < y.id[None, :]))
-        return {"i": x.id[p], "j": y.id[q], "s": s[p, q]}
+    def kernel(x: Block, y: Block, itself: bool) -> list[dict[str, np.ndarray]]:
+        found = []
+        for p, q, s in close(x, y, threshold, strict):
+            i, j = x.id[p], y.id[q]
+            keep = i < j if itself else i != j
+            i, j, s = i[keep], j[keep], s[keep]
+            found.append({"i": np.minimum(i, j), "j": np.maximum(i, j), "s": s})
+        return found
+
+    return against(b, b, kernel, "i long, j long, s double", whole=True)
 
-    return against(b, b, kernel, "i long, j long, s double")
 
+def close(x: Block, y: Block, threshold: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and cosines over (or at) the threshold, tile by tile."""
+    for at in range(0, len(x.id), STRIP):
+        for to in range(0, len(y.id), TILE):
+            s = x.u[at : at + STRIP] @ y.u[to : to + TILE].T
+            p, q = np.divmod(np.flatnonzero(s > threshold - NEAR), s.shape[1])
+            v = np.round(np.clip(s[p, q], -1, 1), 9)
+            keep = v > threshold if strict else v >= threshold
+            yield p[keep] + at, q[keep] + to, v[keep]
 
-def spanning(p: np.ndarray, q: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the same connected ones of ``n + m`` nodes as all pairs of row p and column q (node n + q) give, few per node."""
-    if len(p) <= 2 * (n + m):
-        return p, n + q
-    label = np.arange(n + m)
+
+def join_up(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels (least node of a component) after nodes p and q are linked."""
     while True:
-        before = label.copy()
-        np.minimum.at(label, n + q, label[p])
-        np.minimum.at(label, p, label[n + q])
-        label = label[label]
-        if (label == before).all():
-            break
-    linked = np.union1d(p, n + q)
-    return linked, label[linked]
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return label
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def links_above(df: DataFrame, id_col: str, vec_col: str, threshold: float) -> DataFrame:
@@ -226,15 +373,23 @@ def links_above(df: DataFrame, id_col: str, vec_col: str, threshold: float) -> D
     pair, so that a large group of like vectors makes no square of rows. For components; pairs themselves come from ``pairs_above``."""
     b = blocks(df, id_col, vec_col)
 
-    def kernel(x: Block, y: Block) -> dict[str, np.ndarray]:
-        s = np.round(cosines(x, y), 9)
-        p, q = np.nonzero((s >= threshold) & (x.id[:, None] < y.id[None, :]))
-        u, v = spanning(p, q, len(x.id), len(y.id))
-        ids = np.concatenate((x.id, y.id))
-        apart = ids[u] != ids[v]
-        return {"u": ids[u][apart], "v": ids[v][apart]}
-
-    return against(b, b, kernel, "u long, v long")
+    def kernel(x: Block, y: Block, itself: bool) -> list[dict[str, np.ndarray]]:
+        # Of a block with itself, a node comes as a row and as a column.
+        n = 0 if itself else len(x.id)
+        ids = y.id if itself else np.concatenate((x.id, y.id))
+        label, links, waiting = np.arange(len(ids)), [], 0
+        for p, q, _ in close(x, y, threshold, False):
+            apart = label[p] != label[n + q]
+            links.append((p[apart], n + q[apart]))
+            waiting += int(apart.sum())
+            if waiting > 4 * len(ids):
+                label, links, waiting = join_up(label, *(np.concatenate(c) for c in zip(*links, strict=True))), [], 0
+        if links:
+            label = join_up(label, *(np.concatenate(c) for c in zip(*links, strict=True)))
+        linked = np.flatnonzero(ids[label] != ids)
+        return [{"u": ids[linked], "v": ids[label[linked]]}]
+
+    return against(b, b, kernel, "u long, v long", whole=True)
 
 
 def families(df: DataFrame, id_col: str, vec_col: str, nearest: DataFrame, slack: float = 0.02) -> tuple[DataFrame, float | None]:

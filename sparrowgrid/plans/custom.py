@@ -21,7 +21,7 @@ def discover_gaps(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     open_ = neighbours.top_k(e, e, "vec_id", "embedding", 1).where("s < 0.55").select(F.col("i").alias("id"))
     rows = e.select(F.col("vec_id").alias("id"), "embedding").join(open_, "id")
-    led = discovery.leaders(open_, neighbours.pairs_above(rows, "id", "embedding", 0.30))
+    led = discovery.vector_leaders(rows, "id", "embedding", 0.30)
     sizes = led.groupBy("leader").agg(F.count("*").alias("size"))
     return sizes.where("size >= 2")
 

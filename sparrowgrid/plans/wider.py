@@ -318,7 +318,7 @@ def chain_report(spark, sf_dir):
     base = bm25_ranked(spark, sf_dir).where("rank <= 12").select("doc").join(d.select("doc", "tokens"), "doc").agg(F.sum("tokens").alias("baseline_tokens"))
     packed = retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 1500, 8, 0.0).agg(F.sum("tokens").alias("context_tokens"))
     open_ = scored.where(F.col("best") < cfg.covered)
-    led = discovery.leaders(open_.select("id"), neighbours.pairs_above(open_, "id", "v", cfg.alike))
+    led = graph.cut(discovery.vector_leaders(open_, "id", "v", cfg.alike))
     sizes = led.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= cfg.least)
     members = graph.cut(led.join(sizes, "leader").select("id", "leader"))
 

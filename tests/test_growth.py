@@ -5,10 +5,12 @@ from collections import Counter
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowgrid import registry
-from sparrowgrid.operators import extract, ngram, overlap
+from sparrowgrid.operators import discovery, extract, neighbours, ngram, overlap
 
 QUERIES = registry.queries()
 DATA = Path("/root/testdata/sf0.001")
@@ -122,3 +124,40 @@ def test_benchmark_clusters_twice_and_compares_copies_once(spark, tmp_path, monk
     r = QUERIES["benchmark_run"](spark, str(tmp_path)).first()
     assert (r.documents, r.families, r.recovered, r.deterministic) == (53, 3, 2, True)
     assert seen == [3, 3]
+
+
+def test_vectors_lead_without_their_pairs(spark, monkeypatch):
+    # Every pair of 3,000 like vectors would be a row; leaders need none of them.
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(150, 3)), np.tile([[1.0, 2.0, 3.0]], (60, 1)), np.zeros((2, 3))])
+    m = m[rng.permutation(len(m))]
+    df = spark.createDataFrame([(7 * i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    pairs = neighbours.pairs_above(df, "id", "v", 0.6)
+    want = {r.id: r.leader for r in discovery.leaders(df.select("id"), pairs).collect()}
+    monkeypatch.setattr(neighbours, "pairs_above", None)
+    monkeypatch.setattr(discovery, "FRONT", 40)
+    assert {r.id: r.leader for r in discovery.vector_leaders(df, "id", "v", 0.6).collect()} == want
+
+
+def test_copies_and_ties_among_the_best(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = np.concatenate([np.round(rng.normal(size=(90, 2)), 1), np.tile([[1.0, 0.0]], (40, 1)), [[np.nan, 1.0]]])
+    m = m[rng.permutation(len(m))]
+    df = spark.createDataFrame([(3 * i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    u = neighbours.unit(m)
+    s = np.round(np.clip(u @ u.T, -1, 1), 9)
+    np.fill_diagonal(s, np.nan)
+    want = {(3 * i, 3 * j, r + 1) for i in range(len(m)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(m)), -s[i])) if np.isfinite(s[i, j])][:3])}
+    for name, value in (("LEAST", 11), ("BLOCK", 30), ("STRIP", 4), ("TILE", 13)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert {(r.i, r.j, r["rank"]) for r in neighbours.top_k(df, df, "id", "v", 3).collect()} == want
+    some = df.where("id % 9 = 0")
+    assert {(r.i, r.j, r["rank"]) for r in neighbours.top_k(some, df, "id", "v", 3).collect()} == {w for w in want if w[0] % 9 == 0}
+
+
+def test_a_table_meets_itself_once_and_as_floats(spark):
+    # What is moved: each block of floats as often as there are blocks (it was twice that, in doubles).
+    df = spark.range(3000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(1).cast("float") + i * 0).alias("v"))
+    packed, n = neighbours.blocks(df, "id", "v")
+    met = neighbours.against((b := (packed, n)), b, lambda x, y, itself: [{"i": np.array([len(x.raw.tobytes()) + (0 if itself else len(y.raw.tobytes()))])}], "i long", whole=True)
+    assert sum(r.i for r in met.collect()) == n * 3000 * 64 * 4
