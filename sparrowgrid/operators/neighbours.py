@@ -24,7 +24,7 @@ EPS = 1e-8
 #: Vectors of a block at most and at least, bytes of its vectors as floats at most, and blocks that a table is cut into at least.
 BLOCK, LEAST, BYTES, BLOCKS = 98_304, 256, 25 << 20, 6
 #: Rows and columns whose similarities are made at once, and their number where a strip meets a whole block.
-STRIP, TILE, CELLS = 512, 4096, 1 << 21
+STRIP, TILE, CELLS = 512, 1024, 1 << 21
 #: More than what rounding to nine places can move a similarity.
 NEAR = 1e-9
 PACKED = "block long, n long, kind string, ids binary, vectors binary, labels binary"
@@ -40,7 +40,7 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors with ascending ids; labels are NaN where there is none. ``v`` are the vectors in doubles, ``u`` those of unit length."""
+    """Vectors with ascending ids; labels are NaN where there is none. ``v`` are the vectors in doubles, ``u`` those of unit length, ``f`` these in floats."""
 
     def __init__(self, id: np.ndarray, raw: np.ndarray, label: np.ndarray):
         self.id, self.raw, self.label = id, raw, label
@@ -53,6 +53,10 @@ class Block:
     def u(self) -> np.ndarray:
         return unit(self.raw.astype(np.float64))
 
+    @cached_property
+    def f(self) -> np.ndarray:
+        return self.u.astype(np.float32)
+
     @cached_property
     def by_label(self) -> Block:
         """Its labelled vectors, those of a label side by side."""
@@ -61,7 +65,7 @@ class Block:
 
     def __getitem__(self, rows: slice | np.ndarray) -> Block:
         out = Block(self.id[rows], self.raw[rows], self.label[rows])
-        for c in ("v", "u"):
+        for c in ("v", "u", "f"):
             if c in self.__dict__:
                 out.__dict__[c] = self.__dict__[c][rows]
         return out
@@ -161,6 +165,27 @@ def cosines(x: Block, y: Block) -> np.ndarray:
     return np.clip(x.u @ y.u.T, -1, 1)
 
 
+def screen(width: int) -> float:
+    """How far a cosine of unit vectors in floats can be from that in doubles, with what rounding to nine places adds."""
+    return 2 * (width + 8) * 2.0**-24
+
+
+def tiles(x: Block, y: Block, cosine: bool = True) -> Iterator[tuple[int, int, np.ndarray, float, Callable]]:
+    """``at, to, s, slack, exact``: similarities tile by tile, of cosines in floats; ``exact(r, c)`` has those of some of a tile in doubles, rounded."""
+    left, right = (x.u, y.u) if cosine else (x.v, y.v)
+    rough, slack = ((x.f, y.f), screen(left.shape[1])) if cosine else ((left, right), NEAR)
+    for at in range(0, len(x.id), STRIP):
+        for to in range(0, len(y.id), TILE):
+            a, b = left[at : at + STRIP], right[to : to + TILE]
+
+            def exact(r: np.ndarray, c: np.ndarray, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:
+                # Of many (copies) the whole tile is cheaper.
+                v = (a @ b.T)[r, c] if 20 * len(r) > len(a) * len(b) else np.einsum("ij,ij->i", a[r], b[c])
+                return np.round(np.clip(v, -1, 1) if cosine else v, 9)
+
+            yield at, to, rough[0][at : at + STRIP] @ rough[1][to : to + TILE].T, slack, exact
+
+
 def hide(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """A row's similarity to itself counts as none; ``y`` is ascending."""
     low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
@@ -174,26 +199,27 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.s, self.at = k, np.full((n, k), -np.inf), np.full((n, k), -1)
 
-    def take(self, s: np.ndarray, rows: int, places: int, axis: int, limit: float) -> None:
-        """Similarities of rows (along ``axis``) from ``rows`` on to places from ``places`` on, cut at ``limit`` either way."""
+    def take(self, s: np.ndarray, rows: int, places: int, axis: int, slack: float, exact: Callable) -> None:
+        """Similarities of rows (along ``axis``) from ``rows`` on to places from ``places`` on, wrong by ``slack`` at most; ``exact`` makes those that may count."""
         n, m = s.shape[axis], s.shape[1 - axis]
         last = self.s[rows : rows + n, -1]
         # An equal similarity of a later place doesn't count; what rounding may lift does.
-        bar = last + 0.4 * NEAR
+        bar = last - slack
         fresh = np.flatnonzero(np.isinf(last))
         if len(fresh) and m > 4 * self.k:
             t = s[fresh] if axis == 0 else s.T[fresh]
             low = -np.partition(-t, self.k - 1, axis=1)[:, self.k - 1]
-            bar[fresh] = np.where(np.isnan(low), -np.inf, low - 2 * NEAR)
-        if axis == 0:
-            p, q = np.divmod(np.flatnonzero(s > bar[:, None]), m)
-        else:
-            q, p = np.divmod(np.flatnonzero(s > bar[None, :]), n)
-        v = s[p, q] if axis == 0 else s[q, p]
-        good = np.isfinite(v)
+            bar[fresh] = np.where(np.isnan(low), -np.inf, low - 2 * slack)
+        bar = bar.astype(s.dtype)
+        r, c = np.divmod(np.flatnonzero(s > (bar[:, None] if axis == 0 else bar[None, :])), s.shape[1])
+        if not len(r):
+            return
+        v = exact(r, c)
+        p, q = (r, c) if axis == 0 else (c, r)
+        good = np.isfinite(v) & (v > last[p])
         if not good.any():
             return
-        p, q, v = p[good] + rows, q[good] + places, np.round(np.clip(v[good], -limit, limit), 9)
+        p, q, v = p[good] + rows, q[good] + places, v[good]
         had = np.unique(p)
         p = np.concatenate((p, np.repeat(had, self.k)))
         q, v = np.concatenate((q, self.at[had].reshape(-1))), np.concatenate((v, self.s[had].reshape(-1)))
@@ -296,17 +322,13 @@ def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k:
     alone = a is b
 
     def kernel(x: Block, y: Block, itself: bool) -> list[dict[str, np.ndarray]]:
-        cosine = metric == "cosine"
-        (left, right), limit = ((x.u, y.u), 1.0) if cosine else ((x.v, y.v), np.inf)
         rows, cols = Best(len(x.id), k), Best(len(y.id), k)
-        for at in range(0, len(x.id), STRIP):
-            for to in range(0, len(y.id), TILE):
-                s = left[at : at + STRIP] @ right[to : to + TILE].T
-                if skip_self:
-                    hide(s, x.id[at : at + STRIP], y.id[to : to + TILE])
-                rows.take(s, at, to, 0, limit)
-                if alone and not itself:
-                    cols.take(s, to, at, 1, limit)
+        for at, to, s, slack, exact in tiles(x, y, metric == "cosine"):
+            if skip_self:
+                hide(s, x.id[at : at + len(s)], y.id[to : to + s.shape[1]])
+            rows.take(s, at, to, 0, slack, exact)
+            if alone and not itself:
+                cols.take(s, to, at, 1, slack, exact)
         return [rows.found(x.id, y.id), cols.found(y.id, x.id)]
 
     w = Window.partitionBy("i").orderBy(F.col("s").desc(), F.col("j"))
@@ -346,13 +368,11 @@ def pairs_above(df: DataFrame, id_col: str, vec_col: str, threshold: float, stri
 
 def close(x: Block, y: Block, threshold: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, columns and cosines over (or at) the threshold, tile by tile."""
-    for at in range(0, len(x.id), STRIP):
-        for to in range(0, len(y.id), TILE):
-            s = x.u[at : at + STRIP] @ y.u[to : to + TILE].T
-            p, q = np.divmod(np.flatnonzero(s > threshold - NEAR), s.shape[1])
-            v = np.round(np.clip(s[p, q], -1, 1), 9)
-            keep = v > threshold if strict else v >= threshold
-            yield p[keep] + at, q[keep] + to, v[keep]
+    for at, to, s, slack, exact in tiles(x, y):
+        p, q = np.divmod(np.flatnonzero(s > np.float32(threshold - slack)), s.shape[1])
+        v = exact(p, q)
+        keep = v > threshold if strict else v >= threshold
+        yield p[keep] + at, q[keep] + to, v[keep]
 
 
 def join_up(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
