@@ -92,10 +92,5 @@ def shape_assign(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("path"))
     name = T.name_tokens(F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit("")))
     parent = F.array_join(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), "/")
-    p = p.select("page_id", "host", "path", name.alias("name"), parent.alias("parent"), T.shape_kind(F.array_join("path", "/")).alias("kind"))
-    side = lambda rest, one, who: p.where(F.col("page_id") % 2 == rest).select("host", F.col("page_id").alias(who), *[F.col(c).alias(f"{one}_{c}") for c in ("path", "name", "parent", "kind")])
-    cols = [F.col(f"{one}_{c}") for one in ("a", "b") for c in ("path", "name", "parent", "kind")]
     # Pages meet where host and kind are the same: others can't reach the floor by path and name alone.
-    pairs = side(0, "a", "donor").join(side(1, "b", "recipient").withColumnRenamed("b_kind", "a_kind"), ["host", "a_kind"]).withColumn("b_kind", F.col("a_kind"))
-    scored = pairs.select(F.col("host").alias("group"), "donor", "recipient", F.round(greedy.evidence(*cols), 6).alias("score"))
-    return greedy.assign(scored.where("score >= 0.5"), "group")
+    return greedy.assign_nodes(p.select(F.col("host").alias("group"), T.shape_kind(F.array_join("path", "/")).alias("kind"), (F.col("page_id") % 2).alias("side"), F.col("page_id").alias("id"), "path", name.alias("name"), parent.alias("parent")))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid import registry
-from sparrowgrid.operators import discovery, extract, neighbours, ngram, overlap
+from sparrowgrid.operators import discovery, extract, greedy, neighbours, ngram, overlap
 
 QUERIES = registry.queries()
 DATA = Path("/root/testdata/sf0.001")
@@ -161,3 +161,24 @@ def test_a_table_meets_itself_once_and_as_floats(spark):
     packed, n = neighbours.blocks(df, "id", "v")
     met = neighbours.against((b := (packed, n)), b, lambda x, y, itself: [{"i": np.array([len(x.raw.tobytes()) + (0 if itself else len(y.raw.tobytes()))])}], "i long", whole=True)
     assert sum(r.i for r in met.collect()) == n * 3000 * 64 * 4
+
+
+def test_assignment_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        path = [rng.choice(["a", "b", "c"]) for _ in range(rng.randint(0, 2))] + [rng.choice(["x-1", "y-2", f"n{i}", f"z-{i % 7}.html"])]
+        rows.append((rng.choice(["g", "h"]), rng.choice(["doc", "code"]), i % 2, i, path, path[-1].replace(".", "-").split("-"), "/".join(path[:-1])))
+    rows.append((None, "doc", 1, 999, ["a"], ["a"], ""))
+    df = spark.createDataFrame(rows, "group string, kind string, side int, id long, path array<string>, name array<string>, parent string")
+    side = lambda k, one, who: df.where(F.col("side") == k).select("group", "kind", F.col("id").alias(who), *[F.col(c).alias(f"{one}_{c}") for c in ("path", "name", "parent")])
+    pairs = side(0, "a", "donor").join(side(1, "b", "recipient"), ["group", "kind"])
+    args = [F.col("a_path"), F.col("a_name"), F.col("a_parent"), F.col("kind"), F.col("b_path"), F.col("b_name"), F.col("b_parent"), F.col("kind")]
+    scored = pairs.select(F.concat_ws("|", "group", "kind").alias("group"), "donor", "recipient", F.round(greedy.evidence(*args), 6).alias("score"))
+    want = {tuple(r)[1:] for r in greedy.assign(scored, "group").collect()}
+    assert want and {tuple(r)[1:] for r in greedy.assign_nodes(df).collect()} == want
+    # 5,000 by 5,000 pages of one place were 25 million rows.
+    many = spark.range(10_000).select(F.lit("g").alias("group"), F.lit("doc").alias("kind"), (F.col("id") % 2).alias("side"), "id", F.array(F.lit("en"), F.col("id").cast("string")).alias("path"), F.array(F.col("id").cast("string")).alias("name"), F.lit("en").alias("parent"))
+    got = greedy.assign_nodes(many).collect()
+    assert [(r.donor, r.recipient) for r in sorted(got, key=lambda r: r.donor)] == [(i, i + 1) for i in range(0, 10_000, 2)]
+    assert sum(not r.tie for r in got) == 1
