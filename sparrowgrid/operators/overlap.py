@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.operators.graph import cut
 
-#: Sets of a block, and rows of a strip.
-BLOCK, STRIP = 2048, 256
+#: Sets of a block at least and at most (they have 16-bit places), blocks of a group from which on these grow, and pairs of a strip.
+BLOCK, MOST, BLOCKS, STRIP = 16_384, 32_768, 8, 1 << 19
+#: Share of a block pair's pairs from which a term is counted by a product of matrices, and how many are at most.
+DENSE, TERMS = 0.0125, 512
 #: Buckets whose counts order terms (a table of fixed size), and 64-bit words of a set's parities.
 BUCKETS, WORDS = 1 << 18, 8
 #: Thresholds from which prefixes are short; sketches of a block, and pairs of a strip.
@@ -198,51 +200,84 @@ def jaccard() -> Column:
 def nearest(sets: DataFrame) -> DataFrame:
     """``id, j``: greatest Jaccard of each set with another of its group, from ``grp, id long, t array<string>`` of distinct terms.
 
-    Sets go in blocks of their group, as 64-bit hashes of their terms; every two blocks of a group meet in a task, which
-    counts shared terms by the second block's inverted index and returns one number for each set. A group that holds a
+    Sets go in blocks of their group, turned round: for each term (a 64-bit hash) the 16-bit places of the sets that have it, so that a
+    term of a set is two bytes. Every two blocks of a group meet once, in a task that counts shared terms for both: frequent ones by
+    a product of matrices, others by the second block's places. It returns one number for each set. A group that holds a
     third of all rows is as many blocks as it needs. Sets alone in a group get no row.
     """
     rows = sets.where("grp IS NOT NULL AND id IS NOT NULL").select("grp", F.col("id").cast("long").alias("id"), F.transform("t", lambda x: F.xxhash64(x)).alias("t"))
-    number = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.count("*") / BLOCKS)))
+    number = cut(rows.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks")))
+    met = number.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0)).cast("long")).first()[0]
     dealt = rows.join(number, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = dealt.groupBy("grp", "block", "blocks").applyInArrow(_pack, f"grp {dict(rows.dtypes)['grp']}, block long, blocks long, ids binary, sizes binary, terms binary")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = packed.select("grp", "block", every.alias("other"), F.lit(0).alias("side"), "ids", "sizes", "terms")
-    y = packed.select("grp", every.alias("block"), F.col("block").alias("other"), F.lit(1).alias("side"), "ids", "sizes", "terms")
-    met = x.union(y).groupBy("grp", "block", "other").applyInArrow(_nearest, "id long, j double")
-    return met.groupBy("id").agg(F.max("j").alias("j"))
+    cols = ["ids", "sizes", "terms", "counts", "places"]
+    packed = dealt.groupBy("grp", "block", "blocks").applyInArrow(_pack, f"grp {dict(rows.dtypes)['grp']}, block long, blocks long, {', '.join(f'{c} binary' for c in cols)}")
+    x = packed.select("grp", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.lit(0).alias("side"), *cols)
+    y = packed.where("block > 0").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("at"), F.col("block").alias("other"), F.lit(1).alias("side"), *cols)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), met)
+    pairs = x.union(y).repartition(tasks, "grp", "block", "other").groupBy("grp", "block", "other").applyInArrow(_nearest, "id long, j double")
+    return pairs.groupBy("id").agg(F.max("j").alias("j"))
 
 
 def _pack(part: pa.Table) -> pa.Table:
-    terms = part.column("t").combine_chunks()
+    sets = part.column("t").combine_chunks()
+    holder, terms, n = _flat(sets)
+    keys, code, counts = np.unique(terms.astype(np.int64), return_inverse=True, return_counts=True)
+    places = holder[np.argsort(code, kind="stable")]
     row = {c: part.column(c)[:1] for c in ("grp", "block", "blocks")}
-    row |= {"ids": [part.column("id").to_numpy().tobytes()], "sizes": [np.diff(terms.offsets.to_numpy()).astype(np.int64).tobytes()], "terms": [terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]}
-    return pa.table(row)
+    # Blocks are even by hash; one that has more than 16 bits of places keeps wider ones.
+    places = places.astype(np.uint16 if len(n) <= 1 << 16 else np.uint32)
+    made = {"ids": part.column("id").to_numpy().astype(np.int64), "sizes": n.astype(np.int32), "terms": keys, "counts": counts.astype(np.int32), "places": places}
+    return pa.table(row | {c: [v.tobytes()] for c, v in made.items()})
 
 
 def _nearest(part: pa.Table) -> pa.Table:
-    two = {r["side"]: [np.frombuffer(r[c], np.int64) for c in ("ids", "sizes", "terms")] for r in part.select(["side", "ids", "sizes", "terms"]).to_pylist()}
-    ids, best = np.empty(0, np.int64), np.empty(0)
-    if len(two) == 2:
-        (ids, size, terms), (other, other_size, other_terms) = two[0], two[1]
-        order = np.argsort(other_terms, kind="stable")
-        holder = np.repeat(np.arange(len(other)), other_size)[order]
-        key, start, count = np.unique(other_terms[order], return_index=True, return_counts=True)
-        edge = np.concatenate(([0], np.cumsum(size)))
-        best = np.full(len(ids), -1.0)
-        for k in range(0, len(ids) if len(key) else 0, STRIP):
-            stop = min(k + STRIP, len(ids))
-            mine = terms[edge[k] : edge[stop]]
-            row = np.repeat(np.arange(stop - k), size[k:stop])
-            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            hit = key[at] == mine
-            at, row = at[hit], row[hit]
-            n = count[at]
-            # The holders of every term that is met, one after another.
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at], n)
-            both = np.bincount(np.repeat(row, n) * len(other) + holder[place], minlength=(stop - k) * len(other)).reshape(stop - k, -1)
-            j = both / np.maximum(size[k:stop][:, None] + other_size[None, :] - both, 1)
-            j[ids[k:stop][:, None] == other[None, :]] = -1
-            best[k:stop] = j.max(1)
+    two = {}
+    for k in range(len(part)):
+        r = {c: part.column(c)[k] for c in ("ids", "sizes", "terms", "counts", "places")}
+        ids, size, terms, count = (np.frombuffer(r[c].as_buffer(), t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("terms", np.int64), ("counts", np.int32)))
+        places = np.frombuffer(r["places"].as_buffer(), np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        two[part.column("side")[k].as_py()] = ids, size.astype(np.int64), terms, count.astype(np.int64), places
+    itself = part.column("block")[0] == part.column("other")[0]
+    if itself:
+        two[1] = two[0]
+    if len(two) < 2:
+        return pa.table({"id": pa.array([], pa.int64()), "j": pa.array([], pa.float64())})
+    (ids, size, terms, counts, places), (other, other_size, other_terms, other_counts, holder) = two[0], two[1]
+    best, other_best = np.full(len(ids), -1.0), np.full(len(other), -1.0)
+    _, mine, theirs = np.intersect1d(terms, other_terms, assume_unique=True, return_indices=True)
+    often = counts[mine] / len(ids) * (other_counts[theirs] / len(other))
+    dense = np.flatnonzero(often > DENSE)
+    dense = dense[np.argsort(-often[dense], kind="stable")[:TERMS]]
+    start, other_start = np.cumsum(counts) - counts, np.cumsum(other_counts) - other_counts
+    x, y = np.zeros((len(ids), len(dense)), np.float32), np.zeros((len(other), len(dense)), np.float32)
+    for k, d in enumerate(dense):
+        x[places[start[mine[d]] :][: counts[mine[d]]], k] = 1
+        y[holder[other_start[theirs[d]] :][: other_counts[theirs[d]]], k] = 1
+    # The other terms of each set that the second block has, as its numbers for them.
+    number = np.full(len(terms), -1, np.int32)
+    number[mine] = theirs
+    number[mine[dense]] = -1
+    code = np.repeat(number, counts)
+    some = np.flatnonzero(code >= 0)
+    row, code = places[some], code[some]
+    order = np.argsort(row, kind="stable")
+    row, code = row[order].astype(np.int64), code[order]
+    step = max(1, STRIP // max(len(other), 1))
+    for k in range(0, len(ids), step):
+        stop = min(k + step, len(ids))
+        both = (x[k:stop] @ y.T).astype(np.float64)
+        low, high = np.searchsorted(row, (k, stop))
+        at = code[low:high]
+        n = other_counts[at]
+        # The holders of every term that is met, one after another.
+        place = np.arange(n.sum()) + np.repeat(other_start[at] - (np.cumsum(n) - n), n)
+        both += np.bincount(np.repeat((row[low:high] - k) * len(other), n) + holder[place], minlength=both.size).reshape(both.shape)
+        j = both / np.maximum(size[k:stop][:, None] + other_size[None, :] - both, 1)
+        j[ids[k:stop][:, None] == other[None, :]] = -1
+        best[k:stop] = j.max(1)
+        np.maximum(other_best, j.max(0), out=other_best)
+    if not itself:
+        ids, best = np.concatenate((ids, other)), np.concatenate((best, other_best))
     good = best > 0
     return pa.table({"id": pa.array(ids[good], pa.int64()), "j": pa.array(best[good], pa.float64())})

@@ -182,3 +182,23 @@ def test_assignment_makes_no_pairs(spark, monkeypatch):
     got = greedy.assign_nodes(many).collect()
     assert [(r.donor, r.recipient) for r in sorted(got, key=lambda r: r.donor)] == [(i, i + 1) for i in range(0, 10_000, 2)]
     assert sum(not r.tie for r in got) == 1
+
+
+def test_nearest_sets_meet_once_in_few_bytes(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = [(i, "g" if i % 5 else "h", sorted({f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randint(0, 30))})) for i in range(160)]
+    df = spark.createDataFrame(sets, "id long, grp string, t array<string>")
+    want = {}
+    for i, g, t in sets:
+        best = max((len(set(t) & set(u)) / max(len(set(t) | set(u)), 1) for j, h, u in sets if h == g and j != i), default=0)
+        if best > 0:
+            want[i] = round(best, 9)
+    for name, value in (("BLOCK", 20), ("MOST", 20)):
+        monkeypatch.setattr(overlap, name, value)
+    assert {r.id: round(r.j, 9) for r in overlap.nearest(df).collect()} == want
+    # Twelve bytes a term and two for each set that has it; it was eight for each.
+    import pyarrow as pa
+
+    part = pa.table({"grp": ["g"] * 500, "block": [0] * 500, "blocks": [1] * 500, "id": list(range(500)), "t": [list(range(40))] * 500})
+    row = overlap._pack(part).to_pylist()[0]
+    assert len(row["terms"]) + len(row["counts"]) + len(row["places"]) == 40 * 12 + 500 * 40 * 2
