@@ -118,3 +118,36 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, we
             break
         at = now
     return w
+
+
+def pair_logistic(x: np.ndarray, a: np.ndarray, b: np.ndarray, l2: float = 1e-3, steps: int = 60, block: int = 1 << 14) -> np.ndarray:
+    """Weights under which rows ``a`` come before rows ``b``: ``logistic`` of the differences x[a] - x[b], which are made by ``block`` and never kept."""
+    w = np.zeros(x.shape[1])
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        z = x @ w
+        return z[a] - z[b]
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -margins(w)).mean() + l2 / 2 * w @ w)
+
+    at = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(margins(w), -40, 40)))
+        pull = (p - 1) / len(a)
+        g = x.T @ (np.bincount(a, pull, len(x)) - np.bincount(b, pull, len(x))) + l2 * w
+        bend = l2 * np.eye(len(w))
+        for k in range(0, len(a), block):
+            d = x[a[k : k + block]] - x[b[k : k + block]]
+            q = p[k : k + block]
+            bend += (d * (q * (1 - q) / len(a))[:, None]).T @ d
+        step = np.linalg.solve(bend, g)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > at:
+            size /= 2
+        w = w - size * step
+        now = loss(w)
+        if at - now < 1e-10:
+            break
+        at = now
+    return w

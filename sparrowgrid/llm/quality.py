@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowgrid.llm.features import NAMES, features, logistic, sample_ids
-from sparrowgrid.llm.shared import batches, lean, small_batches, texts_of
+from sparrowgrid.llm.features import NAMES, features, pair_logistic, sample_ids
+from sparrowgrid.llm.shared import batches, lean, release, small_batches, texts_of
 
 #: Labelled documents that train at most, and preference pairs for each of them.
 MOST, PAIRS = 20_000, 20
@@ -63,8 +63,7 @@ def fit(f: np.ndarray, y: np.ndarray, cut: float = 0.7, pairs: int = PAIRS, seed
     a, b = rng.choice(good, n), rng.choice(poor, n)
     x = expand(f)
     scale = np.maximum(x.std(0), 1e-6)
-    sign = np.where(rng.random(n) < 0.5, 1.0, -1.0)
-    weights = logistic((x[a] - x[b]) / scale * sign[:, None], (sign > 0).astype(float), l2=1e-3) / scale
+    weights = pair_logistic(x / scale, a, b, l2=1e-3) / scale
     s = x @ weights
     # Errors if the threshold is at a quantile q: poor documents above it and good ones below it, by class share.
     order = np.argsort(s, kind="stable")
@@ -93,7 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
     one = rows.mapInArrow(lean(run), "doc_id long, label int, f array<double>").groupBy("doc_id").agg(F.min(F.struct("f", "label")).alias("r"))
     got = one.select("doc_id", "r.label", "r.f").toArrow().sort_by("doc_id")
     f = np.array(got.column("f").to_pylist(), float).reshape(-1, len(NAMES))
-    return fit(f, np.array(got.column("label").to_pylist(), int), cut)
+    y = np.array(got.column("label").to_pylist(), int)
+    del got
+    release()
+    return fit(f, y, cut)
 
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowgrid.llm.features import logistic, sample_ids
-from sparrowgrid.llm.shared import batches, chunks, shingles, signed, lean, small_batches, texts_of, words, written
+from sparrowgrid.llm.shared import batches, chunks, lean, release, shingles, signed, small_batches, texts_of, words, written
 
 #: Labelled documents that are learnt from at most.
 MOST = 20_000
@@ -232,6 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str =
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((*sums.T, y))
     lexicon.curve = logistic(inputs(sums[order]), y[order], l2=1e-4)
+    del toxic, clean, got, sums
+    release()
     return lexicon
 
 
