@@ -40,7 +40,10 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors with ascending ids; labels are NaN where there is none. ``v`` are the vectors in doubles, ``u`` those of unit length, ``f`` these in floats."""
+    """Vectors with ascending ids; labels are NaN where there is none. ``v`` are the vectors in doubles, ``u`` those of unit length, ``f`` these in floats.
+
+    Whole blocks are kept as they came and as ``f``; doubles are for rows (``some``) and for kernels that need all of them.
+    """
 
     def __init__(self, id: np.ndarray, raw: np.ndarray, label: np.ndarray):
         self.id, self.raw, self.label = id, raw, label
@@ -55,7 +58,15 @@ class Block:
 
     @cached_property
     def f(self) -> np.ndarray:
-        return self.u.astype(np.float32)
+        out = np.empty(self.raw.shape, np.float32)
+        for k in range(0, len(out), TILE):
+            out[k : k + TILE] = self.some(slice(k, k + TILE))
+        return out
+
+    def some(self, rows: slice | np.ndarray, cosine: bool = True) -> np.ndarray:
+        """Some of its vectors in doubles, for cosines of unit length."""
+        v = self.raw[rows].astype(np.float64)
+        return unit(v) if cosine else v
 
     @cached_property
     def by_label(self) -> Block:
@@ -145,8 +156,7 @@ def against(left: tuple[DataFrame, int], right: tuple[DataFrame, int], kernel: C
         two: dict[int, Block] = {}
         for k in range(len(part)):
             r = {c: part.column(c)[k] for c in ("n", "kind", "side", "ids", "vectors", "labels")}
-            two[r["side"].as_py()] = block = Block(np.frombuffer(r["ids"].as_buffer(), np.int64), np.frombuffer(r["vectors"].as_buffer(), r["kind"].as_py()).reshape(r["n"].as_py(), -1), np.frombuffer(r["labels"].as_buffer(), np.float64))
-            block.u  # once, not for each strip  # noqa: B018
+            two[r["side"].as_py()] = Block(np.frombuffer(r["ids"].as_buffer(), np.int64), np.frombuffer(r["vectors"].as_buffer(), r["kind"].as_py()).reshape(r["n"].as_py(), -1), np.frombuffer(r["labels"].as_buffer(), np.float64))
         itself = alone and part.column("block")[0] == part.column("other")[0]
         if itself:
             two[1] = two[0]
@@ -172,18 +182,26 @@ def screen(width: int) -> float:
 
 def tiles(x: Block, y: Block, cosine: bool = True) -> Iterator[tuple[int, int, np.ndarray, float, Callable]]:
     """``at, to, s, slack, exact``: similarities tile by tile, of cosines in floats; ``exact(r, c)`` has those of some of a tile in doubles, rounded."""
-    left, right = (x.u, y.u) if cosine else (x.v, y.v)
-    rough, slack = ((x.f, y.f), screen(left.shape[1])) if cosine else ((left, right), NEAR)
+    slack = screen(x.raw.shape[1]) if cosine else NEAR
     for at in range(0, len(x.id), STRIP):
+        left, strip = slice(at, at + STRIP), []
         for to in range(0, len(y.id), TILE):
-            a, b = left[at : at + STRIP], right[to : to + TILE]
-
-            def exact(r: np.ndarray, c: np.ndarray, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:
-                # Of many (copies) the whole tile is cheaper.
-                v = (a @ b.T)[r, c] if 20 * len(r) > len(a) * len(b) else np.einsum("ij,ij->i", a[r], b[c])
+            right = slice(to, to + TILE)
+            s = x.f[left] @ y.f[right].T if cosine else x.some(left, False) @ y.some(right, False).T
+
+            def exact(r: np.ndarray, c: np.ndarray, left: slice = left, right: slice = right, n: int = s.size, strip: list = strip) -> np.ndarray:
+                if not strip:
+                    strip.append(x.some(left, cosine))
+                a = strip[0]
+                if len(r) > TILE:
+                    # Of many (copies) the whole tile is cheaper.
+                    b = y.some(right, cosine)
+                    v = (a @ b.T)[r, c] if 20 * len(r) > n else np.einsum("ij,ij->i", a[r], b[c])
+                else:
+                    v = np.einsum("ij,ij->i", a[r], y.some(right.start + c, cosine))
                 return np.round(np.clip(v, -1, 1) if cosine else v, 9)
 
-            yield at, to, rough[0][at : at + STRIP] @ rough[1][to : to + TILE].T, slack, exact
+            yield at, to, s, slack, exact
 
 
 def hide(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:

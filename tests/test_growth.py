@@ -1,6 +1,7 @@
 """Queries stay whole and bounded as tables grow: what is moved, broadcast or made is held against small limits."""
 
 import random
+import tracemalloc
 from collections import Counter
 from contextlib import contextmanager
 from pathlib import Path
@@ -202,3 +203,17 @@ def test_nearest_sets_meet_once_in_few_bytes(spark, monkeypatch):
     part = pa.table({"grp": ["g"] * 500, "block": [0] * 500, "blocks": [1] * 500, "id": list(range(500)), "t": [list(range(40))] * 500})
     row = overlap._pack(part).to_pylist()[0]
     assert len(row["terms"]) + len(row["counts"]) + len(row["places"]) == 40 * 12 + 500 * 40 * 2
+
+
+def test_tiles_keep_no_block_in_doubles():
+    """60,000 vectors of 64 floats are 15 MB: beside them a task holds their unit vectors in floats, and doubles of some rows only."""
+    rng = np.random.default_rng(3)
+    x, y = (neighbours.Block(np.arange(n), rng.normal(size=(n, 64)).astype(np.float32), np.full(n, np.nan)) for n in (512, 60_000))
+    want = np.round(neighbours.unit(x.raw[:4].astype(float)) @ neighbours.unit(y.raw.astype(float)).T, 9)
+    tracemalloc.start()
+    try:
+        got = [exact(np.repeat(np.arange(4), s.shape[1]), np.tile(np.arange(s.shape[1]), 4)).reshape(4, -1) for _, _, s, _, exact in neighbours.tiles(x, y)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(np.concatenate(got, 1), want, atol=2e-9) and peak < 40e6
