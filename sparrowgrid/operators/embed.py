@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowgrid.functions import text as T
@@ -55,17 +55,24 @@ def signature(word: str, dim: int, slots: int = 8) -> list[tuple[int, float]]:
     return [(int.from_bytes(d[2 * i : 2 * i + 2], "little") % dim, 1.0 if d[31 - i] & 1 else -1.0) for i in range(slots)]
 
 
-def word_table(docs: DataFrame, id_col: str, text_col: str, dim: int = 32, window: int = 2) -> DataFrame:
-    """``w, embedding``: PPMI-weighted sums of the signatures of context words; only (word, slot) sums are shuffled, and no matrix is made."""
-    pairs = ppmi(docs, id_col, text_col, window)
+def signature_of(word: Column, dim: int, slots: int = 8) -> Column:
+    """``signature`` of a word as an array of ``slot, sign``."""
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(c, s, x) for c in f["c"] for s, x in signature(c, dim)]
-            yield pd.DataFrame(rows, columns=["c", "slot", "sign"])
+    def at(digest: Column, i: int) -> Column:
+        two = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long")
+        slot = (two % 256 * 256 + F.floor(two / 256)) % dim
+        odd = F.substring(digest, 64 - 2 * i, 1).isin(*"13579bdf")
+        return F.struct(slot.cast("int").alias("slot"), F.when(odd, 1.0).otherwise(-1.0).alias("sign"))
+
+    # The digest is made once for all slots.
+    return F.transform(F.array(F.sha2(word, 256)), lambda digest: F.array(*[at(digest, i) for i in range(slots)]))[0]
 
-    signs = pairs.select("c").distinct().mapInPandas(spread, "c string, slot int, sign double")
-    sums = pairs.join(signs, "c").groupBy("w", "slot").agg(F.sum(F.col("ppmi") * F.col("sign")).alias("x"))
+
+def word_table(docs: DataFrame, id_col: str, text_col: str, dim: int = 32, window: int = 2) -> DataFrame:
+    """``w, embedding``: PPMI-weighted sums of the signatures of context words; only (word, slot) sums are shuffled, and no matrix is made."""
+    # Signs come from each pair's own word: pairs are made once, and no join moves them.
+    signs = F.explode(signature_of(F.col("c"), dim)).alias("s")
+    sums = ppmi(docs, id_col, text_col, window).select("w", "ppmi", signs).groupBy("w", "s.slot").agg(F.sum(F.col("ppmi") * F.col("s.sign")).alias("x"))
     filled = sums.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     v = filled.select("w", raw.alias("v"))

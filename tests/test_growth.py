@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowgrid import registry
-from sparrowgrid.operators import discovery, extract, greedy, neighbours, ngram, overlap
+from sparrowgrid.operators import discovery, embed, extract, greedy, neighbours, ngram, overlap
 
 QUERIES = registry.queries()
 DATA = Path("/root/testdata/sf0.001")
@@ -217,3 +217,21 @@ def test_tiles_keep_no_block_in_doubles():
     finally:
         tracemalloc.stop()
     assert np.allclose(np.concatenate(got, 1), want, atol=2e-9) and peak < 40e6
+
+
+def test_word_vectors_join_no_pairs_with_signs(spark):
+    words = ["a", "naïve", "Ünder", "x" * 70, "語", "the", "42"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for dim in (32, 37):
+        got = {r.w: [(s.slot, s.sign) for s in r.s] for r in df.select("w", embed.signature_of(F.col("w"), dim).alias("s")).collect()}
+        assert got == {w: embed.signature(w, dim) for w in words}
+    docs = spark.createDataFrame([(1, "red fox jumps over the red dog"), (2, "blue dog naps"), (3, None)], "id long, text string")
+    table = embed.word_table(docs, "id", "text", 8)
+    assert "MapInPandas" not in table._jdf.queryExecution().toString()
+    want = {}
+    for p in extract.ppmi(docs, "id", "text", 2).collect():
+        v = want.setdefault(p.w, np.zeros(8))
+        for slot, sign in embed.signature(p.c, 8):
+            v[slot] += p.ppmi * sign
+    got = {r.w: np.array(r.embedding) for r in table.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[w], v / max(np.linalg.norm(v), 1e-8)) for w, v in want.items())
