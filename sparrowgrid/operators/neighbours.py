@@ -124,9 +124,9 @@ def _least_blocks(df: DataFrame) -> int:
     return max(BLOCKS, math.ceil(math.sqrt(4 * df.sparkSession.sparkContext.defaultParallelism)))
 
 
-def two_sides(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int]]:
-    """Packed blocks of queries and of (labelled) entries. Of a few queries there are few blocks, so that what is moved stays near the size of the entries."""
-    (a, n_a, most_a), (b, n_b, most_b) = _rows(queries, id_col, vec_col), _rows(entries, id_col, vec_col, label_col)
+def two_sides(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, label_col: str | None = None, both: bool = False) -> tuple[tuple[DataFrame, int], tuple[DataFrame, int]]:
+    """Packed blocks of queries and of (labelled) entries; with ``both``, queries are labelled too. Of a few queries there are few blocks, so that what is moved stays near the size of the entries."""
+    (a, n_a, most_a), (b, n_b, most_b) = _rows(queries, id_col, vec_col, label_col if both else None), _rows(entries, id_col, vec_col, label_col)
     pairs = _least_blocks(entries) ** 2
     left = _blocks(a, n_a, most_a, min(pairs, max(1, round(math.sqrt(pairs * n_a / max(n_b, 1))))))
     return left, _blocks(b, n_b, most_b, -(-pairs // left[1]))
@@ -331,9 +331,14 @@ def self_recovery(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> D
     )
 
 
-def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", skip_self: bool = True) -> DataFrame:
-    """``i, j, s, rank``: the k most similar entries of each query; ties by smaller id. ``metric``: cosine or dot."""
-    if queries is entries:
+def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "cosine", skip_self: bool = True, under: str | None = None) -> DataFrame:
+    """``i, j, s, rank``: the k most similar entries of each query; ties by smaller id. ``metric``: cosine or dot.
+
+    ``under`` names a number of both (not null): a query only takes entries whose number isn't over its own.
+    """
+    if under:
+        a, b = two_sides(queries, entries, id_col, vec_col, under, both=True)
+    elif queries is entries:
         a = b = blocks(queries, id_col, vec_col)
     else:
         a, b = two_sides(queries, entries, id_col, vec_col)
@@ -344,6 +349,8 @@ def top_k(queries: DataFrame, entries: DataFrame, id_col: str, vec_col: str, k:
         for at, to, s, slack, exact in tiles(x, y, metric == "cosine"):
             if skip_self:
                 hide(s, x.id[at : at + len(s)], y.id[to : to + s.shape[1]])
+            if under:
+                s[x.label[at : at + len(s), None] < y.label[None, to : to + s.shape[1]]] = -np.inf
             rows.take(s, at, to, 0, slack, exact)
             if alone and not itself:
                 cols.take(s, to, at, 1, slack, exact)

@@ -21,8 +21,8 @@ from sparrowgrid.functions import text as T
 from sparrowgrid.operators.graph import cut, free
 from sparrowgrid.operators.retrieval import FEW, K1, B
 
-#: Scores that are made at once, and groups of scores and rows of first ones up to which they are kept in a task.
-CELLS, GROUPS = 1 << 20, 4_000_000
+#: Scores that are made at once, texts whose terms are counted at once, and numbers of a task's bars at most.
+CELLS, ROWS, GROUPS = 1 << 20, 1024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def index(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query
     start = np.searchsorted(number, np.arange(len(known.dictionary) + 1))
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
+        for b in (whole.slice(k, ROWS) for whole in frames for k in range(0, whole.num_rows, ROWS)):
             lists = b.column("t")
             dl = pc.list_value_length(lists)  # none without a text, which counts as a document all the same
             n = pc.fill_null(dl, 0).to_numpy()
@@ -159,7 +159,7 @@ class Packable:
         keep = np.flatnonzero((tokens <= self.budget) & (score >= self.bar[query, np.minimum(tokens, self.budget)]))
         self.parts.append([x[keep] for x in (query, score, doc, tokens, *family)])
         self.size += len(keep)
-        if self.size > CELLS // 4:
+        if self.size > CELLS // 16:
             self._cut()
 
     def _cut(self) -> None:

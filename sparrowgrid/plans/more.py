@@ -11,7 +11,7 @@ from sparrowgrid.operators import context, extract, graph, neighbours, ngram, ov
 from sparrowgrid.plans import facts as P
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, r6
-from sparrowgrid.plans.texts import BM25_SQL, bm25_ranked, bm25_scored
+from sparrowgrid.plans.texts import BM25_SQL, bm25_index, bm25_ranked, bm25_scored
 from sparrowgrid.plans.vectors import E_SQL, PAIRS_SQL, RANKED_SQL, SCORES_SQL, STRUCT_SQL, cell_scores, emb, structure_repeats
 from sparrowgrid.session import table
 
@@ -246,7 +246,8 @@ def compiled_context(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), "text")
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     alike, _ = neighbours.families(e, "vec_id", "embedding", neighbours.top_k(e, e, "vec_id", "embedding", 1).select("i", "s"))
-    found = context.compiled(bm25_scored(spark, sf_dir), d, alike, 1500, 8)
+    at = bm25_index(spark, sf_dir)
+    found = context.compiled(bm25_scored(spark, sf_dir) if at is None else at, d, alike, 1500, 8)
     return found.select(F.col("query").alias("item_id"), "baseline_tokens", "compiled_tokens", "saving", "picks", "removed", "truncated", F.sha2("context", 256).alias("context_sha256"))
 
 
