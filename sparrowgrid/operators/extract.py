@@ -49,11 +49,18 @@ def entities(docs: DataFrame, id_col: str, text_col: str, min_length: int = 4, m
     return first.select("doc", "key", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "key")).alias("ord"))
 
 
-def micro_prf(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """``tp, fp, fn, precision, recall, f1`` over all rows of two frames with equal columns."""
-    cols = found.columns
-    both = found.distinct().withColumn("a", F.lit(1)).join(gold.distinct().withColumn("b", F.lit(1)), cols, "full")
-    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+def micro_prf(found: DataFrame, gold: DataFrame | Column) -> DataFrame:
+    """``tp, fp, fn, precision, recall, f1`` over all rows of two frames with equal columns.
+
+    ``gold`` can be a condition on ``found``, whose rows are distinct then: those that it holds for are the gold ones, which are
+    counted where they are and not made and joined again.
+    """
+    if isinstance(gold, Column):
+        both, a, b = found.select(F.coalesce(gold, F.lit(False)).alias("b")), F.lit(True), F.col("b")
+    else:
+        cols = found.columns
+        both = found.distinct().withColumn("a", F.lit(1)).join(gold.distinct().withColumn("b", F.lit(1)), cols, "full")
+        a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
     n = both.agg(F.count_if(a & b).alias("tp"), F.count_if(a & ~b).alias("fp"), F.count_if(b & ~a).alias("fn"))
     share = lambda x, y: F.round(x / F.greatest(y, F.lit(1)), 6)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
