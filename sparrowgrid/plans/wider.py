@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sparrowgrid.functions import vector as V
 from sparrowgrid.functions import text as T
-from sparrowgrid.operators import beliefs, classify, descriptors, direction, discovery, extract, graph, mutation, neighbours, retrieval, sequence
+from sparrowgrid.operators import beliefs, classify, descriptors, direction, discovery, extract, graph, mutation, neighbours, retrieval, scoring, sequence
 from sparrowgrid.plans.base import query
 from sparrowgrid.plans.beliefs import HYP_SQL, evidence, fit, hypotheses, predictions, r6
 from sparrowgrid.plans.facts import MENTION_SQL, mentions
-from sparrowgrid.plans.texts import BM25_SQL, TERMS_SQL, bm25_ranked, bm25_scored, docs
+from sparrowgrid.plans.texts import BM25_SQL, TERMS_SQL, bm25_index, bm25_ranked, bm25_scored, docs
 from sparrowgrid.plans.vectors import E_SQL, PAIRS_SQL, RANKED_SQL, STRUCT_SQL, emb
 from sparrowgrid.session import table
 
@@ -315,8 +315,16 @@ def chain_report(spark, sf_dir):
     found = structural_map(spark, sf_dir).groupBy().agg(F.count_if(F.col("kind") == "repeat").alias("repeats"), F.count_if(F.col("kind") == "difference").alias("differences"))
     clash = extract.contradictions(docs(spark, sf_dir), "doc_id", "source", "text").agg(F.count("*").alias("contradictions"))
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), T.token_estimate(F.col("text")).alias("tokens"), "text")
-    base = bm25_ranked(spark, sf_dir).where("rank <= 12").select("doc").join(d.select("doc", "tokens"), "doc").agg(F.sum("tokens").alias("baseline_tokens"))
-    packed = retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 1500, 8, 0.0).agg(F.sum("tokens").alias("context_tokens"))
+    at = bm25_index(spark, sf_dir)
+    part = scoring.packable(at, 1500, 8) if at else None
+    if part:
+        # Scores are made twice from one index, and never rows.
+        base, sure = scoring.top(at, 12), part[0].select("query", "doc", "score")
+        packed = retrieval.pack_ranked(sure, at.rows.select("doc", "tokens"), 1500, 8, 0.0)
+    else:
+        base = bm25_ranked(spark, sf_dir).where("rank <= 12").select("doc").join(d.select("doc", "tokens"), "doc")
+        packed = retrieval.pack_ranked(bm25_scored(spark, sf_dir), d, 1500, 8, 0.0)
+    base, packed = base.agg(F.sum("tokens").alias("baseline_tokens")), packed.agg(F.sum("tokens").alias("context_tokens"))
     open_ = scored.where(F.col("best") < cfg.covered)
     led = graph.cut(discovery.vector_leaders(open_, "id", "v", cfg.alike))
     sizes = led.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= cfg.least)
